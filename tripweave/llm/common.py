@@ -82,3 +82,50 @@ def with_shingle_hashes(df: DataFrame, text: str, n: int, out: str) -> DataFrame
     df = df.withColumn(at, F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w)))
     df = df.withColumn(out, F.when(size >= n, many).otherwise(whole)).drop(at)
     return df.withColumn(out, F.array_sort(F.array_distinct(F.col(f"`{out}`"))))
+
+
+#: Rows that a Python task turns into lists at once; bounds its memory with long texts.
+SLICE = 512
+
+
+def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with plain lists: function(list per column of `df`) -> list per column of `schema`.
+
+    `function` gets at most SLICE rows; it may return any number of rows, or
+    None. A function with a `start` method is first called so, once per task."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kind)
+        work = function.start() if hasattr(function, "start") else function
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out = work(*[c.to_pylist() for c in part.columns])
+                if out is not None and len(out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """At most `rows` (text, label) pairs, the ones whose ids hash lowest.
+
+    The bound is on what the driver holds and fits on; the ids are chosen from
+    the labels alone, so that the documents are read once and not shuffled."""
+    chosen = (
+        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("l_id"))
+        .agg(F.max(label).alias("l_label"))
+        .orderBy(F.xxhash64("l_id"), "l_id")
+        .limit(rows)
+    )
+    found = docs.select(F.col(id_col).alias("l_id"), F.col(text).alias("l_text")).join(F.broadcast(chosen), "l_id")
+    kept = sorted(found.collect(), key=lambda r: (r.l_id, r.l_text or ""))
+    return [(r.l_text or "", int(r.l_label)) for r in kept]

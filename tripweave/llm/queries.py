@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, toxicity
+from . import pii, quality, sharding, toxicity
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
+    both = F.array_compact(F.array(F.nullif("base_spans", F.lit("")), F.nullif(F.array_join(terms, ","), F.lit(""))))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2("base_spans", 256).alias("base_sha256"),
+        F.array_join(both, ",").alias("spans"),
+        F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -30,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,

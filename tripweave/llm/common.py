@@ -88,10 +88,10 @@ def with_shingle_hashes(df: DataFrame, text: str, n: int, out: str) -> DataFrame
 SLICE = 512
 
 
-def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
+def map_rows(df: DataFrame, function, schema: str, rows: int = SLICE) -> DataFrame:
     """mapInArrow with plain lists: function(list per column of `df`) -> list per column of `schema`.
 
-    `function` gets at most SLICE rows; it may return any number of rows, or
+    `function` gets at most `rows` rows; it may return any number of rows, or
     None. A function with a `start` method is first called so, once per task."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -105,8 +105,8 @@ def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
         arrow = to_arrow_schema(kind)
         work = function.start() if hasattr(function, "start") else function
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 out = work(*[c.to_pylist() for c in part.columns])
                 if out is not None and len(out[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, pii, quality, sharding, toxicity
+from . import pieces, pii, quality, sharding, tokenfile, toxicity
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths, files = tokenfile.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read(files, lengths).withColumnRenamed("d_id", "doc_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op3_sentencepiece": op3_sentencepiece,
+        "op5_token_file": op5_token_file,
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,

@@ -81,7 +81,7 @@ def with_shingle_hashes(df: DataFrame, text: str, n: int, out: str) -> DataFrame
     whole = F.when(size > 0, F.array(F.xxhash64(hashed, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(at, F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w)))
     df = df.withColumn(out, F.when(size >= n, many).otherwise(whole)).drop(at)
-    return df.withColumn(out, F.array_sort(F.array_distinct(F.col(f"`{out}`"))))
+    return df.withColumn(out, F.sort_array(F.array_distinct(F.col(f"`{out}`"))))
 
 
 #: Rows that a Python task turns into lists at once; bounds its memory with long texts.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, pii, quality, sharding, tokenfile, toxicity
+from . import decontaminate, pieces, pii, quality, sharding, tokenfile, toxicity
 from .common import table
 
 
@@ -39,6 +39,35 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(files, lengths).withColumnRenamed("d_id", "doc_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Containment of each item's distinct shingles in each document, counted plainly.
+OP6_SQL = r"""
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), split AS (
+  SELECT kind, id, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM texts
+), placed AS (
+  SELECT kind, id, unnest(w) AS x, generate_subscripts(w, 1) AS p, len(w) AS n FROM split
+), one AS (
+  SELECT DISTINCT kind, id, s FROM (
+    SELECT kind, id, p, n, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS s
+    FROM placed WINDOW o AS (PARTITION BY kind, id ORDER BY p)
+  ) WHERE p = 1 OR p <= n - 4
+), items AS (
+  SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM one WHERE kind = 1
+)
+SELECT one.id AS doc_id, item_id, any_value(n) AS n_item_shingles, count(*) AS n_shared, count(*)::DOUBLE / any_value(n) AS containment
+FROM one JOIN items USING (s) WHERE kind = 0
+GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_token_file": op5_token_file,
+        "op6_decontamination": op6_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,
@@ -68,4 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_decontamination": OP6_SQL,
+    }

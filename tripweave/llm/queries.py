@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality, sharding, tokenfile, toxicity
+from . import decontaminate, html_text, pieces, pii, quality, sharding, tokenfile, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths, files = tokenfile.write(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return tokenfile.read(files, lengths).withColumnRenamed("d_id", "doc_id")
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op3_sentencepiece": op3_sentencepiece,
         "op5_token_file": op5_token_file,
+        "op4_html_text": op4_html_text,
         "op6_decontamination": op6_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,

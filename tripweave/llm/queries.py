@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, pieces, pii, quality, sharding, tokenfile, toxicity
+from . import decontaminate, html_text, jaccard_join, pieces, pii, quality, sharding, tokenfile, toxicity
 from .common import table
 
 
@@ -72,6 +72,11 @@ GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n)
 """
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return rows.withColumnRenamed("d", "doc_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_file": op5_token_file,
         "op4_html_text": op4_html_text,
         "op6_decontamination": op6_decontamination,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,

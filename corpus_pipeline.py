@@ -1,16 +1,61 @@
-"""The corpus pipeline: stages of the training-data operators, in order."""
+"""The corpus pipeline: five stages of the training-data operators, in order.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's documents. All but the last return
+the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripweave.llm import decontaminate, jaccard_join, pieces, pii, quality
+from tripweave.llm.common import materialize, table
+from tripweave.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or whose lines are mostly boilerplate go."""
+    return quality.keep(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays, the one of the least id."""
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are masked, disclosing terms removed or generalised; n_chars follows the text."""
+    return pii.sanitize(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids and round_trip of each text."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", pii_sanitisation),
+    ("SentencePiece encoding and decoding", sentencepiece_ids),
+]
 
+#: The fitted line field and the piece search aren't SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The rows of the last stage, each stage's result being written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{number}")
     return docs

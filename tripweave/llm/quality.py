@@ -243,3 +243,20 @@ def line_labels(docs: DataFrame, field: LineField, id_col: str = "doc_id", text:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(F.col(id_col), F.col(text)), work, f"id {kind}, line long, text string, content boolean").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE, text: str = "text") -> DataFrame:
+    """The documents that judge() keeps, all columns as they were; a filter, without a shuffle."""
+
+    @F.arrow_udf("boolean")
+    def kept(texts):
+        import pyarrow as pa
+
+        out = []
+        for t in texts.to_pylist():
+            base, x, sizes = examine(t)
+            part = field.content_share(x, sizes) if field is not None else float(len(sizes) > 0)
+            out.append(not base_fails(base[0], base[4]) and part >= share)
+        return pa.array(out, pa.bool_())
+
+    return docs.where(kept(F.col(text)))

@@ -26,14 +26,13 @@ import json
 import re
 import struct
 import zlib
-from itertools import chain
-
+from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import discard, map_rows, materialize
+from .common import SLICE, discard, map_rows, materialize
 
 MAX_BITS = 16
 #: Ids between two checkpoints of a block.
@@ -53,7 +52,7 @@ class Encoder:
     lower-casing and a pattern, so that only the pieces go to the model; any
     other word takes the library's whole path."""
 
-    KEPT = 800_000
+    KEPT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,7 +61,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = False
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        self.words, self.pieces = {"": ()}, {}
+        self.words, self.pieces = {"": b""}, {}  # ids as little-endian unsigned 16-bit
         self.pattern = self._pattern(rules)
         if self.pattern is not None:
             import regex
@@ -99,30 +98,31 @@ class Encoder:
                 n += 1
         return [out[b] for b in range(256)]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         if m := self.simple(word):
             letters, marks = m.groups()
             if marks[:2] not in self.special:
                 return self._piece(letters.lower()) + self._piece(marks) if marks else self._piece(letters.lower())
         if not self.plain.fullmatch(word) or any(s in word for s in self.special):
-            return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        ids: list[int] = []
-        for piece in self.pattern.findall(word.lower()):
-            ids += self._piece(piece)
-        return tuple(ids)
+            return self._whole(word)
+        return b"".join(map(self._piece, self.pattern.findall(word.lower())))
+
+    def _whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
             chars = piece if piece.isascii() else "".join(map(self.byte_chars.__getitem__, piece.encode()))
-            known = self.pieces[piece] = tuple([t.id for t in self.tokenize(chars)])
+            known = self.pieces[piece] = array("H", [t.id for t in self.tokenize(chars)]).tobytes()
         return known
 
-    def __call__(self, text: str | None) -> list[int]:
+    def __call__(self, text: str | None) -> bytes:
+        """The ids of a text, little-endian unsigned 16-bit."""
         if not text:
-            return []
+            return b""
         if self.pattern is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self._whole(text)
         for c in "\n\t\r\v\f":
             if c in text:
                 text = text.replace(c, " ")
@@ -130,11 +130,11 @@ class Encoder:
         words = self.words
         if len(words) > self.KEPT:
             words.clear()
-            words[""] = ()
+            words[""] = b""
             self.pieces.clear()
         for w in set(parts).difference(words):
             words[w] = self._word(w)
-        return list(chain.from_iterable(map(words.__getitem__, parts)))
+        return b"".join(map(words.__getitem__, parts))
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -150,9 +150,11 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """d_id and ids (little-endian unsigned 16-bit, with the end id), a row for each document."""
 
+    end = struct.pack("<H", end_id)
+
     def work(keys, texts):
         encode_one = encoder(path)
-        return keys, [np.array([*encode_one(t), end_id], "<u2").tobytes() for t in texts]
+        return keys, [encode_one(t) + end for t in texts]
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(F.col(id_col), F.col(text)), work, f"d_id {kind}, ids binary")
@@ -273,12 +275,18 @@ class Codebook:
 def count_ids(encoded: DataFrame) -> dict[int, int]:
     """How often each id occurs in all documents; as many rows as the vocabulary has ids."""
 
-    def work(rows):
-        counts = np.bincount(np.frombuffer(b"".join(rows), "<u2"), minlength=0)
+    def count(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            for k in range(0, len(column), SLICE):
+                counts += np.bincount(np.frombuffer(b"".join(column.slice(k, SLICE).to_pylist()), "<u2"), minlength=1 << 16)
         used = np.flatnonzero(counts)
-        return used.tolist(), counts[used].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["id", "n"])
 
-    partial = map_rows(encoded.select("ids"), work, "id int, n long", 4096)
+    partial = encoded.select("ids").mapInArrow(count, "id int, n long")
     return {r.id: r.n for r in partial.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import geo
 
-#: The one order of a user's points; every window operator shares it, so that Spark plans one exchange and sort.
-BY_TIME = Window.partitionBy("user_id").orderBy("t", "point_id")
+
+def by_time() -> WindowSpec:
+    """The one order of a user's points; every window operator shares it, so that Spark plans one exchange and sort."""
+    return Window.partitionBy("user_id").orderBy("t", "point_id")
 
 
 def with_utm(points: DataFrame) -> DataFrame:
@@ -61,14 +64,14 @@ def spike_filter(points: DataFrame, check_kph: float) -> DataFrame:
 
 def kinematics(points: DataFrame) -> DataFrame:
     """Add prev_t, duration_s, distance_m, bearing and delta_heading against the point before (first: zeros)."""
-    prev = {f"_{c}": F.lag(c).over(BY_TIME) for c in ("t", "lat", "lon")}
+    prev = {f"_{c}": F.lag(c).over(by_time()) for c in ("t", "lat", "lon")}
     df = points.withColumns(prev)
     df = df.withColumns({
         "duration_s": F.coalesce(F.col("t") - F.col("_t"), F.lit(0)),
         "distance_m": F.coalesce(F.expr(geo.haversine("_lat", "_lon", "lat", "lon")), F.lit(0.0)),
         "bearing": F.coalesce(F.expr(geo.bearing("_lat", "_lon", "lat", "lon")), F.lit(0.0)),
     })
-    df = df.withColumn("_b", F.lag("bearing").over(BY_TIME))
+    df = df.withColumn("_b", F.lag("bearing").over(by_time()))
     df = df.withColumn("delta_heading", F.coalesce(F.expr(geo.delta_heading("_b", "bearing")), F.lit(0.0)))
     return df.drop("_t", "_lat", "_lon", "_b")
 
@@ -101,12 +104,12 @@ def logger_preprocess(points: DataFrame, min_step_m: float = 0.1) -> DataFrame:
 
 def rolling_average(points: DataFrame, value: str, out: str = "rolling_avg") -> DataFrame:
     """Sum of the 20 values from ten before to nine after, over 21; null within ten points of either end."""
-    number, count = F.row_number().over(BY_TIME), F.count("*").over(Window.partitionBy("user_id"))
-    total = F.sum(value).over(BY_TIME.rowsBetween(-10, 9))
+    number, count = F.row_number().over(by_time()), F.count("*").over(Window.partitionBy("user_id"))
+    total = F.sum(value).over(by_time().rowsBetween(-10, 9))
     return points.withColumn(out, F.when((number - 2 >= 10) & (count - number >= 10), total / 21))
 
 
 def trailing_average(points: DataFrame, value: str, size: int = 5, out: str = "trailing_avg") -> DataFrame:
     """Mean of the last `size` values; null until there are that many."""
-    w = BY_TIME.rowsBetween(1 - size, 0)
+    w = by_time().rowsBetween(1 - size, 0)
     return points.withColumn(out, F.when(F.count("*").over(w) == size, F.avg(value).over(w)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .clean import BY_TIME
+from .clean import by_time
 
 
 def two_means(points: DataFrame, value: str, cap: float = 50.0) -> DataFrame:
@@ -30,8 +30,8 @@ def two_means(points: DataFrame, value: str, cap: float = 50.0) -> DataFrame:
 
 def runs(points: DataFrame, label: str = "kmeans") -> DataFrame:
     """Add run: the number of the run of equal labels in a user's time order, from 1."""
-    new = F.coalesce((F.lag(label).over(BY_TIME) != F.col(label)).cast("long"), F.lit(1))
-    return points.withColumn("_new", new).withColumn("run", F.sum("_new").over(BY_TIME)).drop("_new")
+    new = F.coalesce((F.lag(label).over(by_time()) != F.col(label)).cast("long"), F.lit(1))
+    return points.withColumn("_new", new).withColumn("run", F.sum("_new").over(by_time())).drop("_new")
 
 
 def short_stops(points: DataFrame, min_s: int = 120) -> DataFrame:
@@ -49,7 +49,7 @@ def heading_stops(points: DataFrame, cutoff: float = 1.0) -> DataFrame:
     seen = points.where(F.col("delta_heading").isNotNull() & (F.col("delta_heading") != 0))
     limit = F.stddev_pop("delta_heading").over(w) * cutoff + F.bround((F.max("delta_heading").over(w) - F.min("delta_heading").over(w)) / 2)
     df = seen.withColumn("_in", F.col("delta_heading") >= limit)
-    df = df.withColumn("_run", F.sum((~F.col("_in")).cast("long")).over(BY_TIME))
+    df = df.withColumn("_run", F.sum((~F.col("_in")).cast("long")).over(by_time()))
     df = df.withColumn("_last", F.max("_run").over(w)).where(F.col("_in") & (F.col("_run") < F.col("_last"))).drop("_last")
     return df.withColumn("stop", F.dense_rank().over(Window.partitionBy("user_id").orderBy("_run"))).drop("_in", "_run")
 

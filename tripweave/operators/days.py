@@ -7,10 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import geo
 
-BY_DATE = Window.partitionBy("user_id").orderBy("date")
+
+def by_date() -> WindowSpec:
+    """The order of a user's dates."""
+    return Window.partitionBy("user_id").orderBy("date")
+
+
 #: Trips before this date come from clocks that were wrong: 1999-06-01, in seconds.
 CLOCK_ERROR = 928195200
 
@@ -43,14 +49,14 @@ def complete_days(trips: DataFrame) -> DataFrame:
 
 def inactivity(days: DataFrame) -> DataFrame:
     """Add consecutive_inactive_days, first_inactive_day, inactive_day_streak (of this and later days) and inactivity_streak (of the user)."""
-    df = days.withColumn("_run", F.sum(F.col("has_trips").cast("long")).over(BY_DATE))
+    df = days.withColumn("_run", F.sum(F.col("has_trips").cast("long")).over(by_date()))
     in_run = Window.partitionBy("user_id", "_run", "has_trips").orderBy("date")
     idle = ~F.col("has_trips")
     df = df.withColumns({
         "consecutive_inactive_days": F.when(idle, F.row_number().over(in_run)).cast("long"),
         "first_inactive_day": F.when(idle, F.min("date").over(in_run)),
     })
-    later = BY_DATE.rowsBetween(0, Window.unboundedFollowing)
+    later = by_date().rowsBetween(0, Window.unboundedFollowing)
     return df.withColumns({
         "inactive_day_streak": F.when(idle, F.max("consecutive_inactive_days").over(later)),
         "inactivity_streak": F.max("consecutive_inactive_days").over(Window.partitionBy("user_id")),

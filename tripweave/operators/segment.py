@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .clean import BY_TIME
-
-IN_SEGMENT = Window.partitionBy("user_id", "segment_group").orderBy("t", "point_id")
+from .clean import by_time
 
 
 def gap_segments(points: DataFrame, gap_s: int) -> DataFrame:
     """Add period_before (s), distance_before (m) and segment_group (from 0): a gap longer than `gap_s` starts a segment."""
-    df = points.withColumns({f"_{c}": F.lag(c).over(BY_TIME) for c in ("t", "easting", "northing")})
+    df = points.withColumns({f"_{c}": F.lag(c).over(by_time()) for c in ("t", "easting", "northing")})
     df = df.withColumns({
         "period_before": F.coalesce(F.col("t") - F.col("_t"), F.lit(0)),
         "distance_before": F.coalesce(F.round(F.expr(geo.planar("_easting", "_northing", "easting", "northing")), 3), F.lit(0.0)),
     })
-    starts = F.sum((F.col("period_before") > gap_s).cast("long")).over(BY_TIME)
+    starts = F.sum((F.col("period_before") > gap_s).cast("long")).over(by_time())
     return df.withColumn("segment_group", starts).drop("_t", "_easting", "_northing")
 
 
 def logger_segments(points: DataFrame, gap_s: int) -> DataFrame:
     """The same without each user's first point, which the logger rule discards."""
-    return gap_segments(points, gap_s).withColumn("_n", F.row_number().over(BY_TIME)).where("_n > 1").drop("_n")
+    return gap_segments(points, gap_s).withColumn("_n", F.row_number().over(by_time())).where("_n > 1").drop("_n")
 
 
 def summaries(points: DataFrame, key: str = "segment_group") -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import geo
 
-BY_KEY = Window.partitionBy("user_id").orderBy("segment_group")
+
+def by_key() -> WindowSpec:
+    """The order of a user's trips."""
+    return Window.partitionBy("user_id").orderBy("segment_group")
 
 
 def within(points: DataFrame, places: DataFrame, radius_m: float, last: bool = False, out: str = "place") -> DataFrame:
@@ -37,7 +41,7 @@ def end_places(trips: DataFrame, places: DataFrame, radius_m: float) -> DataFram
 
 def with_gap(trips: DataFrame) -> DataFrame:
     """Add prev_last, gap_s and gap_m against the trip before."""
-    df = trips.withColumn("prev_last", F.lag("last").over(BY_KEY))
+    df = trips.withColumn("prev_last", F.lag("last").over(by_key()))
     return df.withColumns({
         "gap_s": F.col("first.t") - F.col("prev_last.t"),
         "gap_m": F.round(F.expr(geo.planar("prev_last.easting", "prev_last.northing", "first.easting", "first.northing")), 3),
@@ -48,7 +52,7 @@ def pair_links(trips: DataFrame, condition: str, out: str = "link") -> DataFrame
     """Add `out`: links to the trip before under the rule that a linked trip can't be linked to again.
 
     Greedy pairing has a closed form: true at the odd places of each run of true conditions."""
-    df = trips.withColumn("_run", F.sum((~F.col(condition)).cast("long")).over(BY_KEY))
+    df = trips.withColumn("_run", F.sum((~F.col(condition)).cast("long")).over(by_key()))
     at = F.row_number().over(Window.partitionBy("user_id", "_run").orderBy("segment_group"))
     # Each run starts with the false condition that begins it, but for a first run that starts true.
     lead = F.min(F.col(condition).cast("int")).over(Window.partitionBy("user_id", "_run"))
@@ -60,7 +64,7 @@ def chain_links(trips: DataFrame, condition: str, out: str = "link", first_only:
     """Add `out`: every true condition links; with `first_only` just the first of a chain."""
     link = F.col(condition)
     if first_only:
-        link = link & ~F.coalesce(F.lag(condition).over(BY_KEY), F.lit(False))
+        link = link & ~F.coalesce(F.lag(condition).over(by_key()), F.lit(False))
     return trips.withColumn(out, link)
 
 
@@ -72,7 +76,7 @@ def subway_condition(most_s: int = 4800, least_ms: float = 0.1, differ: bool = F
 
 def subway_links(trips: DataFrame, entrances: DataFrame, radius_m: float = 200.0, most_s: int = 4800, least_ms: float = 0.1, differ: bool = False) -> DataFrame:
     """Trips with link: pairs joined by a subway ride (`differ`: older rule, other stations and first of a chain)."""
-    df = with_gap(end_places(trips, entrances, radius_m)).withColumn("prev_place", F.lag("last_place").over(BY_KEY))
+    df = with_gap(end_places(trips, entrances, radius_m)).withColumn("prev_place", F.lag("last_place").over(by_key()))
     df = df.withColumn("condition", subway_condition(most_s, least_ms, differ))
     return chain_links(df, "condition", first_only=True) if differ else pair_links(df, "condition")
 
@@ -87,7 +91,7 @@ def velocity_links(trips: DataFrame, least_kph: float = 15.0, chains: bool = Fal
 def merge_linked(points: DataFrame, links: DataFrame, label: str) -> DataFrame:
     """Points with trip_key and labels: linked segments share the key of the first."""
     old = "trip_key" if "trip_key" in points.columns else "segment_group"
-    key = links.select("user_id", F.col("segment_group").alias(old), (F.sum((~F.col("link")).cast("long")).over(BY_KEY) - 1).alias("_key"), "link")
+    key = links.select("user_id", F.col("segment_group").alias(old), (F.sum((~F.col("link")).cast("long")).over(by_key()) - 1).alias("_key"), "link")
     df = points.join(key, ["user_id", old])
     linked = F.max("link").over(Window.partitionBy("user_id", "_key"))
     labels = F.coalesce(F.col("labels"), F.array().cast("array<string>")) if "labels" in points.columns else F.array().cast("array<string>")
@@ -103,8 +107,8 @@ def missing_trips(trips: DataFrame, entrances: DataFrame, min_m: float = 250.0,
     ended is no new base for the next comparison."""
     df = with_gap(trips)
     moved = F.coalesce(F.col("gap_m") != 0, F.lit(True))
-    df = df.withColumn("_base", F.last(F.when(moved, F.col("last")), ignorenulls=True).over(BY_KEY))
-    df = df.withColumn("prev_last", F.lag("_base").over(BY_KEY)).drop("_base").where(F.col("prev_last").isNotNull())
+    df = df.withColumn("_base", F.last(F.when(moved, F.col("last")), ignorenulls=True).over(by_key()))
+    df = df.withColumn("prev_last", F.lag("_base").over(by_key())).drop("_base").where(F.col("prev_last").isNotNull())
     df = df.withColumns({
         "gap_s": F.col("first.t") - F.col("prev_last.t"),
         "gap_m": F.round(F.expr(geo.planar("prev_last.easting", "prev_last.northing", "first.easting", "first.northing")), 3),

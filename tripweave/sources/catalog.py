@@ -34,8 +34,10 @@ class Catalog:
 
     def user(self, name: str, user_id) -> DataFrame:
         """One user's rows: the bucket prunes files, the id prunes row groups."""
-        bucket = self.spark.range(1).select(self._bucket(F.lit(user_id))).first()[0]
-        return self.spark.read.parquet(self.path(name)).where((F.col("bucket") == bucket) & (F.col("user_id") == user_id)).drop("bucket")
+        rows = self.spark.read.parquet(self.path(name))
+        kind = rows.schema["user_id"].dataType
+        bucket = self.spark.range(1).select(self._bucket(F.lit(user_id).cast(kind))).first()[0]
+        return rows.where((F.col("bucket") == bucket) & (F.col("user_id") == user_id)).drop("bucket")
 
     @staticmethod
     def _bucket(c):

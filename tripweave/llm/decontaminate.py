@@ -100,5 +100,5 @@ def report(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The documents in which no item is contained, all columns as they were."""
     hit = contaminated(docs, items, containment, id_col, text, item_id).select("d_id", "d_key").distinct()
-    rows = docs.withColumn("_key", F.xxhash64(text))
-    return rows.join(hit, rows[id_col].eqNullSafe(hit["d_id"]) & (rows["_key"] == hit["d_key"]), "left_anti").drop("_key")
+    rows = docs.withColumn("__op6_key", F.xxhash64(text))
+    return rows.join(hit, rows[id_col].eqNullSafe(hit["d_id"]) & (rows["__op6_key"] == hit["d_key"]), "left_anti").drop("__op6_key")

@@ -227,9 +227,9 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """The documents, all columns as they were but for the sanitised text."""
     found = materialize(find(docs, id_col, text), "pii-found")
     hits = term_spans(found, disclosing(found, docs, text))
-    hits = hits.select(F.col("p_id").alias("_h_id"), F.col("p_hash").alias("_h_hash"), F.col("terms").alias("_terms"))
-    rows = docs.withColumn("_p_hash", F.xxhash64(text))
-    rows = rows.join(hits, rows[id_col].eqNullSafe(hits["_h_id"]) & (rows["_p_hash"] == hits["_h_hash"]), "left")
+    hits = hits.select(F.col("p_id").alias("__op1_id"), F.col("p_hash").alias("__op1_of"), F.col("terms").alias("__op1_terms"))
+    rows = docs.withColumn("__op1_hash", F.xxhash64(text))
+    rows = rows.join(hits, rows[id_col].eqNullSafe(hits["__op1_id"]) & (rows["__op1_hash"] == hits["__op1_of"]), "left")
 
     @F.arrow_udf("string")
     def mask(texts, terms):
@@ -237,7 +237,7 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
         return pa.array([masked(t, s) for t, s in zip(texts.to_pylist(), terms.to_pylist(), strict=True)], pa.string())
 
-    return rows.withColumn(text, mask(F.col(text), F.col("_terms"))).select(*docs.columns)
+    return rows.withColumn(text, mask(F.col(text), F.col("__op1_terms"))).select(*docs.columns)
 
 
 def digest(base: str) -> str:

@@ -246,6 +246,18 @@ SELECT point_id, d::DATE AS date, epoch(least(e, d + INTERVAL 1 DAY)) - epoch(gr
         "stop_centroids": f"WITH {_seg()} SELECT user_id, segment_group, round(round(avg(easting), 3), 1) AS easting, round(round(avg(northing), 3), 1) AS northing, min(t) AS first_t, max(t) AS last_t, count(*) AS n_points FROM seg GROUP BY 1, 2",
         "heading_stops": p + f""", v AS (SELECT * FROM pts WHERE value <> 0), h AS (SELECT *, value >= stddev_pop(value) OVER (PARTITION BY user_id) + round_even((max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id)) / 2, 0) AS inn FROM v),
 g AS (SELECT *, sum((NOT inn)::INT) {_W} AS run FROM h), z AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last FROM g) SELECT user_id, point_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run) AS stop FROM z WHERE inn AND run < last""",
+        "kmeans_runs": p + f""", v AS (SELECT user_id, point_id, t, least(coalesce(value, 0), 50) AS v FROM pts), c AS (SELECT DISTINCT user_id, v AS c FROM v),
+m AS (SELECT v.user_id, c, count(*) AS n, sum(v) AS s, sum(v * v) AS q, count(*) FILTER (v <= c) AS n1, sum(v) FILTER (v <= c) AS s1, sum(v * v) FILTER (v <= c) AS q1 FROM v JOIN c USING (user_id) GROUP BY 1, 2),
+e AS (SELECT user_id, c, round(q1 - s1 * s1 / n1 + (q - q1) - (s - s1) * (s - s1) / (n - n1), 6) AS sse FROM m WHERE n1 < n),
+b AS (SELECT user_id, arg_min(c, ROW(sse, c)) AS split FROM e GROUP BY 1),
+k AS (SELECT v.*, CASE WHEN v > split THEN 'trip' ELSE 'stop' END AS kmeans FROM v LEFT JOIN b USING (user_id)),
+r AS (SELECT *, CASE WHEN lag(kmeans) {_W} = kmeans THEN 0 ELSE 1 END AS new FROM k), g AS (SELECT *, sum(new) {_W} AS run FROM r)
+SELECT user_id, point_id, CASE WHEN kmeans = 'stop' AND max(t) OVER q - min(t) OVER q < 120 THEN 'trip' ELSE kmeans END AS kmeans, run FROM g WINDOW q AS (PARTITION BY user_id, run)""",
+        "activity_condensed": f"""WITH {_SPANS}, {_DAYS.replace(_seg(clock=1, gap=DAY_GAP) + ", ", "", 1)}, x AS (SELECT user_id, min(start) AS first_seen, max("end") AS last_seen, count(*) FILTER (kind = 'commute') AS num_trips,
+  sum("end" - start) FILTER (kind = 'commute') AS total_commute_s, sum("end" - start) FILTER (kind = 'commute' AND label = 'work') AS commute_time_work_s, sum("end" - start) FILTER (kind = 'commute' AND label = 'study') AS commute_time_study_s,
+  sum("end" - start) FILTER (kind = 'dwell' AND label = 'home') AS stay_time_home_s, sum("end" - start) FILTER (kind = 'dwell' AND label = 'work') AS stay_time_work_s, sum("end" - start) FILTER (kind = 'dwell' AND label = 'study') AS stay_time_study_s FROM spans GROUP BY 1),
+y AS (SELECT user_id, count(*) FILTER (is_complete) AS complete_days, count(*) FILTER (has_trips AND NOT is_complete) AS incomplete_days, count(*) FILTER (NOT has_trips AND NOT is_complete) AS inactive_days FROM days GROUP BY 1)
+SELECT x.*, complete_days, incomplete_days, inactive_days, round(num_trips / nullif(complete_days + incomplete_days, 0), 6) AS avg_trips_per_day FROM x LEFT JOIN y USING (user_id)""",
         "dedupe_stations": f"WITH e0 AS (SELECT {_spot('s_suppkey', 53, 17, TIGHT)} FROM supplier) SELECT DISTINCT round(lat, 6) AS lat, round(lon, 6) AS lon FROM e0",
         "count_users": "SELECT count(*) AS n_users FROM customer",
         "trip_diff": f"""WITH {_trips()}, k6 AS (SELECT user_id, t, point_id, sum(CASE WHEN period_before > 600 THEN 1 ELSE 0 END) {_W} AS segment_group FROM k),

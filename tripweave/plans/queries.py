@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import geo
 from ..functions.time import local, split_at_midnight, split_days
-from ..operators import activity, clean, cluster, days, segment, stitch
+from ..operators import activity, clean, cluster, days, logger, segment, stitch
 from . import adapters
 
 C = Config()
@@ -296,6 +296,18 @@ def dbscan(spark, d):
     return cluster.dbscan(adapters.points(spark, d), 120.0, 5).select("user_id", "point_id", "cluster")
 
 
+def _logger_input(spark, d):
+    return segment.logger_segments(clean.logger_preprocess(adapters.points(spark, d)).drop("duration_s", "distance_m", "bearing", "delta_heading"), C.break_interval_s)
+
+
+def stop_split(spark, d):
+    return logger.stop_split(_logger_input(spark, d), clean.with_utm(_places(spark, d)), 120).select("user_id", "segment_group", "piece", "point_id")
+
+
+def logger_trips(spark, d):
+    return logger.diary(logger.long_pieces(logger.stop_split(_logger_input(spark, d), clean.with_utm(_places(spark, d)), 120)))
+
+
 def dedupe_stations(spark, d):
     return adapters.entrances(spark, d).dropDuplicates(["lat", "lon"]).select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
@@ -318,7 +330,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, lone_points, spike_filter, logger_preprocess, rolling_avg,
     trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, label_points_last, label_points_first, location_overlaps, commutes_dwells,
     activity_daily, activity_daily_pivot, activity_condensed, condensed_trips, midnight_split, day_split, local_dates, kmeans_runs, heading_stops,
-    stop_centroids, condensed_places, activity_locations, dbscan, dedupe_stations, count_users, trip_diff,
+    stop_centroids, condensed_places, activity_locations, dbscan, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
 )
 
 

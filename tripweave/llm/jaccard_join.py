@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import map_rows, materialize, words
+from .common import discard, materialize, words
 
 #: Empty segments that need not be indexed.
 SPARE = 2
@@ -51,9 +51,8 @@ def mix(x: np.ndarray, by: np.uint64 = _M1) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(hashed: list[int] | np.ndarray, n: int) -> np.ndarray:
+def shingles(w: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a text, from the hashes of its words."""
-    w = np.asarray(hashed, np.int64).view(np.uint64)
     if not len(w):
         return w
     if len(w) < n:
@@ -131,8 +130,29 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _word_hashes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+def _map_sets(docs: DataFrame, n: int, function, schema: str, id_col: str, text: str, rows: int = 2048) -> DataFrame:
+    """function(ids, sets) -> numpy arrays or lists per column of `schema`; the sets are those of at most `rows` rows.
+
+    Spark splits and hashes the words; the hashes come as one buffer per batch."""
+    hashed = docs.select(F.col(id_col).cast("long").alias("d"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+    empty = docs.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(empty)
+        for batch in batches:
+            ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
+            ids = batch.column(0).to_pylist()
+            for low in range(0, len(ids), rows):
+                high = min(low + rows, len(ids))
+                sets = [shingles(values[ends[k] : ends[k + 1]], n) for k in range(low, high)]
+                out = function(ids[low:high], sets)
+                if out is not None and len(out[0]):
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return hashed.mapInArrow(run, empty)
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -145,41 +165,82 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(_signed(both))
 
 
-def members(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, size, k1, k2: each row's id, the size of its set and the set's key."""
+def index(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """d, size, k1, k2 and sigs: each row's id, the size and key of its set, and its index keys.
+
+    A set that a slice of rows has twice is indexed once (null in its other rows)."""
+
+    def work(ids, sets):
+        import pyarrow as pa
+
+        keys, sigs, seen = [], [], set()
+        for s in sets:
+            k = _set_key(s)
+            keys.append(k)
+            sigs.append(np.zeros(0, np.uint64) if k in seen else signatures(s, percent))
+            seen.add(k)
+        ends = np.concatenate(([0], np.cumsum(list(map(len, sigs)))))
+        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs).view(np.int64)))
+        return ids, list(map(len, sets)), [k[0] for k in keys], [k[1] for k in keys], flat
+
+    return _map_sets(docs, n, work, "d long, size long, k1 long, k2 long, sigs array<long>", id_col, text)
+
+
+#: Parts of the hash range in which the elements of a set are counted, up to 255 in each: few for a first look, more for long texts.
+PARTS, FINE_PARTS = 64, 1024
+#: Sets up to which those counts go to every task (about 100 bytes each); more are joined by shuffle.
+BROADCAST_SETS = 200_000
+
+
+def _sets(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
+    """d, s (the set), parts and fine (its elements in each part of the hash range)."""
+
+    def counted(sets, parts):
+        import pyarrow as pa
 
-    def work(ids, rows):
-        sets = [shingles(r, n) for r in rows]
-        keys = [_set_key(s) for s in sets]
-        return ids, list(map(len, sets)), [k[0] for k in keys], [k[1] for k in keys]
+        shift = np.uint64(65 - parts.bit_length())
+        counts = [np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=parts), 255) - 128 for s in sets]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * parts, pa.int32()), pa.array(np.concatenate(counts).astype(np.int8)))
 
-    return map_rows(_word_hashes(docs, id_col, text), work, "d long, size long, k1 long, k2 long")
+    def work(ids, sets):
+        import pyarrow as pa
 
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(list(map(len, sets)))))
+        return ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), counted(sets, PARTS), counted(sets, FINE_PARTS)
 
-def _index(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """sig, k1: the index keys of the sets; a set that a slice of rows has twice is indexed once."""
+    return _map_sets(docs, n, work, "d long, s array<long>, parts array<tinyint>, fine array<tinyint>", id_col, text, 512)
 
-    def work(_, rows):
-        sigs, keys, seen = [], [], set()
-        for r in rows:
-            s = shingles(r, n)
-            if len(s) and (k := _set_key(s)) not in seen:
-                seen.add(k)
-                found = signatures(s, percent)
-                sigs.append(found)
-                keys.append(np.full(len(found), k[0], np.int64))
-        if not sigs:
-            return None
-        return np.concatenate(sigs).view(np.int64), np.concatenate(keys)
 
-    return map_rows(_word_hashes(docs, id_col, text), work, "sig long, k1 long", 2048)
+def _may_be_similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of `pairs` that counts by part don't rule out: two sets differ by at least the sum of what their counts differ.
+
+    Exact as a filter (counts cut off at 255 differ by no more than the counts),
+    and the counts are some dozens of bytes where sets are kilobytes."""
+    first = sets.select("d", "parts", F.size("s").alias("n"))
+    if sets.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        first = F.broadcast(first)
+    left = materialize(_apart(pairs, first, percent), "join-pairs")
+    return _apart(left, _of(sets.select("d", "fine", F.size("s").alias("n")), left), percent)
+
+
+def _apart(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda acc, x: acc + x)
+    rows = pairs.join(counts.toDF("a", "pa", "na"), "a").join(counts.toDF("b", "pb", "nb"), "b").withColumn("apart", apart)
+    return rows.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).select(*pairs.columns)
+
+
+def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `sets` that `pairs` name; only those are worth moving."""
+    ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+    return sets.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "d", "left_semi")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of `pairs` whose sets reach the threshold."""
-    a = sets.select(F.col("d").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
+    pairs = materialize(pairs.select("a", "b"), "join-pairs")
+    sets = _of(sets.select("d", "s"), pairs)
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     rows = both.select("a", "b", shared.alias("x"), (F.size("sa") + F.size("sb")).alias("y"))
     return rows.where(100 * F.col("x") >= percent * (F.col("y") - F.col("x"))).select("a", "b")
@@ -201,36 +262,49 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The (a, b) whose ends aren't in one component."""
+    df = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+    return df.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): d, n_shingles and component_id of each row, and the linked classes (a, b) by their least ids."""
-    rows = materialize(members(docs, n, id_col, text), "join-members")
+    indexed = materialize(index(docs, n, percent, id_col, text), "join-index")
+    rows = materialize(indexed.drop("sigs"), "join-members")
     classes = rows.where((F.col("size") > 0) & F.col("d").isNotNull()).groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.first("size").alias("size"))
     classes = materialize(classes, "join-classes")
 
     # Keys of one set only need no look: the least and the largest set of a key differ, or all are one.
     w = Window.partitionBy("sig")
-    found = _index(docs, n, percent, id_col, text)
+    found = indexed.select(F.explode("sigs").alias("sig"), "k1")
     found = found.repartition("sig").withColumn("low", F.min("k1").over(w)).withColumn("high", F.max("k1").over(w))
     shared = found.where(F.col("low") != F.col("high")).select("sig", "k1", "low").distinct()
     own = classes.select("k1", F.col("rep").alias("d"), "size")
     pivot = classes.select(F.col("k1").alias("low"), F.col("rep").alias("p"), F.col("size").alias("p_size"))
     groups = materialize(shared.join(own, "k1").join(pivot, "low").select("sig", "d", "size", "p", "p_size"), "join-groups")
+    discard(indexed)
 
     asked = groups.select("d").union(groups.select("p")).distinct()
     small = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.withColumn("_d", F.col(id_col).cast("long")).join(F.broadcast(asked.toDF("_d")) if small else asked.toDF("_d"), "_d", "left_semi")
-
-    def work(ids, hashed):
-        return ids, [_signed(shingles(r, n)) for r in hashed]
+    wanted = docs.withColumn("__op7_id", F.col(id_col).cast("long")).join(F.broadcast(asked.toDF("__op7_id")) if small else asked.toDF("__op7_id"), "__op7_id", "left_semi")
 
-    sets = map_rows(_word_hashes(wanted, id_col, text), work, "d long, s array<long>").dropDuplicates(["d"])
-    sets = materialize(sets, "join-sets")
+    sets = materialize(_sets(wanted, n, id_col, text), "join-sets")
 
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     star = groups.where((F.col("d") != F.col("p")) & fits(F.col("size"), F.col("p_size")))
-    star = star.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct()
-    links = materialize(_similar(star, sets, percent), "join-links")
+    star = star.groupBy("d", "p").agg(F.count("*").alias("k")).select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b"), "k", "d")
+    star = materialize(_may_be_similar(star, sets, percent), "join-pairs")
+
+    # First the partner of each set with which it shares most keys; then the pairs that this leaves unconnected.
+    best = star.groupBy("d").agg(F.max(F.struct("k", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    links = materialize(_similar(best, sets, percent), "join-links")
     found = components(links)
+    left = star.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+    more = materialize(_similar(_unconnected(left, found), sets, percent), "join-links")
+    links = links.union(more)
+    if more.limit(1).count():
+        found = components(links)
 
     # What the first comparison left apart: pairs of unlike components within a key.
     placed = groups.join(found, "d", "left").select("sig", "d", "size", F.coalesce("c", "d").alias("c"))
@@ -239,8 +313,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     apart = materialize(apart, "join-apart")
     left, right = apart.select("sig", F.col("d").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca")), apart.select("sig", F.col("d").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
     rest = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = materialize(_similar(rest, sets, percent), "join-links")
+    rest = rest.join(star.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    more = materialize(_similar(_may_be_similar(rest, sets, percent), sets, percent), "join-links")
     links = links.union(more)
     if more.limit(1).count():
         found = components(links)
@@ -255,6 +329,6 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the least id of their component, all columns as they were; rows without an id stay."""
     found, _ = join(docs, n, percent, id_col, text)
-    keep = found.where(F.col("d") == F.col("component_id")).select(F.col("d").alias("_d")).distinct()
-    named = docs.withColumn("_d", F.col(id_col).cast("long"))
-    return named.join(keep, "_d", "left_semi").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    keep = found.where(F.col("d") == F.col("component_id")).select(F.col("d").alias("__op7_id")).distinct()
+    named = docs.withColumn("__op7_id", F.col(id_col).cast("long"))
+    return named.join(keep, "__op7_id", "left_semi").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -53,6 +53,18 @@ def test_pii_disclosure(spark, empty):
     assert "@" not in clean[0] and "[EMAIL]" in clean[0] and "rare0" not in clean[0] and clean[10] == rows[6][1] and clean[90] is None
 
 
+def test_pii_terms_at_any_distance(spark, empty):
+    """A disclosing term goes wherever it stands: near the entity, far off, and in texts without the entity."""
+    far = " ".join(f"of the filler{k}" for k in range(40))
+    texts = [f"mail ann@example.org now {far} quixley said" for _ in range(4)] + ["quixley without an address"]
+    texts += [f"common words {far} number {i}" for i in range(80)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
+    clean = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
+    assert not any("quixley" in clean[i] for i in range(5)) and "filler39" in clean[0] and all(clean[i] == texts[i] for i in range(5, 85))
+    got = {r.doc_id: r for r in pii.spans(df).collect()}
+    assert "quixley" in {texts[0][t["start"] : t["end"]] for t in got[0].terms} and [(t["start"], t["end"]) for t in got[4].terms] == [(0, 7)]
+
+
 def test_suffix_dedup(spark, docs, corpus):
     counts, data = Counter(), {i: (t or "").encode() for i, t in corpus}
     for b in data.values():

@@ -1,16 +1,18 @@
 """PII: information-theoretic sanitisation.
 
 Protected entities are the email addresses, IP addresses, payment cards and
-phone numbers that patterns find. Terms near an entity may give it away even
-where it is masked. With N documents, df(e) that hold entity e, df(t) that hold
-term t and n(e, t) in which t stands within WINDOW terms of e,
+phone numbers that patterns find. Terms that stand with an entity may give it
+away even where it is masked. With N documents, df(e) that hold entity e, df(t)
+that hold term t and n(e, t) that hold both, at any distance,
 
     pmi(e; t) = log(N n(e, t) / (df(e) df(t)))    and    ic(e) = log(N / df(e)),
 
-and pmi / ic is the share of what is to be known about e that t reveals. In a
-document where t stands near e, t is removed from a share of REMOVE on and
-generalised (to the shape of the term) from GENERALISE on. All counts cover the
-whole corpus; pairs seen in fewer than SUPPORT documents have no estimate.
+and pmi / ic is the share of what is to be known about e that t reveals. Each
+occurrence of t in any document, with or without e, is removed from a share of
+REMOVE for some entity on and generalised (to the shape of the term) from
+GENERALISE on. All counts cover the whole corpus; pairs seen in fewer than
+SUPPORT documents have no estimate, so that only entities of SUPPORT documents
+or more are paired.
 
 Spark does the counting: pairs and terms are pre-aggregated before they are
 shuffled, so that an entity or a term in a third of all rows is no hot group.
@@ -25,20 +27,20 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms on each side of an entity that may reveal it.
-WINDOW = 8
 #: Documents in which a pair must be seen.
 SUPPORT = 2
 #: Disclosure thresholds, as shares of the entity's information content.
 GENERALISE, REMOVE = 0.7, 0.9
-#: Candidate terms up to this number (some MB) go to every task; more are joined by shuffle.
+#: Candidate terms and entities up to this number (some MB) go to every task; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Documents with disclosing terms up to this number, with their terms; more are joined by shuffle.
+BROADCAST_HITS = 100_000
 LEAST_LETTERS = 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -101,40 +103,23 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(c for c in value if '0' <= c <= '9')}"
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within WINDOW of each span, none inside a span."""
-    out = []
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the terms of the text, none that overlaps a span."""
     taken = sorted((a, b) for _, a, b in spans)
-    covers = lambda a, b: any(x < b and a < y for x, y in taken) if len(taken) < 16 else _overlaps(taken, a, b)
-    for kind, start, end in spans:
-        entity = _entity(kind, text[start:end])
-        near = []
-        reach = 64
-        while True:  # to the left, until there are enough terms or no more text
-            low = max(0, start - reach)
-            before = [m for m in _TERM.finditer(text, low, start)]
-            if low and before and before[0].start() == low:
-                before = before[1:]  # may begin further left
-            if len(before) >= WINDOW or not low:
-                break
-            reach *= 4
-        near += before[-WINDOW:]
-        for m in _TERM.finditer(text, end):
-            near.append(m)
-            if len(near) >= len(before[-WINDOW:]) + WINDOW:
-                break
-        for m in near:
-            a, b = m.span()
-            if b - a >= LEAST_LETTERS and not covers(a, b):
-                out.append((entity, m[0].lower(), a, b))
+    out, k, until = [], 0, 0  # `until`: the furthest end of the spans that begin before the term's end
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            until = max(until, taken[k][1])
+            k += 1
+        if b - a >= LEAST_LETTERS and until <= a:
+            out.append((m[0].lower(), a, b))
     return out
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    import bisect
-
-    i = bisect.bisect_left(taken, (a, a))
-    return any(x < b and a < y for x, y in taken[max(0, i - len(KINDS)) : i + 2])
+def _spread(small: DataFrame, bound: int) -> DataFrame:
+    """`small` with a broadcast hint, if its number of rows is within the bound."""
+    return F.broadcast(small) if small.limit(bound + 1).count() <= bound else small
 
 
 def _listed(spans) -> str:
@@ -142,7 +127,7 @@ def _listed(spans) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """p_id, p_hash (of the text), the base counts, base_spans and the terms near entities; a row for each document."""
+    """p_id, p_hash (of the text), the base counts, base_spans, entities and, where there are some, the words (distinct terms); a row for each document."""
 
     def work(ids, hashes, texts):
         out = []
@@ -150,56 +135,65 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
             t = t or ""
             spans = base_spans(t)
             counts = [sum(s[0] == k for s in spans) for k in KINDS] if spans else [0, 0, 0, 0]
-            near = _contexts(t, spans) if spans else []
             out.append((
                 i, h, *counts, _listed(spans), sorted({_entity(k, t[a:b]) for k, a, b in spans}),
-                [{"entity": e, "term": w, "start": a, "end": b} for e, w, a, b in near],
+                sorted({w for w, _, _ in _terms(t, spans)}) if spans else [],
             ))
         return list(zip(*out, strict=True))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"p_id {kind}, p_hash long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, entities array<string>, near array<struct<entity:string,term:string,start:long,end:long>>"
+    schema = f"p_id {kind}, p_hash long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, entities array<string>, words array<string>"
     return map_rows(docs.select(F.col(id_col), F.xxhash64(text), F.col(text)), work, schema)
 
 
+def _distinct_terms(text: str) -> Column:
+    """The distinct terms of a text as _TERM finds them; split before it is lower-cased, as that may add marks."""
+    split = F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.transform(split, F.lower))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, share: the pairs whose share of disclosure is GENERALISE or more."""
     total = found.count()
-    pairs = (
-        found.where(F.size("near") > 0)
-        .select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-        .groupBy("x.entity", "x.term")
-        .agg(F.count("*").alias("n_pair"))
-        .where(F.col("n_pair") >= SUPPORT)
-    )
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = materialize(pairs.join(entities, "entity"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    held = terms.limit(BROADCAST_TERMS + 1).count()
-    split = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
-    seen = docs.select(F.explode(F.array_distinct(split)).alias("term"))
-    if held <= BROADCAST_TERMS:
-        seen = seen.join(F.broadcast(terms), "term", "left_semi")
+    entities = materialize(entities.where((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") < total)), "pii-entities")
+    held = found.select(F.explode("entities").alias("entity"), "words").join(_spread(entities.select("entity"), BROADCAST_TERMS), "entity", "left_semi")
+    pairs = held.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
+    pairs = materialize(pairs.where(F.col("n_pair") >= SUPPORT).join(entities, "entity"), "pii-pairs")
+    seen = docs.select(F.explode(_distinct_terms(text)).alias("term"))
+    seen = seen.join(_spread(pairs.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
     counts = seen.groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    scored = pairs.where(F.col("n_entity") < total).join(counts, "term").withColumn("share", share)
-    return scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    return pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+
 
+def term_spans(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """p_id, p_hash, terms: array of (start, end, remove) of all disclosing terms of a text, by start; distinct texts once."""
+    worst = materialize(pairs.groupBy("term").agg((F.max("share") >= REMOVE).alias("remove")), "pii-terms")
+    rows = docs.select(F.col(id_col).alias("p_id"), F.xxhash64(text).alias("p_hash"), F.col(text).alias("t"))
+    hits = rows.select("p_id", "p_hash", F.explode(_distinct_terms("t")).alias("term")).join(_spread(worst, BROADCAST_TERMS), "term")
+    hits = hits.groupBy("p_id", "p_hash").agg(F.collect_set(F.struct("term", "remove")).alias("worst"))
+    hits = _spread(materialize(hits, "pii-hits").toDF("h_id", "h_hash", "worst"), BROADCAST_HITS)
+    rows = rows.join(hits, F.col("p_id").eqNullSafe(F.col("h_id")) & (F.col("p_hash") == F.col("h_hash"))).select("p_id", "p_hash", "t", "worst")
 
-def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """p_id, p_hash, terms: array of (start, end, remove) of the disclosing terms, by start; distinct texts once."""
-    near = found.where(F.size("near") > 0).select("p_id", "p_hash", F.explode("near").alias("x")).select("p_id", "p_hash", "x.*").distinct()
-    hit = near.join(pairs, ["entity", "term"])
-    hit = hit.groupBy("p_id", "p_hash", "start", "end").agg((F.max("share") >= REMOVE).alias("remove"))
-    return hit.groupBy("p_id", "p_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
+    def work(ids, hashes, texts, lists):
+        out = []
+        for t, terms in zip(texts, lists, strict=True):
+            remove = {x["term"]: x["remove"] for x in terms}
+            out.append([{"start": a, "end": b, "remove": remove[w]} for w, a, b in _terms(t, base_spans(t)) if w in remove])
+        return ids, hashes, out
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = map_rows(rows, work, f"p_id {kind}, p_hash long, terms array<struct<start:long,end:long,remove:boolean>>")
+    return found.where(F.size("terms") > 0).dropDuplicates(["p_id", "p_hash"])
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`id_col`, p_hash, base counts, base_spans and terms, a row for each document."""
     found = materialize(find(docs, id_col, text), "pii-found")
-    hits = term_spans(found, disclosing(found, docs, text))
+    hits = term_spans(docs, disclosing(found, docs, text), id_col, text)
     back = hits.select(F.col("p_id").alias("h_id"), F.col("p_hash").alias("h_hash"), "terms")
-    own = found.drop("near", "entities")
+    own = found.drop("words", "entities")
     joined = own.join(back, own["p_id"].eqNullSafe(back["h_id"]) & (own["p_hash"] == back["h_hash"]), "left").drop("h_id", "h_hash")
     return joined.withColumnRenamed("p_id", id_col)
 
@@ -226,7 +220,7 @@ def masked(text: str | None, terms: list[dict] | None) -> str | None:
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns as they were but for the sanitised text."""
     found = materialize(find(docs, id_col, text), "pii-found")
-    hits = term_spans(found, disclosing(found, docs, text))
+    hits = term_spans(docs, disclosing(found, docs, text), id_col, text)
     hits = hits.select(F.col("p_id").alias("__op1_id"), F.col("p_hash").alias("__op1_of"), F.col("terms").alias("__op1_terms"))
     rows = docs.withColumn("__op1_hash", F.xxhash64(text))
     rows = rows.join(hits, rows[id_col].eqNullSafe(hits["__op1_id"]) & (rows["__op1_hash"] == hits["__op1_of"]), "left")

@@ -213,6 +213,21 @@ def test_jaccard_join(docs, corpus, n, percent):
     assert {r.doc_id for r in jaccard_join.one_of_each(docs, n, percent).collect()} == {i for i in sets if top(i) == i}
 
 
+def test_jaccard_rows_without_id(spark, corpus, docs, empty):
+    """Rows without an id, whatever the order of their keys, change no component of the others; repeated rows stay once."""
+    rng, rows, i = random.Random(12), [], 0
+    for _ in range(12):
+        w = [f"v{rng.randint(0, 5000)}" for _ in range(100)]
+        near = [" ".join([*w[:k], f"new{rng.random()}", *w[k + 1 :]]) for k in (0, 99, 50, 20, 70, 98, 1, 97)]
+        rows += [(i, near[0]), (i + 1, near[1])] + [(None, t) for t in near[2:]] + [(None, near[0])]
+        i += 2
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], empty.schema)
+    got = {r.d: r.component_id for r in jaccard_join.join(df)[0].where("d is not null").collect()}
+    assert got == {r.d: r.component_id for r in jaccard_join.join(df.where("doc_id is not null"))[0].collect()} == {k: k - k % 2 for k in range(24)}
+    twice = df.where("doc_id < 4").union(df.where("doc_id < 4")).union(docs.where("doc_id = 0").withColumn("doc_id", F.lit(99).cast("long")))
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(twice).collect()) == [0, 2, 99]
+
+
 def test_jaccard_signatures_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):

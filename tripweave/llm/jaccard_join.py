@@ -168,17 +168,19 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 def index(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """d, size, k1, k2 and sigs: each row's id, the size and key of its set, and its index keys.
 
-    A set that a slice of rows has twice is indexed once (null in its other rows)."""
+    A set that a slice of rows has twice is indexed once, rows without an id not at all (no keys in the other rows)."""
 
     def work(ids, sets):
         import pyarrow as pa
 
         keys, sigs, seen = [], [], set()
-        for s in sets:
+        for i, s in zip(ids, sets, strict=True):
             k = _set_key(s)
             keys.append(k)
-            sigs.append(np.zeros(0, np.uint64) if k in seen else signatures(s, percent))
-            seen.add(k)
+            known = i is None or k in seen
+            sigs.append(np.zeros(0, np.uint64) if known else signatures(s, percent))
+            if not known:
+                seen.add(k)
         ends = np.concatenate(([0], np.cumsum(list(map(len, sigs)))))
         flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs).view(np.int64)))
         return ids, list(map(len, sets)), [k[0] for k in keys], [k[1] for k in keys], flat
@@ -277,7 +279,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
     # Keys of one set only need no look: the least and the largest set of a key differ, or all are one.
     w = Window.partitionBy("sig")
-    found = indexed.select(F.explode("sigs").alias("sig"), "k1")
+    found = indexed.where(F.col("d").isNotNull()).select(F.explode("sigs").alias("sig"), "k1")
     found = found.repartition("sig").withColumn("low", F.min("k1").over(w)).withColumn("high", F.max("k1").over(w))
     shared = found.where(F.col("low") != F.col("high")).select("sig", "k1", "low").distinct()
     own = classes.select("k1", F.col("rep").alias("d"), "size")
@@ -327,8 +329,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the least id of their component, all columns as they were; rows without an id stay."""
+    """The documents with the least id of their component, all columns as they were; repeated rows of an id and text stay once, rows without an id all."""
     found, _ = join(docs, n, percent, id_col, text)
-    keep = found.where(F.col("d") == F.col("component_id")).select(F.col("d").alias("__op7_id")).distinct()
-    named = docs.withColumn("__op7_id", F.col(id_col).cast("long"))
-    return named.join(keep, "__op7_id", "left_semi").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    keep = found.where(F.col("d") == F.col("component_id")).groupBy(F.col("d").alias("__op7_id")).agg((F.count("*") > 1).alias("__op7_again"))
+    named = docs.withColumn("__op7_id", F.col(id_col).cast("long")).join(keep, "__op7_id")
+    # Only the rows of repeated ids are dealt by their text.
+    once, again = named.where(~F.col("__op7_again")), named.where("__op7_again").withColumn("__op7_text", F.sha2(text, 256))
+    again = again.dropDuplicates(["__op7_id", "__op7_text"])
+    return once.select(*docs.columns).union(again.select(*docs.columns)).union(docs.where(F.col(id_col).isNull()))

@@ -191,6 +191,17 @@ def test_decontamination(spark, corpus, docs):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i in d if i not in {a for a, _ in want}}
 
 
+def test_decontamination_short_items(spark, corpus, docs):
+    """Items of one to nine shingles in a long text are all found, and items without an id."""
+    last, text = corpus[-1]
+    w = text.split()
+    items = [(k, " ".join(w[50 * k : 50 * k + 5 + k % 9])) for k in range(90)]
+    bench = spark.createDataFrame([*items, (None, " ".join(w[4600:4640])), (None, " ".join(w[4700:4706]))], "item_id long, text string")
+    got = [(r.item_id, r.n_item_shingles) for r in decontaminate.report(docs, bench).where(F.col("doc_id") == last).collect()]
+    assert {i for i, _ in got} == {None, *range(90)} and sorted(n for i, n in got if i is None) == [2, 36] and len(got) == 92
+    assert last not in {r.doc_id for r in decontaminate.clean(docs, bench.where("item_id is null")).collect()}
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 50)])
 def test_jaccard_join(docs, corpus, n, percent):
     sets = shingle_sets(corpus, n)

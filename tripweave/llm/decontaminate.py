@@ -10,12 +10,15 @@ every class. With a load of at most half a shingle per bin a shared shingle is
 the least of its bin in the document with a chance of 0.78 at least, so that an item of q
 shingles of which 0.8 q are shared is missed with a chance below 0.22**(0.8 q).
 
+Items below SHORT_ITEM shingles, which sketches may miss, are looked for by all
+shingles of the documents, so none of them is missed.
+
 Equal pairs of class and least hash make candidates; these are verified by the exact
 containment of the item's shingles in the document.
 
 Defined results: null and blank texts have no shingles and meet nothing; texts
 of 1 to 4 words are one shingle; repeated documents are each reported; repeated
-items are each reported; empty tables give an empty result.
+items are each reported, items without an id too; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import with_shingle_hashes
 SHINGLE = 5
 CONTAINMENT = 0.8
 BINS_PER_SHINGLE = 2
+#: Items of fewer shingles are matched by all shingles of the documents.
+SHORT_ITEM = 10
 #: Size classes: texts of up to 2**31 shingles, more than a row can hold.
 CLASSES = 32
 #: Rows of the items' sketches and shingles up to which they go to every task (32 bytes each); more are joined by shuffle.
@@ -55,17 +60,20 @@ def _spread(small: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """d_id, d_key, i_id: documents and items (each with `hashes`) whose sketches share a least hash, once each."""
+    """d_id, d_key, i_key: documents and items (each with `hashes`) whose sketches share a least hash, or any shingle where the item is short, once each."""
     sized = docs.withColumn("klass", size_class(F.size("hashes")))
     kept = sized.select("d_id", "d_key", "klass", F.explode_outer(sketch(F.col("hashes"), F.col("klass"))).alias("h"))
     for_class = items.withColumn("klass", F.explode_outer(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
-    sketches = for_class.select("i_id", "klass", F.explode_outer(sketch(F.col("hashes"), F.col("klass"))).alias("h"))
+    sketches = for_class.select("i_key", "klass", F.explode_outer(sketch(F.col("hashes"), F.col("klass"))).alias("h"))
     sketches = sketches.where(F.col("h").isNotNull())
     # One key that is never null: Spark would push a test of `klass` for null below the arrays.
     key = F.xxhash64("klass", "h").alias("key")
     kept = kept.where(F.col("h").isNotNull()).select("d_id", "d_key", key)
-    sketches = sketches.select("i_id", key)
-    return kept.join(_spread(sketches), "key").select("d_id", "d_key", "i_id").distinct()
+    sketches = sketches.select("i_key", key)
+    found = kept.join(_spread(sketches), "key").select("d_id", "d_key", "i_key")
+    short = items.where(F.size("hashes") < SHORT_ITEM).select("i_key", F.explode_outer("hashes").alias("h")).where(F.col("h").isNotNull())
+    every = docs.select("d_id", "d_key", F.explode_outer("hashes").alias("h")).where(F.col("h").isNotNull())
+    return found.union(every.join(_spread(short), "h").select("d_id", "d_key", "i_key")).distinct()
 
 
 def contaminated(
@@ -74,18 +82,19 @@ def contaminated(
     """d_id, d_key (hash of the text), i_id, n_item, n_shared: pairs whose containment is `containment` or more; equal rows once."""
     sets = items.select(F.col(item_id).alias("i_id"), F.col(item_text).alias("t"))
     sets = with_shingle_hashes(sets, "t", SHINGLE, "hashes").drop("t").distinct()
+    sets = sets.withColumn("i_key", F.xxhash64("i_id", "hashes"))  # ids may be null
     rows = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text).alias("d_key"), F.col(text).alias("t"))
     found = candidates(with_shingle_hashes(rows, "t", SHINGLE, "hashes").drop("t"), sets)
 
     # Exact check: the shingles of the candidates' documents against those of their items.
-    asked = found.groupBy("d_id", "d_key").agg(F.collect_set("i_id").alias("asked"))
+    asked = found.groupBy("d_id", "d_key").agg(F.collect_set("i_key").alias("asked"))
     again = rows.join(asked.withColumnsRenamed({"d_id": "a_id", "d_key": "a_key"}), F.col("d_id").eqNullSafe(F.col("a_id")) & (F.col("d_key") == F.col("a_key")))
     again = with_shingle_hashes(again, "t", SHINGLE, "hashes")
     own = again.select("d_id", "d_key", "asked", F.explode_outer("hashes").alias("h"))
-    parts = sets.select("i_id", F.size("hashes").alias("n_item"), F.explode_outer("hashes").alias("h"))
-    shared = own.join(_spread(parts), "h").where(F.array_contains("asked", F.col("i_id")))
-    counted = shared.groupBy("d_id", "d_key", "i_id", "n_item").agg(F.count_distinct("h").alias("n_shared"))
-    return counted.where(F.col("n_shared") >= F.lit(containment) * F.col("n_item"))
+    parts = sets.select("i_id", "i_key", F.size("hashes").alias("n_item"), F.explode_outer("hashes").alias("h"))
+    shared = own.join(_spread(parts), "h").where(F.array_contains("asked", F.col("i_key")))
+    counted = shared.groupBy("d_id", "d_key", "i_key", "i_id", "n_item").agg(F.count_distinct("h").alias("n_shared"))
+    return counted.where(F.col("n_shared") >= F.lit(containment) * F.col("n_item")).drop("i_key")
 
 
 def report(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:

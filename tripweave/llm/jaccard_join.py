@@ -12,10 +12,21 @@ shuffle plus expected chance agreements. Up to SPARE empty segments of a set
 aren't indexed, since more segments than that agree.
 
 A set indexes its own band and, if a larger partner can lie there, the next.
-Sets that share a signature are first compared with one of them; only sets that
-this leaves unconnected are compared with each other. So a group of many like
-texts makes pairs in proportion to its size. All pairs are verified exactly on
-the shingles. Components are found by repeated minima with pointer jumping.
+Components are found in rounds over what is still apart. The hub of a key is the
+set that meets most others over all its keys. First each set is compared with
+the one hub with which it shares most keys, and the links found are contracted;
+then, in keys that still hold several components, with its other hubs. Sets in
+keys that still do (a passage that many texts share fills whole segments) are
+parted to the end, one element a segment: two sets that share x elements share
+one of the n - x + 1 rarest of either, so that what a passage has in common is
+left out, and sets of unlike components that share a rare one are compared. So
+a group of many like texts makes comparisons in proportion to its size, and no
+pair is left out but those whose ends are already connected. Pairs pass a filter
+of counts by part of the hash range, then the exact comparison.
+
+A set is kept as the 64-bit hashes of its shingles, and n_shingles counts those:
+unlike shingles of one text coincide with a chance of about n^2 / 2^65. Sets are
+taken as equal by 128-bit keys.
 
 Defined results: null and blank texts have no shingles, are linked with nothing
 and are their own component; texts with fewer words than a shingle are one
@@ -29,11 +40,10 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import discard, materialize, words
+from .common import discard, materialize
 
 #: Empty segments that need not be indexed.
 SPARE = 2
@@ -130,11 +140,63 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _map_sets(docs: DataFrame, n: int, function, schema: str, id_col: str, text: str, rows: int = 2048) -> DataFrame:
-    """function(ids, sets) -> numpy arrays or lists per column of `schema`; the sets are those of at most `rows` rows.
+#: Bytes of text that a task hashes at once; a longer text is hashed alone.
+CHUNK = 1 << 21
+_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER[65:91] += np.uint64(32)
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+class _Weights:
+    """A pseudo-random odd multiplier for each place in a word, as many as the longest word so far needs."""
+
+    table = np.zeros(0, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> np.ndarray:
+        if len(cls.table) < n:
+            cls.table = mix(mix(np.arange(max(256, n), dtype=np.uint64) + _M1), _M2) | np.uint64(1)
+        return cls.table
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of several texts, number of words up to each text's end); data: their UTF-8 bytes, text k at ends[k] to ends[k + 1]."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    ink = ~_BLANK[data]
+    begins = ink.copy()
+    begins[1:] &= ~ink[:-1]
+    stops = ink.copy()
+    stops[:-1] &= ~ink[1:]
+    cuts = ends[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    begins[cuts] |= ink[cuts]  # words end with their text
+    stops[cuts - 1] |= ink[cuts - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    length = last - first
+    upto = np.cumsum(length)
+    at = np.arange(upto[-1]) - np.repeat(upto - length, length)
+    terms = _LOWER[data[ink]] * _Weights.of(int(length.max()))[at]
+    hashes = mix(np.add.reduceat(terms, upto - length) + length.astype(np.uint64) * _M2)
+    return hashes, np.searchsorted(first, ends)
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """The set of each text, as shingles() of its words; word windows are hashed for all texts at once."""
+    hashes, upto = word_hashes(data, ends)
+    m = max(0, len(hashes) - n + 1)
+    acc = np.full(m, n, np.uint64)
+    for k in range(n if m else 0):
+        acc = mix(acc * _M2 + hashes[k : k + m])
+    return [np.unique(acc[a : b - n + 1]) if b - a >= n else shingles(hashes[a:b], n) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
 
-    Spark splits and hashes the words; the hashes come as one buffer per batch."""
-    hashed = docs.select(F.col(id_col).cast("long").alias("d"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+def _map_sets(docs: DataFrame, n: int, function, schema: str, id_col: str, text: str) -> DataFrame:
+    """function(ids, sets) -> numpy arrays or lists per column of `schema`, for some rows at a time."""
+    named = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     empty = docs.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
@@ -143,16 +205,20 @@ def _map_sets(docs: DataFrame, n: int, function, schema: str, id_col: str, text:
 
         arrow = to_arrow_schema(empty)
         for batch in batches:
-            ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
-            ids = batch.column(0).to_pylist()
-            for low in range(0, len(ids), rows):
-                high = min(low + rows, len(ids))
-                sets = [shingles(values[ends[k] : ends[k + 1]], n) for k in range(low, high)]
+            column, ids = batch.column(1).cast(pa.large_string()), batch.column(0).to_pylist()
+            _, offsets, values = column.buffers()
+            ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(ids) + 1]
+            data = np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8)
+            low = 0
+            while low < len(ids):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + CHUNK, "right")) - 1)
+                sets = shingle_sets(data[ends[low] : ends[high]], ends[low : high + 1] - ends[low], n)
                 out = function(ids[low:high], sets)
-                if out is not None and len(out[0]):
+                low = high
+                if len(out[0]):
                     yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return hashed.mapInArrow(run, empty)
+    return named.mapInArrow(run, empty)
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -190,10 +256,6 @@ def index(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text: s
 
 #: Parts of the hash range in which the elements of a set are counted, up to 255 in each: few for a first look, more for long texts.
 PARTS, FINE_PARTS = 64, 1024
-#: Sets up to which those counts go to every task (about 100 bytes each); more are joined by shuffle.
-BROADCAST_SETS = 200_000
-
-
 def _sets(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
     """d, s (the set), parts and fine (its elements in each part of the hash range)."""
 
@@ -211,7 +273,7 @@ def _sets(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
         ends = np.concatenate(([0], np.cumsum(list(map(len, sets)))))
         return ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), counted(sets, PARTS), counted(sets, FINE_PARTS)
 
-    return _map_sets(docs, n, work, "d long, s array<long>, parts array<tinyint>, fine array<tinyint>", id_col, text, 512)
+    return _map_sets(docs, n, work, "d long, s array<long>, parts array<tinyint>, fine array<tinyint>", id_col, text)
 
 
 def _may_be_similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,11 +281,8 @@ def _may_be_similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     Exact as a filter (counts cut off at 255 differ by no more than the counts),
     and the counts are some dozens of bytes where sets are kilobytes."""
-    first = sets.select("d", "parts", F.size("s").alias("n"))
-    if sets.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
-        first = F.broadcast(first)
-    left = materialize(_apart(pairs, first, percent), "join-pairs")
-    return _apart(left, _of(sets.select("d", "fine", F.size("s").alias("n")), left), percent)
+    left = _apart(pairs, sets.select("d", "parts", F.size("s").alias("n")), percent)
+    return materialize(_apart(left, sets.select("d", "fine", F.size("s").alias("n")), percent).select("a", "b"), "join-pairs")
 
 
 def _apart(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -234,8 +293,7 @@ def _apart(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
 
 def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of `sets` that `pairs` name; only those are worth moving."""
-    ids = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    return sets.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "d", "left_semi")
+    return sets.join(_ids(pairs.select(F.col("a").alias("d")).union(pairs.select("b"))), "d", "left_semi")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,83 +307,174 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """d, c: each node of the links (a, b) and the least node that it reaches."""
+    """d, c: each node of the links (a, b) and the least node that it reaches, by repeated minima with pointer jumping."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     edges = materialize(both.toDF("d", "e"), "join-edges")
     label = materialize(edges.groupBy("d").agg(F.least(F.min("e"), F.first("d")).alias("c")), "join-labels")
     while True:
         near = edges.join(label.withColumnRenamed("d", "e"), "e").groupBy("d").agg(F.min("c").alias("n"))
-        step = label.join(near, "d").select("d", F.least("c", "n").alias("c"))
-        jump = step.join(step.select(F.col("d").alias("c"), F.col("c").alias("j")), "c", "left").select("d", F.least("c", "j").alias("c"))
-        new = materialize(jump, "join-labels")
-        changed = new.join(label.withColumnRenamed("c", "old"), "d").where(F.col("c") != F.col("old")).limit(1).count()
-        label = new
+        step = label.withColumnRenamed("c", "old").join(near, "d").select("d", "old", F.least("old", "n").alias("c"))
+        known = label.select(F.col("d").alias("c"), F.col("c").alias("j"))
+        new = materialize(step.join(known, "c", "left").select("d", F.least("c", "j").alias("c"), "old"), "join-labels")
+        changed = new.where(F.col("c") != F.col("old")).limit(1).count()
+        discard(label)
+        label = new.drop("old")
         if not changed:
+            discard(edges)
             return label
 
 
-def _unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The (a, b) whose ends aren't in one component."""
-    df = pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-    return df.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links): d, n_shingles and component_id of each row, and the linked classes (a, b) by their least ids."""
+class _Rounds:
+    """What is still apart: keys (sig, d, size, c) that hold several components, with the component c of each set d."""
+
+    def __init__(self, keys: DataFrame, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.links = None
+        self.labels = None  # d, c of the sets that some link has reached
+        self.keys = keys.withColumn("c", F.col("d"))
+
+    def fits(self, a, b):
+        """Sizes of which one set can be similar to the other."""
+        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify the (a, b), and contract the components that the similar ones connect."""
+        found = _similar(_may_be_similar(pairs, self.sets, self.percent), self.sets, self.percent)
+        found = materialize(found, "join-links")
+        self.links = found if self.links is None else self.links.union(found)
+        if not found.limit(1).count():
+            return
+        label = lambda end: F.coalesce(f"{end}c", end)
+        ends = found
+        if self.labels is not None:  # links between components, named by their least ids
+            for end in "ab":
+                ends = ends.join(self.labels.toDF(end, f"{end}c"), end, "left")
+            ends = ends.select(label("a").alias("a"), label("b").alias("b")).where("a != b")
+        moved = components(ends)
+        if self.labels is None:
+            self.labels = moved
+        else:
+            again = self.labels.join(moved.toDF("c", "to"), "c", "left").select("d", F.coalesce("to", "c").alias("c"))
+            fresh = moved.join(self.labels.select("d"), "d", "left_anti")
+            self.labels = materialize(again.union(fresh), "join-labels")
+        placed = self.keys.drop("c").join(self.labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
+        placed = materialize(placed, "join-keys")
+        apart = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
+        held, self.keys = self.keys, materialize(placed.join(apart, "sig", "left_semi"), "join-keys")
+        discard(placed)
+        discard(held)
+
+    def hubs(self) -> DataFrame:
+        """d, p, k: each set, a hub of its keys in another component, and the number of keys that the two share."""
+        met = self.keys.groupBy("sig").agg(F.count("*").alias("m"))
+        score = self.keys.join(met, "sig").groupBy("d").agg(F.sum("m").alias("score"))
+        hub = self.keys.join(score, "d").groupBy("sig").agg(F.max(F.struct("score", "d", "size", "c")).alias("hub"))
+        star = self.keys.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & self.fits(F.col("size"), F.col("hub.size")))
+        star = star.groupBy("d", F.col("hub.d").alias("p")).agg(F.count("*").alias("k"), F.first("hub.score").alias("score"))
+        return materialize(star, "join-stars")
+
+
+    def rarest(self) -> DataFrame:
+        """The (a, b) of unlike components that stand in some key and share one of the elements that are rarest among those sets.
+
+        Of n elements the n - x + 1 rarest are looked at, x being what the two
+        must share at their sizes; unique elements come first and meet nothing."""
+        apart = self.keys.select("d", "c").distinct()
+        held = self.sets.join(_ids(apart.select("d")), "d", "left_semi")
+        every = held.select("d", F.size("s").alias("n"), F.explode("s").alias("e"))
+        met = materialize(every.groupBy("e").agg(F.count("*").alias("m")).where("m > 1"), "join-met")
+        small = met.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        own = Window.partitionBy("d")
+        shared = every.join(F.broadcast(met) if small else met, "e").withColumn("at", F.row_number().over(own.orderBy("m", "e"))).withColumn("held", F.count("*").over(own))
+        place = (F.col("n") - F.col("held") + F.col("at")).alias("at")  # among all elements of the set
+        rare = shared.select("e", "d", "n", place).where(100 * F.col("at") <= (100 - self.percent) * F.col("n") + 100)
+        rare = materialize(rare.join(apart, "d"), "join-rare")
+        discard(met)
+        several = rare.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("e")
+        rare = rare.join(several, "e", "left_semi")
+        left, right = (rare.select("e", *(F.col(x).alias(x + end) for x in ("d", "n", "at", "c"))) for end in "ab")
+        must = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent) - 1e-9)
+        near = (F.col("ata") <= F.col("na") - must + 1) & (F.col("atb") <= F.col("nb") - must + 1)
+        both = left.join(right, (left["e"] == right["e"]) & (F.col("da") < F.col("db")) & (F.col("ca") != F.col("cb")) & self.fits(F.col("na"), F.col("nb")) & near)
+        return both.select(F.col("da").alias("a"), F.col("db").alias("b")).distinct()
+
+
+def _ids(ids: DataFrame) -> DataFrame:
+    """The distinct ids, with a broadcast hint if their number is within the bound."""
+    ids = ids.distinct()
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _pair(df: DataFrame) -> DataFrame:
+    return df.select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, keys, sets): d, size, k1, k2 of each row; k1, k2, rep, size of each set; sig, d, size of keys that several sets have; the sets of those."""
     indexed = materialize(index(docs, n, percent, id_col, text), "join-index")
     rows = materialize(indexed.drop("sigs"), "join-members")
     classes = rows.where((F.col("size") > 0) & F.col("d").isNotNull()).groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.first("size").alias("size"))
     classes = materialize(classes, "join-classes")
 
     # Keys of one set only need no look: the least and the largest set of a key differ, or all are one.
-    w = Window.partitionBy("sig")
     found = indexed.where(F.col("d").isNotNull()).select(F.explode("sigs").alias("sig"), "k1")
-    found = found.repartition("sig").withColumn("low", F.min("k1").over(w)).withColumn("high", F.max("k1").over(w))
-    shared = found.where(F.col("low") != F.col("high")).select("sig", "k1", "low").distinct()
-    own = classes.select("k1", F.col("rep").alias("d"), "size")
-    pivot = classes.select(F.col("k1").alias("low"), F.col("rep").alias("p"), F.col("size").alias("p_size"))
-    groups = materialize(shared.join(own, "k1").join(pivot, "low").select("sig", "d", "size", "p", "p_size"), "join-groups")
+    several = found.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("sig")
+    several = materialize(several, "join-several")
+    small = several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    shared = found.join(F.broadcast(several) if small else several, "sig", "left_semi").distinct()
+    keys = materialize(shared.join(classes.select("k1", F.col("rep").alias("d"), "size"), "k1").select("sig", "d", "size"), "join-keys")
     discard(indexed)
+    discard(several)
 
-    asked = groups.select("d").union(groups.select("p")).distinct()
-    small = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.withColumn("__op7_id", F.col(id_col).cast("long")).join(F.broadcast(asked.toDF("__op7_id")) if small else asked.toDF("__op7_id"), "__op7_id", "left_semi")
-
-    sets = materialize(_sets(wanted, n, id_col, text), "join-sets")
-
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    star = groups.where((F.col("d") != F.col("p")) & fits(F.col("size"), F.col("p_size")))
-    star = star.groupBy("d", "p").agg(F.count("*").alias("k")).select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b"), "k", "d")
-    star = materialize(_may_be_similar(star, sets, percent), "join-pairs")
-
-    # First the partner of each set with which it shares most keys; then the pairs that this leaves unconnected.
-    best = star.groupBy("d").agg(F.max(F.struct("k", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = materialize(_similar(best, sets, percent), "join-links")
-    found = components(links)
-    left = star.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-    more = materialize(_similar(_unconnected(left, found), sets, percent), "join-links")
-    links = links.union(more)
-    if more.limit(1).count():
-        found = components(links)
-
-    # What the first comparison left apart: pairs of unlike components within a key.
-    placed = groups.join(found, "d", "left").select("sig", "d", "size", F.coalesce("c", "d").alias("c"))
-    w = Window.partitionBy("sig")
-    apart = placed.withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo != hi").select("sig", "d", "size", "c")
-    apart = materialize(apart, "join-apart")
-    left, right = apart.select("sig", F.col("d").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca")), apart.select("sig", F.col("d").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
-    rest = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
-    rest = rest.join(star.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    more = materialize(_similar(_may_be_similar(rest, sets, percent), sets, percent), "join-links")
-    links = links.union(more)
-    if more.limit(1).count():
-        found = components(links)
-
-    of_class = classes.join(found.withColumnRenamed("d", "rep"), "rep", "left").select("k1", "k2", F.coalesce("c", "rep").alias("component_id"))
+    asked = _ids(keys.select(F.col("d").alias("__op7_id")))
+    wanted = docs.withColumn("__op7_id", F.col(id_col).cast("long")).join(asked, "__op7_id", "left_semi")
+    sets = materialize(_sets(wanted, n, "__op7_id", text), "join-sets")
+    return rows, classes, keys, sets
+
+
+def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, links): d, n_shingles and component_id of each row, and verified links (a, b) between classes, named by their least ids.
+
+    The links are those that were needed to connect the components, not all
+    there are; pairs() gives all."""
+    rows, classes, keys, sets = _classes(docs, n, percent, id_col, text)
+    at = _Rounds(keys, sets, percent)
+
+    star = at.hubs()
+    best = star.groupBy("d").agg(F.max(F.struct("k", "score", "p")).alias("x")).select("d", "x.p")
+    at.compare(_pair(best))
+    tried = _pair(best)
+
+    star = at.hubs()
+    more = materialize(_pair(star).join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    at.compare(more)
+    tried = tried.union(more)
+
+    at.compare(at.rarest().join(tried, ["a", "b"], "left_anti"))
+
+    label = at.labels
+    if label is None:
+        of_class = classes.select("k1", "k2", F.col("rep").alias("component_id"))
+    else:
+        of_class = classes.join(label.withColumnRenamed("d", "rep"), "rep", "left").select("k1", "k2", F.coalesce("c", "rep").alias("component_id"))
     out = rows.join(of_class, ["k1", "k2"], "left").select(
         "d", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("d")).alias("component_id")
     )
-    return out, links
+    discard(sets)
+    return out, at.links
+
+
+def pairs(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links): d, rep and n_links (unlike texts that the row's text links with) of each row with words, and all linked classes (a, b) by their least ids.
+
+    The output itself grows with the square of a group of unlike near copies;
+    join() gives the components without it."""
+    rows, classes, keys, sets = _classes(docs, n, percent, id_col, text)
+    at = _Rounds(keys, sets, percent)
+    links = materialize(_similar(_may_be_similar(at.rarest(), sets, percent), sets, percent), "join-links")
+    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    members = rows.where("d is not null").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).join(degree, "rep", "left")
+    return members.select("d", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,15 +7,19 @@ that hold term t and n(e, t) that hold both, at any distance,
 
     pmi(e; t) = log(N n(e, t) / (df(e) df(t)))    and    ic(e) = log(N / df(e)),
 
-and pmi / ic is the share of what is to be known about e that t reveals. Each
+and pmi / ic is the share of what is to be known about e that t reveals; what
+stays unknown is -log2 P(e | t) bits, with P(e | t) = n(e, t) / df(t). A share
+alone grows lax with the corpus (0.7 of the 17 bits of an entity in 2 of 250,000
+documents leaves 5 bits: 34 candidates), so that both are asked for. Each
 occurrence of t in any document, with or without e, is removed from a share of
 REMOVE for some entity on and generalised (to the shape of the term) from
-GENERALISE on. All counts cover the whole corpus; pairs seen in fewer than
-SUPPORT documents have no estimate, so that only entities of SUPPORT documents
-or more are paired.
+GENERALISE on, if at most MOST_BITS stay unknown. All counts cover the whole
+corpus; pairs seen in fewer than SUPPORT documents have no estimate, so that only
+entities of SUPPORT documents or more are paired.
 
-Spark does the counting: pairs and terms are pre-aggregated before they are
-shuffled, so that an entity or a term in a third of all rows is no hot group.
+Entities, terms and counts come from one tokenizer. Counts are pre-aggregated in
+each task before they are shuffled, so that an entity or a term in a third of all
+rows is no hot group; a pair that a third of the rows hold is aggregated likewise.
 
 Defined results: null text is the empty text, without spans; repeated rows are
 documents of their own, with equal spans; an empty table gives an empty result;
@@ -26,8 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
@@ -37,10 +42,10 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 2
 #: Disclosure thresholds, as shares of the entity's information content.
 GENERALISE, REMOVE = 0.7, 0.9
-#: Candidate terms and entities up to this number (some MB) go to every task; more are joined by shuffle.
+#: Bits that a disclosing term leaves unknown of the entity, at most: at 1 it is right in every second document.
+MOST_BITS = 1.0
+#: Disclosing terms and entities up to this number (some MB) go to every task; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
-#: Documents with disclosing terms up to this number, with their terms; more are joined by shuffle.
-BROADCAST_HITS = 100_000
 LEAST_LETTERS = 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base kinds, by kind as listed, then start; code points, end exclusive."""
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(v := p.lstrip("0")) <= 3 and int(v or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     cards = []
     for m in _CARD.finditer(text):
@@ -117,6 +122,13 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return out
 
 
+def _distinct_terms(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The terms of _terms(), once each."""
+    if spans:
+        return {w for w, _, _ in _terms(text, spans)}
+    return {w.lower() for w in set(_TERM.findall(text)) if len(w) >= LEAST_LETTERS}
+
+
 def _spread(small: DataFrame, bound: int) -> DataFrame:
     """`small` with a broadcast hint, if its number of rows is within the bound."""
     return F.broadcast(small) if small.limit(bound + 1).count() <= bound else small
@@ -127,75 +139,91 @@ def _listed(spans) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """p_id, p_hash (of the text), the base counts, base_spans, entities and, where there are some, the words (distinct terms); a row for each document."""
+    """p_id, entities and, where there are some, the words (distinct terms); a row for each document."""
 
-    def work(ids, hashes, texts):
-        out = []
-        for i, h, t in zip(ids, hashes, texts, strict=True):
-            t = t or ""
-            spans = base_spans(t)
-            counts = [sum(s[0] == k for s in spans) for k in KINDS] if spans else [0, 0, 0, 0]
-            out.append((
-                i, h, *counts, _listed(spans), sorted({_entity(k, t[a:b]) for k, a, b in spans}),
-                sorted({w for w, _, _ in _terms(t, spans)}) if spans else [],
-            ))
-        return list(zip(*out, strict=True))
+    def work(ids, texts):
+        entities, terms = [], []
+        for t in texts:
+            spans = base_spans(t or "")
+            entities.append(sorted({_entity(k, t[a:b]) for k, a, b in spans}))
+            terms.append(sorted(_distinct_terms(t, spans)) if spans else [])
+        return ids, entities, terms
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"p_id {kind}, p_hash long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, entities array<string>, words array<string>"
-    return map_rows(docs.select(F.col(id_col), F.xxhash64(text), F.col(text)), work, schema)
+    return map_rows(docs.select(F.col(id_col), F.col(text)), work, f"p_id {kind}, entities array<string>, words array<string>")
 
 
-def _distinct_terms(text: str) -> Column:
-    """The distinct terms of a text as _TERM finds them; split before it is lower-cased, as that may add marks."""
-    split = F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(split, F.lower))
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, n_term: the documents that hold each term (base spans aside), counted within the tasks first."""
+
+    def work(texts):
+        counts: Counter[str] = Counter()
+        for t in texts:
+            if t:
+                counts.update(_distinct_terms(t, base_spans(t)))
+        return list(counts), list(counts.values())
+
+    parts = map_rows(docs.select(F.col(text)), work, "term string, n long", 8192)
+    return parts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term, share: the pairs whose share of disclosure is GENERALISE or more."""
+    """entity, term, share: the pairs whose share of disclosure is GENERALISE or more, with at most MOST_BITS unknown."""
     total = found.count()
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = found.where(F.size("entities") > 0)
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     entities = materialize(entities.where((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") < total)), "pii-entities")
-    held = found.select(F.explode("entities").alias("entity"), "words").join(_spread(entities.select("entity"), BROADCAST_TERMS), "entity", "left_semi")
+    held = held.select(F.explode("entities").alias("entity"), "words").join(_spread(entities.select("entity"), BROADCAST_TERMS), "entity", "left_semi")
     pairs = held.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
     pairs = materialize(pairs.where(F.col("n_pair") >= SUPPORT).join(entities, "entity"), "pii-pairs")
-    seen = docs.select(F.explode(_distinct_terms(text)).alias("term"))
-    seen = seen.join(_spread(pairs.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
-    counts = seen.groupBy("term").agg(F.count("*").alias("n_term"))
+    most = pairs.groupBy("term").agg(F.max("n_pair").alias("n_most"))
+    rare = term_counts(docs, text).join(most, "term").where(F.col("n_term") <= F.col("n_most") * 2**MOST_BITS).select("term", "n_term")
     share = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.join(counts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    told = (F.col("share") >= GENERALISE) & (F.col("n_term") <= F.col("n_pair") * 2**MOST_BITS)
+    return pairs.join(rare, "term").withColumn("share", share).where(told).select("entity", "term", "share")
 
 
-def term_spans(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """p_id, p_hash, terms: array of (start, end, remove) of all disclosing terms of a text, by start; distinct texts once."""
+def _known(docs: DataFrame, pairs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, dict[str, bool] | None]:
+    """(rows, known): whether each disclosing term is removed, as one dictionary if their number is within the bound; else as the column __op1_known of the rows."""
     worst = materialize(pairs.groupBy("term").agg((F.max("share") >= REMOVE).alias("remove")), "pii-terms")
-    rows = docs.select(F.col(id_col).alias("p_id"), F.xxhash64(text).alias("p_hash"), F.col(text).alias("t"))
-    hits = rows.select("p_id", "p_hash", F.explode(_distinct_terms("t")).alias("term")).join(_spread(worst, BROADCAST_TERMS), "term")
-    hits = hits.groupBy("p_id", "p_hash").agg(F.collect_set(F.struct("term", "remove")).alias("worst"))
-    hits = _spread(materialize(hits, "pii-hits").toDF("h_id", "h_hash", "worst"), BROADCAST_HITS)
-    rows = rows.join(hits, F.col("p_id").eqNullSafe(F.col("h_id")) & (F.col("p_hash") == F.col("h_hash"))).select("p_id", "p_hash", "t", "worst")
+    known = worst.limit(BROADCAST_TERMS + 1).collect()
+    if len(known) <= BROADCAST_TERMS:
+        return docs.withColumn("__op1_known", F.lit(None).cast("map<string,boolean>")), {r["term"]: r["remove"] for r in known}
 
-    def work(ids, hashes, texts, lists):
-        out = []
-        for t, terms in zip(texts, lists, strict=True):
-            remove = {x["term"]: x["remove"] for x in terms}
-            out.append([{"start": a, "end": b, "remove": remove[w]} for w, a, b in _terms(t, base_spans(t)) if w in remove])
-        return ids, hashes, out
+    def work(ids, hashes, texts):
+        return ids, hashes, [sorted(_distinct_terms(t, base_spans(t))) if t else [] for t in texts]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = map_rows(rows, work, f"p_id {kind}, p_hash long, terms array<struct<start:long,end:long,remove:boolean>>")
-    return found.where(F.size("terms") > 0).dropDuplicates(["p_id", "p_hash"])
+    words = map_rows(docs.select(F.col(id_col), F.xxhash64(text), F.col(text)), work, f"k_id {kind}, k_hash long, terms array<string>")
+    hits = words.select("k_id", "k_hash", F.explode("terms").alias("term")).join(worst, "term")
+    hits = hits.groupBy("k_id", "k_hash").agg(F.collect_set(F.struct("term", "remove")).alias("k_terms"))  # of one document's terms
+    rows = docs.join(hits, docs[id_col].eqNullSafe(hits["k_id"]) & (F.xxhash64(docs[text]) == hits["k_hash"]), "left")
+    return rows.withColumn("__op1_known", F.map_from_entries("k_terms")).select(*docs.columns, "__op1_known"), None
+
+
+def term_spans(text: str, spans: list[tuple[str, int, int]], known: dict[str, bool]) -> list[dict]:
+    """start, end and remove of each disclosing term of a text, by start."""
+    if not known or known.keys().isdisjoint(_distinct_terms(text, spans)):
+        return []
+    return [{"start": a, "end": b, "remove": known[w]} for w, a, b in _terms(text, spans) if w in known]
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id_col`, p_hash, base counts, base_spans and terms, a row for each document."""
+    """`id_col`, the base counts, base_spans and terms (of the disclosing terms; null if there are none), a row for each document."""
     found = materialize(find(docs, id_col, text), "pii-found")
-    hits = term_spans(docs, disclosing(found, docs, text), id_col, text)
-    back = hits.select(F.col("p_id").alias("h_id"), F.col("p_hash").alias("h_hash"), "terms")
-    own = found.drop("words", "entities")
-    joined = own.join(back, own["p_id"].eqNullSafe(back["h_id"]) & (own["p_hash"] == back["h_hash"]), "left").drop("h_id", "h_hash")
-    return joined.withColumnRenamed("p_id", id_col)
+    rows, known = _known(docs, disclosing(found, docs, text), id_col, text)
+
+    def work(ids, texts, own):
+        out = []
+        for i, t, k in zip(ids, texts, own, strict=True):
+            base = base_spans(t or "")
+            counts = [sum(s[0] == kind for s in base) for kind in KINDS] if base else [0, 0, 0, 0]
+            out.append((i, *counts, _listed(base), term_spans(t or "", base, dict(k or ()) if known is None else known) or None))
+        return list(zip(*out, strict=True))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, terms array<struct<start:long,end:long,remove:boolean>>"
+    return map_rows(rows.select(F.col(id_col), F.col(text), F.col("__op1_known")), work, schema).withColumnRenamed("id", id_col)
 
 
 def masked(text: str | None, terms: list[dict] | None) -> str | None:
@@ -220,18 +248,18 @@ def masked(text: str | None, terms: list[dict] | None) -> str | None:
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns as they were but for the sanitised text."""
     found = materialize(find(docs, id_col, text), "pii-found")
-    hits = term_spans(docs, disclosing(found, docs, text), id_col, text)
-    hits = hits.select(F.col("p_id").alias("__op1_id"), F.col("p_hash").alias("__op1_of"), F.col("terms").alias("__op1_terms"))
-    rows = docs.withColumn("__op1_hash", F.xxhash64(text))
-    rows = rows.join(hits, rows[id_col].eqNullSafe(hits["__op1_id"]) & (rows["__op1_hash"] == hits["__op1_of"]), "left")
+    rows, known = _known(docs, disclosing(found, docs, text), id_col, text)
 
     @F.arrow_udf("string")
-    def mask(texts, terms):
+    def mask(texts, own):
         import pyarrow as pa
 
-        return pa.array([masked(t, s) for t, s in zip(texts.to_pylist(), terms.to_pylist(), strict=True)], pa.string())
+        out = []
+        for t, k in zip(texts.to_pylist(), own.to_pylist(), strict=True):
+            out.append(masked(t, term_spans(t, base_spans(t), dict(k or ()) if known is None else known)) if t else t)
+        return pa.array(out, pa.string())
 
-    return rows.withColumn(text, mask(F.col(text), F.col("__op1_terms"))).select(*docs.columns)
+    return rows.withColumn(text, mask(F.col(text), F.col("__op1_known"))).select(*docs.columns)
 
 
 def digest(base: str) -> str:

@@ -14,12 +14,18 @@ hash of any substring in constant time.
    suffixes that start at the anchor are sorted by merging, a comparison being a
    binary search for the longest common extension over the prefix hashes, whose
    result is verified on the bytes. Neighbours' extensions to the right and the
-   hashes to the left say which windows repeat.
-3. An anchor with more than GROUP contexts is no group for one task: the hashes
-   of its windows are counted by Spark, with pre-aggregation.
-
-Only windows travel, and of repeated contexts one occurrence. Removal is judged
-on the input. Matches never cross documents.
+   hashes to the left, verified on the bytes, say which windows repeat.
+3. Contexts of an anchor that are too many for one task are divided: the windows
+   by how far they reach to the left, in halves, and the contexts of a half by the
+   bytes that all its windows have in common, which are the longer the narrower
+   the half. Equal parts of contexts are settled, parts that share their common
+   bytes with few others are compared as in 2, and the rest is halved again, at
+   last to single windows. A context takes part in a few divisions a level.
+
+Whether two contexts are equal is told by a BLAKE2 digest of their bytes, not by
+the polynomial hash, so that no collision removes a byte. Only contexts travel,
+and of repeated ones one occurrence. Removal is judged on the input. Matches
+never cross documents.
 
 Defined results: null text is the empty text; texts below LENGTH bytes stay
 whole; repeated rows remove each other's bytes; an empty table gives an empty
@@ -29,6 +35,7 @@ result.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +45,7 @@ from .common import discard, map_rows, materialize
 
 LENGTH = 400
 GRAM = 100
-#: Distinct contexts of an anchor that one task compares.
+#: Distinct contexts that one task compares with each other; more are divided.
 GROUP = 256
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,8 +118,30 @@ def contexts(data: bytes) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.concatenate((first, [len(anchor)])))
     a = anchor[first]
-    whole = mix(h.at(first, first + count + LENGTH - 1) + mix((a - first).astype(np.uint64) * _M1 + count.astype(np.uint64)))
-    return grams[a], whole, first, count, a
+    whole = [digest(data[p : p + k + LENGTH - 1], q - p, k) for p, k, q in zip(first.tolist(), count.tolist(), a.tolist(), strict=True)]
+    return grams[a], np.array(whole, np.int64).view(np.uint64), first, count, a
+
+
+def digest(data: bytes, *numbers: int) -> int:
+    """64 bits of the BLAKE2 digest of some bytes and numbers."""
+    h = hashlib.blake2b(data, digest_size=8)
+    h.update(struct.pack(f"{len(numbers)}q", *numbers))
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def halves(g: int, level: int, data: bytes, p: int, n: int, a: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """(group, digest, first window, windows, anchor, bytes) of the parts of a context at a level of division.
+
+    Part j has the windows that reach j * width to (j + 1) * width - 1 bytes to
+    the left of the anchor; its group is named by what they all cover."""
+    width, out = 512 >> level, []
+    for j in range((a - n + 1) // width, a // width + 1):
+        low, high = j * width, min(j * width + width - 1, LENGTH - GRAM)
+        x, y = max(low, a - n + 1), min(high, a)
+        part = data[a - y : a - x + LENGTH]
+        common = data[a - low : a - high + LENGTH]
+        out.append((digest(common, g, level, j), digest(part, y, y - x), p + a - y, y - x + 1, y, part))
+    return out
 
 
 def extension(x: bytes, hx: Hashes, i: int, y: bytes, hy: Hashes, j: int) -> int:
@@ -156,6 +185,19 @@ def sort_suffixes(texts: list[bytes], hashes: list[Hashes], at: list[int]) -> tu
     return order, near
 
 
+def _same_left(texts: list[bytes], anchors: list[int], order: list[int], at: np.ndarray, same: np.ndarray) -> bool:
+    """True if neighbours of equal keys have equal bytes to the left of their anchors."""
+    row, own = np.nonzero(same)
+    furthest: dict[tuple[int, int], int] = {}
+    for x, y, reach in zip(at[row, own].tolist(), at[row + 1, own].tolist(), own.tolist(), strict=True):
+        furthest[x, y] = max(reach, furthest.get((x, y), 0))
+    for (x, y), reach in furthest.items():
+        i, j = order[x], order[y]
+        if texts[i][anchors[i] - reach : anchors[i]] != texts[j][anchors[j] - reach : anchors[j]]:
+            return False
+    return True
+
+
 def repeated(texts: list[bytes], anchors: list[int], counts: list[int]) -> list[list[tuple[int, int]]]:
     """For each context the runs (first, windows) of its windows that another context has too.
 
@@ -182,6 +224,14 @@ def repeated(texts: list[bytes], anchors: list[int], counts: list[int]) -> list[
     ordered = np.take_along_axis(key, at, 0)
     live = np.take_along_axis(there, at, 0)
     same = (ordered[1:] == ordered[:-1]) & live[1:] & live[:-1]
+    if not _same_left(texts, anchors, [order[r] for r in range(m)], at, same):  # a collision: the bytes themselves are the keys
+        seen: dict = {}
+        for r, k in enumerate(order):
+            for own in np.flatnonzero(there[r]).tolist():
+                key[r, own] = seen.setdefault((own, int(run[r, own]), texts[k][anchors[k] - own : anchors[k]]), len(seen)) * 2
+        at = np.argsort(key, axis=0, kind="stable")
+        ordered, live = np.take_along_axis(key, at, 0), np.take_along_axis(there, at, 0)
+        same = (ordered[1:] == ordered[:-1]) & live[1:] & live[:-1]
     hit = np.zeros((m, left + 1), bool)
     both = np.zeros((m, left + 1), bool)
     both[1:] |= same
@@ -215,16 +265,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 column += values
         return out
 
-    occurrence = map_rows(rows, find, f"h long, c long, d {kind}, t long, p int, n int, a int")
-    every = materialize(occurrence, "dedup-anchors")
-    often = every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    kinds = f"d {kind}, t long, p int, n int, a int"
+    every = materialize(map_rows(rows, find, f"h long, c long, {kinds}"), "dedup-anchors")
+    often = materialize(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "dedup-often")
     some = materialize(every.join(often, "h"), "dedup-shared")
     discard(every)
     context = some.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("d", "t", "p", "n", "a")).alias("o"))
     context = materialize(context, "dedup-contexts")
-    settled = some.join(context.where("k > 1").select("h", "c"), ["h", "c"]).select("d", "t", "p", "n")
+    settled = [some.join(context.where("k > 1").select("h", "c"), ["h", "c"]).select("d", "t", "p", "n")]
 
-    many = context.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    many = materialize(context.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "dedup-many")
     open_ = context.join(many, "h").select("h", "k", "m", "o.*")
     lists = open_.groupBy("d", "t").agg(F.collect_list(F.struct("h", "p", "n", "a", (F.col("m") > GROUP).alias("hot"), (F.col("k") == 1).alias("lone"))).alias("asked"))
     lists = lists.withColumnsRenamed({"d": "l_d", "t": "l_t"})
@@ -232,29 +282,27 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     with_text = with_text.dropDuplicates(["d", "t"])  # repeated rows have one context each here
 
     def cut(ids, hashes, texts, asked):
-        """A row for each context of a group, for each window of a hot anchor."""
         out = []
         for d, t, x, todo in zip(ids, hashes, texts, asked, strict=True):
             data = (x or "").encode("utf-8", "surrogatepass")
-            all_windows = None
-            for q in todo:
-                p, n = q["p"], q["n"]
-                if q["hot"]:
-                    if all_windows is None:
-                        all_windows = Hashes(data).windows(LENGTH)
-                    for k, w in enumerate(mix(all_windows[p : p + n] * _M1).view(np.int64).tolist()):
-                        out.append((q["h"], w, d, t, p + k, 1, q["a"] - k, q["lone"], None))
-                else:
-                    out.append((q["h"], None, d, t, p, n, q["a"], q["lone"], data[p : p + n + LENGTH - 1]))
+            out += [(q["h"], d, t, q["p"], q["n"], q["a"], q["lone"], q["hot"], data[q["p"] : q["p"] + q["n"] + LENGTH - 1]) for q in todo]
         return list(zip(*out, strict=True)) if out else None
 
-    schema = f"h long, w long, d {kind}, t long, p int, n int, a int, lone boolean, data binary"
-    parts = materialize(map_rows(with_text, cut, schema, 256), "dedup-parts")
-
-    counted = parts.where("w is not null").groupBy("h", "w").agg(F.count("*").alias("k")).where("k > 1").select("h", "w")
-    hot = parts.where("w is not null and lone").join(counted, ["h", "w"]).select("d", "t", "p", "n")
-
-    grouped = parts.where("data is not null").select("h", "d", "t", "p", "n", "a", "lone", "data").repartition("h").sortWithinPartitions("h")
+    part = f"g long, {kinds}, lone boolean"
+    parts = materialize(map_rows(with_text, cut, f"{part}, hot boolean, data binary", 256), "dedup-parts")
+    few, used = [parts.where("not hot").drop("hot")], [often, some, context, many, parts]
+    for level in range(1, 10):
+        hot = parts.where("hot").drop("hot")
+        if not hot.limit(1).count():
+            break
+        found, parts = _divide(hot, level, kinds)
+        settled.append(found.where("lone and k > 1").select("d", "t", "p", "n"))
+        few.append(parts.where("not hot").drop("hot"))
+        used += [found, parts]
+    grouped = few[0]
+    for more in few[1:]:
+        grouped = grouped.union(more)
+    grouped = grouped.repartition("g").sortWithinPartitions("g")
 
     runs_type = parts.select("d", "t", "p", "n").schema
 
@@ -293,8 +341,40 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             yield batch_of(ready)
 
     compared = grouped.mapInArrow(compare, runs_type)
-    runs = settled.union(hot).union(compared)
-    return runs.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("p", "n"))).alias("runs"))
+    runs = compared
+    for more in settled:
+        runs = runs.union(more)
+    runs = materialize(runs.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("p", "n"))).alias("runs")), "dedup-runs")
+    for x in used:
+        discard(x)
+    return runs
+
+
+def _divide(hot: DataFrame, level: int, kinds: str) -> tuple[DataFrame, DataFrame]:
+    """(found, parts) of one level of division.
+
+    found: the lone parts that stand in their group more than once (k times).
+    parts: one of each of the unlike parts of a group that has several and a
+    lone one among them; `hot` are those of groups to be divided again."""
+
+    def split(groups, ids, hashes, ps, ns, anchors, lone, datas):
+        out = []
+        for g, d, t, p, n, a, one, data in zip(groups, ids, hashes, ps, ns, anchors, lone, datas, strict=True):
+            out += [(x[0], x[1], d, t, *x[2:5], one, x[5]) for x in halves(g, level, data, p, n, a)]
+        return list(zip(*out, strict=True)) if out else None
+
+    kids = materialize(map_rows(hot, split, f"g long, f long, {kinds}, lone boolean, data binary"), "dedup-halves")
+    one = kids.groupBy("g", "f").agg(F.count("*").alias("k"), F.min(F.struct("d", "t", "p", "n", "a", "lone", "data")).alias("o"))
+    one = materialize(one.select("g", "f", "k", "o.*"), "dedup-parts")
+    again = kids.join(one.select("g", "f", "k").where("k > 1"), ["g", "f"]).where("lone").select("lone", "k", "d", "t", "p", "n")
+    again = materialize(again, "dedup-settled")
+    discard(kids)
+    lone = F.col("lone") & (F.col("k") == 1)
+    several = one.groupBy("g").agg(F.count("*").alias("m"), F.max(lone).alias("open")).where("m > 1 and open").select("g", "m")
+    parts = one.join(materialize(several, "dedup-many"), "g").select("g", "d", "t", "p", "n", "a", lone.alias("lone"), (F.col("m") > GROUP).alias("hot"), "data")
+    parts = materialize(parts, "dedup-parts")
+    discard(one)
+    return again, parts
 
 
 def _removed(runs: list[dict]) -> list[tuple[int, int]]:
@@ -311,7 +391,7 @@ def _removed(runs: list[dict]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
     """`id_col`, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes), a row for each document."""
-    found = materialize(spans(docs, id_col, text), "dedup-runs").withColumnsRenamed({"d": "r_d", "t": "r_t"})
+    found = spans(docs, id_col, text).withColumnsRenamed({"d": "r_d", "t": "r_t"})
     rows = _rows(docs, id_col, text)
     rows = rows.join(found, rows["d"].eqNullSafe(found["r_d"]) & (rows["t"] == found["r_t"]), "left").select("d", "text", "runs")
 

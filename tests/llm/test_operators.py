@@ -65,6 +65,57 @@ def test_pii_terms_at_any_distance(spark, empty):
     assert "quixley" in {texts[0][t["start"] : t["end"]] for t in got[0].terms} and [(t["start"], t["end"]) for t in got[4].terms] == [(0, 7)]
 
 
+def test_pii_long_digits_and_letters(spark, empty):
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and pii.base_spans("1" + "0" * 5000 + ".1.1.1") == []
+    texts = ["İpek ΟΔΟΣ writes to ann@example.org"] * 3 + [f"plain words number {i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
+    got = {r.doc_id: r for r in pii.spans(df).collect()}
+    assert {"İpek", "ΟΔΟΣ", "writes"} == {texts[0][t["start"] : t["end"]] for t in got[0].terms} and got[5].terms is None
+    assert not any(w in r.text for r in pii.sanitize(df).where("doc_id < 3").collect() for w in ("İpek", "ΟΔΟΣ"))
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_pii_terms_against_brute_force(spark, docs, corpus, monkeypatch, bound):
+    """All disclosing terms of the corpus with planted entities, by a dictionary and by a join."""
+    if bound is not None:
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+    rows = [(i, None if t is None else f"{t} mail a{i % 9}@b.org" if i % 3 == 0 else t) for i, t in corpus]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    held, n_term, n_entity, n_pair = {}, Counter(), Counter(), Counter()
+    for i, t in rows:
+        base = plain_spans(t or "")
+        entities = {f"{k}:{t[a:b].lower()}" if k in ("email", "ip") else f"{k}:{re.sub('[^0-9]', '', t[a:b])}" for k, a, b in base}
+        held[i] = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]{3,}", t or "") if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        words = {w for w, _, _ in held[i]}
+        n_term.update(words)
+        n_entity.update(entities)
+        n_pair.update((e, w) for e in entities for w in words)
+    told = defaultdict(float)
+    for (e, w), n in n_pair.items():
+        if n >= pii.SUPPORT and n_term[w] <= n * 2**pii.MOST_BITS and n_entity[e] < len(rows):
+            told[w] = max(told[w], np.log(len(rows) * n / (n_entity[e] * n_term[w])) / np.log(len(rows) / n_entity[e]))
+    want = {i: [(a, b, bool(told[w] >= pii.REMOVE)) for w, a, b in held[i] if told.get(w, 0) >= pii.GENERALISE] for i, _ in rows}
+    got = {r.doc_id: [(t["start"], t["end"], t["remove"]) for t in r.terms or []] for r in pii.spans(df).collect()}
+    assert got == want and any(want.values())
+    clean = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
+    for i, t in rows:
+        assert clean[i] == pii.masked(t, [{"start": a, "end": b, "remove": r} for a, b, r in want[i]])
+
+
+def test_suffix_dedup_of_one_anchor(spark, empty):
+    """600 unlike contexts of one passage, just below and above the length of a repeated string."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    short, long = letters(390), letters(430)
+    texts = [letters(300) + (short if i % 2 else long) + letters(300) for i in range(1200)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substring_dedup.dedup(df).collect()}
+    counts = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    for i, t in enumerate(texts):
+        gone = {q for p in range(len(t) - 399) if counts[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        assert got[i] == (len(gone), int(bool(gone))) and len(gone) == (0 if i % 2 else len(gone)) and (i % 2 or len(gone) >= 430)
+
+
 def test_suffix_dedup(spark, docs, corpus):
     counts, data = Counter(), {i: (t or "").encode() for i, t in corpus}
     for b in data.values():
@@ -126,10 +177,48 @@ def test_html_text(spark):
     assert got[3] == "Title 3\n\nFirst 3&co.\n\nsecond 3 <x>" and len(got) == len(rows)
     assert got[20] == got[21] == got[23] == "" and "only text" in got[22] and got[24] == "plain & simple"
     template = html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).where("host = 'a.example'").first()
-    assert any(t.endswith("/article") for t in template.tokens) and not any("menu 3" in t for t in template.tokens)
+    tokens = [r["token"] for r in template["rows"]]
+    assert any(t.endswith("/article") for t in tokens) and not any("menu 3" in t for t in tokens)
     assert html.unescape("&copy;") == "©" and html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+BARE = """<html><body class="has-sidebar"><div class=a1><a href=/x{i}>go {i}</a> <a href=/y>more</a></div><div class=b2><p>Story {i} runs on with words of its own {i}{i} and more of them, as stories do.<p>Terms apply.<p>{far}</div><div class=c3><p>All rights kept by the house that prints this page, whatever it says above.</div></body></html>"""
+
+
+def test_html_slots_of_the_template(spark):
+    """Pages without telling names: what is main is read from the host's template; an empty template gives the whole page."""
+    rows = [(i, f"//h/{i}", BARE.format(i=i, far=f"And so it went on, day {i}.")) for i in range(9)]
+    rows += [(9, "//h/9", rows[0][2])] * 3  # equal pages count once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    want = lambda i: f"Story {i} runs on with words of its own {i}{i} and more of them, as stories do.\n\nAnd so it went on, day {i}."
+    assert all(r.by_template for r in got.values()) and all(got[i].text == want(i) for i in range(9)) and got[9].text == want(0)
+    whole, by = html_text.main_text(rows[1][2], None)
+    assert not by and "go 1" in whole and "All rights" in whole and "Terms apply." in whole
+    # The classes, counted plainly.
+    unlike = {h for _, _, h in rows}
+    vectors = defaultdict(dict)
+    for h in unlike:
+        for token, x in html_text.tokens(h).items():
+            vectors[token][h] = x[0]
+    classes = defaultdict(set)
+    for token, v in vectors.items():
+        if 2 * len(v) >= len(unlike):
+            classes[frozenset(v.items())].add(token)
+    found = {r["token"] for r in html_text.templates(df).first()["rows"]}
+    assert found == set().union(*(c for c in classes.values() if len(c) > 1))
+
+
+def test_html_deep_and_open_markup():
+    """Items without end tags, deep nesting, long pages, and labels on elements that enclose the main text."""
+    rows = "".join(f"<tr><td>cell {i}<td>x" for i in range(300))
+    text, _ = html_text.main_text(f"<body class='no-sidebar'><article class='category-social'><table>{rows}</table><dl>" + "<dt>t<dd>d" * 100 + "</dl></article>", None)
+    assert text.count("cell") == 300 and text.count("d") == 100 and text.split("\n\n")[:3] == ["cell 0", "x", "cell 1"]
+    deep = "<div>" * 5000 + "core" + "</div>" * 5000
+    assert html_text.main_text(f"<main class=search>{deep}<p>" + "word " * 200_000 + "</main>", None)[0].startswith("core\n\nword word")
+    assert html_text.main_text("<div class='sidebar'><article>teaser</article></div><article>real</article>", None)[0] == "real"
+
+
 def test_huffman_round_trip_and_lengths():
     rng = np.random.default_rng(3)
     for counts in ({5: 3}, {1: 1, 2: 1}, {i: 2**i for i in range(40)}, {int(i): int(n) for i, n in enumerate(rng.integers(1, 10_000, 3000))}):

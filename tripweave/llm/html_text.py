@@ -4,28 +4,40 @@ A token is a tag in its role (its name, class and nearest enclosing elements)
 or a short piece of text in its role. Its occurrence vector says how often each
 page of a host has it; tokens with equal vectors form an equivalence class. A
 class is valid if it has two tokens or more and stands in SUPPORT of the host's
-pages or more and in LEAST_PAGES; the valid classes are the host's template, nested by where their
-tags stand. What remains between them are slots. The main text is in the slots
-below the template's article or main element, else below the element that
-holds most text over all pages of the host; slots below menus, headers, footers,
-sidebars, notices, adverts, forms and comments are left out.
+pages or more and in LEAST_PAGES. The elements of valid classes that stand once
+in a page are nested, each below the nearest of them that encloses it: the
+host's template. The texts between their tags are its slots.
+
+Which slots are main text is read from what they hold over all pages of the
+host. From the root the search goes down as long as one element keeps DOMINANT
+of the running text (text that isn't in links), so it ends at the element whose
+slots hold the article. Of its slots those go that hold the same on all pages, that are
+mostly links, or whose text is a token of the template itself. What varies and
+runs but isn't the article (adverts, reader comments, forms inside it) can't be
+told from its statistics: names of elements and words in their labels leave
+those out, below the chosen element only.
 
 Vectors are not gathered: an order-free digest of (page, count) and the number
 of pages stand for them, which Spark pre-aggregates before it shuffles, so that
-a host with a third of all pages is no hot group. A template has at most 1 /
-SUPPORT times the tokens of a page.
+a host with a third of all pages is no hot group. Pages of a host that are equal
+count once. A template has at most 1 / SUPPORT times the tokens of a page.
 
 Defined results: null html is the empty page, with the empty text; pages without
 an url share the host ""; repeated pages are extracted alike; an empty table
 gives an empty result; broken markup never fails (an open comment or script
-reaches to the end).
+reaches to the end). A page whose host has no template (fewer than LEAST_PAGES
+unlike pages) or that lacks the template's main element uses its own article or
+main element, else all its text without what names and labels leave out;
+by_template is false there.
 """
 
 from __future__ import annotations
 
 import html as _html
+import json
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +50,10 @@ LEAST_PAGES = 3
 SHORT_TEXT = 60
 #: Elements of the role of a token, the innermost ones.
 ROLE_DEPTH = 4
+#: Share of the running text that an element must keep for the search to go down to it.
+DOMINANT = 0.6
+#: Pages that stand more than once up to which their keys go to every task (some dozens of bytes each); more are joined by shuffle.
+BROADCAST_PAGES = 200_000
 #: Hosts up to which the templates go to every task; more are joined by shuffle.
 BROADCAST_HOSTS = 5_000
 
@@ -64,155 +80,220 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-class _Walk:
-    """The pieces of text of a page in order, each with its block, role and what encloses it."""
+#: Elements whose labels say what a page is, not what a part of it is.
+WHOLE = frozenset(("html", "body", "article", "main"))
+#: A new element of these ends the open ones of the second, up to the nearest of the third.
+IMPLIED = {
+    "p": (("p",), BLOCK - {"p"}), "li": (("li",), frozenset(("ul", "ol", "menu", "dir"))), "dt": (("dt", "dd"), frozenset(("dl",))), "dd": (("dt", "dd"), frozenset(("dl",))),
+    "tr": (("tr", "td", "th"), frozenset(("table", "tbody", "thead", "tfoot"))), "td": (("td", "th"), frozenset(("tr", "table"))), "th": (("td", "th"), frozenset(("tr", "table"))),
+    "option": (("option",), frozenset(("select", "optgroup"))),
+}
+
+
+class _Page:
+    """The elements of a page in order (element 0 encloses all) and its pieces of text, each with its block and element."""
 
-    __slots__ = ("tags", "texts")
+    __slots__ = ("names", "roles", "parents", "out", "texts")
 
     def __init__(self, page: str):
-        self.tags: list[str] = []  # tokens of tags
-        self.texts: list[tuple[int, str, str, bool, tuple[str, ...]]] = []  # block, text, role, left out, enclosing roles that may be main
-        stack: list[tuple[str, str, bool, tuple[str, ...]]] = [("", "", False, ())]  # name, role, left out, main roles
-        block, at = 0, 0
+        self.names, self.roles, self.parents, self.out = [""], [""], [-1], [False]
+        self.texts: list[tuple[int, str, int]] = []
+        stack, block, at = [0], 0, 0
         for m in _MARKUP.finditer(page):
             if m.start() > at:
-                self._text(page[at : m.start()], block, stack[-1])
+                self.texts.append((block, page[at : m.start()], stack[-1]))
             at = m.end()
             name = m.group(3)
             if not name:
                 continue  # comment, script, declaration
             name = name.lower()
             if name == "br":
-                self.texts.append((block, " ", "", True, ()))
+                self.texts.append((block, " ", stack[-1]))
                 continue
+            block += name in BLOCK
             if m.group(2):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        self.tags.append("<" + stack[k][1])  # the end of the role
+                    if self.names[stack[k]] == name:
                         del stack[k:]
                         break
-                block += name in BLOCK
                 continue
-            label = " ".join(filter(None, (x for g in _LABEL.findall(m.group(4)) for x in g))) if m.group(4) else ""
-            block += name in BLOCK
-            if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
-                self._close(stack, name)
-            role = "/".join([*filter(None, stack[-1][1].split("/")[1 - ROLE_DEPTH :]), f"{name}.{label}" if label else name])
-            out = stack[-1][2] or name in LEFT_OUT or (label != "" and not MARKS.isdisjoint(w.lower() for w in _PARTS.findall(label)))
-            self.tags.append(role)
-            if name not in VOID and not m.group(4).endswith("/"):
-                inside = stack[-1][3] + ((role,) if name in BLOCK else ())
-                stack.append((name, role, out, inside[-64:]))
+            if name in IMPLIED:
+                self._end(stack, *IMPLIED[name])
+            rest = m.group(4)
+            label = " ".join(x for g in _LABEL.findall(rest) for x in g if x) if rest else ""
+            parent = stack[-1]
+            role = "/".join([*filter(None, self.roles[parent].split("/")[1 - ROLE_DEPTH :]), f"{name}.{label}" if label else name])
+            self.names.append(name)
+            self.roles.append(role)
+            self.parents.append(parent)
+            self.out.append(name in LEFT_OUT or (label != "" and name not in WHOLE and not MARKS.isdisjoint(w.lower() for w in _PARTS.findall(label))))
+            if name not in VOID and not rest.endswith("/"):
+                stack.append(len(self.names) - 1)
         if at < len(page):
-            self._text(page[at:], block, stack[-1])
+            self.texts.append((block, page[at:], stack[-1]))
 
-    @staticmethod
-    def _close(stack, name: str) -> None:
-        """An open element of the same kind ends where the next begins, unless a container stands between."""
+    def _end(self, stack: list[int], ends: tuple[str, ...], until: frozenset[str]) -> None:
+        """Close the open elements `ends`, looking no further than the nearest of `until`."""
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in BLOCK:
+            name = self.names[stack[k]]
+            if name in until:
                 return
-
-    def _text(self, text: str, block: int, top) -> None:
-        self.texts.append((block, text, top[1], top[2], top[3]))
+            if name in ends:
+                del stack[k:]
 
 
 def _clean(text: str) -> str:
     return " ".join((_html.unescape(text) if "&" in text else text).split())
 
 
-def tokens(page: str | None) -> dict[str, tuple[int, int]]:
-    """Token -> (occurrences in the page, characters of text right below)."""
-    walk = _Walk(page or "")
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for t in walk.tags:
-        counts[t][0] += 1
-    for _, text, role, out, inside in walk.texts:
-        if not out and inside:
-            for r in inside[-2:]:
-                counts[r][1] += len(text)
-        if len(text) <= SHORT_TEXT and (short := _clean(text)):
-            counts[f"{role}#{short}"][0] += 1
-    return {t: (n, c) for t, (n, c) in counts.items() if n}
+def tokens(page: str | None) -> dict[str, tuple[int, int, int, str, int]]:
+    """Token -> (occurrences in the page, characters of running text and of links below it, the element once in the page that encloses it, hash of all text below)."""
+    walk = _Page(page or "")
+    n = len(walk.names)
+    counts = Counter(walk.roles[1:])
+    running, links, inside = [0] * n, [0] * n, [""] * n
+    held: list[list[str]] = [[] for _ in range(n)]
+    linked, hidden = [False] * n, [False] * n
+    for e in range(1, n):
+        up = walk.parents[e]
+        linked[e], hidden[e] = linked[up] or walk.names[e] == "a", hidden[up] or walk.out[e]
+        inside[e] = walk.roles[up] if up and counts[walk.roles[up]] == 1 else inside[up]
+    found: dict[str, tuple[int, int, int, str, int]] = {}
+    for _, text, e in walk.texts:
+        short = _clean(text)
+        if not short:
+            continue
+        held[e].append(short)
+        if linked[e]:
+            links[e] += len(short)
+        elif not hidden[e]:
+            running[e] += len(short)
+        if len(short) <= SHORT_TEXT:
+            token = f"{walk.roles[e]}#{short}"
+            found[token] = (found.get(token, (0,))[0] + 1, 0, 0, "", 0)
+    for e in range(n - 1, 0, -1):  # what stands below an element stands below those around it
+        up = walk.parents[e]
+        running[up] += running[e]
+        links[up] += links[e]
+        if held[e]:
+            held[up].append(_digest("\0".join(held[e])))
+    for e in range(1, n):
+        role = walk.roles[e]
+        if counts[role] == 1:
+            found[role] = (1, running[e], links[e], inside[e], zlib.crc32("\0".join(held[e]).encode("utf-8", "surrogatepass")))
+        else:
+            found[role] = (counts[role], 0, 0, "", 0)
+    return found
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, tokens (of the valid classes, with class number) and widest (the role that holds most text)."""
+def _digest(text: str) -> str:
+    return f"{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}:{len(text)}"
 
-    def work(hosts, keys, htmls):
-        out = []
-        for host, key, page in zip(hosts, keys, htmls, strict=True):
-            out += [(host, key, t, n, c) for t, (n, c) in tokens(page).items()]
-            out.append((host, key, "", 1, 0))
-        return list(zip(*out, strict=True))
 
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(url, html).alias("key"), F.col(html))
-    found = map_rows(rows, work, "host string, key long, token string, n int, chars long")
-    vectors = found.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("key", "n")).alias("digest"), F.sum(F.xxhash64("key", "n").cast("decimal(38,0)")).alias("total"), F.sum("chars").alias("chars")
-    )
-    vectors = materialize(vectors, "html-vectors")
-    sizes = vectors.where(F.col("token") == "").select("host", F.col("pages").alias("host_pages"))
-    often = vectors.where(F.col("token") != "").join(sizes, "host").where(F.col("pages") >= F.greatest(SUPPORT * F.col("host_pages"), F.lit(LEAST_PAGES)))
-    classes = often.groupBy("host", "pages", "digest", "total").agg(F.collect_list(F.struct("token", "chars")).alias("members")).where(F.size("members") >= 2)
-    return classes.groupBy("host").agg(
-        F.flatten(F.collect_list("members")).alias("members"),
-    ).select(
-        "host",
-        F.transform("members", lambda x: x["token"]).alias("tokens"),
-        F.element_at(F.sort_array(F.transform("members", lambda x: F.struct(x["chars"].alias("chars"), x["token"].alias("token"))), asc=False), 1)["token"].alias("widest"),
-    )
-
-
-def main_text(page: str | None, template: frozenset[str], widest: str | None) -> str:
-    """The main text of a page under its host's template."""
-    walk = _Walk(page or "")
-    is_main = lambda role: role.rsplit("/", 1)[-1].split(".", 1)[0] in MAIN
-    roots = {t for t in template if "#" not in t and t[:1] != "<" and is_main(t)}
-    present = {t for t in walk.tags if t[:1] != "<"}
-    within = {r for r in present if is_main(r)} if not roots & present else roots & present
-    in_template = not within
-    if not within and widest and widest in present:
-        within = {widest}
+class Template:
+    """What a host's valid classes say: the role of the main element, roles inside it to leave out, and texts of the template.
+
+    rows: (token, whether it stands once a page, running text, links, enclosing token, whether it holds the same on all pages)."""
+
+    def __init__(self, rows: list[tuple[str, bool, int, int, str, bool]]):
+        self.texts = frozenset(r[0] for r in rows if "#" in r[0])
+        once = {r[0]: r for r in rows if r[1] and "#" not in r[0]}
+        below: dict[str, list[str]] = defaultdict(list)
+        for token, row in once.items():
+            below[row[4] if row[4] in once else ""].append(token)
+        self.main, running = "", sum(once[t][2] for t in below[""])
+        named = lambda t: t.rsplit("/", 1)[-1].split(".", 1)[0] in MAIN
+        while below[self.main]:
+            # Ties go to elements that are named as main text.
+            best = max(below[self.main], key=lambda t: (once[t][2], named(t), t))
+            if named(self.main) or not running or once[best][2] < DOMINANT * running:
+                break
+            self.main, running = best, once[best][2]
+        self.spare = frozenset(t for t, r in once.items() if t != self.main and (r[5] or r[3] > 2 * r[2]))
+
+
+def main_text(page: str | None, template: Template | None) -> tuple[str, bool]:
+    """(main text of a page under its host's template, whether the template gave it)."""
+    walk = _Page(page or "")
+    n = len(walk.names)
+    by_template = template is not None and template.main != "" and template.main in walk.roles
+    if by_template:
+        mains, spare, texts = {walk.roles.index(template.main)}, template.spare, template.texts
+    else:
+        spare, texts, hidden = frozenset(), frozenset(), [False] * n
+        for e in range(1, n):
+            hidden[e] = hidden[walk.parents[e]] or walk.out[e]
+        own = [e for e in range(1, n) if walk.names[e] in MAIN]
+        mains = set([e for e in own if not hidden[e]] or own) or {0}
+    inside, out = [False] * n, [False] * n
+    inside[0] = 0 in mains
+    for e in range(1, n):
+        up = walk.parents[e]
+        inside[e] = e in mains or inside[up]
+        out[e] = inside[up] and (out[up] or walk.out[e] or walk.roles[e] in spare)
     blocks: list[str] = []
     current, held = -1, []
-    for block, text, role, out, inside in walk.texts:
+    for block, text, e in walk.texts:
         if block != current:
             if held:
                 blocks.append(" ".join("".join(held).split()))
             current, held = block, []
-        if text == " " and out and not role:
-            held.append(" ")  # a line break
+        if not inside[e] or out[e] or (len(text) <= 4 * SHORT_TEXT and texts and f"{walk.roles[e]}#{_clean(text)}" in texts):
             continue
-        if out or (within and within.isdisjoint(inside)):
-            continue
-        if in_template and len(text) <= SHORT_TEXT and f"{role}#{_clean(text)}" in template:
-            continue  # text of the template itself
         held.append(_html.unescape(text) if "&" in text else text)
     if held:
         blocks.append(" ".join("".join(held).split()))
-    return "\n\n".join(b for b in blocks if b)
+    return "\n\n".join(b for b in blocks if b), by_template
+
+
+def _unlike_pages(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """host, key and html of the pages, equal ones of a host once; only those that stand more than once are dealt out."""
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("key"), F.col(html).alias("html"))
+    again = materialize(rows.groupBy("host", "key").agg(F.count("*").alias("k")).where("k > 1").select("host", "key"), "html-again")
+    again = F.broadcast(again) if again.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES else again
+    return rows.join(again, ["host", "key"], "left_anti").union(rows.join(again, ["host", "key"], "left_semi").dropDuplicates(["host", "key"]))
+
+
+def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host and rows, the tokens of its valid classes as Template takes them."""
+
+    def work(hosts, keys, htmls):
+        out = []
+        for host, key, page in zip(hosts, keys, htmls, strict=True):
+            out += [(host, key, t, *x) for t, x in tokens(page).items()]
+            out.append((host, key, "", 1, 0, 0, "", 0))
+        return list(zip(*out, strict=True))
+
+    found = map_rows(_unlike_pages(pages, url, html), work, "host string, key long, token string, n int, running long, links long, around string, content long")
+    vectors = found.groupBy("host", "token").agg(
+        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("key", "n")).alias("digest"), F.sum(F.xxhash64("key", "n").cast("decimal(38,0)")).alias("total"),
+        F.max("n").alias("most"), F.sum("running").alias("running"), F.sum("links").alias("links"), F.max("around").alias("around"),
+        (F.min("content") == F.max("content")).alias("fixed"),
+    )
+    vectors = materialize(vectors, "html-vectors")
+    sizes = materialize(vectors.where("token = '' and pages >= " + str(LEAST_PAGES)).select("host", F.col("pages").alias("host_pages")), "html-hosts")
+    small = sizes.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    often = vectors.where("token != ''").join(F.broadcast(sizes) if small else sizes, "host").where(F.col("pages") >= F.greatest(SUPPORT * F.col("host_pages"), F.lit(LEAST_PAGES)))
+    row = F.struct("token", (F.col("most") == 1).alias("once"), "running", "links", "around", "fixed")
+    classes = often.groupBy("host", "pages", "digest", "total").agg(F.collect_list(row).alias("members")).where(F.size("members") >= 2)
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("rows"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
-    """`id_col`, `url` and text, a row for each page."""
-    found = templates(pages, url, html)
-    held = materialize(found, "html-templates")
+    """`id_col`, `url`, text and by_template (whether the host's template gave it), a row for each page."""
+    held = materialize(templates(pages, url, html), "html-templates")
     small = held.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = pages.select(F.col(id_col).alias("p_id"), F.col(url).alias("p_url"), F.col(html).alias("p_html"), host_of(F.col(url)).alias("host"))
-    rows = rows.join(F.broadcast(held) if small else held, "host", "left").select("p_id", "p_url", "p_html", "host", "tokens", "widest")
+    rows = rows.join(F.broadcast(held) if small else held, "host", "left").select("p_id", "p_url", "p_html", "host", F.to_json("rows").alias("rows"))
 
-    def work(ids, urls, htmls, hosts, lists, widest):
-        known: dict[str, frozenset[str]] = {}
-        texts = []
-        for host, page, t, w in zip(hosts, htmls, lists, widest, strict=True):
+    def work(ids, urls, htmls, hosts, lists):
+        known: dict[str, Template | None] = {}
+        out = []
+        for host, page, listed in zip(hosts, htmls, lists, strict=True):
             if host not in known:
-                known[host] = frozenset(t or ())
-            texts.append(main_text(page, known[host], w))
-        return ids, urls, texts
+                known[host] = Template([tuple(r.values()) for r in json.loads(listed)]) if listed else None
+            out.append(main_text(page, known[host]))
+        return ids, urls, [t for t, _ in out], [b for _, b in out]
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return map_rows(rows, work, f"p_id {kind}, p_url string, text string").withColumnsRenamed({"p_id": id_col, "p_url": url})
+    return map_rows(rows, work, f"p_id {kind}, p_url string, text string, by_template boolean").withColumnsRenamed({"p_id": id_col, "p_url": url})

@@ -16,7 +16,7 @@ Components are found in rounds over what is still apart. The hub of a key is the
 set that meets most others over all its keys. First each set is compared with
 the one hub with which it shares most keys, and the links found are contracted;
 then, in keys that still hold several components, with its other hubs. Sets in
-keys that still do (a passage that many texts share fills whole segments) are
+keys that still do, the hubs aside (a passage that many texts share fills whole segments) are
 parted to the end, one element a segment: two sets that share x elements share
 one of the n - x + 1 rarest of either, so that what a passage has in common is
 left out, and sets of unlike components that share a rare one are compared. So
@@ -364,14 +364,21 @@ class _Rounds:
         discard(placed)
         discard(held)
 
-    def hubs(self) -> DataFrame:
-        """d, p, k: each set, a hub of its keys in another component, and the number of keys that the two share."""
+    def leave(self, hubs: DataFrame) -> None:
+        """Take the hubs out of their keys, once they have been compared with all other sets there."""
+        rest = self.keys.join(hubs.select("sig", F.col("hub").alias("d")), ["sig", "d"], "left_anti")
+        apart = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
+        held, self.keys = self.keys, materialize(rest.join(apart, "sig", "left_semi"), "join-keys")
+        discard(held)
+
+    def hubs(self) -> tuple[DataFrame, DataFrame]:
+        """(hub of each key, star): star has d, p, k, score: each set, a hub of its keys in another component, and the number of keys that the two share."""
         met = self.keys.groupBy("sig").agg(F.count("*").alias("m"))
         score = self.keys.join(met, "sig").groupBy("d").agg(F.sum("m").alias("score"))
-        hub = self.keys.join(score, "d").groupBy("sig").agg(F.max(F.struct("score", "d", "size", "c")).alias("hub"))
+        hub = materialize(self.keys.join(score, "d").groupBy("sig").agg(F.max(F.struct("score", "d", "size", "c")).alias("hub")), "join-hubs")
         star = self.keys.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & self.fits(F.col("size"), F.col("hub.size")))
         star = star.groupBy("d", F.col("hub.d").alias("p")).agg(F.count("*").alias("k"), F.first("hub.score").alias("score"))
-        return materialize(star, "join-stars")
+        return hub.select("sig", F.col("hub.d").alias("hub")), materialize(star, "join-stars")
 
 
     def rarest(self) -> DataFrame:
@@ -382,6 +389,7 @@ class _Rounds:
         apart = self.keys.select("d", "c").distinct()
         held = self.sets.join(_ids(apart.select("d")), "d", "left_semi")
         every = held.select("d", F.size("s").alias("n"), F.explode("s").alias("e"))
+        every = every.withColumn("e", F.col("e").bitwiseAND(0x7FFFFFFF).cast("int"))  # 31 bits will do to find candidates: equal elements stay equal
         met = materialize(every.groupBy("e").agg(F.count("*").alias("m")).where("m > 1"), "join-met")
         small = met.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         own = Window.partitionBy("d")
@@ -440,14 +448,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     rows, classes, keys, sets = _classes(docs, n, percent, id_col, text)
     at = _Rounds(keys, sets, percent)
 
-    star = at.hubs()
+    _, star = at.hubs()
     best = star.groupBy("d").agg(F.max(F.struct("k", "score", "p")).alias("x")).select("d", "x.p")
     at.compare(_pair(best))
     tried = _pair(best)
 
-    star = at.hubs()
+    hub, star = at.hubs()
     more = materialize(_pair(star).join(tried, ["a", "b"], "left_anti"), "join-pairs")
     at.compare(more)
+    at.leave(hub)
     tried = tried.union(more)
 
     at.compare(at.rarest().join(tried, ["a", "b"], "left_anti"))

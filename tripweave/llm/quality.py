@@ -3,8 +3,13 @@
 Each line with a word gets dense features; the field has the two states
 boilerplate (0) and content (1), and Viterbi decoding labels the lines. The
 share of the words that stand in content lines decides whether the document is
-kept. The field is fitted by maximum likelihood on a bounded sample of labelled
-documents, each of whose lines takes the document's label.
+kept. The field is fitted on a bounded sample of labelled documents. A label says
+on which side of CONTENT_SHARE the document is, not what each line is: the states
+of the lines are latent. They start as the document's label; a field without
+transitions is fitted to them, each document is decoded, lines move to the states
+found, and where those contradict the label the least certain lines move back
+until the share agrees. The chain is then fitted to these states, and once more
+to those that it finds itself.
 
 Defined results: null and blank texts have no words and fail the base rules;
 repeated rows are judged alike; an empty table gives an empty result; without
@@ -119,8 +124,8 @@ class LineField:
         self.moves = np.zeros((2, 2)) if moves is None else moves
 
     @staticmethod
-    def fit(texts: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> "LineField":
-        """Adam on the mean log-likelihood; documents of like length form one padded block."""
+    def fit(texts: list[np.ndarray], states: list[np.ndarray], chain: bool = True, steps: int = 100, rate: float = 0.1, ridge: float = 1e-3) -> "LineField":
+        """Adam on the mean log-likelihood of the lines' states; documents of like length form one padded block. Without `chain` all transitions weigh 0."""
         blocks = []
         by_size: dict[int, list[int]] = {}
         for i, x in enumerate(texts):
@@ -129,11 +134,12 @@ class LineField:
         for members in by_size.values():
             most = max(len(texts[i]) for i in members)
             x = np.zeros((len(members), most, len(FEATURES)))
-            there = np.zeros((len(members), most), bool)
+            there, y = np.zeros((len(members), most), bool), np.zeros((len(members), most), np.int8)
             for r, i in enumerate(members):
                 x[r, : len(texts[i])] = texts[i]
                 there[r, : len(texts[i])] = True
-            blocks.append((x, there, np.array([labels[i] for i in members])))
+                y[r, : len(texts[i])] = states[i]
+            blocks.append((x, there, y))
         field = LineField()
         total = sum(len(y) for _, _, y in blocks)
         if not total:
@@ -144,6 +150,8 @@ class LineField:
             g = -ridge * at
             for x, there, y in blocks:
                 g += field._gradient(x, there, y) / total
+            if not chain:
+                g[size:] = 0.0
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
             at = at + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -167,13 +175,13 @@ class LineField:
             bwd[:, t] = np.where(there[:, t + 1, None], new, 0.0)
         z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         p = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z[:, None]) * there
-        diff = (y[:, None] * there - p) * share[:, None]
+        diff = (y * there - p) * share[:, None]
         moves = np.zeros((2, 2))
         both = there[:, 1:]
         for a in range(2):
             for b in range(2):
                 pair = np.exp(fwd[:, :-1, a] + self.moves[a, b] + emit[:, 1:, b] + bwd[:, 1:, b] - z[:, None]) * both
-                seen = both * ((y == a) & (y == b))[:, None]
+                seen = both * ((y[:, :-1] == a) & (y[:, 1:] == b))
                 moves[a, b] = ((seen - pair) * share[:, None]).sum()
         return np.concatenate((np.einsum("dt,dtf->f", diff, x), moves.ravel()))
 
@@ -204,13 +212,30 @@ class LineField:
         return float((self.decode(x) * sizes).sum() / sizes.sum()) if len(sizes) else 0.0
 
 
+def latent_states(field: LineField, x: np.ndarray, sizes: np.ndarray, label: int, share: float = CONTENT_SHARE) -> np.ndarray:
+    """The decoded states of a labelled document's lines; the least certain ones are changed until the share of content agrees with the label."""
+    states = field.decode(x).copy()
+    scores, held, total = x @ field.weights, int((states * sizes).sum()), int(sizes.sum())
+    for k in np.argsort(-scores if label else scores, kind="stable"):
+        if (held >= share * total) == bool(label):
+            break
+        if states[k] != label:
+            states[k] = label
+            held += int(sizes[k]) if label else -int(sizes[k])
+    return states
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> LineField | None:
     """The field fitted on at most `rows` labelled documents; None if one label has no document."""
     sample = labelled_sample(docs, labels, "quality", rows)
-    examined = [(examine(t)[1], q) for t, q in sample]
-    if len({q for x, q in examined if len(x)}) < 2:
+    examined = [(x, sizes, q) for (_, x, sizes), q in ((examine(t), q) for t, q in sample) if len(x)]
+    if len({q for *_, q in examined}) < 2:
         return None
-    return LineField.fit([x for x, _ in examined], [q for _, q in examined])
+    texts = [x for x, _, _ in examined]
+    field = LineField.fit(texts, [np.full(len(x), q, np.int8) for x, _, q in examined], chain=False)
+    for _ in range(2):
+        field = LineField.fit(texts, [latent_states(field, *doc) for doc in examined])
+    return field
 
 
 def judge(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE, id_col: str = "doc_id", text: str = "text") -> DataFrame:

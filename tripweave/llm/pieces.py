@@ -9,9 +9,13 @@ longest common prefix, and walking them in that order is the depth-first
 traversal. The forward scores of the shared prefix are kept and only the rest
 of a unit is searched. Code points without a piece become their UTF-8 bytes.
 
-The search maximises the sum of the scores (ties: the longer last piece). In a
-file whose scores are merge ranks this is not the order of merges, so that ids
-may differ from a merging encoder's; decoding returns the text exactly.
+The search maximises the sum of the log-probabilities of the pieces (ties: the
+longer last piece). A file's scores are taken for those, unless they are whole
+numbers: then they are merge ranks, whose sum means nothing, and rank r gets the
+probability that the law of Zipf and Mandelbrot gives it, 1 / (r + OFFSET) over
+its sum for all ranks. Such ids are the likeliest segmentation, not the order of
+merges, so that they may differ from a merging encoder's; decoding returns the
+text exactly.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 repeated rows get equal ids; an empty table gives an empty result.
@@ -19,6 +23,7 @@ repeated rows get equal ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 MARK = "▁"
+#: Mandelbrot's offset of ranks.
+OFFSET = 2.7
 #: Score of a byte piece, below any other piece's, so that bytes are a last resort.
 BYTE_SCORE = -1e6
 
@@ -49,13 +56,17 @@ class Vocabulary:
 
         model = SentencePieceProcessor(model_file=path)
         pieces, text_of, byte_ids = {}, {}, [-1] * 256
+        scores = [model.get_score(i) for i in range(model.get_piece_size())]
+        if all(s == int(s) for s in scores):  # merge ranks, from 0 down
+            total = math.log(sum(1.0 / (r + OFFSET) for r in range(len(scores))))
+            scores = [-math.log(OFFSET - s) - total for s in scores]
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte_ids[int(piece[3:5], 16)] = i
                 text_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                score = model.get_score(i)
+                score = scores[i]
                 if piece.strip(MARK) or len(piece) == 1:
                     pieces[piece] = (i, score)
                 else:

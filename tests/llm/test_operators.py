@@ -167,6 +167,19 @@ def test_pieces_best_score_and_round_trip(spark, docs, corpus):
     assert all(r.round_trip for r in got.values()) and got[0].ids == [] and len(got) == len(corpus)
 
 
+def test_pieces_against_the_library():
+    """Of words in use nearly all are cut as the merging encoder does; ids are within a hundredth of its number."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, v = SentencePieceProcessor(model_file=path), pieces.Vocabulary.load(path)
+    text = "The search goes down the tree and keeps the scores of what the words have in common, so that no prefix is looked at twice. Some of these pieces are short and others are whole words of the language."
+    ours, theirs = pieces.encode_all(v, [text])[0], model.encode(text)
+    assert len(ours) <= 1.01 * len(theirs) and sum(a in theirs for a in ours) > 0.9 * len(ours)
+    long = " ".join(f"word{i}" for i in range(60_000))
+    assert v.decode(pieces.encode_all(v, [long])[0]) == long
+
+
 PAGE = """<html><head><title>no</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>menu {i}</a></ul></nav><div class="ad">buy {i}</div>
 <article><h1>Title {i}</h1><p><b>First   {i}&amp;co.<br><p>second {i} &lt;x&gt;</p></article><div id="comments"><p>reader {i}</p></div><footer>&copy; site</footer>"""
 
@@ -417,6 +430,35 @@ def test_quality_rules(spark, empty):
     assert quality.judge(docs, None).where("kept").count() == 120 and quality.judge(empty, field).count() == 0
 
 
+def test_quality_lines_of_mixed_documents(spark, empty):
+    """Line states are learnt from document labels: a text of both kinds gets both, and its share decides."""
+    rng = random.Random(14)
+    good = lambda: " ".join(f"word{rng.randint(0, 900)}" for _ in range(12)) + "."
+    junk = lambda: " | ".join(f"X{rng.randint(0, 900)}$$$" for _ in range(9))
+    texts, labels = [], []
+    for i in range(200):
+        n = rng.randint(1, 3)
+        kinds = [i % 2] * 6 + [1 - i % 2] * n
+        rng.shuffle(kinds)
+        texts.append("\n".join(good() if k else junk() for k in kinds))
+        labels.append((i, i % 2, 0))
+    texts += ["\n".join([good(), good(), junk(), junk(), good(), good()]), "\n".join([junk(), junk(), junk(), good()]), "a # b\n\na # b\n \na | b\na # b" + " w$" * 9, "word. " * 150_000]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
+    field = quality.fit_field(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    lines = defaultdict(list)
+    for r in quality.line_labels(docs.where("doc_id in (200, 201)"), field).collect():
+        lines[r.doc_id].append((r.line, r.content))
+    assert [c for _, c in sorted(lines[200])] == [True, True, False, False, True, True] and [c for _, c in sorted(lines[201])] == [False, False, False, True]
+    got = {r.doc_id: r for r in quality.judge(docs, field).collect()}
+    assert got[200].kept and not got[201].kept and all(got[i].kept == bool(i % 2) for i in range(200))
+    assert sum(0.05 < got[i].content_share < 0.95 for i in range(200)) > 150
+    assert (got[202].n_symbols, got[202].n_dup_lines) == (texts[202].count("#") + texts[202].count("|") + 9, 1) and got[203].base_failed
+    for i, t in enumerate(texts):
+        words = [WORD.findall(x) for x in t.split("\n")]
+        held = [x for x, w in zip(t.split("\n"), words, strict=True) if w]
+        assert got[i].n_dup_lines == len(held) - len(set(held)) and got[i].n_symbols == len(re.findall(r"[#*$%&|<>]", t))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(10)
     field = quality.LineField(rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2)))

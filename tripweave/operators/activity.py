@@ -86,9 +86,13 @@ def daily(spans: DataFrame, points: DataFrame, timezone: str) -> DataFrame:
 
 
 def daily_pivot(spans: DataFrame, labels: list[str], timezone: str) -> DataFrame:
-    """Seconds of commute by observed label as columns, null where none; the values are listed, so that Spark needs no look at the data first."""
-    pieces = _pieces(spans.where("kind = 'commute'"), timezone)
-    return pieces.groupBy("user_id", "date").pivot("label", labels).agg(F.sum("seconds"))
+    """Seconds of commute and of dwell by label as columns commute_<a>_<b> and dwell_<a>, null where none.
+
+    All that `labels` (of places) can give are listed, so that Spark needs no look at the data first."""
+    pieces = _pieces(spans, timezone).withColumn("_of", F.concat_ws("_", "kind", F.translate("label", "-", "_")))
+    names = sorted(labels)
+    of = [f"commute_{a}_{b}" for i, a in enumerate(names) for b in names[i:]] + [f"dwell_{a}" for a in names] + ["commute_uncategorized", "dwell_uncategorized"]
+    return pieces.groupBy("user_id", "date").pivot("_of", of).agg(F.sum("seconds"))
 
 
 def condensed(spans: DataFrame, days: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import geo
+from . import segment
 
 
 def by_key() -> WindowSpec:
@@ -14,8 +15,8 @@ def by_key() -> WindowSpec:
     return Window.partitionBy("user_id").orderBy("segment_group")
 
 
-def within(points: DataFrame, places: DataFrame, radius_m: float, last: bool = False, out: str = "place") -> DataFrame:
-    """Add `out`: the first (or last) place in the order of place_id within `radius_m` of each point; null if none.
+def _near(rows: DataFrame, key: list[str], places: DataFrame, radius_m: float, pick) -> DataFrame:
+    """`key` and place: what `pick` (F.min or F.max) takes of the place_ids within `radius_m`; rows without any are absent.
 
     Places are copied into the nine cells around their own, so that the range
     join is an equality of cells and an exact test: no nested loop, whatever the
@@ -24,19 +25,27 @@ def within(points: DataFrame, places: DataFrame, radius_m: float, last: bool = F
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     spots = places.select("place_id", F.col("easting").alias("pe"), F.col("northing").alias("pn"), near.alias("o"))
     spots = spots.select("place_id", "pe", "pn", (F.floor(F.col("pe") / radius_m) + F.col("o.i")).alias("ci"), (F.floor(F.col("pn") / radius_m) + F.col("o.j")).alias("cj"))
-    keyed = points.select("user_id", "point_id", "easting", "northing", cell("easting").alias("ci"), cell("northing").alias("cj"))
+    keyed = rows.select(*key, "easting", "northing", cell("easting").alias("ci"), cell("northing").alias("cj"))
     hit = keyed.join(spots, ["ci", "cj"]).where(F.expr(geo.planar("easting", "northing", "pe", "pn")) <= radius_m)
-    pick = F.max("place_id") if last else F.min("place_id")
-    return points.join(hit.groupBy("user_id", "point_id").agg(pick.alias(out)), ["user_id", "point_id"], "left")
+    return hit.groupBy(*key).agg(pick("place_id").alias("place"))
+
+
+def within(points: DataFrame, places: DataFrame, radius_m: float, last: bool = False, out: str = "place") -> DataFrame:
+    """Add `out`: the first (or last) place in the order of place_id within `radius_m` of each point; null if none."""
+    key = ["user_id", "point_id"]
+    return points.join(_near(points, key, places, radius_m, F.max if last else F.min).withColumnRenamed("place", out), key, "left")
 
 
-def end_places(trips: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
-    """Add first_place and last_place to trips: the places of their ends."""
-    for end in ("first", "last"):
-        ends = trips.select("user_id", F.col("segment_group").alias("point_id"), f"{end}.easting", f"{end}.northing")
-        found = within(ends, places, radius_m, out=f"{end}_place").select("user_id", F.col("point_id").alias("segment_group"), f"{end}_place")
-        trips = trips.join(found, ["user_id", "segment_group"])
-    return trips
+def end_places(trips: DataFrame, places: DataFrame, radius_m: float, **ends: str) -> DataFrame:
+    """Add a column for each of `ends` (name=point; first_place and last_place of the ends, if none is given): the place there.
+
+    Both ends go through one range join and come back with one join."""
+    ends = ends or {"first_place": "first", "last_place": "last"}
+    key = ["user_id", "segment_group"]
+    two = F.explode(F.array(*[F.struct(F.lit(out).alias("out"), F.col(f"{at}.easting").alias("easting"), F.col(f"{at}.northing").alias("northing")) for out, at in ends.items()]))
+    found = _near(trips.select(*key, two.alias("x")).select(*key, "x.*"), [*key, "out"], places, radius_m, F.min)
+    found = found.groupBy(*key).agg(*[F.min(F.when(F.col("out") == out, F.col("place"))).alias(out) for out in ends])
+    return trips.drop(*ends).join(found, key, "left")
 
 
 def with_gap(trips: DataFrame) -> DataFrame:
@@ -88,15 +97,22 @@ def velocity_links(trips: DataFrame, least_kph: float = 15.0, chains: bool = Fal
     return chain_links(df, "condition") if chains else pair_links(df, "condition")
 
 
-def merge_linked(points: DataFrame, links: DataFrame, label: str) -> DataFrame:
-    """Points with trip_key and labels: linked segments share the key of the first."""
-    old = "trip_key" if "trip_key" in points.columns else "segment_group"
-    key = links.select("user_id", F.col("segment_group").alias(old), (F.sum((~F.col("link")).cast("long")).over(by_key()) - 1).alias("_key"), "link")
-    df = points.join(key, ["user_id", old])
-    linked = F.max("link").over(Window.partitionBy("user_id", "_key"))
-    labels = F.coalesce(F.col("labels"), F.array().cast("array<string>")) if "labels" in points.columns else F.array().cast("array<string>")
-    df = df.withColumn("labels", F.when(linked, F.array_union(labels, F.array(F.lit(label)))).otherwise(labels))
-    return df.withColumn("trip_key", F.col("_key")).drop("_key", "link")
+def link_keys(trips: DataFrame, rules: list[tuple[str, object]]) -> DataFrame:
+    """user_id, segment_group, trip_key and labels: the trip that each segment belongs to, after the rules (label, function of trips) one after the other.
+
+    Only summaries are linked; a linked trip's ends are those of its first and
+    last segment, so that points need no look until they are joined once."""
+    at = trips.select("user_id", "segment_group", "first", "last", F.array().cast("array<string>").alias("labels"))
+    keys = trips.select("user_id", "segment_group", F.col("segment_group").alias("trip_key"))
+    for label, rule in rules:
+        links = rule(at).select("user_id", "segment_group", "link", (F.sum((~F.col("link")).cast("long")).over(by_key()) - 1).alias("_key"))
+        keys = keys.join(links.select("user_id", F.col("segment_group").alias("trip_key"), "_key"), ["user_id", "trip_key"]).select("user_id", "segment_group", F.col("_key").alias("trip_key"))
+        joined = at.join(links, ["user_id", "segment_group"]).groupBy("user_id", "_key").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.flatten(F.collect_set("labels")).alias("labels"), F.max("link").alias("link")
+        )
+        labels = F.array_sort(F.array_distinct(F.when(F.col("link"), F.array_append("labels", F.lit(label))).otherwise(F.col("labels"))))
+        at = joined.select("user_id", F.col("_key").alias("segment_group"), "first", "last", labels.alias("labels"))
+    return keys.join(at.select("user_id", F.col("segment_group").alias("trip_key"), "labels"), ["user_id", "trip_key"])
 
 
 def missing_trips(trips: DataFrame, entrances: DataFrame, min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0) -> DataFrame:
@@ -113,11 +129,7 @@ def missing_trips(trips: DataFrame, entrances: DataFrame, min_m: float = 250.0,
         "gap_s": F.col("first.t") - F.col("prev_last.t"),
         "gap_m": F.round(F.expr(geo.planar("prev_last.easting", "prev_last.northing", "first.easting", "first.northing")), 3),
     })
-    df = df.drop("first_place", "last_place", "prev_place")
-    ends = df.select("user_id", F.col("segment_group").alias("point_id"), "prev_last.easting", "prev_last.northing")
-    starts = df.select("user_id", F.col("segment_group").alias("point_id"), "first.easting", "first.northing")
-    df = df.join(within(ends, entrances, radius_m, out="prev_place").select("user_id", F.col("point_id").alias("segment_group"), "prev_place"), ["user_id", "segment_group"])
-    df = df.join(within(starts, entrances, radius_m, out="first_place").select("user_id", F.col("point_id").alias("segment_group"), "first_place"), ["user_id", "segment_group"])
+    df = end_places(df.drop("last_place"), entrances, radius_m, prev_place="prev_last", first_place="first")
     latest = F.max("segment_group").over(Window.partitionBy("user_id"))
     kind = (
         F.when(F.col("gap_m") == 0, None)
@@ -218,3 +230,52 @@ def trip_points(points: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id", "trip_key").orderBy("t", "point_id")
     num = F.dense_rank().over(Window.partitionBy("user_id").orderBy("trip_key"))
     return points.withColumns({"trip_num": num, "seq": F.row_number().over(w), "trip_distance": F.round(F.sum("distance_before").over(w), 3)})
+
+
+def phone_diary(points: DataFrame, entrances: DataFrame, rules: list[tuple[str, object]], min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0) -> DataFrame:
+    """The whole of it, from segmented points to the points of a numbered diary: user_id, trip_num, trip_code, seq, point_id, t, lat, lon, trip_distance.
+
+    Segments are linked by the rules, gaps between trips become trips of two
+    points, and a trip after a cold start or a gap that is too short begins with
+    a copy of the point before it, at the trip's own starting time (point_id null,
+    with that point's distance_before). Codes follow trip_codes() and gap_codes()."""
+    keys = link_keys(segment.summaries(points), rules)
+    own = points.join(keys, ["user_id", "segment_group"])
+    labels = keys.groupBy("user_id", F.col("trip_key").alias("segment_group")).agg(F.first("labels").alias("labels"))
+    trips = segment.summaries(own, "trip_key").withColumnRenamed("trip_key", "segment_group").join(labels, ["user_id", "segment_group"])
+    gaps = missing_trips(trips, entrances, min_m, radius_m, cold_start_m)
+    before = gaps.select("user_id", "segment_group", "kind", "prev_last")
+    coded = trip_codes(trips.join(before, ["user_id", "segment_group"], "left").withColumn("too_short", F.coalesce(F.col("kind") == "too_short", F.lit(False))))
+    codes = coded.select("user_id", F.col("segment_group").alias("trip_key"), "trip_code")
+    row = ["user_id", "trip_key", "after", "trip_code", "place", "point_id", "t", "lat", "lon", "distance_before"]
+    real = own.join(codes, ["user_id", "trip_key"]).withColumns({"after": F.lit(1), "place": F.lit(1)}).select(*row)
+    copied = coded.where("kind in ('cold_start', 'too_short')").select(
+        "user_id", F.col("segment_group").alias("trip_key"), F.lit(1).alias("after"), "trip_code", F.lit(0).alias("place"), F.lit(None).cast("long").alias("point_id"),
+        "first.t", "prev_last.lat", "prev_last.lon", "prev_last.distance_before",
+    )
+    two = F.explode(F.array(
+        F.struct(F.lit(1).alias("place"), F.col("prev_last.t"), F.col("prev_last.lat"), F.col("prev_last.lon"), F.lit(0.0).alias("distance_before")),
+        F.struct(F.lit(2).alias("place"), F.col("first.t"), F.col("first.lat"), F.col("first.lon"), F.col("gap_m").alias("distance_before")),
+    ))
+    jumps = gap_codes(gaps).where("trip_code <> 103").select("user_id", F.col("segment_group").alias("trip_key"), F.lit(0).alias("after"), "trip_code", F.lit(None).cast("long").alias("point_id"), two.alias("x"))
+    jumps = jumps.select("user_id", "trip_key", "after", "trip_code", "x.place", "point_id", "x.t", "x.lat", "x.lon", "x.distance_before")
+    every = real.unionByName(copied).unionByName(jumps)
+    num = F.dense_rank().over(Window.partitionBy("user_id").orderBy("trip_key", "after"))
+    w = Window.partitionBy("user_id", "trip_key", "after").orderBy("place", "t", "point_id")
+    out = every.withColumns({"trip_num": num, "seq": F.row_number().over(w), "trip_distance": F.round(F.sum("distance_before").over(w), 3)})
+    return out.select("user_id", "trip_num", "trip_code", "seq", "point_id", "t", "lat", "lon", "trip_distance")
+
+
+def diary_summaries(diary: DataFrame, timezone: str) -> DataFrame:
+    """A row for each trip of a phone diary: ends in UTC and local time, code, origin and destination, distances."""
+    from ..functions.time import local
+
+    at = F.struct("seq", "t", "lat", "lon", "trip_distance")
+    df = diary.groupBy("user_id", "trip_num").agg(F.first("trip_code").alias("trip_code"), F.min(at).alias("o"), F.max(at).alias("d"))
+    utc = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    planar = F.expr(geo.planar(geo.easting("o.lat", "o.lon"), geo.northing("o.lat", "o.lon"), geo.easting("d.lat", "d.lon"), geo.northing("d.lat", "d.lon")))
+    return df.select(
+        "user_id", F.col("trip_num").alias("trip_id"), utc("o.t").alias("start_UTC"), local(utc("o.t"), timezone).alias("start"), utc("d.t").alias("end_UTC"), local(utc("d.t"), timezone).alias("end"),
+        "trip_code", F.col("o.lat").alias("olat"), F.col("o.lon").alias("olon"), F.col("d.lat").alias("dlat"), F.col("d.lon").alias("dlon"),
+        F.round(planar, 3).alias("direct_distance"), F.col("d.trip_distance").alias("cumulative_distance"),
+    )

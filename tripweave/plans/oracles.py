@@ -40,7 +40,7 @@ seg AS (SELECT *, sum(CASE WHEN period_before > {gap} THEN 1 ELSE 0 END) {_W} AS
 
 def _trips(scale: float = TIGHT, clock: int = 100, gap: int = 300) -> str:
     first = lambda c, f="min": f"arg_{f}({c}, ROW(t, point_id))"
-    cols = ", ".join(f"{first(c, f)} AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in ("t", "point_id", "lat", "lon", "easting", "northing"))
+    cols = ", ".join(f"{first(c, f)} AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in ("t", "point_id", "lat", "lon", "easting", "northing", "distance_before"))
     return (
         _seg(scale, clock, gap)
         + f""", tr0 AS (SELECT user_id, segment_group, count(*) AS n_points, {cols}, sum(distance_before) AS ds, {first("distance_before")} AS lead FROM seg GROUP BY 1, 2),
@@ -87,25 +87,74 @@ walk AS (SELECT user_id, i, segment_group, condition, condition AS link FROM o W
 SELECT user_id, segment_group, condition, link FROM walk"""
 
 
+def _walked(cn: str, out: str) -> str:
+    """`out`: link of each row of `cn`, trip by trip, for use under WITH RECURSIVE."""
+    return f"""o_{out} AS (SELECT *, row_number() {_T} AS i FROM {cn}),
+{out} AS (SELECT user_id, i, segment_group, condition AS link FROM o_{out} WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.segment_group, o.condition AND NOT w.link FROM {out} w JOIN o_{out} o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
+
+
+#: Segments linked by subway, then by speed: keys (user_id, segment_group, trip_key, labels), their points and summaries tr2.
+_LINKED = (
+    _subway(False)
+    + ", "
+    + _walked("cn", "w1")
+    + f""", k1 AS (SELECT user_id, segment_group, link, sum((NOT link)::INT) {_T} - 1 AS key1 FROM w1),
+m1 AS (SELECT user_id, key1 AS segment_group, bool_or(link) AS sub, arg_min(f_t, segment_group) AS f_t, arg_min(f_easting, segment_group) AS f_easting, arg_min(f_northing, segment_group) AS f_northing,
+  arg_max(z_t, segment_group) AS z_t, arg_max(z_easting, segment_group) AS z_easting, arg_max(z_northing, segment_group) AS z_northing FROM k1 JOIN tr USING (user_id, segment_group) GROUP BY 1, 2),
+h1 AS (SELECT *, lag(z_t) {_T} AS pt, lag(z_easting) {_T} AS pe, lag(z_northing) {_T} AS pn FROM m1),
+cn2 AS (SELECT user_id, segment_group, coalesce(round({geo.planar("pe", "pn", "f_easting", "f_northing")}, 3) / nullif(f_t - pt, 0) * 3.6 >= 2.0, false) AS condition FROM h1),
+"""
+    + _walked("cn2", "w2")
+    + f""", k2 AS (SELECT user_id, segment_group AS key1, link, sum((NOT link)::INT) {_T} - 1 AS trip_key FROM w2),
+lb AS (SELECT k2.user_id, trip_key, bool_or(sub) AS sub, bool_or(link) AS walk FROM k2 JOIN m1 ON m1.user_id = k2.user_id AND m1.segment_group = key1 GROUP BY 1, 2),
+keys AS (SELECT k1.user_id, k1.segment_group, trip_key, sub, walk FROM k1 JOIN k2 USING (user_id, key1) JOIN lb USING (user_id, trip_key)),
+lseg AS (SELECT seg.*, trip_key FROM seg JOIN keys USING (user_id, segment_group)),
+tq0 AS (SELECT user_id, trip_key AS segment_group, count(*) AS n_points, sum(distance_before) AS ds, arg_min(distance_before, ROW(t, point_id)) AS lead, """
+    + ", ".join(f"arg_{f}({c}, ROW(t, point_id)) AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in ("t", "lat", "lon", "easting", "northing", "distance_before"))
+    + """ FROM lseg GROUP BY 1, 2),
+tr2 AS (SELECT *, round(ds - lead, 3) AS cumulative_distance FROM tq0)"""
+)
+
+
 def _speed(test: str) -> str:
     return _gaps() + f", cn AS (SELECT user_id, segment_group, coalesce(gap_m / nullif(gap_s, 0) * 3.6 {test}, false) AS condition FROM gp)"
 
 
-_MISSING = (
-    _gaps()
-    + ", "
-    + _entrances()
-    + f""", b0 AS (SELECT *, last_value(CASE WHEN coalesce(gap_m <> 0, true) THEN segment_group END IGNORE NULLS) {_T} AS base FROM gp),
+def _missing(trips: str, name: str) -> str:
+    """The gaps `miss` between the trips `name` that `trips` defines, and their codes."""
+    return (
+        trips
+        + f""", g0m AS (SELECT *, lag(z_easting) {_T} AS pe, lag(z_northing) {_T} AS pn FROM {name}),
+gm AS (SELECT *, round({geo.planar("pe", "pn", "f_easting", "f_northing")}, 3) AS gap_m FROM g0m),
+b0 AS (SELECT *, last_value(CASE WHEN coalesce(gap_m <> 0, true) THEN segment_group END IGNORE NULLS) {_T} AS base FROM gm),
 b1 AS (SELECT *, lag(base) {_T} AS bs, max(segment_group) OVER (PARTITION BY user_id) AS latest FROM b0),
-b2 AS (SELECT a.user_id, a.segment_group, a.n_points, a.f_t, a.z_t, a.latest, a.f_easting, a.f_northing, b.z_t AS pt, b.z_easting AS pe, b.z_northing AS pn, a.f_t - b.z_t AS gap_s,
-  round({geo.planar("b.z_easting", "b.z_northing", "a.f_easting", "a.f_northing")}, 3) AS gap_m FROM b1 a JOIN tr b ON a.user_id = b.user_id AND a.bs = b.segment_group),
+b2 AS (SELECT a.user_id, a.segment_group, a.n_points, a.f_t, a.z_t, a.latest, a.f_easting, a.f_northing, a.f_lat, a.f_lon, b.z_t AS pt, b.z_easting AS pe, b.z_northing AS pn, b.z_lat AS p_lat, b.z_lon AS p_lon,
+  b.z_distance_before AS p_distance, a.f_t - b.z_t AS gap_s, round({geo.planar("b.z_easting", "b.z_northing", "a.f_easting", "a.f_northing")}, 3) AS gap_m FROM b1 a JOIN {name} b ON a.user_id = b.user_id AND a.bs = b.segment_group),
 b3 AS (SELECT *, {_at("pe", "pn")} AS pp, {_at("f_easting", "f_northing")} AS fp FROM b2),
 miss AS (SELECT *, CASE WHEN gap_m = 0 THEN NULL WHEN gap_m < 250 THEN 'too_short' WHEN n_points = 1 AND segment_group < latest THEN 'known_location'
-  WHEN pp <> fp THEN 'subway' WHEN gap_m <= 750 THEN 'cold_start' ELSE 'general' END AS kind FROM b3),
-coded AS (SELECT tr.*, CASE WHEN cumulative_distance < 250 THEN 202 WHEN kind = 'too_short' AND tr.n_points = 1 THEN 201 WHEN kind = 'too_short' THEN 1
+  WHEN pp <> fp THEN 'subway' WHEN gap_m <= 750 THEN 'cold_start' ELSE 'general' END AS kind FROM b3)"""
+    )
+
+
+_MISSING = (
+    _missing(_trips() + ", " + _entrances(), "tr")
+    + """, coded AS (SELECT tr.*, CASE WHEN cumulative_distance < 250 THEN 202 WHEN kind = 'too_short' AND tr.n_points = 1 THEN 201 WHEN kind = 'too_short' THEN 1
   WHEN tr.n_points > 1 THEN 1 ELSE -1 END AS trip_code FROM tr LEFT JOIN miss USING (user_id, segment_group))"""
 )
 
+_DIARY = (
+    _missing(_LINKED, "tr2")
+    + f""", cod AS (SELECT tr2.*, kind, p_lat, p_lon, p_distance, CASE WHEN cumulative_distance < 250 THEN 202 WHEN kind = 'too_short' AND sub THEN 2 WHEN kind = 'too_short' AND tr2.n_points = 1 THEN 201 WHEN kind = 'too_short' THEN 1
+  WHEN sub THEN 2 WHEN NOT walk AND tr2.n_points > 1 THEN 1 ELSE -1 END AS trip_code FROM tr2 JOIN (SELECT DISTINCT user_id, trip_key AS segment_group, sub, walk FROM keys) USING (user_id, segment_group) LEFT JOIN miss USING (user_id, segment_group)),
+ev AS (SELECT l.user_id, l.trip_key, 1 AS after, trip_code, 1 AS place, point_id, t, lat, lon, distance_before FROM lseg l JOIN cod ON cod.user_id = l.user_id AND cod.segment_group = l.trip_key
+  UNION ALL SELECT user_id, segment_group, 1, trip_code, 0, NULL, f_t, p_lat, p_lon, p_distance FROM cod WHERE kind IN ('cold_start', 'too_short')
+  UNION ALL SELECT user_id, segment_group, 0, CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END, 1, NULL, pt, p_lat, p_lon, 0.0 FROM miss WHERE kind IN ('general', 'subway', 'known_location')
+  UNION ALL SELECT user_id, segment_group, 0, CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END, 2, NULL, f_t, f_lat, f_lon, gap_m FROM miss WHERE kind IN ('general', 'subway', 'known_location')),
+dia AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY trip_key, after) AS trip_num, trip_code, row_number() OVER q AS seq, point_id, t, lat, lon,
+  round(sum(distance_before) OVER q, 3) AS trip_distance FROM ev WINDOW q AS (PARTITION BY user_id, trip_key, after ORDER BY place, t, point_id))"""
+)
+
 _SURVEY = f"""s0 AS (SELECT c_custkey AS user_id, unnest([0, 1, 2]) AS place_order, unnest(['home', 'work', 'study']) AS label, unnest([37, 59, 71]) AS a, unnest([91, 13, 29]) AS b FROM customer),
 places AS (SELECT user_id, place_order, label, {geo.lit(45.45)} + (user_id * a % 1000) / {geo.lit(TIGHT)} AS lat, {geo.lit(-73.65)} + (user_id * b % 1000) / {geo.lit(TIGHT)} AS lon
   FROM s0 WHERE NOT (label = 'study' AND user_id % 4 = 0))"""
@@ -218,6 +267,14 @@ def oracle_sql() -> dict[str, str]:
         "merged_diary": f"""WITH {_MISSING}, u AS (SELECT user_id, segment_group, 1 AS after, trip_code, f_t AS start_t, z_t AS end_t FROM coded
   UNION ALL SELECT user_id, segment_group, 0, CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END, pt, f_t FROM miss WHERE kind IN ('general', 'subway', 'known_location'))
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY segment_group, after) AS trip_num, trip_code, start_t, end_t FROM u""",
+        "linked_trips": f"WITH RECURSIVE {_LINKED} SELECT user_id, trip_key, count(*) AS n_points, concat_ws(',', CASE WHEN any_value(sub) THEN 'subway' END, CASE WHEN any_value(walk) THEN 'walking' END) AS labels FROM seg JOIN keys USING (user_id, segment_group) GROUP BY 1, 2",
+        "trip_points": f"""WITH RECURSIVE {_LINKED} SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY trip_key) AS trip_num, row_number() OVER q AS seq, point_id, round(round(sum(distance_before) OVER q, 3), 1) AS trip_distance
+FROM lseg WINDOW q AS (PARTITION BY user_id, trip_key ORDER BY t, point_id)""",
+        "phone_diary": f"WITH RECURSIVE {_DIARY} SELECT user_id, trip_num, trip_code, seq, point_id, t, lat, lon, round(trip_distance, 1) AS trip_distance FROM dia",
+        "trip_summaries": f"""WITH RECURSIVE {_DIARY}, ts AS (SELECT user_id, trip_num AS trip_id, any_value(trip_code) AS trip_code, arg_min(t, seq) AS s, arg_max(t, seq) AS e, arg_min(lat, seq) AS olat, arg_min(lon, seq) AS olon,
+  arg_max(lat, seq) AS dlat, arg_max(lon, seq) AS dlon, arg_max(trip_distance, seq) AS far FROM dia GROUP BY 1, 2)
+SELECT user_id, trip_id, trip_code, make_timestamp(CAST(s AS BIGINT) * 1000000) AS "start_UTC", {_local("s")} AS start, make_timestamp(CAST(e AS BIGINT) * 1000000) AS "end_UTC", {_local("e")} AS "end", olat, olon, dlat, dlon,
+  round(round({geo.planar(geo.easting("olat", "olon"), geo.northing("olat", "olon"), geo.easting("dlat", "dlon"), geo.northing("dlat", "dlon"))}, 3), 1) AS direct_distance, round(far, 1) AS cumulative_distance FROM ts""",
         "spike_filter": f"WITH RECURSIVE {_good(WIDE)}, {_walk('good', _SPIKE)} SELECT user_id, point_id FROM walk WHERE kept",
         "logger_preprocess": f"WITH RECURSIVE {_pts(WIDE)}, {_walk('pts', _STEP)} SELECT user_id, point_id, coalesce(wt - pt, 0) AS duration_s, round(coalesce({geo.haversine('pla', 'plo', 'wla', 'wlo')}, 0), 3) AS distance_m FROM walk WHERE kept",
         "rolling_avg": p + f", n AS (SELECT *, row_number() {_W} AS i, count(*) OVER (PARTITION BY user_id) AS c, sum(value) OVER (PARTITION BY user_id ORDER BY t, point_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS s FROM pts) SELECT user_id, point_id, CASE WHEN i - 2 >= 10 AND c - i >= 10 THEN round(s / 21, 6) END AS rolling_avg FROM n",
@@ -234,7 +291,9 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY segment_group,
 m AS (SELECT user_id, {_local("t")}::DATE AS date, count(*) AS num_points, round(round(sum(distance_before), 3), 1) AS trips_distance_m FROM seg GROUP BY 1, 2)
 SELECT coalesce(x.user_id, m.user_id) AS user_id, coalesce(x.date, m.date) AS date, coalesce(num_trips, 0) AS num_trips, coalesce(trips_duration_s, 0) AS trips_duration_s, coalesce(commute_work_s, 0) AS commute_work_s, coalesce(commute_study_s, 0) AS commute_study_s,
 coalesce(dwell_home_s, 0) AS dwell_home_s, coalesce(dwell_work_s, 0) AS dwell_work_s, coalesce(dwell_study_s, 0) AS dwell_study_s, coalesce(num_points, 0) AS num_points, coalesce(trips_distance_m, 0) AS trips_distance_m FROM x FULL JOIN m ON x.user_id = m.user_id AND x.date = m.date""",
-        "activity_daily_pivot": f"""WITH {_SPANS}, {_pieces("dyn")} SELECT user_id, date, sum(seconds) FILTER (label = 'home-work') AS home_work, sum(seconds) FILTER (label = 'home-study') AS home_study, sum(seconds) FILTER (label = 'uncategorized') AS uncategorized FROM pc GROUP BY 1, 2""",
+        "activity_daily_pivot": f"""WITH {_SPANS}, dy AS (SELECT user_id, trip_key, 'commute' AS kind, label, start, "end" FROM dyn
+  UNION ALL SELECT user_id, trip_key, kind, coalesce(label, 'uncategorized'), start, "end" FROM spans WHERE kind = 'dwell'), {_pieces("dy")}
+SELECT user_id, date, {", ".join(f"sum(seconds) FILTER (kind = '{k}' AND label = '{x}') AS {k}_{x.replace('-', '_')}" for k, xs in (("commute", ("home-home", "home-study", "home-work", "study-study", "study-work", "work-work", "uncategorized")), ("dwell", ("home", "study", "work", "uncategorized"))) for x in xs)} FROM pc GROUP BY 1, 2""",
         "condensed_trips": f"WITH {_DAYS} SELECT dt.user_id, trip_num, CASE WHEN trip_code < 100 THEN 'complete' ELSE 'missing' END AS trip_type, date, coalesce(is_complete, false) AS complete_day FROM dt LEFT JOIN days USING (user_id, date)",
         "midnight_split": f"""WITH {_pts(clock=1)}, q AS (SELECT point_id, make_timestamp(t * 1000000) AS s, make_timestamp(t * 1000000) + INTERVAL 9 HOURS AS e FROM pts)
 SELECT point_id, s::DATE AS date, epoch(e) - epoch(s) AS seconds FROM q WHERE day(s) = day(e) UNION ALL SELECT point_id, s::DATE, epoch(date_trunc('day', e)) - epoch(s) FROM q WHERE day(s) <> day(e)

@@ -113,19 +113,21 @@ def velocity_links_older(spark, d):
     return _ends(stitch.velocity_links(_trips(spark, d), 2.0, chains=True), "link")
 
 
-def _linked(spark, d) -> DataFrame:
-    s = _segments(spark, d)
-    by_subway = stitch.merge_linked(s, stitch.subway_links(segment.summaries(s), adapters.entrances(spark, d)), "subway")
-    trips = segment.summaries(by_subway, "trip_key").withColumnRenamed("trip_key", "segment_group")
-    return stitch.merge_linked(by_subway, stitch.velocity_links(trips, 2.0), "walking")
+def _rules(spark, d) -> list:
+    entrances = adapters.entrances(spark, d)
+    return [("subway", lambda trips: stitch.subway_links(trips, entrances)), ("walking", lambda trips: stitch.velocity_links(trips, 2.0))]
 
 
 def linked_trips(spark, d):
-    return _linked(spark, d).groupBy("user_id", "trip_key").agg(F.count("*").alias("n_points"), F.array_join(F.array_sort(F.first("labels")), ",").alias("labels"))
+    trips = _trips(spark, d)
+    keys = stitch.link_keys(trips, _rules(spark, d)).join(trips.select("user_id", "segment_group", "n_points"), ["user_id", "segment_group"])
+    return keys.groupBy("user_id", "trip_key").agg(F.sum("n_points").alias("n_points"), F.array_join(F.first("labels"), ",").alias("labels"))
 
 
 def trip_points(spark, d):
-    return stitch.trip_points(_linked(spark, d)).select("user_id", "trip_num", "seq", "point_id", F.round("trip_distance", 1).alias("trip_distance"))
+    s = _segments(spark, d)
+    linked = s.join(stitch.link_keys(segment.summaries(s), _rules(spark, d)), ["user_id", "segment_group"])
+    return stitch.trip_points(linked).select("user_id", "trip_num", "seq", "point_id", F.round("trip_distance", 1).alias("trip_distance"))
 
 
 def missing_trips(spark, d):
@@ -150,6 +152,16 @@ def merged_diary(spark, d):
     return stitch.diary(trips, gaps).select("user_id", "trip_num", "trip_code", F.col("first.t").alias("start_t"), F.col("last.t").alias("end_t"))
 
 
+def phone_diary(spark, d):
+    p = stitch.phone_diary(_segments(spark, d), adapters.entrances(spark, d), _rules(spark, d))
+    return p.select("user_id", "trip_num", "trip_code", "seq", "point_id", "t", "lat", "lon", F.round("trip_distance", 1).alias("trip_distance"))
+
+
+def trip_summaries(spark, d):
+    p = stitch.phone_diary(_segments(spark, d), adapters.entrances(spark, d), _rules(spark, d))
+    return stitch.diary_summaries(p, C.timezone).withColumns({c: F.round(c, 1) for c in ("direct_distance", "cumulative_distance")})
+
+
 def lone_points(spark, d):
     places = activity.unpivot_locations(adapters.surveys(spark, d), ["home", "work", "study"])
     return stitch.lone_points(_trips(spark, d), clean.with_utm(places))
@@ -239,7 +251,7 @@ def activity_daily(spark, d):
 
 
 def activity_daily_pivot(spark, d):
-    return activity.daily_pivot(_spans(spark, d, True)[0], ["home-work", "home-study", "uncategorized"], C.timezone).withColumnsRenamed({"home-work": "home_work", "home-study": "home_study"})
+    return activity.daily_pivot(_spans(spark, d, True)[0], ["home", "work", "study"], C.timezone)
 
 
 def activity_condensed(spark, d):
@@ -327,7 +339,7 @@ def trip_diff(spark, d):
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     accuracy_filter, user_semijoin, time_range_inclusive, time_range_exclusive, utm_project, utm_round_trip, kinematics, haversine_standard, gap_segments,
     logger_segments, segment_summary, short_extent, missing_segments, nearest_entrance_first, subway_links, metro_links_older, velocity_links,
-    velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, lone_points, spike_filter, logger_preprocess, rolling_avg,
+    velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, phone_diary, trip_summaries, lone_points, spike_filter, logger_preprocess, rolling_avg,
     trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, label_points_last, label_points_first, location_overlaps, commutes_dwells,
     activity_daily, activity_daily_pivot, activity_condensed, condensed_trips, midnight_split, day_split, local_dates, kmeans_runs, heading_stops,
     stop_centroids, condensed_places, activity_locations, dbscan, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,

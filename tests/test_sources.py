@@ -88,3 +88,41 @@ def test_session_stream_equals_batch_segments(spark, tmp_path):
     query.stop()
     assert sorted(r.n_points for r in spark.table("sessions").collect()) == [2, 2]
     assert spark.createDataFrame(rows, "user_id long, ts timestamp").select(F.count("*")).first()[0] == 5
+
+
+def test_csv_rows_of_a_phone_diary(spark, tmp_path):
+    """Every column of the trip, summary and activity files is filled from the operators' results."""
+    from pyspark.sql import functions as F
+
+    from tripweave.operators import activity, days, segment, stitch
+    from tripweave.plans import adapters, queries
+
+    d = "/root/testdata/sf0.001"
+    points = queries._segments(spark, d)
+    diary = stitch.phone_diary(points, adapters.entrances(spark, d), queries._rules(spark, d)).cache()
+    rows = sinks.trip_rows(diary, start=7)
+    got = rows.orderBy("id").collect()
+    want = diary.orderBy("user_id", "trip_num", "seq").collect()
+    assert rows.columns == sinks.TRIP_POINTS and [r.id for r in got] == list(range(7, 7 + len(want)))
+    assert [(r.trip, r.timestamp_epoch, r.latitude) for r in got] == [(r.trip_num, r.t, r.lat) for r in want]
+    assert all(r.h_accuracy == -1 for r in got if r.trip_code in (101, 102, 104))
+    summaries = stitch.diary_summaries(diary, "America/Montreal").cache()
+    assert sinks.summary_rows(summaries).columns == sinks.TRIP_SUMMARIES and summaries.count() == diary.select("user_id", "trip_num").distinct().count()
+    for r in summaries.limit(20).collect():
+        own = [x for x in want if (x.user_id, x.trip_num) == (r.user_id, r.trip_id)]
+        assert (r.olat, r.dlon, r.cumulative_distance, r.trip_code) == (own[0].lat, own[-1].lon, own[-1].trip_distance, own[0].trip_code)
+    places = queries._places(spark, d)
+    local_days = summaries.select("user_id", F.to_date("start").alias("date")).distinct().withColumn("is_complete", F.lit(True))
+    condensed = sinks.condensed_trip_rows(summaries, local_days, places, 400.0)
+    assert condensed.columns == sinks.CONDENSED_TRIPS and condensed.count() == summaries.count() and condensed.where("not complete_day").count() == 0
+    spans, labelled = queries._spans(spark, d)
+    complete = days.complete_days(queries._day_trips(spark, d))
+    sinks.banner_csv(sinks.activity_rows(activity.condensed(spans, complete), summaries), str(tmp_path / "a"), sinks.ACTIVITY_SUMMARIES, [["Survey timezone:", "America/Montreal"]])
+    sinks.banner_csv(sinks.daily_rows(activity.daily(spans, labelled, "America/Montreal"), labelled, "America/Montreal", ["dwell_home_s"]), str(tmp_path / "b"), [*sinks.ACTIVITIES_DAILY, "dwell_home_s"], [["Survey timezone:", "America/Montreal"]])
+    sinks.banner_csv(sinks.location_rows(places), str(tmp_path / "c"), sinks.ACTIVITY_LOCATIONS, [["Activity Locations"]])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "c")).collect()]
+    assert "Activity Locations" in lines and "UUID,Label,Latitude,Longitude" in lines and len(lines) == places.count() + 2
+    assert spark.read.text(str(tmp_path / "a")).where("value like 'Survey timezone:,%'").count() == 1 and spark.read.text(str(tmp_path / "b")).count() > 2
+    assert segment.summaries(points).count() >= summaries.where("trip_code not in (101, 102, 104)").count()
+    diary.unpersist()
+    summaries.unpersist()

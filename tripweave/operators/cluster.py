@@ -108,40 +108,73 @@ def activity_locations(kmeans_stops: DataFrame, heading: DataFrame, key_a: str,
 
 
 def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> DataFrame:
-    """Add cluster (-1 noise): density clusters of each user's points, numbered by their first point in time.
-
-    Neighbours come from an equality of cells and an exact test, so that no user's
-    points are compared all with all. Core points are joined to the least core
-    point that they reach; a border point goes to its lowest cluster."""
-    cell = {"ci": F.floor(F.col("easting") / eps_m).cast("long"), "cj": F.floor(F.col("northing") / eps_m).cast("long")}
-    a = points.select("user_id", "point_id", "t", "easting", "northing").withColumns(cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = a.withColumn("o", around).select("user_id", F.col("point_id").alias("q"), F.col("easting").alias("qe"), F.col("northing").alias("qn"), (F.col("ci") + F.col("o.i")).alias("ci"), (F.col("cj") + F.col("o.j")).alias("cj"))
-    near = a.join(b, ["user_id", "ci", "cj"]).where(F.expr(geo.planar("easting", "northing", "qe", "qn")) < eps_m).select("user_id", "point_id", "q")
-    core = near.groupBy("user_id", "point_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("user_id", F.col("point_id").alias("q"))
-    links = near.join(core, ["user_id", "q"])
+    """Add cluster (-1 noise): density clusters of each user's points, numbered by their least core point; a border point goes to its lowest cluster.
+
+    Points of one cell (a square of eps / sqrt 2) are neighbours of each other, so
+    that all points of a cell with `min_points` are core without a look at their
+    neighbours, and clusters join cells, not points. Only the fewer points of
+    other cells are compared with those around them. Two cells are joined by
+    their boxes where these decide, else by points near the other cell's box."""
+    side = eps_m / 2**0.5 * (1 - 1e-9)
+    key = ["user_id", "ci", "cj"]
+    p = points.select("user_id", "point_id", "easting", "northing", F.floor(F.col("easting") / side).cast("long").alias("ci"), F.floor(F.col("northing") / side).cast("long").alias("cj"))
+    held = p.withColumn("k", F.count("*").over(Window.partitionBy(*key)))
+    # The corners of five by five cells are too far off.
+    near = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
+
+    def around(df: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+        """Each row once for each of the cells around its own: ci, cj are those."""
+        df = df.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+        return df.withColumns({"ci": F.col("ci") + F.col("_o.i"), "cj": F.col("cj") + F.col("_o.j")}).drop("_o")
+
+    def close(df: DataFrame, other: DataFrame, *keep: str) -> DataFrame:
+        """Pairs of rows of `df` (spread around) and `other` (columns q...) nearer than eps."""
+        far = F.expr(geo.planar("easting", "northing", "qe", "qn"))
+        return df.join(other, key).where(far < eps_m).select("user_id", "point_id", *keep)
+
+    every = held.select(*key, F.col("point_id").alias("q"), F.col("easting").alias("qe"), F.col("northing").alias("qn"))
+    few = held.where(F.col("k") < min_points).drop("k")
+    counted = close(around(few, near), every).groupBy("user_id", "point_id").agg(F.count("*").alias("k")).where(F.col("k") >= min_points).select("user_id", "point_id")
+    core = held.where(F.col("k") >= min_points).drop("k").unionByName(few.join(counted, ["user_id", "point_id"], "left_semi"))
+
+    box = core.groupBy(*key).agg(
+        F.min("point_id").alias("least"), F.min("easting").alias("e0"), F.max("easting").alias("e1"), F.min("northing").alias("n0"), F.max("northing").alias("n1")
+    )
+    names = {c: f"b_{c}" for c in ("least", "e0", "e1", "n0", "n1")}
+    ahead = [(i, j) for i, j in near if (i, j) > (0, 0)]
+    pairs = around(box.withColumns({"ai": F.col("ci"), "aj": F.col("cj")}), ahead).join(box.withColumnsRenamed(names), key)
+    gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"b_{lo}") - F.col(hi), F.col(lo) - F.col(f"b_{hi}"))
+    span = lambda lo, hi: F.greatest(F.col(f"b_{hi}") - F.col(lo), F.col(hi) - F.col(f"b_{lo}"))
+    pairs = pairs.withColumns({"nearest": F.hypot(gap("e0", "e1"), gap("n0", "n1")), "farthest": F.hypot(span("e0", "e1"), span("n0", "n1"))}).where(F.col("nearest") < eps_m + 1e-6)
+    sure = F.col("farthest") < eps_m - 1e-6
+    open_ = pairs.where(~sure).select("user_id", "ai", "aj", "ci", "cj", "least", "b_least", "b_e0", "b_e1", "b_n0", "b_n1")
+    off = lambda c, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(c), F.col(c) - F.col(hi))
+    facing = open_.join(core.withColumnsRenamed({"ci": "ai", "cj": "aj"}), ["user_id", "ai", "aj"]).where(F.hypot(off("easting", "b_e0", "b_e1"), off("northing", "b_n0", "b_n1")) < eps_m + 1e-6)
+    there = core.select(*key, F.col("easting").alias("qe"), F.col("northing").alias("qn"))
+    touching = facing.join(there, key).where(F.expr(geo.planar("easting", "northing", "qe", "qn")) < eps_m).select("user_id", "least", "b_least").distinct()
+    links = pairs.where(sure).select("user_id", "least", "b_least").unionByName(touching).unionByName(box.select("user_id", "least", F.col("least").alias("b_least")))
 
     def joined(frame):
         import pandas as pd
 
-        core_ids = set(frame["q"])
-        parent = {c: c for c in core_ids}
+        parent: dict = {}
 
         def top(i):
+            parent.setdefault(i, i)
             while parent[i] != i:
                 parent[i] = parent[parent[i]]
                 i = parent[i]
             return i
 
-        for p, q in zip(frame["point_id"], frame["q"], strict=True):
-            if p in core_ids:
-                x, y = top(p), top(q)
-                parent[max(x, y)] = min(x, y)
-        rank = {c: k for k, c in enumerate(sorted({top(c) for c in core_ids}), start=1)}
-        best: dict = {}
-        for p, q in zip(frame["point_id"], frame["q"], strict=True):
-            best[p] = min(best.get(p, 1 << 60), rank[top(p if p in core_ids else q)])
-        return pd.DataFrame({"user_id": frame["user_id"].iloc[0], "point_id": list(best), "cluster": list(best.values())})
-
-    found = links.groupBy("user_id").applyInPandas(joined, "user_id long, point_id long, cluster long")
-    return points.join(found, ["user_id", "point_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+        for a, b in zip(frame["least"].tolist(), frame["b_least"].tolist(), strict=True):
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+        rank = {c: k for k, c in enumerate(sorted({top(c) for c in list(parent)}), start=1)}
+        return pd.DataFrame({"user_id": frame["user_id"].iloc[0], "least": list(parent), "cluster": [rank[top(c)] for c in list(parent)]})
+
+    # A user's cells, each named by its least core point.
+    of_cell = box.select(*key, "least").join(links.groupBy("user_id").applyInPandas(joined, "user_id long, least long, cluster long"), ["user_id", "least"]).drop("least")
+    inner = core.join(of_cell, key).select("user_id", "point_id", "cluster")
+    rest = few.join(counted, ["user_id", "point_id"], "left_anti")
+    border = close(around(rest, near), there.join(of_cell, key), "cluster").groupBy("user_id", "point_id").agg(F.min("cluster").alias("cluster"))
+    return points.join(inner.unionByName(border), ["user_id", "point_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

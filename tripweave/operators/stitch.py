@@ -233,7 +233,7 @@ def trip_points(points: DataFrame) -> DataFrame:
 
 
 def phone_diary(points: DataFrame, entrances: DataFrame, rules: list[tuple[str, object]], min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0) -> DataFrame:
-    """The whole of it, from segmented points to the points of a numbered diary: user_id, trip_num, trip_code, seq, point_id, t, lat, lon, trip_distance.
+    """The whole of it, from segmented points to the points of a numbered diary: user_id, trip_num, trip_code, seq, point_id, t, lat, lon, distance_before, period_before, trip_distance.
 
     Segments are linked by the rules, gaps between trips become trips of two
     points, and a trip after a cold start or a gap that is too short begins with
@@ -247,23 +247,23 @@ def phone_diary(points: DataFrame, entrances: DataFrame, rules: list[tuple[str,
     before = gaps.select("user_id", "segment_group", "kind", "prev_last")
     coded = trip_codes(trips.join(before, ["user_id", "segment_group"], "left").withColumn("too_short", F.coalesce(F.col("kind") == "too_short", F.lit(False))))
     codes = coded.select("user_id", F.col("segment_group").alias("trip_key"), "trip_code")
-    row = ["user_id", "trip_key", "after", "trip_code", "place", "point_id", "t", "lat", "lon", "distance_before"]
+    row = ["user_id", "trip_key", "after", "trip_code", "place", "point_id", "t", "lat", "lon", "distance_before", "period_before"]
     real = own.join(codes, ["user_id", "trip_key"]).withColumns({"after": F.lit(1), "place": F.lit(1)}).select(*row)
     copied = coded.where("kind in ('cold_start', 'too_short')").select(
         "user_id", F.col("segment_group").alias("trip_key"), F.lit(1).alias("after"), "trip_code", F.lit(0).alias("place"), F.lit(None).cast("long").alias("point_id"),
-        "first.t", "prev_last.lat", "prev_last.lon", "prev_last.distance_before",
+        "first.t", "prev_last.lat", "prev_last.lon", "prev_last.distance_before", "first.period_before",
     )
     two = F.explode(F.array(
-        F.struct(F.lit(1).alias("place"), F.col("prev_last.t"), F.col("prev_last.lat"), F.col("prev_last.lon"), F.lit(0.0).alias("distance_before")),
-        F.struct(F.lit(2).alias("place"), F.col("first.t"), F.col("first.lat"), F.col("first.lon"), F.col("gap_m").alias("distance_before")),
+        F.struct(F.lit(1).alias("place"), F.col("prev_last.t"), F.col("prev_last.lat"), F.col("prev_last.lon"), F.lit(0.0).alias("distance_before"), F.lit(0).cast("long").alias("period_before")),
+        F.struct(F.lit(2).alias("place"), F.col("first.t"), F.col("first.lat"), F.col("first.lon"), F.col("gap_m").alias("distance_before"), F.col("gap_s").cast("long").alias("period_before")),
     ))
     jumps = gap_codes(gaps).where("trip_code <> 103").select("user_id", F.col("segment_group").alias("trip_key"), F.lit(0).alias("after"), "trip_code", F.lit(None).cast("long").alias("point_id"), two.alias("x"))
-    jumps = jumps.select("user_id", "trip_key", "after", "trip_code", "x.place", "point_id", "x.t", "x.lat", "x.lon", "x.distance_before")
+    jumps = jumps.select("user_id", "trip_key", "after", "trip_code", "x.place", "point_id", "x.t", "x.lat", "x.lon", "x.distance_before", "x.period_before")
     every = real.unionByName(copied).unionByName(jumps)
     num = F.dense_rank().over(Window.partitionBy("user_id").orderBy("trip_key", "after"))
     w = Window.partitionBy("user_id", "trip_key", "after").orderBy("place", "t", "point_id")
     out = every.withColumns({"trip_num": num, "seq": F.row_number().over(w), "trip_distance": F.round(F.sum("distance_before").over(w), 3)})
-    return out.select("user_id", "trip_num", "trip_code", "seq", "point_id", "t", "lat", "lon", "trip_distance")
+    return out.select("user_id", "trip_num", "trip_code", "seq", "point_id", "t", "lat", "lon", "distance_before", "period_before", "trip_distance")
 
 
 def diary_summaries(diary: DataFrame, timezone: str) -> DataFrame:

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import local
+from ..operators.activity import label_points
+
 #: Columns of the CSV files, in order.
 TRIP_POINTS = ["id", "uuid", "trip", "latitude", "longitude", "h_accuracy", "timestamp_UTC", "timestamp_epoch", "trip_distance", "distance", "break_period", "trip_code"]
 TRIP_SUMMARIES = ["uuid", "trip_id", "start_UTC", "start", "end_UTC", "end", "trip_code", "olat", "olon", "dlat", "dlon", "merge_codes", "direct_distance", "cumulative_distance"]
 COMPLETE_DAYS = ["uuid", "date_UTC", "has_trips", "is_complete", "start_latitude", "start_longitude", "end_latitude", "end_longitude", "consecutive_inactive_days", "inactivity_streak"]
 
+ACTIVITY_SUMMARIES = [
+    "uuid", "start_timestamp", "end_timestamp", "complete_days", "incomplete_days", "inactive_days", "num_trips", "avg_trips_per_day", "total_trips_distance_m", "avg_trip_distance_m",
+    "total_trips_duration_s", "dwell_time_home_s", "dwell_time_work_s", "dwell_time_study_s", "commute_time_study_s", "commute_time_work_s",
+]
+ACTIVITIES_DAILY = ["uuid", "date", "start_time", "end_time", "num_trips", "num_points", "trips_distance_m", "trips_duration_s"]
+ACTIVITY_LOCATIONS = ["UUID", "Label", "Latitude", "Longitude"]
+CONDENSED_TRIPS = [
+    "uuid", "trip_id", "start_UTC", "start", "end_UTC", "end", "trip_code", "trip_type", "olat", "olon", "dlat", "dlon", "olocation", "dlocation", "direct_distance", "cumulative_distance", "complete_day",
+]
+
 
 def csv(df: DataFrame, path: str, columns: list[str], append: bool = False, one_file: bool = False) -> None:
     """Write `columns` (absent ones empty) as CSV with a header; booleans become 0 and 1."""
@@ -19,6 +32,79 @@ def csv(df: DataFrame, path: str, columns: list[str], append: bool = False, one_
     (out.coalesce(1) if one_file else out).write.mode("append" if append else "overwrite").csv(path, header=True)
 
 
+def banner_csv(df: DataFrame, path: str, columns: list[str], banners: list[list], append: bool = False) -> None:
+    """CSV lines under one or more title rows; the titles and the header are a part file of their own, all tasks write the rest."""
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    value = lambda c: F.col(c).cast("int" if kinds[c] == "boolean" else "string").alias(c) if c in kinds else F.lit(None).cast("string").alias(c)
+    line = lambda row: F.to_csv(F.struct(*[F.lit(x).cast("string").alias(f"c{i}") for i, x in enumerate(row)]))
+    if not append:
+        spark.range(1).select(F.explode(F.array(*[line(r) for r in (*banners, columns)])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.to_csv(F.struct(*[value(c) for c in columns])).alias("value")).write.mode("append").text(path)
+
+
+def trip_rows(diary: DataFrame, start: int = 1) -> DataFrame:
+    """The columns of TRIP_POINTS from a phone diary; ids run from `start` through users, trips and points.
+
+    Users' first ids come from one running sum over a row for each user; points are numbered within their user."""
+    sizes = diary.groupBy("user_id").agg(F.count("*").alias("_n"))
+    first = sizes.select("user_id", (F.sum("_n").over(Window.orderBy("user_id")) - F.col("_n")).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("user_id").orderBy("trip_num", "seq"))
+    df = diary.withColumn("_own", own).join(first, "user_id")
+    accuracy = F.when(F.col("trip_code").between(101, 199), F.lit(-1.0))
+    if "h_accuracy" in diary.columns:
+        accuracy = F.coalesce("h_accuracy", accuracy)
+    return df.select(
+        (F.col("_first") + F.col("_own") + start - 1).alias("id"), F.lit(None).cast("string").alias("uuid"), F.col("trip_num").alias("trip"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+        accuracy.alias("h_accuracy"), F.timestamp_seconds("t").cast("timestamp_ntz").alias("timestamp_UTC"), F.col("t").alias("timestamp_epoch"), "trip_distance",
+        F.col("distance_before").alias("distance"), F.col("period_before").alias("break_period"), "trip_code",
+    )
+
+
+def summary_rows(summaries: DataFrame) -> DataFrame:
+    """The columns of TRIP_SUMMARIES from stitch.diary_summaries()."""
+    return summaries.withColumnRenamed("user_id", "uuid").withColumn("merge_codes", F.lit(None).cast("string")).select(*TRIP_SUMMARIES)
+
+
+def day_rows(days: DataFrame) -> DataFrame:
+    """The columns of COMPLETE_DAYS from days with start and end points; the end takes the start's coordinates, as the format's readers expect."""
+    at = {f"{end}_{k}": F.col(f"start.{c}") if "start" in days.columns else F.lit(None).cast("double") for end in ("start", "end") for k, c in (("latitude", "lat"), ("longitude", "lon"))}
+    return days.withColumns(at).withColumnsRenamed({"user_id": "uuid", "date": "date_UTC"}).select(*COMPLETE_DAYS)
+
+
+def activity_rows(condensed: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The columns of ACTIVITY_SUMMARIES from activity.condensed() and the trips' summaries."""
+    far = summaries.where("trip_code < 100").groupBy("user_id").agg(F.round(F.sum("cumulative_distance"), 3).alias("total_trips_distance_m"), F.round(F.avg("cumulative_distance"), 3).alias("avg_trip_distance_m"))
+    df = condensed.join(far, "user_id", "left").withColumnsRenamed({
+        "user_id": "uuid", "first_seen": "start_timestamp", "last_seen": "end_timestamp", "total_commute_s": "total_trips_duration_s",
+        **{f"stay_time_{x}_s": f"dwell_time_{x}_s" for x in ("home", "work", "study")},
+    })
+    return df.select(*ACTIVITY_SUMMARIES)
+
+
+def daily_rows(daily: DataFrame, points: DataFrame, timezone: str, extra: list[str] | None = None) -> DataFrame:
+    """The columns of ACTIVITIES_DAILY, and `extra` ones, from activity.daily(); start and end are the day's first and last point."""
+    at = local(F.timestamp_seconds("t").cast("timestamp_ntz"), timezone)
+    seen = points.groupBy("user_id", F.to_date(at).alias("date")).agg(F.min(at).alias("start_time"), F.max(at).alias("end_time"))
+    return daily.join(seen, ["user_id", "date"], "left").withColumnRenamed("user_id", "uuid").select(*ACTIVITIES_DAILY, *(extra or []))
+
+
+def location_rows(locations: DataFrame) -> DataFrame:
+    """The columns of ACTIVITY_LOCATIONS from user_id, label, lat and lon."""
+    return locations.select(F.col("user_id").alias("UUID"), F.col("label").alias("Label"), F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"))
+
+
+def condensed_trip_rows(summaries: DataFrame, days: DataFrame, locations: DataFrame, proximity_m: float = 50.0) -> DataFrame:
+    """The columns of CONDENSED_TRIPS: both ends labelled by the first location in reach, and whether the local date is a complete day."""
+    out = summaries
+    for end in ("o", "d"):
+        ends = out.select("user_id", F.col("trip_id").alias("point_id"), F.col(f"{end}lat").alias("lat"), F.col(f"{end}lon").alias("lon"))
+        found = label_points(ends, locations, proximity_m, last=False, out=f"{end}location")
+        out = out.join(found.select("user_id", F.col("point_id").alias("trip_id"), f"{end}location"), ["user_id", "trip_id"])
+    out = out.withColumn("date", F.to_date("start")).join(days.select("user_id", "date", F.col("is_complete").alias("complete_day")), ["user_id", "date"], "left")
+    out = out.withColumns({"trip_type": F.when(F.col("trip_code") < 100, "complete").otherwise("missing"), "complete_day": F.coalesce("complete_day", F.lit(False))})
+    return out.withColumnRenamed("user_id", "uuid").select(*CONDENSED_TRIPS)
+
+
 def point_feature(lon: Column, lat: Column, properties: Column) -> Column:
     geometry = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"})

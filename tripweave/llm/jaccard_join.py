@@ -8,8 +8,10 @@ differ by one element, with e + 2 d = H(u) + 1 + SPARE. As H(u) differences can'
 spoil them all, two similar sets agree in some segment: its signature (for the d
 segments also those of its one-deletion neighbourhood) is the key of the index.
 How many segments of each kind a band gets is chosen by cost: signatures to
-shuffle plus expected chance agreements. Up to SPARE empty segments of a set
-aren't indexed, since more segments than that agree.
+shuffle plus expected chance agreements. As SPARE segments more than one agree,
+that many empty ones of a set aren't indexed, and a set that shares fewer keys
+than the rest of them with others has no partner: sets and keys that chance has
+brought together go before any set is looked at.
 
 A set indexes its own band and, if a larger partner can lie there, the next.
 Components are found in rounds over what is still apart. The hub of a key is the
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-#: Empty segments that need not be indexed.
+#: Segments that agree beyond the one that must: a tenth of the differences, and at least so many.
 SPARE = 2
 #: Weight of a chance agreement against a signature, in the cost of an allocation.
 CHANCE = 1000
@@ -96,7 +98,7 @@ def allocation(size: int, percent: int) -> tuple[int, int, int]:
     in it, which falls with the number of elements that it covers."""
     differences = most_differences(size, percent)
     best = None
-    for spare in (0, SPARE):
+    for spare in (0, max(SPARE, differences // 10)):
         need = differences + 1 + spare
         for d in sorted({0, 1, 2, need // 4, need // 2}):
             if 2 * d > need:
@@ -112,14 +114,19 @@ def allocation(size: int, percent: int) -> tuple[int, int, int]:
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """The index keys of a set, over its own band and, where a larger partner can lie there, the next."""
+    return keys_of(elements, percent)[0]
+
+
+def keys_of(elements: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(signatures, how many of them any similar set shares at least)."""
     n = len(elements)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0
     limits = bands(percent)
     own = int(np.searchsorted(limits, n))
     joined = [own] + [own + 1] * (100 * n >= percent * (limits[own] + 1))
     value, place = mix(elements), mix(elements, _M2) >> np.uint64(24)
-    out = []
+    out, least = [], n + 1
     for band in joined:
         m, d, spare = allocation(limits[band], percent)
         at = (place % np.uint64(m)).astype(np.int64)
@@ -132,12 +139,15 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         keys = mix(total + name, _M2)
         empty = counts == 0
         empty[:d] = False
-        out.append(keys[~empty] if empty.sum() <= spare else keys)
+        left_out = int(empty.sum()) if empty.sum() <= spare else 0
+        out.append(keys[~empty] if left_out else keys)
+        agree = spare + 1 - left_out  # by weight: a segment that may differ by one element weighs two
+        least = min(least, -(-agree // 2) if d else agree)
         if d:
             inside = order[at[order] < d]
             seg = at[inside]
             out.append(mix(total[seg] - value[inside] + name[seg], _M2))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), least
 
 
 #: Bytes of text that a task hashes at once; a longer text is hashed alone.
@@ -232,26 +242,28 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def index(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, size, k1, k2 and sigs: each row's id, the size and key of its set, and its index keys.
+    """d, size, k1, k2, need and sigs: each row's id, the size and key of its set, the keys that a similar set shares, and its index keys.
 
     A set that a slice of rows has twice is indexed once, rows without an id not at all (no keys in the other rows)."""
 
     def work(ids, sets):
         import pyarrow as pa
 
-        keys, sigs, seen = [], [], set()
+        keys, sigs, needs, seen = [], [], [], set()
         for i, s in zip(ids, sets, strict=True):
             k = _set_key(s)
             keys.append(k)
             known = i is None or k in seen
-            sigs.append(np.zeros(0, np.uint64) if known else signatures(s, percent))
+            own, need = (np.zeros(0, np.uint64), 0) if known else keys_of(s, percent)
+            sigs.append(own)
+            needs.append(need)
             if not known:
                 seen.add(k)
         ends = np.concatenate(([0], np.cumsum(list(map(len, sigs)))))
         flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs).view(np.int64)))
-        return ids, list(map(len, sets)), [k[0] for k in keys], [k[1] for k in keys], flat
+        return ids, list(map(len, sets)), [k[0] for k in keys], [k[1] for k in keys], needs, flat
 
-    return _map_sets(docs, n, work, "d long, size long, k1 long, k2 long, sigs array<long>", id_col, text)
+    return _map_sets(docs, n, work, "d long, size long, k1 long, k2 long, need int, sigs array<long>", id_col, text)
 
 
 #: Parts of the hash range in which the elements of a set are counted, up to 255 in each: few for a first look, more for long texts.
@@ -324,14 +336,30 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _live(keys: DataFrame) -> DataFrame:
+    """Of the keys (sig, d, c, size, need) those that hold several components, of sets that have as many of them as a similar set would share.
+
+    Two similar sets of unlike components that weren't compared share all their
+    common keys, so that neither loses one of them here. Discards `keys`."""
+    for _ in range(2):
+        apart = keys.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
+        several = materialize(keys.join(apart, "sig", "left_semi"), "join-keys")
+        enough = several.groupBy("d").agg(F.count("*").alias("k"), F.max("need").alias("least")).where("k >= least").select("d")
+        left = materialize(several.join(enough, "d", "left_semi").select(*keys.columns), "join-keys")
+        discard(keys)
+        discard(several)
+        keys = left
+    return keys
+
+
 class _Rounds:
-    """What is still apart: keys (sig, d, size, c) that hold several components, with the component c of each set d."""
+    """What is still apart: keys (sig, d, c, size, need) that hold several components, with the component c of each set d."""
 
     def __init__(self, keys: DataFrame, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
         self.links = None
         self.labels = None  # d, c of the sets that some link has reached
-        self.keys = keys.withColumn("c", F.col("d"))
+        self.keys = keys
 
     def fits(self, a, b):
         """Sizes of which one set can be similar to the other."""
@@ -358,17 +386,13 @@ class _Rounds:
             fresh = moved.join(self.labels.select("d"), "d", "left_anti")
             self.labels = materialize(again.union(fresh), "join-labels")
         placed = self.keys.drop("c").join(self.labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
-        placed = materialize(placed, "join-keys")
-        apart = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
-        held, self.keys = self.keys, materialize(placed.join(apart, "sig", "left_semi"), "join-keys")
-        discard(placed)
+        held, self.keys = self.keys, _live(materialize(placed.select("sig", "d", "c", "size", "need"), "join-keys"))
         discard(held)
 
     def leave(self, hubs: DataFrame) -> None:
         """Take the hubs out of their keys, once they have been compared with all other sets there."""
         rest = self.keys.join(hubs.select("sig", F.col("hub").alias("d")), ["sig", "d"], "left_anti")
-        apart = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig")
-        held, self.keys = self.keys, materialize(rest.join(apart, "sig", "left_semi"), "join-keys")
+        held, self.keys = self.keys, _live(materialize(rest.select("sig", "d", "c", "size", "need"), "join-keys"))
         discard(held)
 
     def hubs(self) -> tuple[DataFrame, DataFrame]:
@@ -420,8 +444,8 @@ def _pair(df: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, classes, keys, sets): d, size, k1, k2 of each row; k1, k2, rep, size of each set; sig, d, size of keys that several sets have; the sets of those."""
     indexed = materialize(index(docs, n, percent, id_col, text), "join-index")
-    rows = materialize(indexed.drop("sigs"), "join-members")
-    classes = rows.where((F.col("size") > 0) & F.col("d").isNotNull()).groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.first("size").alias("size"))
+    rows = materialize(indexed.drop("sigs", "need"), "join-members")
+    classes = indexed.where((F.col("size") > 0) & F.col("d").isNotNull()).groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.first("size").alias("size"), F.max("need").alias("need"))
     classes = materialize(classes, "join-classes")
 
     # Keys of one set only need no look: the least and the largest set of a key differ, or all are one.
@@ -430,7 +454,9 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> t
     several = materialize(several, "join-several")
     small = several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     shared = found.join(F.broadcast(several) if small else several, "sig", "left_semi").distinct()
-    keys = materialize(shared.join(classes.select("k1", F.col("rep").alias("d"), "size"), "k1").select("sig", "d", "size"), "join-keys")
+    own = classes.select("k1", F.col("rep").alias("d"), F.col("rep").alias("c"), "size", "need")
+    keys = materialize(shared.join(own, "k1").select("sig", "d", "c", "size", "need"), "join-keys")
+    keys = _live(keys)
     discard(indexed)
     discard(several)
 

@@ -91,11 +91,12 @@ def condense(spots: DataFrame, key: str, radius_m: float = 150.0) -> DataFrame:
                     for j in cells.get(other, ()):
                         if i != j and math.hypot(e[i] - e[j], n[i] - n[j]) <= radius_m:
                             parent[top(i)] = top(j)
-        out = pd.DataFrame({"g": [top(i) for i in range(len(k))], "e": e, "n": n, "k": k})
-        out = out.groupby("g").agg(e=("e", "mean"), n=("n", "mean"), k=("k", "min")).sort_values("k")
-        return pd.DataFrame({"user_id": frame["user_id"].iloc[0], "place": range(1, len(out) + 1), "easting": out["e"].round(3).tolist(), "northing": out["n"].round(3).tolist()})
+        return pd.DataFrame({"user_id": frame["user_id"], "_k": k, "_c": [top(i) for i in range(len(k))], "easting": e, "northing": n})
 
-    return spots.select("user_id", key, "easting", "northing").groupBy("user_id").applyInPandas(grouped, "user_id long, place long, easting double, northing double")
+    found = spots.select("user_id", key, "easting", "northing").groupBy("user_id").applyInPandas(grouped, "user_id long, _k long, _c long, easting double, northing double")
+    centre = lambda c: (F.round(F.sum(F.round(F.col(c) * 1000).cast("long")) / F.count("*")) / 1000).alias(c)  # noqa: E731  of whole millimetres: the order of a sum changes nothing
+    places = found.groupBy("user_id", "_c").agg(F.min("_k").alias("_k"), centre("easting"), centre("northing"))
+    return places.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("_k")).cast("long").alias("place"), "easting", "northing")
 
 
 def activity_locations(kmeans_stops: DataFrame, heading: DataFrame, key_a: str, key_b: str, radius_m: float = 150.0, match_m: float = 50.0) -> DataFrame:

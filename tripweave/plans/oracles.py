@@ -238,6 +238,36 @@ walk AS (SELECT user_id, i, point_id, true AS kept, t AS wt, easting AS we, nort
 _SPIKE = f"NOT (n.xe IS NOT NULL AND {geo.planar('w.we', 'w.wn', 'n.easting', 'n.northing')} <> 0 AND n.t <> w.wt AND {geo.planar('w.we', 'w.wn', 'n.easting', 'n.northing')} / nullif(n.t - w.wt, 0) >= {100 / 3.6!r} AND {geo.planar('w.we', 'w.wn', 'n.xe', 'n.xn')} < {geo.planar('w.we', 'w.wn', 'n.easting', 'n.northing')})"
 _STEP = f"n.t <> w.wt AND {geo.haversine('w.wla', 'w.wlo', 'n.lat', 'n.lon')} >= 0.1"
 
+def _ellipsoid(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Ellipsoidal distance over short ways: the radii of curvature at the middle latitude (within a millimetre at 750 m)."""
+    mid, e2 = f"radians(({lat1} + {lat2}) / 2)", "0.0066943799901413165"
+    w = f"(1 - {e2} * pow(sin({mid}), 2))"
+    return f"sqrt(pow(6378137.0 * (1 - {e2}) / pow({w}, 1.5) * radians({lat2} - {lat1}), 2) + pow(6378137.0 / sqrt({w}) * cos({mid}) * radians({lon2} - {lon1}), 2))"
+
+
+def _condensed(spots: str, key: str, out: str, radius: float = 150.0) -> str:
+    """`out` (user_id, place, easting, northing): centres of the components of spots, each spot walking to all that it reaches; for use under WITH RECURSIVE."""
+    return f"""n_{out} AS (SELECT a.user_id, a.{key} AS p, b.{key} AS q FROM {spots} a JOIN {spots} b ON a.user_id = b.user_id AND {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} <= {radius}),
+r_{out} AS (SELECT user_id, {key} AS root, {key} AS p FROM {spots} UNION SELECT r.user_id, r.root, n.q FROM r_{out} r JOIN n_{out} n ON n.user_id = r.user_id AND n.p = r.p),
+c_{out} AS (SELECT user_id, p, min(root) AS c FROM r_{out} GROUP BY 1, 2),
+{out} AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY c) AS place, easting, northing FROM (
+  SELECT s.user_id, c, round(sum(round(easting * 1000)::BIGINT) / count(*)) / 1000 AS easting, round(sum(round(northing * 1000)::BIGINT) / count(*)) / 1000 AS northing FROM {spots} s JOIN c_{out} x ON x.user_id = s.user_id AND x.p = s.{key} GROUP BY 1, 2))"""
+
+
+def _centres(points: str, key: str, out: str) -> str:
+    return f"{out} AS (SELECT user_id, {key}, round(avg(easting), 3) AS easting, round(avg(northing), 3) AS northing FROM {points} GROUP BY 1, 2)"
+
+
+_KMEANS = f"""v AS (SELECT user_id, point_id, t, least(coalesce(value, 0), 50) AS v FROM pts), c AS (SELECT DISTINCT user_id, v AS c FROM v),
+m AS (SELECT v.user_id, c, count(*) AS n, sum(v) AS s, sum(v * v) AS q, count(*) FILTER (v <= c) AS n1, sum(v) FILTER (v <= c) AS s1, sum(v * v) FILTER (v <= c) AS q1 FROM v JOIN c USING (user_id) GROUP BY 1, 2),
+e AS (SELECT user_id, c, round(q1 - s1 * s1 / n1 + (q - q1) - (s - s1) * (s - s1) / (n - n1), 6) AS sse FROM m WHERE n1 < n),
+b AS (SELECT user_id, arg_min(c, ROW(sse, c)) AS split FROM e GROUP BY 1),
+k AS (SELECT v.*, CASE WHEN v > split THEN 'trip' ELSE 'stop' END AS kmeans FROM v LEFT JOIN b USING (user_id)),
+r AS (SELECT *, CASE WHEN lag(kmeans) {_W} = kmeans THEN 0 ELSE 1 END AS new FROM k), g AS (SELECT *, sum(new) {_W} AS run FROM r)"""
+_HEADING = f"""hv AS (SELECT * FROM pts WHERE value <> 0), hh AS (SELECT *, value >= stddev_pop(value) OVER (PARTITION BY user_id) + round_even((max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id)) / 2, 0) AS inn FROM hv),
+hg AS (SELECT *, sum((NOT inn)::INT) {_W} AS run FROM hh), hz AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last FROM hg),
+hs AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY run) AS stop FROM hz WHERE inn AND run < last)"""
+
 _LAT, _LON = geo.to_latlon("easting", "northing", "18")
 
 
@@ -282,6 +312,7 @@ SELECT user_id, trip_id, trip_code, make_timestamp(CAST(s AS BIGINT) * 1000000)
         "complete_days": f"WITH {_DAYS} SELECT user_id, date, has_trips, is_complete, n_trips FROM days",
         "inactivity": f"WITH {_DAYS} SELECT user_id, date, consecutive_inactive_days, first_inactive_day, inactive_day_streak, inactivity_streak FROM ina",
         "explained_days": f"WITH {_DAYS} SELECT user_id, date, is_complete OR explained AS is_complete, explained, CASE WHEN is_complete OR explained THEN 'complete' WHEN has_trips THEN 'incomplete' ELSE 'inactive' END AS state FROM ex",
+        "explained_days_geodesic": "WITH " + _DAYS.replace(geo.haversine("a.e_lat", "a.e_lon", "b.s_lat", "b.s_lon"), _ellipsoid("a.e_lat", "a.e_lon", "b.s_lat", "b.s_lon")) + " SELECT user_id, date, explained FROM ex",
         "unpivot_locations": f"WITH {_SURVEY} SELECT * FROM places",
         "label_points_last": p + f", {_SURVEY}, {_label('arg_max', 'pts', 300.0)} SELECT user_id, point_id, label FROM pts LEFT JOIN lab USING (user_id, point_id)",
         "label_points_first": p + f", {_SURVEY}, {_label('arg_min', 'pts', 300.0)} SELECT user_id, point_id, label FROM pts LEFT JOIN lab USING (user_id, point_id)",
@@ -303,15 +334,19 @@ r AS (SELECT *, unnest(generate_series(date_trunc('day', s), date_trunc('day', e
 SELECT point_id, d::DATE AS date, epoch(least(e, d + INTERVAL 1 DAY)) - epoch(greatest(s, d)) AS seconds FROM r""",
         "local_dates": f"WITH {_pts(clock=1)} SELECT user_id, {_local('t')}::DATE AS date, count(*) AS n_points FROM pts GROUP BY 1, 2",
         "stop_centroids": f"WITH {_seg()} SELECT user_id, segment_group, round(round(avg(easting), 3), 1) AS easting, round(round(avg(northing), 3), 1) AS northing, min(t) AS first_t, max(t) AS last_t, count(*) AS n_points FROM seg GROUP BY 1, 2",
-        "heading_stops": p + f""", v AS (SELECT * FROM pts WHERE value <> 0), h AS (SELECT *, value >= stddev_pop(value) OVER (PARTITION BY user_id) + round_even((max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id)) / 2, 0) AS inn FROM v),
-g AS (SELECT *, sum((NOT inn)::INT) {_W} AS run FROM h), z AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last FROM g) SELECT user_id, point_id, dense_rank() OVER (PARTITION BY user_id ORDER BY run) AS stop FROM z WHERE inn AND run < last""",
-        "kmeans_runs": p + f""", v AS (SELECT user_id, point_id, t, least(coalesce(value, 0), 50) AS v FROM pts), c AS (SELECT DISTINCT user_id, v AS c FROM v),
-m AS (SELECT v.user_id, c, count(*) AS n, sum(v) AS s, sum(v * v) AS q, count(*) FILTER (v <= c) AS n1, sum(v) FILTER (v <= c) AS s1, sum(v * v) FILTER (v <= c) AS q1 FROM v JOIN c USING (user_id) GROUP BY 1, 2),
-e AS (SELECT user_id, c, round(q1 - s1 * s1 / n1 + (q - q1) - (s - s1) * (s - s1) / (n - n1), 6) AS sse FROM m WHERE n1 < n),
-b AS (SELECT user_id, arg_min(c, ROW(sse, c)) AS split FROM e GROUP BY 1),
-k AS (SELECT v.*, CASE WHEN v > split THEN 'trip' ELSE 'stop' END AS kmeans FROM v LEFT JOIN b USING (user_id)),
-r AS (SELECT *, CASE WHEN lag(kmeans) {_W} = kmeans THEN 0 ELSE 1 END AS new FROM k), g AS (SELECT *, sum(new) {_W} AS run FROM r)
-SELECT user_id, point_id, CASE WHEN kmeans = 'stop' AND max(t) OVER q - min(t) OVER q < 120 THEN 'trip' ELSE kmeans END AS kmeans, run FROM g WINDOW q AS (PARTITION BY user_id, run)""",
+        "heading_stops": p + f", {_HEADING} SELECT user_id, point_id, stop FROM hs",
+        "kmeans_runs": p + f", {_KMEANS} SELECT user_id, point_id, CASE WHEN kmeans = 'stop' AND max(t) OVER q - min(t) OVER q < 120 THEN 'trip' ELSE kmeans END AS kmeans, run FROM g WINDOW q AS (PARTITION BY user_id, run)",
+        "condensed_places": f"WITH RECURSIVE {_seg()}, {_centres('seg', 'segment_group', 'sc')}, {_condensed('sc', 'segment_group', 'pl')} SELECT user_id, place, round(easting, 1) AS easting, round(northing, 1) AS northing FROM pl",
+        "activity_locations": f"""WITH RECURSIVE {_pts()}, {_KMEANS}, {_HEADING}, ks AS (SELECT pts.*, run FROM g JOIN pts USING (user_id, point_id) WHERE kmeans = 'stop'), {_centres("ks", "run", "ka")}, {_centres("hs", "stop", "ha")},
+{_condensed("ka", "run", "pa")}, {_condensed("ha", "stop", "pb")},
+ok AS (SELECT DISTINCT pb.* FROM pb JOIN pa ON pa.user_id = pb.user_id AND {geo.planar("pa.easting", "pa.northing", "pb.easting", "pb.northing")} <= 50)
+SELECT user_id, round(easting, 1) AS easting, round(northing, 1) AS northing, 'location_' || row_number() OVER (PARTITION BY user_id ORDER BY place) AS label FROM ok""",
+        "dbscan": f"""WITH RECURSIVE {_pts()}, nb AS (SELECT a.user_id, a.point_id AS p, b.point_id AS q FROM pts a JOIN pts b ON a.user_id = b.user_id AND {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} < 120),
+core AS (SELECT user_id, p FROM nb GROUP BY 1, 2 HAVING count(*) >= 5), cl AS (SELECT nb.* FROM nb JOIN core a USING (user_id, p) JOIN core b ON b.user_id = nb.user_id AND b.p = nb.q),
+reach AS (SELECT user_id, p AS root, p FROM core UNION SELECT r.user_id, r.root, cl.q FROM reach r JOIN cl ON cl.user_id = r.user_id AND cl.p = r.p),
+lab AS (SELECT user_id, p, dense_rank() OVER (PARTITION BY user_id ORDER BY root) AS cluster FROM (SELECT user_id, p, min(root) AS root FROM reach GROUP BY 1, 2)),
+bor AS (SELECT nb.user_id, nb.p, min(cluster) AS cluster FROM nb JOIN lab ON lab.user_id = nb.user_id AND lab.p = nb.q WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.user_id = nb.user_id AND c.p = nb.p) GROUP BY 1, 2)
+SELECT pts.user_id, point_id, coalesce(lab.cluster, bor.cluster, -1) AS cluster FROM pts LEFT JOIN lab ON lab.user_id = pts.user_id AND lab.p = point_id LEFT JOIN bor ON bor.user_id = pts.user_id AND bor.p = point_id""",
         "activity_condensed": f"""WITH {_SPANS}, {_DAYS.replace(_seg(clock=1, gap=DAY_GAP) + ", ", "", 1)}, x AS (SELECT user_id, min(start) AS first_seen, max("end") AS last_seen, count(*) FILTER (kind = 'commute') AS num_trips,
   sum("end" - start) FILTER (kind = 'commute') AS total_commute_s, sum("end" - start) FILTER (kind = 'commute' AND label = 'work') AS commute_time_work_s, sum("end" - start) FILTER (kind = 'commute' AND label = 'study') AS commute_time_study_s,
   sum("end" - start) FILTER (kind = 'dwell' AND label = 'home') AS stay_time_home_s, sum("end" - start) FILTER (kind = 'dwell' AND label = 'work') AS stay_time_work_s, sum("end" - start) FILTER (kind = 'dwell' AND label = 'study') AS stay_time_study_s FROM spans GROUP BY 1),

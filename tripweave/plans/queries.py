@@ -293,15 +293,20 @@ def stop_centroids(spark, d):
     return cluster.centroids(_segments(spark, d), "segment_group").withColumns({c: F.round(c, 1) for c in ("easting", "northing")})
 
 
+def _rounded(places: DataFrame) -> DataFrame:
+    """To decimetres, as means of millimetres can differ in the last of them."""
+    return places.withColumns({c: F.round(c, 1) for c in ("easting", "northing")})
+
+
 def condensed_places(spark, d):
-    return cluster.condense(cluster.centroids(_segments(spark, d), "segment_group"), "segment_group")
+    return _rounded(cluster.condense(cluster.centroids(_segments(spark, d), "segment_group"), "segment_group"))
 
 
 def activity_locations(spark, d):
     p = adapters.points(spark, d)
     stops = cluster.short_stops(cluster.runs(cluster.two_means(p, "value")), 0).where("kmeans = 'stop'")
     heads = cluster.heading_stops(p.withColumn("delta_heading", F.col("value")))
-    return cluster.activity_locations(cluster.centroids(stops, "run"), cluster.centroids(heads, "stop"), "run", "stop")
+    return _rounded(cluster.activity_locations(cluster.centroids(stops, "run"), cluster.centroids(heads, "stop"), "run", "stop"))
 
 
 def dbscan(spark, d):

@@ -485,3 +485,21 @@ def test_odd_columns_and_rows(spark, odd, empty):
     assert jaccard_join.join(odd)[0].count() == n and jaccard_join.one_of_each(odd).columns == odd.columns and jaccard_join.join(empty)[0].count() == 0
     assert sharding.shard(odd).count() == n and quality.judge(odd, None).count() == n and quality.keep(odd, None).columns == odd.columns
     assert pii.spans(empty).count() == 0
+
+
+def test_odd_pages_scores_and_shards(spark, odd, docs, empty):
+    """Null ids, clashing columns, repeated rows and empty tables in the operators that test_odd_columns_and_rows leaves out."""
+    n = odd.count()
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", PAGE.format(i=i)) for i in range(5)] + [(None, "http://a.example/x", PAGE.format(i=9)), (7, None, None)] * 2, "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit("x") for c in ("host", "key", "token", "rows", "text", "p_id", "p_html", "by_template")})
+    got = html_text.extract(pages).collect()
+    assert len(got) == 9 and sorted(r.text for r in got if r.page_id is None) == [got[0].text.replace(got[0].text[6], "9")] * 2
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels = labels.withColumns({c: F.lit("x") for c in ("text", "label", "l_id")})
+    model, field = toxicity.fit(odd, labels), quality.fit_field(odd, labels)
+    scored = toxicity.score(odd, model).collect()
+    assert len(scored) == n and all(0 <= r.score <= 1 for r in scored)
+    assert quality.judge(odd, field).count() == n and quality.keep(odd, field).columns == odd.columns
+    placed = sharding.shard(odd, 3).collect()
+    assert len(placed) == n and all(r.size >= 1 and 0 <= r.shard < 3 for r in placed)
+    assert html_text.extract(pages.limit(0)).count() == 0 and toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0

@@ -35,3 +35,17 @@ def test_pipeline(spark):
     got = {r.doc_id: r for r in P.run(spark, sf).collect()}
     assert set(got) == set(kept) and all(r.round_trip for r in got.values())
     assert any(pii.base_spans(t) for t in kept.values())
+
+
+def test_stages_on_empty_and_odd_tables(spark, odd, empty, tmp_path):
+    """Each stage takes rows without id or text, repeated rows, extra columns and no rows at all; all but the last keep the columns."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    n = odd.count()
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and 0 < out.count() <= n
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert P.STAGES[-1][1](spark, odd, str(tmp_path)).count() == n and P.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0

@@ -105,8 +105,9 @@ def allocation(size: int, percent: int) -> tuple[int, int, int]:
                 continue
             m = need - d
             each = size / m
-            cost = (m - d) * (1 + CHANCE * math.exp(-each)) + d * (1 + each) * (1 + CHANCE * math.exp(-max(0.0, each - 1)))
-            cost += 0.0 if spare else (m - d) * CHANCE * math.exp(-each)  # empty segments are indexed
+            chance = CHANCE / (1 + spare / (2 if d else 1))  # so many keys must agree
+            cost = (m - d) * (1 + chance * math.exp(-each)) + d * (1 + each) * (1 + chance * math.exp(-max(0.0, each - 1)))
+            cost += 0.0 if spare else (m - d) * chance * math.exp(-each)  # empty segments are indexed
             if best is None or cost < best[0]:
                 best = (cost, (m, d, spare))
     return best[1]

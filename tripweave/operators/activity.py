@@ -16,6 +16,13 @@ def unpivot_locations(surveys: DataFrame, labels: list[str]) -> DataFrame:
     return df.where((F.coalesce(F.col("lat"), F.lit(0.0)) != 0) & (F.coalesce(F.col("lon"), F.lit(0.0)) != 0))
 
 
+def survey_locations(surveys: DataFrame, labels: list[str]) -> DataFrame:
+    """user_id, label, lat, lon: the first label (home) for every user, even without coordinates, the others where they have some."""
+    own = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"location_{x}_lat").alias("lat"), F.col(f"location_{x}_lon").alias("lon"), F.lit(i == 0).alias("always")) for i, x in enumerate(labels)])
+    df = surveys.select("user_id", F.explode(own).alias("x")).select("user_id", "x.*")
+    return df.where(F.col("always") | ((F.coalesce(F.col("lat"), F.lit(0.0)) != 0) & (F.coalesce(F.col("lon"), F.lit(0.0)) != 0))).drop("always")
+
+
 def label_points(points: DataFrame, locations: DataFrame, proximity_m: float, last: bool = True, out: str = "label") -> DataFrame:
     """Add `out`: the last (or first) of the user's own locations within `proximity_m`; a join on the user, then the exact test."""
     near = points.select("user_id", "point_id", "lat", "lon").join(locations.select("user_id", "place_order", "label", F.col("lat").alias("pl"), F.col("lon").alias("po")), "user_id")

@@ -108,6 +108,12 @@ def activity_locations(kmeans_stops: DataFrame, heading: DataFrame, key_a: str,
     return kept.withColumn("label", F.concat(F.lit("location_"), n)).drop("place")
 
 
+def with_latlon(places: DataFrame, zone: str = "18") -> DataFrame:
+    """Add lat and lon of easting and northing in a UTM zone of the north."""
+    lat, lon = geo.to_latlon("easting", "northing", zone)
+    return places.withColumns({"lat": F.expr(lat), "lon": F.expr(lon)})
+
+
 def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> DataFrame:
     """Add cluster (-1 noise): density clusters of each user's points, numbered by their least core point; a border point goes to its lowest cluster.
 

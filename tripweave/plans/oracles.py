@@ -314,6 +314,8 @@ SELECT user_id, trip_id, trip_code, make_timestamp(CAST(s AS BIGINT) * 1000000)
         "explained_days": f"WITH {_DAYS} SELECT user_id, date, is_complete OR explained AS is_complete, explained, CASE WHEN is_complete OR explained THEN 'complete' WHEN has_trips THEN 'incomplete' ELSE 'inactive' END AS state FROM ex",
         "explained_days_geodesic": "WITH " + _DAYS.replace(geo.haversine("a.e_lat", "a.e_lon", "b.s_lat", "b.s_lon"), _ellipsoid("a.e_lat", "a.e_lon", "b.s_lat", "b.s_lon")) + " SELECT user_id, date, explained FROM ex",
         "unpivot_locations": f"WITH {_SURVEY} SELECT * FROM places",
+        "survey_locations": f"WITH {_SURVEY} SELECT user_id, label, lat, lon FROM places",
+        "located_segments": f"WITH {_seg()}, {_centres('seg', 'segment_group', 'sc')} SELECT user_id, segment_group, round({_LAT}, 5) AS lat, round({_LON}, 5) AS lon FROM sc",
         "label_points_last": p + f", {_SURVEY}, {_label('arg_max', 'pts', 300.0)} SELECT user_id, point_id, label FROM pts LEFT JOIN lab USING (user_id, point_id)",
         "label_points_first": p + f", {_SURVEY}, {_label('arg_min', 'pts', 300.0)} SELECT user_id, point_id, label FROM pts LEFT JOIN lab USING (user_id, point_id)",
         "location_overlaps": f"WITH {_SURVEY} SELECT a.user_id, a.label AS label_a, b.label AS label_b, round({geo.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 2) AS distance_m FROM places a JOIN places b ON a.user_id = b.user_id AND a.place_order < b.place_order WHERE {geo.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 300",

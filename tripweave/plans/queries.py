@@ -222,6 +222,15 @@ def unpivot_locations(spark, d):
     return _places(spark, d)
 
 
+def survey_locations(spark, d):
+    return activity.survey_locations(adapters.surveys(spark, d), ["home", "work", "study"])
+
+
+def located_segments(spark, d):
+    p = cluster.with_latlon(cluster.centroids(_segments(spark, d), "segment_group"))
+    return p.select("user_id", "segment_group", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
+
+
 def label_points_last(spark, d):
     return activity.label_points(adapters.points(spark, d), _places(spark, d), 300.0).select("user_id", "point_id", "label")
 
@@ -345,7 +354,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     accuracy_filter, user_semijoin, time_range_inclusive, time_range_exclusive, utm_project, utm_round_trip, kinematics, haversine_standard, gap_segments,
     logger_segments, segment_summary, short_extent, missing_segments, nearest_entrance_first, subway_links, metro_links_older, velocity_links,
     velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, phone_diary, trip_summaries, lone_points, spike_filter, logger_preprocess, rolling_avg,
-    trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, label_points_last, label_points_first, location_overlaps, commutes_dwells,
+    trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, survey_locations, located_segments, label_points_last, label_points_first, location_overlaps, commutes_dwells,
     activity_daily, activity_daily_pivot, activity_condensed, condensed_trips, midnight_split, day_split, local_dates, kmeans_runs, heading_stops,
     stop_centroids, condensed_places, activity_locations, dbscan, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
 )

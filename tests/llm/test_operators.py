@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import words_of
 from tripweave.llm import decontaminate, html_text, jaccard_join, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
 from tripweave.llm.common import ASCII_LOWER
 from tripweave.llm.queries import tokenizer_path
@@ -341,6 +342,57 @@ def test_jaccard_rows_without_id(spark, corpus, docs, empty):
     assert sorted(r.doc_id for r in jaccard_join.one_of_each(twice).collect()) == [0, 2, 99]
 
 
+def test_jaccard_groups_make_few_pairs(spark, empty, monkeypatch):
+    """500 near copies of a text, and 300 unlike texts around one passage: comparisons follow the number of texts, all links are found."""
+    rng = random.Random(15)
+    base, passage = words_of(rng, 120, 9000).split(), words_of(rng, 60, 9000)
+    texts = []
+    for i in range(500):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 3)):
+            w[k] = f"edit{i}x{k}"
+        texts.append(" ".join(w))
+    texts += [f"{words_of(rng, 20, 9000)} {passage} {words_of(rng, 20, 9000)}" for _ in range(300)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
+    asked = []
+
+    def counted(pairs, sets, percent, filtered=jaccard_join._may_be_similar):
+        asked.append(pairs.count())
+        return filtered(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_may_be_similar", counted)
+    got = {r.d: r.component_id for r in jaccard_join.join(df)[0].collect()}
+    assert sum(asked) < 5 * len(texts)
+    sets, parent = shingle_sets(enumerate(texts), 4), list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            x = len(sets[i] & sets[j])
+            if 100 * x >= 85 * (len(sets[i]) + len(sets[j]) - x):
+                low, high = sorted((top(i), top(j)))
+                parent[high] = low
+    assert got == {i: top(i) for i in range(len(texts))} and sum(c == 0 for c in got.values()) > 300
+
+
+def test_jaccard_all_pairs(spark, docs, corpus):
+    """pairs() gives every link between unlike texts, and how many each row has."""
+    sets = shingle_sets(corpus, 4)
+    first = {}
+    for i, s in sets.items():
+        if s:
+            first.setdefault(frozenset(s), i)
+    linked = {(a, b) for s, a in first.items() for r, b in first.items() if a < b and 100 * len(s & r) >= 85 * len(s | r)}
+    members, links = jaccard_join.pairs(docs)
+    assert {(r.a, r.b) for r in links.collect()} == linked and linked
+    got = {r.d: (r.rep, r.n_links) for r in members.collect()}
+    assert got == {i: (first[frozenset(s)], sum(first[frozenset(s)] in x for x in linked)) for i, s in sets.items() if s}
+
+
 def test_jaccard_signatures_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):

@@ -453,8 +453,7 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> t
     found = indexed.where(F.col("d").isNotNull()).select(F.explode("sigs").alias("sig"), "k1")
     several = found.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("sig")
     several = materialize(several, "join-several")
-    small = several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    shared = found.join(F.broadcast(several) if small else several, "sig", "left_semi").distinct()
+    shared = found.join(several, "sig", "left_semi").distinct()
     own = classes.select("k1", F.col("rep").alias("d"), F.col("rep").alias("c"), "size", "need")
     keys = materialize(shared.join(own, "k1").select("sig", "d", "c", "size", "need"), "join-keys")
     keys = _live(keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
+from . import decontaminate, embedding_dedup, html_text, jaccard_join, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
 from .common import table
 
 
@@ -98,6 +98,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+#: All pairs of usable vectors by cosine, and a walk along the links.
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS root, vec_id AS x FROM embeddings UNION SELECT reach.root, p.y FROM reach JOIN p ON p.x = reach.x
+), c AS (
+  SELECT x AS vec_id, min(root) AS component_id FROM reach GROUP BY 1
+), n AS (
+  SELECT x AS vec_id, count(*) AS n_links FROM p GROUP BY 1
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -110,10 +133,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,
+        "op12_embedding_dedup": op12_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": OP6_SQL,
+        "op12_embedding_dedup": OP12_SQL,
     }

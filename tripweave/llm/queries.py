@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
+from . import decontaminate, embedding_dedup, html_text, jaccard_join, phrases, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
 from .common import table
 
 
@@ -121,6 +121,48 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+#: Phrases counted plainly, all cuts in 128-bit integers.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p0 AS (
+  SELECT i, lang, regexp_split_to_array(t, '[.,;:!?
+]') AS ps FROM d
+), p AS (
+  SELECT i, lang, generate_subscripts(ps, 1) AS j, regexp_extract_all(unnest(ps), '[^ 	]+') AS w FROM p0
+), o AS (
+  SELECT lang, i, j, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM p
+), q AS (
+  SELECT lang, x, lead(x) OVER s AS y, lead(x, 2) OVER s AS z FROM o WINDOW s AS (PARTITION BY i, j ORDER BY k)
+), f1 AS (SELECT lang, x, count(*)::HUGEINT AS c FROM q GROUP BY 1, 2),
+f2 AS (SELECT lang, x, y, count(*)::HUGEINT AS c FROM q WHERE y IS NOT NULL GROUP BY 1, 2, 3),
+f3 AS (SELECT lang, x, y, z, count(*)::HUGEINT AS c FROM q WHERE z IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(c) AS m FROM (SELECT lang, x, y, c FROM f3 UNION ALL SELECT lang, y, z, c FROM f3) GROUP BY 1, 2, 3),
+n AS (SELECT lang, count(*) AS n FROM q GROUP BY 1),
+two AS (
+  SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.c AS a, l.c AS l, r.c AS r, 1000000 * f2.c * f2.c // (l.c * r.c) AS score
+  FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+  LEFT JOIN longer ON longer.lang = f2.lang AND longer.x = f2.x AND longer.y = f2.y
+  WHERE f2.c >= 10 AND NOT coalesce(100 * m >= 50 * f2.c, false)
+), three0 AS (
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.c AS a, l1.c AS l1, r1.c AS r1, l2.c AS l2, r2.c AS r2,
+    1000000 * f3.c * f3.c // (l1.c * r1.c) AS s1, 1000000 * f3.c * f3.c // (l2.c * r2.c) AS s2
+  FROM f3 JOIN f1 l1 ON l1.lang = f3.lang AND l1.x = f3.x JOIN f2 r1 ON r1.lang = f3.lang AND r1.x = f3.y AND r1.y = f3.z
+  JOIN f2 l2 ON l2.lang = f3.lang AND l2.x = f3.x AND l2.y = f3.y JOIN f1 r2 ON r2.lang = f3.lang AND r2.x = f3.z
+), every AS (
+  SELECT * FROM two UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM three0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM every
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -134,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,
         "op12_embedding_dedup": op12_embedding_dedup,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -141,4 +184,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": OP6_SQL,
         "op12_embedding_dedup": OP12_SQL,
+        "op13_phrases": OP13_SQL,
     }

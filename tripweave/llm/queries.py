@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, phrases, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
+from . import alignment, decontaminate, embedding_dedup, html_text, jaccard_join, phrases, pieces, pii, quality, sharding, substring_dedup, tokenfile, toxicity
 from .common import table
 
 
@@ -98,6 +98,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -131,7 +135,8 @@ WITH d AS (
   SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), p0 AS (
   SELECT i, lang, regexp_split_to_array(t, '[.,;:!?
-]') AS ps FROM d
+
+]') AS ps FROM d
 ), p AS (
   SELECT i, lang, generate_subscripts(ps, 1) AS j, regexp_extract_all(unnest(ps), '[^ 	]+') AS w FROM p0
 ), o AS (
@@ -175,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,
+        "op11_alignment": op11_alignment,
         "op12_embedding_dedup": op12_embedding_dedup,
         "op13_phrases": op13_phrases,
     }

@@ -102,6 +102,114 @@ def test_lone_points_five_fates(spark):
     assert got == {1: "previous", 2: "next", 4: "keep", 5: "drop"}
 
 
+def test_two_states_against_a_loop(spark):
+    from pyspark.sql import Window
+
+    from tripweave.operators.automaton import two_state
+
+    rng = random.Random(4)
+    rows = [(u, i, rng.choice((True, False, None)), rng.choice((True, False))) for u in range(30) for i in range(20)]
+    df = spark.createDataFrame(rows, "u long, i long, a boolean, b boolean")
+    for begins in (False, True):
+        got = {(r.u, r.i): r.s for r in two_state(df, Window.partitionBy("u").orderBy("i"), F.col("a"), F.col("b"), "s", begins).collect()}
+        for u in range(30):
+            state = begins
+            for _, i, a, b in rows[u * 20 : u * 20 + 20]:
+                state = b if state else bool(a)
+                assert got[u, i] == state
+
+
+def test_restarts_against_the_sequential_rules(spark):
+    """Many stretches and few: the replay between restarts gives what one pass over a user's points gives."""
+    rng = random.Random(8)
+    rows = []
+    for u in range(12):
+        t, x, y = 0, 0.0, 0.0
+        for i in range(150):
+            t += rng.choice((0, 1, 5, 20, 300, 5000)) if u % 2 else rng.choice((0, 1, 2))
+            jump = rng.random() < 0.3
+            x, y = (rng.gauss(0, 3000), rng.gauss(0, 3000)) if jump else (x + rng.choice((0.0, 5e-7, 20.0)), y)
+            rows.append((u, i, t, 45.5 + y / 111000, -73.6 + x / 78000, x, y))
+    df = spark.createDataFrame(rows, "user_id long, point_id long, t long, lat double, lon double, easting double, northing double")
+    spikes = {(r.user_id, r.point_id) for r in clean.spike_filter(df, 100.0).collect()}
+    steps = {(r.user_id, r.point_id) for r in clean.logger_preprocess(df).collect()}
+    limit, want_spikes, want_steps = 100 / 3.6, set(), set()
+    for u in range(12):
+        own = [r for r in rows if r[0] == u]
+        last = None
+        for r, after in zip(own, [*own[1:], None]):
+            if last is not None and after is not None:
+                d, dt = math.dist(r[5:], last[5:]), r[2] - last[2]
+                if d and dt and d / dt >= limit and math.dist(after[5:], last[5:]) < d:
+                    continue
+            last = r
+            want_spikes.add((u, r[1]))
+        last = None
+        for r in own:
+            if last is not None:
+                p, q = math.radians(last[3]), math.radians(r[3])
+                a = (math.sin((q - p) / 2) ** 2 + math.sin(math.radians(r[4] - last[4]) / 2) ** 2) * math.cos(p) * math.cos(q)
+                if r[2] == last[2] or geo.EARTH_M * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a)) < 0.1:
+                    continue
+            last = r
+            want_steps.add((u, r[1]))
+    assert spikes == want_spikes and 0 < len(spikes) < len(rows)
+    assert steps == want_steps and 0 < len(steps) < len(rows)
+
+
+def test_lone_points_against_the_sequential_rule(spark):
+    """Runs of lone points: an attached point's time is seen by the next test, a trip that a point joined is no lone one."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for u in range(30):
+        t, own = 0, []
+        for i in range(40):
+            t += rng.choice((400, 700, 1100, 1300, 9000))
+            x = rng.choice((0.0, 100.0, 260.0, 5000.0, 90000.0))
+            own.append([t, x, t + (200 if rng.random() < 0.25 else 0)])
+            rows.append((u, i, (t, i, 0.0, 0.0, x, 0.0), (own[-1][2], i, 0.0, 0.0, x, 0.0), 1 if own[-1][2] == t else 3))
+        trips = [{"key": i, "t": [a[0], a[2]], "x": a[1], "n": 1 if a[0] == a[2] else 3} for i, a in enumerate(own)]
+        left = 0
+        for i, trip in enumerate(trips):
+            if trip["n"] != 1:
+                left += 1
+                continue
+            before, after = trips[i - 1] if i else None, trips[i + 1] if i + 1 < len(trips) else None
+            near_before = before is not None and (trip["t"][0] - before["t"][1] <= 1200 or abs(trip["x"] - before["x"]) <= 150)
+            near_after = after is not None and (after["t"][0] - trip["t"][0] <= 1200 or abs(trip["x"] - after["x"]) <= 150)
+            if near_before and (not near_after or trip["t"][0] - before["t"][1] <= after["t"][0] - trip["t"][0]):
+                trip["t"] = [before["t"][1]] * 2
+                want[u, i] = "previous" if left else "drop"
+            elif near_after:
+                after["n"] += 1
+                want[u, i] = "next"
+            elif abs(trip["x"] - 5000.0) <= 150:
+                want[u, i] = "keep"
+                left += 1
+            else:
+                want[u, i] = "drop"
+    end = "struct<t: long, point_id: long, lat: double, lon: double, easting: double, northing: double>"
+    trips = spark.createDataFrame(rows, f"user_id long, segment_group long, first {end}, last {end}, n_points long")
+    known = spark.createDataFrame([(u, 5000.0, 0.0) for u in range(30)], "user_id long, easting double, northing double")
+    got = {(r.user_id, r.segment_group): r.fate for r in stitch.lone_points(trips, known).collect()}
+    assert got == want and set(want.values()) == {"previous", "next", "keep", "drop"}
+
+
+def test_gap_that_is_skipped_is_no_base(spark):
+    """The second trip starts where the first ended; the third is compared with the first, not with the second."""
+    trips = ends(spark, [(0, 0, 0, 10, 50, 0, 5), (20, 50, 0, 30, 5000, 0, 5), (40, 50, 0, 50, 9000, 0, 5), (60, 9400, 0, 70, 9400, 0, 5)])
+    got = [(r.kind, r.gap_m) for r in stitch.missing_trips(trips, spark.createDataFrame([], "place_id long, easting double, northing double")).orderBy("segment_group").collect()]
+    assert got == [(None, 0.0), (None, 0.0), ("general", 9350.0)]
+
+
+def test_known_place_has_two_gaps(spark):
+    """A lone point at a known place is led into and out of; the gap after it that is too short still becomes part of the next trip."""
+    trips = ends(spark, [(0, 0, 0, 10, 0, 0, 5), (9000, 3000, 0, 9000, 3000, 0, 1), (20000, 3200, 0, 21000, 6000, 0, 5)])
+    gaps = stitch.missing_trips(trips, spark.createDataFrame([], "place_id long, easting double, northing double"))
+    got = sorted((r.segment_group, r.leads_out, r.trip_code, r.gap_m) for r in stitch.gap_codes(gaps).collect())
+    assert got == [(1, False, 104, 3000.0), (2, False, 103, 200.0), (2, True, 104, 0.0)]
+
+
 def test_within_first_and_last(spark):
     pts = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1000.0, 0.0)], "user_id long, point_id long, easting double, northing double")
     places = spark.createDataFrame([(3, 10.0, 0.0), (5, 150.0, 0.0), (7, 201.0, 0.0)], "place_id long, easting double, northing double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import geo
+from .automaton import keep_by_replay
 
 
 def by_time() -> WindowSpec:
@@ -41,25 +42,33 @@ def in_time_range(points: DataFrame, start: int | None = None, end: int | None =
 def spike_filter(points: DataFrame, check_kph: float) -> DataFrame:
     """Drop jumps: a point that is reached at `check_kph` or more from the last kept point while the next point is nearer.
 
-    Each decision looks at the last point kept, so a user's points go through one pass of their own."""
+    Each decision looks at the last point kept. A point is kept whatever that is
+    if it has no next point, if the next lies at the same place, or if no place
+    of the user is far enough to be left so fast since the point before; between
+    such points, stretches of a user are replayed, each on its own."""
     limit = check_kph / 3.6
-    columns = points.columns
+    everything = Window.partitionBy("user_id")
+    df = points.withColumns({
+        "_t": F.lag("t").over(by_time()), "_e": F.lead("easting").over(by_time()), "_n": F.lead("northing").over(by_time()),
+        **{f"_{f.__name__}_{c}": f(c).over(everything) for c in ("easting", "northing") for f in (F.min, F.max)},
+    })
+    far = lambda c: F.greatest(F.col(c) - F.col(f"_min_{c}"), F.col(f"_max_{c}") - F.col(c))
+    reach = F.sqrt(far("easting") * far("easting") + far("northing") * far("northing"))
+    still = (F.col("_e") == F.col("easting")) & (F.col("_n") == F.col("northing"))
+    safe = F.col("_e").isNull() | still | (reach * (1 + 1e-9) < limit * (F.col("t") - F.col("_t")))
 
-    def passed(frame):
+    def rule(last, row):
         import math
 
-        frame = frame.sort_values(["t", "point_id"], kind="stable")
-        e, n, t = frame["easting"].tolist(), frame["northing"].tolist(), frame["t"].tolist()
-        keep, last = [True] * len(frame), 0
-        for i in range(1, len(frame) - 1):
-            d, dt = math.hypot(e[i] - e[last], n[i] - n[last]), t[i] - t[last]
-            if d and dt and d / dt >= limit and math.hypot(e[i + 1] - e[last], n[i + 1] - n[last]) < d:
-                keep[i] = False
-            else:
-                last = i
-        return frame[keep][columns]
+        e, n, t, next_e, next_n = row
+        if last is None or next_e is None:
+            return True, (e, n, t)
+        d, dt = math.hypot(e - last[0], n - last[1]), t - last[2]
+        if d and dt and d / dt >= limit and math.hypot(next_e - last[0], next_n - last[1]) < d:
+            return False, last
+        return True, (e, n, t)
 
-    return points.groupBy("user_id").applyInPandas(passed, points.schema)
+    return keep_by_replay(df, ["user_id"], ["t", "point_id"], safe, ["easting", "northing", "t", "_e", "_n"], rule, points.columns)
 
 
 def kinematics(points: DataFrame) -> DataFrame:
@@ -79,27 +88,27 @@ def kinematics(points: DataFrame) -> DataFrame:
 def logger_preprocess(points: DataFrame, min_step_m: float = 0.1) -> DataFrame:
     """Logger points that move: against the last kept point, no time, no distance or a step below the limit drops a point.
 
-    The first point of a user stays. The kinematics against the last kept point
-    are then windows over what is left."""
-    columns = points.columns
+    The first point of a user stays. A dropped point that came later than the one
+    before it lies within a step of the last kept one, so that a point more than
+    two steps farther on, and later, is kept whatever that is: stretches between
+    such points are replayed. The kinematics against the last kept point are then
+    windows over what is left."""
+    df = points.withColumns({f"_{c}": F.lag(c).over(by_time()) for c in ("t", "lat", "lon")}).withColumn("_tt", F.lag("t", 2).over(by_time()))
+    step = F.expr(geo.haversine("_lat", "_lon", "lat", "lon"))
+    later = (F.col("t") > F.col("_t")) & (F.col("_tt").isNull() | (F.col("_t") > F.col("_tt")))
 
-    def passed(frame):
+    def rule(last, row):
         import math
 
-        frame = frame.sort_values(["t", "point_id"], kind="stable")
-        lat, lon, t = (frame[c].tolist() for c in ("lat", "lon", "t"))
-        keep, last = [True] * len(frame), 0
-        for i in range(1, len(frame)):
-            p1, p2 = math.radians(lat[last]), math.radians(lat[i])
-            a = (math.sin((p2 - p1) / 2) ** 2 + math.sin(math.radians(lon[i] - lon[last]) / 2) ** 2) * math.cos(p1) * math.cos(p2)
-            d = geo.EARTH_M * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
-            if t[i] == t[last] or d < min_step_m:
-                keep[i] = False
-            else:
-                last = i
-        return frame[keep][columns]
-
-    return kinematics(points.groupBy("user_id").applyInPandas(passed, points.schema))
+        lat, lon, t = row
+        if last is not None:
+            p1, p2 = math.radians(last[0]), math.radians(lat)
+            a = (math.sin((p2 - p1) / 2) ** 2 + math.sin(math.radians(lon - last[1]) / 2) ** 2) * math.cos(p1) * math.cos(p2)
+            if t == last[2] or geo.EARTH_M * 2 * math.atan2(math.sqrt(a), math.sqrt(1 - a)) < min_step_m:
+                return False, last
+        return True, (lat, lon, t)
+
+    return kinematics(keep_by_replay(df, ["user_id"], ["t", "point_id"], later & (step > 3 * min_step_m), ["lat", "lon", "t"], rule, points.columns))
 
 
 def rolling_average(points: DataFrame, value: str, out: str = "rolling_avg") -> DataFrame:

@@ -29,7 +29,7 @@ def summaries(points: DataFrame, key: str = "segment_group") -> DataFrame:
     """A row for each segment or trip: ends, number of points, direct and cumulative distance (without the gap before it).
 
     One aggregation: the points that start and end it are minima and maxima of structs."""
-    order = F.struct("t", "point_id", "lat", "lon", "easting", "northing", "distance_before", *[c for c in ("period_before",) if c in points.columns])
+    order = F.struct("t", "point_id", "lat", "lon", "easting", "northing", "distance_before", *[c for c in ("period_before", "h_accuracy") if c in points.columns])
     df = points.groupBy("user_id", key).agg(
         F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n_points"), F.sum("distance_before").alias("_sum"),
         F.min(F.struct("t", "point_id", "distance_before")).alias("_lead"),

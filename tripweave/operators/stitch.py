@@ -8,6 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import geo
 from . import segment
+from .automaton import replay, two_state
 
 
 def by_key() -> WindowSpec:
@@ -39,34 +40,41 @@ def within(points: DataFrame, places: DataFrame, radius_m: float, last: bool = F
 def end_places(trips: DataFrame, places: DataFrame, radius_m: float, **ends: str) -> DataFrame:
     """Add a column for each of `ends` (name=point; first_place and last_place of the ends, if none is given): the place there.
 
-    Both ends go through one range join and come back with one join."""
+    Both ends go through one range join, and their trip's columns with them, so
+    that one aggregation brings them together again."""
     ends = ends or {"first_place": "first", "last_place": "last"}
-    key = ["user_id", "segment_group"]
+    key, rest = ["user_id", "segment_group"], [c for c in trips.columns if c not in ends and c not in ("user_id", "segment_group")]
+    cell = lambda c: F.floor(F.col(c) / radius_m).cast("long")
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    spots = places.select("place_id", F.col("easting").alias("pe"), F.col("northing").alias("pn"), near.alias("o"))
+    spots = spots.select("place_id", "pe", "pn", (F.floor(F.col("pe") / radius_m) + F.col("o.i")).alias("ci"), (F.floor(F.col("pn") / radius_m) + F.col("o.j")).alias("cj"))
     two = F.explode(F.array(*[F.struct(F.lit(out).alias("out"), F.col(f"{at}.easting").alias("easting"), F.col(f"{at}.northing").alias("northing")) for out, at in ends.items()]))
-    found = _near(trips.select(*key, two.alias("x")).select(*key, "x.*"), [*key, "out"], places, radius_m, F.min)
-    found = found.groupBy(*key).agg(*[F.min(F.when(F.col("out") == out, F.col("place"))).alias(out) for out in ends])
-    return trips.drop(*ends).join(found, key, "left")
+    rows = trips.select(*key, F.struct(*rest).alias("_own"), two.alias("x")).select(*key, "_own", "x.out", "x.easting", "x.northing", cell("x.easting").alias("ci"), cell("x.northing").alias("cj"))
+    hit = rows.join(spots, ["ci", "cj"], "left").withColumn("near", F.expr(geo.planar("easting", "northing", "pe", "pn")) <= radius_m)
+    found = hit.groupBy(*key).agg(F.first("_own").alias("_own"), *[F.min(F.when((F.col("out") == out) & F.col("near"), F.col("place_id"))).alias(out) for out in ends])
+    return found.select(*key, "_own.*", *ends)
 
 
 def with_gap(trips: DataFrame) -> DataFrame:
-    """Add prev_last, gap_s and gap_m against the trip before."""
+    """Add prev_last, gap_s and gap_m against the trip before, and prev_place if the trips have last_place."""
     df = trips.withColumn("prev_last", F.lag("last").over(by_key()))
-    return df.withColumns({
-        "gap_s": F.col("first.t") - F.col("prev_last.t"),
-        "gap_m": F.round(F.expr(geo.planar("prev_last.easting", "prev_last.northing", "first.easting", "first.northing")), 3),
-    })
+    if "last_place" in trips.columns:
+        df = df.withColumn("prev_place", F.lag("last_place").over(by_key()))
+    return df.withColumns(_gap())
+
+
+def _gap(before: str = "prev_last") -> dict[str, Column]:
+    return {
+        "gap_s": F.col("first.t") - F.col(f"{before}.t"),
+        "gap_m": F.round(F.expr(geo.planar(f"{before}.easting", f"{before}.northing", "first.easting", "first.northing")), 3),
+    }
 
 
 def pair_links(trips: DataFrame, condition: str, out: str = "link") -> DataFrame:
     """Add `out`: links to the trip before under the rule that a linked trip can't be linked to again.
 
-    Greedy pairing has a closed form: true at the odd places of each run of true conditions."""
-    df = trips.withColumn("_run", F.sum((~F.col(condition)).cast("long")).over(by_key()))
-    at = F.row_number().over(Window.partitionBy("user_id", "_run").orderBy("segment_group"))
-    # Each run starts with the false condition that begins it, but for a first run that starts true.
-    lead = F.min(F.col(condition).cast("int")).over(Window.partitionBy("user_id", "_run"))
-    place = at - F.when(lead == 0, 1).otherwise(0)
-    return df.withColumn(out, F.col(condition) & (place % 2 == 1)).drop("_run")
+    An automaton: after a link the next trip can't be linked, else its condition decides."""
+    return two_state(trips, by_key(), F.col(condition), F.lit(False), out)
 
 
 def chain_links(trips: DataFrame, condition: str, out: str = "link", first_only: bool = False) -> DataFrame:
@@ -83,63 +91,83 @@ def subway_condition(most_s: int = 4800, least_ms: float = 0.1, differ: bool = F
     return F.coalesce(ok & (F.col("prev_place") != F.col("first_place")) if differ else ok, F.lit(False))
 
 
+def velocity_condition(least_kph: float = 15.0, above: bool = False) -> Column:
+    """The gap was crossed at `least_kph` or more (`above`: faster than that)."""
+    speed = F.try_divide(F.col("gap_m"), F.col("gap_s")) * 3.6
+    return F.coalesce(speed > least_kph if above else speed >= least_kph, F.lit(False))
+
+
 def subway_links(trips: DataFrame, entrances: DataFrame, radius_m: float = 200.0, most_s: int = 4800, least_ms: float = 0.1, differ: bool = False) -> DataFrame:
     """Trips with link: pairs joined by a subway ride (`differ`: older rule, other stations and first of a chain)."""
-    df = with_gap(end_places(trips, entrances, radius_m)).withColumn("prev_place", F.lag("last_place").over(by_key()))
-    df = df.withColumn("condition", subway_condition(most_s, least_ms, differ))
+    df = with_gap(end_places(trips, entrances, radius_m)).withColumn("condition", subway_condition(most_s, least_ms, differ))
     return chain_links(df, "condition", first_only=True) if differ else pair_links(df, "condition")
 
 
 def velocity_links(trips: DataFrame, least_kph: float = 15.0, chains: bool = False) -> DataFrame:
     """Trips with link: gaps crossed at `least_kph` or more, in pairs (`chains`: faster than that, any number)."""
-    speed = F.try_divide(F.col("gap_m"), F.col("gap_s")) * 3.6
-    df = with_gap(trips).withColumn("condition", F.coalesce(speed > least_kph if chains else speed >= least_kph, F.lit(False)))
+    df = with_gap(trips).withColumn("condition", velocity_condition(least_kph, chains))
     return chain_links(df, "condition") if chains else pair_links(df, "condition")
 
 
-def link_keys(trips: DataFrame, rules: list[tuple[str, object]]) -> DataFrame:
-    """user_id, segment_group, trip_key and labels: the trip that each segment belongs to, after the rules (label, function of trips) one after the other.
+def link_keys(trips: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Segments with trip_key (the trip that each belongs to) and label (of the rule that linked it to the one before; else null).
+
+    `rules` are (label, condition on a gap), applied one after the other to what
+    the ones before have linked, in pairs. The gap before a trip is that before its first
+    segment, whatever has been linked, so that all rules are windows over the
+    same sorted segments. Needs gap_s and gap_m, and the places if a rule asks
+    for them (with_gap, end_places)."""
+    df = trips.withColumns({"_joined": F.lit(False), "label": F.lit(None).cast("string")})
+    for label, condition in rules:
+        df = df.withColumn("_condition", condition)
+        df = two_state(df, by_key(), ~F.col("_joined") & F.col("_condition"), F.col("_joined"), "_on")  # joined segments hand the state on
+        df = df.withColumn("_link", F.col("_on") & ~F.col("_joined"))
+        df = df.withColumns({"label": F.when(F.col("_link"), F.lit(label)).otherwise(F.col("label")), "_joined": F.col("_joined") | F.col("_link")})
+    key = F.sum((~F.col("_joined")).cast("long")).over(by_key()) - 1
+    return df.withColumn("trip_key", key).drop("_joined", "_condition", "_on", "_link")
+
+
+def linked_trips(keyed: DataFrame) -> DataFrame:
+    """A row for each trip of link_keys(): segment_group (its key), first, last and their places, n_points, labels, total (metres with the gap before the first point) and segments (keys)."""
+    ends = [c for c in ("first_place", "last_place") if c in keyed.columns]
+    df = keyed.groupBy("user_id", "trip_key").agg(
+        F.min(F.struct("segment_group", "first", *ends[:1])).alias("_f"), F.max(F.struct("segment_group", "last", *ends[1:])).alias("_l"), F.sum("n_points").alias("n_points"),
+        F.array_sort(F.collect_set("label")).alias("labels"), F.sum(F.col("cumulative_distance") + F.col("first.distance_before")).alias("total"), F.collect_list("segment_group").alias("segments"),
+    )
+    return df.select("user_id", F.col("trip_key").alias("segment_group"), "_f.first", "_l.last", *(["_f.first_place", "_l.last_place"] if ends else []), "n_points", "labels", "total", "segments")
 
-    Only summaries are linked; a linked trip's ends are those of its first and
-    last segment, so that points need no look until they are joined once."""
-    at = trips.select("user_id", "segment_group", "first", "last", F.array().cast("array<string>").alias("labels"))
-    keys = trips.select("user_id", "segment_group", F.col("segment_group").alias("trip_key"))
-    for label, rule in rules:
-        links = rule(at).select("user_id", "segment_group", "link", (F.sum((~F.col("link")).cast("long")).over(by_key()) - 1).alias("_key"))
-        keys = keys.join(links.select("user_id", F.col("segment_group").alias("trip_key"), "_key"), ["user_id", "trip_key"]).select("user_id", "segment_group", F.col("_key").alias("trip_key"))
-        joined = at.join(links, ["user_id", "segment_group"]).groupBy("user_id", "_key").agg(
-            F.min("first").alias("first"), F.max("last").alias("last"), F.flatten(F.collect_set("labels")).alias("labels"), F.max("link").alias("link")
-        )
-        labels = F.array_sort(F.array_distinct(F.when(F.col("link"), F.array_append("labels", F.lit(label))).otherwise(F.col("labels"))))
-        at = joined.select("user_id", F.col("_key").alias("segment_group"), "first", "last", labels.alias("labels"))
-    return keys.join(at.select("user_id", F.col("segment_group").alias("trip_key"), "labels"), ["user_id", "trip_key"])
 
+def with_gap_kinds(trips: DataFrame, min_m: float = 250.0, cold_start_m: float = 750.0) -> DataFrame:
+    """Trips with prev_last, prev_place, gap_s, gap_m and kind of the gap before each; null in a user's first trip.
 
-def missing_trips(trips: DataFrame, entrances: DataFrame, min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0) -> DataFrame:
-    """A row for each trip after a user's first with the kind of the gap before it, or null kind if it touches.
-
-    kind: too_short, known_location (a lone point between trips), subway (two
-    entrances), cold_start or general. A trip that starts where the last one
-    ended is no new base for the next comparison."""
-    df = with_gap(trips)
-    moved = F.coalesce(F.col("gap_m") != 0, F.lit(True))
-    df = df.withColumn("_base", F.last(F.when(moved, F.col("last")), ignorenulls=True).over(by_key()))
-    df = df.withColumn("prev_last", F.lag("_base").over(by_key())).drop("_base").where(F.col("prev_last").isNotNull())
-    df = df.withColumns({
-        "gap_s": F.col("first.t") - F.col("prev_last.t"),
-        "gap_m": F.round(F.expr(geo.planar("prev_last.easting", "prev_last.northing", "first.easting", "first.northing")), 3),
-    })
-    df = end_places(df.drop("last_place"), entrances, radius_m, prev_place="prev_last", first_place="first")
-    latest = F.max("segment_group").over(Window.partitionBy("user_id"))
+    A trip that starts where the last one ended is no new base for the next
+    comparison: whether it was skipped is a state of two values, as the base lies
+    where the trip before ended or, if that was skipped, where it started."""
+    df = trips.withColumns({"_end": F.lag("last").over(by_key()), "_start": F.lag("first").over(by_key())})
+    same = lambda at: F.coalesce((F.col(f"{at}.easting") == F.col("first.easting")) & (F.col(f"{at}.northing") == F.col("first.northing")), F.lit(False))
+    df = two_state(df, by_key(), same("_end"), same("_start"), "_skipped")
+    df = df.withColumn("_base", F.last(F.when(~F.col("_skipped"), F.struct("last", "last_place")), ignorenulls=True).over(by_key()))
+    df = df.withColumn("_base", F.lag("_base").over(by_key())).withColumns({"prev_last": F.col("_base.last"), "prev_place": F.col("_base.last_place"), "_later": F.lead("segment_group").over(by_key())})
+    df = df.withColumns(_gap())
     kind = (
-        F.when(F.col("gap_m") == 0, None)
+        F.when(F.col("gap_m").isNull() | (F.col("gap_m") == 0), None)
         .when(F.col("gap_m") < min_m, "too_short")
-        .when((F.col("n_points") == 1) & (F.col("segment_group") < latest), "known_location")
+        .when((F.col("n_points") == 1) & F.col("_later").isNotNull(), "known_location")
         .when(F.col("prev_place") != F.col("first_place"), "subway")
         .when(F.col("gap_m") <= cold_start_m, "cold_start")
         .otherwise("general")
     )
-    return df.withColumn("kind", kind)
+    return df.withColumn("kind", kind).drop("_end", "_start", "_base", "_skipped", "_later")
+
+
+def missing_trips(trips: DataFrame, entrances: DataFrame, min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0) -> DataFrame:
+    """A row for each trip after a user's first with the kind of the gap before it, or null kind if it touches.
+
+    kind: too_short, known_location (a lone point between trips), subway (two
+    entrances), cold_start or general."""
+    df = with_gap_kinds(end_places(trips, entrances, radius_m), min_m, cold_start_m)
+    df = df.withColumns({"next_first": F.lead("first").over(by_key()), "next_group": F.lead("segment_group").over(by_key())})
+    return df.where(F.col("prev_last").isNotNull())
 
 
 def trip_codes(trips: DataFrame) -> DataFrame:
@@ -159,70 +187,95 @@ def trip_codes(trips: DataFrame) -> DataFrame:
     return trips.withColumn("trip_code", code)
 
 
+GAP_CODES = {"general": 101, "subway": 102, "too_short": 103, "known_location": 104}
+
+
+def gap_code(kind: str = "kind") -> Column:
+    return F.coalesce(*[F.when(F.col(kind) == k, c) for k, c in GAP_CODES.items()])
+
+
 def gap_codes(gaps: DataFrame) -> DataFrame:
-    """Add trip_code to gaps by kind; cold starts are no gaps."""
-    code = F.when(F.col("kind") == "general", 101).when(F.col("kind") == "subway", 102).when(F.col("kind") == "too_short", 103).when(F.col("kind") == "known_location", 104)
-    return gaps.where(F.col("kind").isNotNull() & (F.col("kind") != "cold_start")).withColumn("trip_code", code)
+    """Gaps with trip_code by kind and leads_out; cold starts are no gaps.
+
+    A lone point at a known place has two gaps: the second leads out of it, has
+    no length or time, and stands before the trip that follows, in front of that
+    trip's own gap."""
+    coded = gaps.where(F.col("kind").isNotNull() & (F.col("kind") != "cold_start")).withColumns({"trip_code": gap_code(), "leads_out": F.lit(False)})
+    second = coded.where(F.col("kind") == "known_location").withColumns({
+        "prev_last": F.col("first"), "first": F.col("next_first"), "segment_group": F.col("next_group"), "gap_m": F.lit(0.0), "gap_s": F.lit(0).cast("long"), "leads_out": F.lit(True),
+    })
+    return coded.unionByName(second)
 
 
 def diary(trips: DataFrame, gaps: DataFrame) -> DataFrame:
     """Trips and gaps in one order, numbered from 1: user_id, trip_num, trip_code, first, last.
 
     A gap stands before the trip that it precedes; a gap that is too short is part of that trip."""
-    a = trips.select("user_id", "segment_group", F.lit(1).alias("after"), "trip_code", "first", "last")
-    b = gap_codes(gaps).where("trip_code <> 103").select("user_id", "segment_group", F.lit(0).alias("after"), "trip_code", F.col("prev_last").alias("first"), F.col("first").alias("last"))
+    a = trips.select("user_id", "segment_group", F.lit(2).alias("after"), "trip_code", "first", "last")
+    b = gap_codes(gaps).where("trip_code <> 103").select(
+        "user_id", "segment_group", F.when(F.col("leads_out"), 0).otherwise(1).alias("after"), "trip_code", F.col("prev_last").alias("first"), F.col("first").alias("last")
+    )
     w = Window.partitionBy("user_id").orderBy("segment_group", "after")
     return a.unionByName(b).withColumn("trip_num", F.row_number().over(w)).drop("segment_group", "after")
 
 
+def lone_fates(trips: DataFrame, locations: DataFrame | None = None, break_s: int = 1200, distance_m: float = 150.0) -> DataFrame:
+    """Trips with fate (previous, next, keep or drop for lone points, else null), at (the time that an attached point takes) and host (the trip whose points it joins; null if dropped).
+
+    A lone point joins the trip before or after it, if that is near in time or
+    place (the sooner of two), stays alone at a known place, and else is dropped.
+    The trip that a point joins is no lone point any more, and an attached
+    point's time, which the next test sees, becomes that of the end it was tested
+    against. So the tests are windows, all but one: how long ago the trip before
+    ended, which is replayed in order. The point then joins the last trip that is
+    left (`drop` if there is none)."""
+    near = lambda a, b: F.coalesce(F.expr(geo.planar(f"{a}.easting", f"{a}.northing", f"{b}.easting", f"{b}.northing")) <= distance_m, F.lit(False))
+    df = trips.withColumns({"_prev": F.lag("last").over(by_key()), "_next": F.lead("first").over(by_key())})
+    df = df.withColumns({"_t": F.col("last.t"), "_next_t": F.col("_next.t"), "_near_prev": near("_prev", "first"), "_near_next": near("first", "_next"), "_known": F.lit(False)})
+    if locations is not None:
+        known = locations.groupBy("user_id").agg(F.collect_list(F.struct("easting", "northing")).alias("_places"))
+        within = F.exists("_places", lambda q: F.sqrt(F.pow(q["easting"] - F.col("first.easting"), 2) + F.pow(q["northing"] - F.col("first.northing"), 2)) <= distance_m)
+        df = df.join(known, "user_id", "left").withColumn("_known", F.coalesce(within, F.lit(False))).drop("_places")
+
+    def rule(state, row):
+        """State: time at which the trip before ended, and whether it joined this one."""
+        points, t, next_t, near_prev, near_next, known = row
+        before, joined = state or (None, False)
+        if points != 1 or joined:
+            return (None, None), (t, False)
+        waits = None if next_t is None else next_t - t
+        near_next = near_next or waits is not None and waits <= break_s
+        near_prev = before is not None and (near_prev or t - before <= break_s)
+        if near_prev and (not near_next or t - before <= waits):
+            return ("previous", before), (before, False)
+        if near_next:
+            return ("next", next_t), (next_t, True)
+        return ("keep" if known else "drop", t), (t, False)
+
+    df = replay(df, "user_id", "segment_group", ["n_points", "_t", "_next_t", "_near_prev", "_near_next", "_known"], rule, "fate string, at long")
+    alive = F.when(F.col("fate").isNull() | (F.col("fate") == "keep"), F.col("segment_group"))
+    df = df.withColumns({"_alive": F.last(alive, ignorenulls=True).over(by_key()), "_later": F.lead("segment_group").over(by_key())})
+    host = F.when(F.col("fate") == "next", F.col("_later")).when(F.col("fate") == "drop", None).otherwise(F.col("_alive"))
+    df = df.withColumn("host", host).withColumn("fate", F.when((F.col("fate") == "previous") & F.col("host").isNull(), "drop").otherwise(F.col("fate")))
+    return df.drop("_prev", "_next", "_t", "_next_t", "_near_prev", "_near_next", "_known", "_alive", "_later")
+
+
 def lone_points(trips: DataFrame, locations: DataFrame, break_s: int = 1200, distance_m: float = 150.0) -> DataFrame:
-    """Trips of one point, each with fate: previous, next, keep or drop.
-
-    Attaching moves the end that the next test sees, so a user's trips go through
-    one pass of their own; only ends travel, not points."""
-    ends = trips.select("user_id", "segment_group", "n_points", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "last") for c in ("t", "easting", "northing")])
-    known = locations.groupBy("user_id").agg(F.collect_list(F.struct("easting", "northing")).alias("places"))
-    rows = ends.join(known, "user_id", "left")
-
-    def passed(frame):
-        import math
-
-        frame = frame.sort_values("segment_group")
-        rows = frame.to_dict("records")
-        out, alive = [], []
-        for i, r in enumerate(rows):
-            if r["n_points"] != 1:
-                alive.append(r)
-                continue
-            p = (r["first_easting"], r["first_northing"])
-            prev, after = (rows[i - 1] if i else None), (rows[i + 1] if i + 1 < len(rows) else None)
-            near_prev = near_next = False
-            wait_prev = wait_next = math.inf
-            if prev is not None:
-                wait_prev = r["first_t"] - prev["last_t"]
-                near_prev = wait_prev <= break_s or math.dist(p, (prev["last_easting"], prev["last_northing"])) <= distance_m
-            if after is not None:
-                wait_next = after["first_t"] - r["first_t"]
-                near_next = wait_next <= break_s or math.dist(p, (after["first_easting"], after["first_northing"])) <= distance_m
-            places = r["places"] if r["places"] is not None else []
-            if near_prev and (not near_next or wait_prev <= wait_next):
-                fate = "previous" if alive else "drop"
-                if alive:
-                    alive[-1] |= {"last_t": prev["last_t"], "last_easting": p[0], "last_northing": p[1]}
-            elif near_next:
-                fate = "next"
-                after |= {"first_easting": p[0], "first_northing": p[1], "n_points": after["n_points"] + 1}
-            elif any(math.dist(p, (q["easting"], q["northing"])) <= distance_m for q in places):
-                fate = "keep"
-                alive.append(r)
-            else:
-                fate = "drop"
-            out.append((r["user_id"], r["segment_group"], fate))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["user_id", "segment_group", "fate"])
-
-    return rows.groupBy("user_id").applyInPandas(passed, "user_id long, segment_group long, fate string")
+    """Trips of one point, each with fate: previous, next, keep or drop."""
+    return lone_fates(trips, locations, break_s, distance_m).where(F.col("fate").isNotNull()).select("user_id", "segment_group", "fate")
+
+
+def hosted_trips(trips: DataFrame) -> DataFrame:
+    """The trips that lone_fates() leaves, in the columns of linked_trips(); segments has (keys, at): the time that an attached point takes."""
+    at = lambda end: F.col(end).withField("t", F.coalesce("at", F.col(f"{end}.t")))
+    places = "first_place" in trips.columns
+    df = trips.where(F.col("host").isNotNull()).groupBy("user_id", "host").agg(
+        F.min(F.struct("segment_group", at("first").alias("first"), *(["first_place"] if places else []))).alias("_f"),
+        F.max(F.struct("segment_group", at("last").alias("last"), *(["last_place"] if places else []))).alias("_l"),
+        F.sum("n_points").alias("n_points"), F.max(F.when(F.col("segment_group") == F.col("host"), F.col("labels"))).alias("labels"), F.sum("total").alias("total"),
+        F.collect_list(F.struct("segments", "at")).alias("segments"),
+    )
+    return df.select("user_id", F.col("host").alias("segment_group"), "_f.first", "_l.last", *(["_f.first_place", "_l.last_place"] if places else []), "n_points", "labels", "total", "segments")
 
 
 def trip_points(points: DataFrame) -> DataFrame:
@@ -232,50 +285,71 @@ def trip_points(points: DataFrame) -> DataFrame:
     return points.withColumns({"trip_num": num, "seq": F.row_number().over(w), "trip_distance": F.round(F.sum("distance_before").over(w), 3)})
 
 
-def phone_diary(points: DataFrame, entrances: DataFrame, rules: list[tuple[str, object]], min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0) -> DataFrame:
-    """The whole of it, from segmented points to the points of a numbered diary: user_id, trip_num, trip_code, seq, point_id, t, lat, lon, distance_before, period_before, trip_distance.
-
-    Segments are linked by the rules, gaps between trips become trips of two
-    points, and a trip after a cold start or a gap that is too short begins with
-    a copy of the point before it, at the trip's own starting time (point_id null,
-    with that point's distance_before). Codes follow trip_codes() and gap_codes()."""
-    keys = link_keys(segment.summaries(points), rules)
-    own = points.join(keys, ["user_id", "segment_group"])
-    labels = keys.groupBy("user_id", F.col("trip_key").alias("segment_group")).agg(F.first("labels").alias("labels"))
-    trips = segment.summaries(own, "trip_key").withColumnRenamed("trip_key", "segment_group").join(labels, ["user_id", "segment_group"])
-    gaps = missing_trips(trips, entrances, min_m, radius_m, cold_start_m)
-    before = gaps.select("user_id", "segment_group", "kind", "prev_last")
-    coded = trip_codes(trips.join(before, ["user_id", "segment_group"], "left").withColumn("too_short", F.coalesce(F.col("kind") == "too_short", F.lit(False))))
-    codes = coded.select("user_id", F.col("segment_group").alias("trip_key"), "trip_code")
-    row = ["user_id", "trip_key", "after", "trip_code", "place", "point_id", "t", "lat", "lon", "distance_before", "period_before"]
-    real = own.join(codes, ["user_id", "trip_key"]).withColumns({"after": F.lit(1), "place": F.lit(1)}).select(*row)
-    copied = coded.where("kind in ('cold_start', 'too_short')").select(
-        "user_id", F.col("segment_group").alias("trip_key"), F.lit(1).alias("after"), "trip_code", F.lit(0).alias("place"), F.lit(None).cast("long").alias("point_id"),
-        "first.t", "prev_last.lat", "prev_last.lon", "prev_last.distance_before", "first.period_before",
+def phone_diary(
+    points: DataFrame, entrances: DataFrame, rules: list[tuple[str, Column]], locations: DataFrame | None = None, min_m: float = 250.0, radius_m: float = 200.0, cold_start_m: float = 750.0,
+    lone_break_s: int = 1200, lone_distance_m: float = 150.0,
+) -> DataFrame:
+    """The whole of it, from cleaned and segmented points to the points of a numbered diary: user_id, trip_num, trip_code, merge_codes, seq, point_id, t, lat, lon, h_accuracy, distance_before, period_before, trip_distance.
+
+    Segments are linked by the rules, lone points join a neighbour, stay at one of
+    `locations` or go, and gaps between trips become trips of two points. A trip
+    after a cold start or a gap that is too short begins with a copy of the point
+    before it, at the trip's own starting time (point_id null, with that point's
+    distance_before), and then the way from there counts towards its length. Codes follow trip_codes() and gap_codes();
+    merge_codes has the labels of a trip's links and of a gap that it took in.
+
+    All rules but one are windows over the users' segments; points are joined
+    once, at the end, with the rows that each segment's trip has become."""
+    if "h_accuracy" not in points.columns:
+        points = points.withColumn("h_accuracy", F.lit(None).cast("double"))
+    segments = with_gap(end_places(segment.summaries(points), entrances, radius_m))
+    trips = lone_fates(linked_trips(link_keys(segments, rules)), locations, lone_break_s, lone_distance_m)
+    trips = with_gap_kinds(hosted_trips(trips), min_m, cold_start_m)
+    copied = F.coalesce(F.col("kind").isin("cold_start", "too_short"), F.lit(False))
+    trips = trips.withColumns({"too_short": F.coalesce(F.col("kind") == "too_short", F.lit(False)), "copied": copied})
+    trips = trips.withColumns({
+        "cumulative_distance": F.round(F.when(F.col("copied"), F.col("total")).otherwise(F.col("total") - F.col("first.distance_before")), 3),
+        "n_points": F.col("n_points") + F.col("copied").cast("int"), "out_of": F.when(F.lag("kind").over(by_key()) == "known_location", F.lag("first").over(by_key())),
+    })
+    trips = trip_codes(trips).withColumn("merge_codes", F.array_join(F.when(F.col("too_short"), F.array_append("labels", F.lit("too short"))).otherwise(F.col("labels")), ", "))
+
+    number = lambda kind, x: F.lit(x).cast(kind)
+    row = lambda after, place, code, group, at, t, far, waits, accuracy: F.struct(
+        F.lit(after).alias("after"), F.lit(place).alias("place"), code.cast("int").alias("trip_code"), (number("long", None) if group is None else group).alias("segment_group"), t.cast("long").alias("t"),
+        (number("double", None) if at is None else F.col(f"{at}.lat")).alias("lat"), (number("double", None) if at is None else F.col(f"{at}.lon")).alias("lon"),
+        accuracy.cast("double").alias("h_accuracy"), far.cast("double").alias("distance_before"), waits.cast("long").alias("period_before"),
     )
-    two = F.explode(F.array(
-        F.struct(F.lit(1).alias("place"), F.col("prev_last.t"), F.col("prev_last.lat"), F.col("prev_last.lon"), F.lit(0.0).alias("distance_before"), F.lit(0).cast("long").alias("period_before")),
-        F.struct(F.lit(2).alias("place"), F.col("first.t"), F.col("first.lat"), F.col("first.lon"), F.col("gap_m").alias("distance_before"), F.col("gap_s").cast("long").alias("period_before")),
-    ))
-    jumps = gap_codes(gaps).where("trip_code <> 103").select("user_id", F.col("segment_group").alias("trip_key"), F.lit(0).alias("after"), "trip_code", F.lit(None).cast("long").alias("point_id"), two.alias("x"))
-    jumps = jumps.select("user_id", "trip_key", "after", "trip_code", "x.place", "point_id", "x.t", "x.lat", "x.lon", "x.distance_before", "x.period_before")
-    every = real.unionByName(copied).unionByName(jumps)
+    jump = lambda after, code, a, b, far, waits: F.array(
+        row(after, 1, code, None, a, F.col(f"{a}.t"), F.lit(0), F.lit(0), F.lit(-1)), row(after, 2, code, None, b, F.col(f"{b}.t"), far, waits, F.lit(-1))
+    )
+    none = F.array().cast(trips.select(jump(0, F.lit(0), "first", "last", F.lit(0), F.lit(0)).alias("x")).schema["x"].dataType)
+    own = F.flatten(F.transform("segments", lambda s: F.transform(s["segments"], lambda g: row(2, 1, F.col("trip_code"), g, None, s["at"], F.lit(None), F.lit(None), F.lit(None)))))
+    waits = F.when(F.col("kind") == "cold_start", F.col("first.period_before")).otherwise(F.col("prev_last.period_before"))
+    copy = F.array(row(2, 0, F.col("trip_code"), None, "prev_last", F.col("first.t"), F.col("prev_last.distance_before"), waits, F.col("prev_last.h_accuracy")))
+    before = F.when(F.col("kind").isin("general", "subway", "known_location"), jump(1, gap_code(), "prev_last", "first", F.col("gap_m"), F.col("gap_s"))).otherwise(none)
+    out_of = F.when(F.col("out_of").isNotNull(), jump(0, F.lit(104), "out_of", "first", F.lit(0), F.lit(0))).otherwise(none)
+    rows = trips.select("user_id", F.col("segment_group").alias("trip_key"), "merge_codes", F.explode(F.concat(out_of, before, F.when(F.col("copied"), copy).otherwise(none), own)).alias("x"))
+    rows = rows.select("user_id", "trip_key", F.when(F.col("x.after") == 2, F.col("merge_codes")).alias("merge_codes"), "x.*")
+
+    real = points.select("user_id", "segment_group", "point_id", *[F.col(c).alias(f"_{c}") for c in ("t", "lat", "lon", "h_accuracy", "distance_before", "period_before")])
+    every = rows.join(real, ["user_id", "segment_group"], "left")
     num = F.dense_rank().over(Window.partitionBy("user_id").orderBy("trip_key", "after"))
-    w = Window.partitionBy("user_id", "trip_key", "after").orderBy("place", "t", "point_id")
-    out = every.withColumns({"trip_num": num, "seq": F.row_number().over(w), "trip_distance": F.round(F.sum("distance_before").over(w), 3)})
-    return out.select("user_id", "trip_num", "trip_code", "seq", "point_id", "t", "lat", "lon", "distance_before", "period_before", "trip_distance")
+    w = Window.partitionBy("user_id", "trip_key", "after").orderBy("place", "_t", "point_id")
+    filled = every.withColumns({c: F.coalesce(c, f"_{c}") for c in ("t", "lat", "lon", "h_accuracy", "distance_before", "period_before")})
+    out = filled.withColumns({"trip_num": num, "seq": F.row_number().over(w), "trip_distance": F.round(F.sum("distance_before").over(w), 3)})
+    return out.select("user_id", "trip_num", "trip_code", "merge_codes", "seq", "point_id", "t", "lat", "lon", "h_accuracy", "distance_before", "period_before", "trip_distance")
 
 
 def diary_summaries(diary: DataFrame, timezone: str) -> DataFrame:
-    """A row for each trip of a phone diary: ends in UTC and local time, code, origin and destination, distances."""
+    """A row for each trip of a phone diary: ends in UTC and local time, code, merge codes, origin and destination, distances."""
     from ..functions.time import local
 
     at = F.struct("seq", "t", "lat", "lon", "trip_distance")
-    df = diary.groupBy("user_id", "trip_num").agg(F.first("trip_code").alias("trip_code"), F.min(at).alias("o"), F.max(at).alias("d"))
+    df = diary.groupBy("user_id", "trip_num").agg(F.first("trip_code").alias("trip_code"), F.first("merge_codes").alias("merge_codes"), F.min(at).alias("o"), F.max(at).alias("d"))
     utc = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
     planar = F.expr(geo.planar(geo.easting("o.lat", "o.lon"), geo.northing("o.lat", "o.lon"), geo.easting("d.lat", "d.lon"), geo.northing("d.lat", "d.lon")))
     return df.select(
         "user_id", F.col("trip_num").alias("trip_id"), utc("o.t").alias("start_UTC"), local(utc("o.t"), timezone).alias("start"), utc("d.t").alias("end_UTC"), local(utc("d.t"), timezone).alias("end"),
-        "trip_code", F.col("o.lat").alias("olat"), F.col("o.lon").alias("olon"), F.col("d.lat").alias("dlat"), F.col("d.lon").alias("dlon"),
+        "trip_code", "merge_codes", F.col("o.lat").alias("olat"), F.col("o.lon").alias("olon"), F.col("d.lat").alias("dlat"), F.col("d.lon").alias("dlon"),
         F.round(planar, 3).alias("direct_distance"), F.col("d.trip_distance").alias("cumulative_distance"),
     )

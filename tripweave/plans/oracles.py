@@ -111,7 +111,7 @@ lb AS (SELECT k2.user_id, trip_key, bool_or(sub) AS sub, bool_or(link) AS walk F
 keys AS (SELECT k1.user_id, k1.segment_group, trip_key, sub, walk FROM k1 JOIN k2 USING (user_id, key1) JOIN lb USING (user_id, trip_key)),
 lseg AS (SELECT seg.*, trip_key FROM seg JOIN keys USING (user_id, segment_group)),
 tq0 AS (SELECT user_id, trip_key AS segment_group, count(*) AS n_points, sum(distance_before) AS ds, arg_min(distance_before, ROW(t, point_id)) AS lead, """
-    + ", ".join(f"arg_{f}({c}, ROW(t, point_id)) AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in ("t", "lat", "lon", "easting", "northing", "distance_before"))
+    + ", ".join(f"arg_{f}({c}, ROW(t, point_id)) AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in ("t", "lat", "lon", "easting", "northing", "distance_before", "period_before", "h_accuracy"))
     + """ FROM lseg GROUP BY 1, 2),
 tr2 AS (SELECT *, round(ds - lead, 3) AS cumulative_distance FROM tq0)"""
 )
@@ -122,14 +122,16 @@ def _speed(test: str) -> str:
 
 
 def _missing(trips: str, name: str) -> str:
-    """The gaps `miss` between the trips `name` that `trips` defines, and their codes."""
+    """The gaps `miss` between the trips `name` that `trips` defines, the base walked trip by trip; for use under WITH RECURSIVE."""
     return (
         trips
-        + f""", g0m AS (SELECT *, lag(z_easting) {_T} AS pe, lag(z_northing) {_T} AS pn FROM {name}),
-gm AS (SELECT *, round({geo.planar("pe", "pn", "f_easting", "f_northing")}, 3) AS gap_m FROM g0m),
-b0 AS (SELECT *, last_value(CASE WHEN coalesce(gap_m <> 0, true) THEN segment_group END IGNORE NULLS) {_T} AS base FROM gm),
-b1 AS (SELECT *, lag(base) {_T} AS bs, max(segment_group) OVER (PARTITION BY user_id) AS latest FROM b0),
-b2 AS (SELECT a.user_id, a.segment_group, a.n_points, a.f_t, a.z_t, a.latest, a.f_easting, a.f_northing, a.f_lat, a.f_lon, b.z_t AS pt, b.z_easting AS pe, b.z_northing AS pn, b.z_lat AS p_lat, b.z_lon AS p_lon,
+        + f""", wi AS (SELECT *, row_number() {_T} AS i FROM {name}),
+wb AS (SELECT user_id, i, segment_group AS base FROM wi WHERE i = 1
+  UNION ALL SELECT n.user_id, n.i, CASE WHEN b.z_easting = n.f_easting AND b.z_northing = n.f_northing THEN w.base ELSE n.segment_group END
+  FROM wb w JOIN wi n ON n.user_id = w.user_id AND n.i = w.i + 1 JOIN {name} b ON b.user_id = w.user_id AND b.segment_group = w.base),
+b1 AS (SELECT wi.*, lag(base) OVER (PARTITION BY user_id ORDER BY i) AS bs, max(segment_group) OVER (PARTITION BY user_id) AS latest,
+  lead(segment_group) OVER (PARTITION BY user_id ORDER BY i) AS next_group FROM wi JOIN wb USING (user_id, i)),
+b2 AS (SELECT a.*, b.z_t AS pt, b.z_easting AS pe, b.z_northing AS pn, b.z_lat AS p_lat, b.z_lon AS p_lon,
   b.z_distance_before AS p_distance, a.f_t - b.z_t AS gap_s, round({geo.planar("b.z_easting", "b.z_northing", "a.f_easting", "a.f_northing")}, 3) AS gap_m FROM b1 a JOIN {name} b ON a.user_id = b.user_id AND a.bs = b.segment_group),
 b3 AS (SELECT *, {_at("pe", "pn")} AS pp, {_at("f_easting", "f_northing")} AS fp FROM b2),
 miss AS (SELECT *, CASE WHEN gap_m = 0 THEN NULL WHEN gap_m < 250 THEN 'too_short' WHEN n_points = 1 AND segment_group < latest THEN 'known_location'
@@ -137,24 +139,14 @@ miss AS (SELECT *, CASE WHEN gap_m = 0 THEN NULL WHEN gap_m < 250 THEN 'too_shor
     )
 
 
+_GAP_CODE = "CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END"
+
 _MISSING = (
     _missing(_trips() + ", " + _entrances(), "tr")
-    + """, coded AS (SELECT tr.*, CASE WHEN cumulative_distance < 250 THEN 202 WHEN kind = 'too_short' AND tr.n_points = 1 THEN 201 WHEN kind = 'too_short' THEN 1
+    + """, coded AS (SELECT tr.*, CASE WHEN tr.cumulative_distance < 250 THEN 202 WHEN kind = 'too_short' AND tr.n_points = 1 THEN 201 WHEN kind = 'too_short' THEN 1
   WHEN tr.n_points > 1 THEN 1 ELSE -1 END AS trip_code FROM tr LEFT JOIN miss USING (user_id, segment_group))"""
 )
 
-_DIARY = (
-    _missing(_LINKED, "tr2")
-    + f""", cod AS (SELECT tr2.*, kind, p_lat, p_lon, p_distance, CASE WHEN cumulative_distance < 250 THEN 202 WHEN kind = 'too_short' AND sub THEN 2 WHEN kind = 'too_short' AND tr2.n_points = 1 THEN 201 WHEN kind = 'too_short' THEN 1
-  WHEN sub THEN 2 WHEN NOT walk AND tr2.n_points > 1 THEN 1 ELSE -1 END AS trip_code FROM tr2 JOIN (SELECT DISTINCT user_id, trip_key AS segment_group, sub, walk FROM keys) USING (user_id, segment_group) LEFT JOIN miss USING (user_id, segment_group)),
-ev AS (SELECT l.user_id, l.trip_key, 1 AS after, trip_code, 1 AS place, point_id, t, lat, lon, distance_before FROM lseg l JOIN cod ON cod.user_id = l.user_id AND cod.segment_group = l.trip_key
-  UNION ALL SELECT user_id, segment_group, 1, trip_code, 0, NULL, f_t, p_lat, p_lon, p_distance FROM cod WHERE kind IN ('cold_start', 'too_short')
-  UNION ALL SELECT user_id, segment_group, 0, CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END, 1, NULL, pt, p_lat, p_lon, 0.0 FROM miss WHERE kind IN ('general', 'subway', 'known_location')
-  UNION ALL SELECT user_id, segment_group, 0, CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END, 2, NULL, f_t, f_lat, f_lon, gap_m FROM miss WHERE kind IN ('general', 'subway', 'known_location')),
-dia AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY trip_key, after) AS trip_num, trip_code, row_number() OVER q AS seq, point_id, t, lat, lon,
-  round(sum(distance_before) OVER q, 3) AS trip_distance FROM ev WINDOW q AS (PARTITION BY user_id, trip_key, after ORDER BY place, t, point_id))"""
-)
-
 _SURVEY = f"""s0 AS (SELECT c_custkey AS user_id, unnest([0, 1, 2]) AS place_order, unnest(['home', 'work', 'study']) AS label, unnest([37, 59, 71]) AS a, unnest([91, 13, 29]) AS b FROM customer),
 places AS (SELECT user_id, place_order, label, {geo.lit(45.45)} + (user_id * a % 1000) / {geo.lit(TIGHT)} AS lat, {geo.lit(-73.65)} + (user_id * b % 1000) / {geo.lit(TIGHT)} AS lon
   FROM s0 WHERE NOT (label = 'study' AND user_id % 4 = 0))"""
@@ -238,6 +230,54 @@ walk AS (SELECT user_id, i, point_id, true AS kept, t AS wt, easting AS we, nort
 _SPIKE = f"NOT (n.xe IS NOT NULL AND {geo.planar('w.we', 'w.wn', 'n.easting', 'n.northing')} <> 0 AND n.t <> w.wt AND {geo.planar('w.we', 'w.wn', 'n.easting', 'n.northing')} / nullif(n.t - w.wt, 0) >= {100 / 3.6!r} AND {geo.planar('w.we', 'w.wn', 'n.xe', 'n.xn')} < {geo.planar('w.we', 'w.wn', 'n.easting', 'n.northing')})"
 _STEP = f"n.t <> w.wt AND {geo.haversine('w.wla', 'w.wlo', 'n.lat', 'n.lon')} >= 0.1"
 
+def _fates(trips: str) -> str:
+    """`fates` of the lone points among `trips` (i, fate, set_t), tested one after the other; for use under WITH RECURSIVE with `places` defined."""
+    fate = """CASE WHEN n_points <> 1 OR j THEN NULL WHEN bt IS NOT NULL AND (np OR f_t - bt <= 1200) AND (NOT nx OR f_t - bt <= nt - f_t) THEN 'previous'
+    WHEN nx THEN 'next' WHEN known THEN 'keep' ELSE 'drop' END"""
+    out = "SELECT user_id, segment_group, i, fate, CASE WHEN fate = 'previous' THEN bt WHEN fate = 'next' THEN nt WHEN fate IS NOT NULL THEN f_t END AS set_t, CASE WHEN fate = 'previous' THEN bt WHEN fate = 'next' THEN nt WHEN fate IS NULL THEN z_t ELSE f_t END AS bt, coalesce(fate = 'next', false) AS j"
+    return f"""pu AS (SELECT user_id AS u, round({geo.easting("lat", "lon")}, 3) AS qe, round({geo.northing("lat", "lon")}, 3) AS qn FROM places),
+t0 AS (SELECT *, row_number() {_T} AS i, lead(f_t) {_T} AS nt, lag(z_easting) {_T} AS ae, lag(z_northing) {_T} AS an, lead(f_easting) {_T} AS ne, lead(f_northing) {_T} AS nn FROM {trips}),
+t1 AS (SELECT user_id, segment_group, i, n_points, f_t, z_t, nt, coalesce({geo.planar("ae", "an", "f_easting", "f_northing")} <= 150, false) AS np,
+  coalesce({geo.planar("f_easting", "f_northing", "ne", "nn")} <= 150, false) OR coalesce(nt - f_t <= 1200, false) AS nx,
+  EXISTS (SELECT 1 FROM pu WHERE u = user_id AND {geo.planar("qe", "qn", "f_easting", "f_northing")} <= 150) AS known FROM t0),
+tf AS ({out} FROM (SELECT *, {fate} AS fate FROM (SELECT *, NULL::BIGINT AS bt, false AS j FROM t1 WHERE i = 1))
+  UNION ALL {out} FROM (SELECT *, {fate} AS fate FROM (SELECT t1.*, tf.bt, tf.j FROM tf JOIN t1 ON t1.user_id = tf.user_id AND t1.i = tf.i + 1))),
+al AS (SELECT *, last_value(CASE WHEN fate IS NULL OR fate = 'keep' THEN segment_group END IGNORE NULLS) {_T} AS la, lead(segment_group) {_T} AS later FROM tf),
+fates AS (SELECT user_id, segment_group, CASE WHEN fate = 'previous' AND la IS NULL THEN 'drop' ELSE fate END AS fate, set_t, CASE WHEN fate = 'next' THEN later WHEN fate = 'drop' THEN NULL ELSE la END AS host FROM al)"""
+
+
+_HOSTED = ", ".join(
+    f"arg_{f}({f'coalesce(set_t, {n}_t)' if c == 't' else f'{n}_{c}'}, segment_group) AS {n}_{c}"
+    for n, f in (("f", "min"), ("z", "max")) for c in ("t", "lat", "lon", "easting", "northing", "distance_before", "period_before", "h_accuracy")
+)
+
+#: The phone diary: spikes dropped, segments linked, lone points attached, gaps inferred, all coded and numbered.
+_DIARY = (
+    _missing(
+        _LINKED.replace(", good AS (SELECT * FROM pts WHERE h_accuracy <= 50)", f", g00 AS (SELECT * FROM pts WHERE h_accuracy <= 50), {_walk('g00', _SPIKE)}, good AS (SELECT g00.* FROM g00 JOIN walk USING (user_id, point_id) WHERE kept)")
+        + f""", {_SURVEY}, {_fates("tr2")},
+tr3 AS (SELECT user_id, host AS segment_group, sum(n_points) AS n_points, sum(ds) AS ds, {_HOSTED} FROM tr2 JOIN fates USING (user_id, segment_group) WHERE host IS NOT NULL GROUP BY 1, 2)""",
+        "tr3",
+    )
+    + f""", lk AS (SELECT DISTINCT user_id, trip_key AS segment_group, sub, walk FROM keys),
+co AS (SELECT tr3.*, kind, sub, walk, m.pt, p_lat, p_lon, p_distance, b.z_period_before AS p_period, b.z_h_accuracy AS p_accuracy, coalesce(kind IN ('cold_start', 'too_short'), false) AS copied
+  FROM tr3 JOIN lk USING (user_id, segment_group) LEFT JOIN miss m USING (user_id, segment_group) LEFT JOIN tr3 b ON b.user_id = m.user_id AND b.segment_group = m.bs),
+cd AS (SELECT *, concat_ws(', ', CASE WHEN sub THEN 'subway' END, CASE WHEN walk THEN 'walking' END, CASE WHEN kind = 'too_short' THEN 'too short' END) AS merge_codes,
+  CASE WHEN round(CASE WHEN copied THEN ds ELSE ds - f_distance_before END, 3) < 250 THEN 202 WHEN kind = 'too_short' AND sub THEN 2 WHEN kind = 'too_short' THEN 1
+  WHEN sub THEN 2 WHEN NOT walk AND n_points + copied::INT > 1 THEN 1 ELSE -1 END AS trip_code FROM co),
+own AS (SELECT l.user_id, host AS trip_key, l.point_id, coalesce(set_t, l.t) AS t, l.t AS o, lat, lon, h_accuracy, distance_before, period_before FROM lseg l
+  JOIN fates ON fates.user_id = l.user_id AND fates.segment_group = l.trip_key WHERE host IS NOT NULL),
+ev AS (SELECT l.user_id, l.trip_key, 2 AS after, trip_code, merge_codes, 1 AS place, o, point_id, t, lat, lon, h_accuracy, distance_before, period_before FROM own l JOIN cd ON cd.user_id = l.user_id AND cd.segment_group = l.trip_key
+  UNION ALL SELECT user_id, segment_group, 2, trip_code, merge_codes, 0, NULL, NULL, f_t, p_lat, p_lon, p_accuracy, p_distance, CASE WHEN kind = 'cold_start' THEN f_period_before ELSE p_period END FROM cd WHERE copied
+  UNION ALL SELECT user_id, segment_group, 1, {_GAP_CODE}, NULL, 1, NULL, NULL, pt, p_lat, p_lon, -1.0, 0.0, 0 FROM miss WHERE kind IN ('general', 'subway', 'known_location')
+  UNION ALL SELECT user_id, segment_group, 1, {_GAP_CODE}, NULL, 2, NULL, NULL, f_t, f_lat, f_lon, -1.0, gap_m, gap_s FROM miss WHERE kind IN ('general', 'subway', 'known_location')
+  UNION ALL SELECT user_id, next_group, 0, 104, NULL, 1, NULL, NULL, f_t, f_lat, f_lon, -1.0, 0.0, 0 FROM miss WHERE kind = 'known_location'
+  UNION ALL SELECT m.user_id, next_group, 0, 104, NULL, 2, NULL, NULL, n.f_t, n.f_lat, n.f_lon, -1.0, 0.0, 0 FROM miss m JOIN tr3 n ON n.user_id = m.user_id AND n.segment_group = m.next_group WHERE kind = 'known_location'),
+dia AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY trip_key, after) AS trip_num, trip_code, merge_codes, row_number() OVER q AS seq, point_id, t, lat, lon, h_accuracy, period_before,
+  round(sum(distance_before) OVER q, 3) AS trip_distance FROM ev WINDOW q AS (PARTITION BY user_id, trip_key, after ORDER BY place, o, point_id))"""
+)
+
+
 def _ellipsoid(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Ellipsoidal distance over short ways: the radii of curvature at the middle latitude (within a millimetre at 750 m)."""
     mid, e2 = f"radians(({lat1} + {lat2}) / 2)", "0.0066943799901413165"
@@ -292,18 +332,20 @@ def oracle_sql() -> dict[str, str]:
         "metro_links_older": f"WITH {_subway(True)}, q AS (SELECT *, lag(condition) {_T} AS before FROM cn) SELECT user_id, segment_group, condition AND NOT coalesce(before, false) AS link FROM q",
         "velocity_links": _paired(_speed(">= 2.0")),
         "velocity_links_older": f"WITH {_speed('> 2.0')} SELECT user_id, segment_group, condition AS link FROM cn",
-        "missing_trips": f"WITH {_MISSING} SELECT user_id, segment_group, kind, round(gap_m, 1) AS gap_m, gap_s FROM miss",
-        "trip_codes": f"WITH {_MISSING} SELECT user_id, segment_group, trip_code FROM coded",
-        "merged_diary": f"""WITH {_MISSING}, u AS (SELECT user_id, segment_group, 1 AS after, trip_code, f_t AS start_t, z_t AS end_t FROM coded
-  UNION ALL SELECT user_id, segment_group, 0, CASE kind WHEN 'general' THEN 101 WHEN 'subway' THEN 102 ELSE 104 END, pt, f_t FROM miss WHERE kind IN ('general', 'subway', 'known_location'))
+        "missing_trips": f"WITH RECURSIVE {_MISSING} SELECT user_id, segment_group, kind, round(gap_m, 1) AS gap_m, gap_s FROM miss",
+        "trip_codes": f"WITH RECURSIVE {_MISSING} SELECT user_id, segment_group, trip_code FROM coded",
+        "merged_diary": f"""WITH RECURSIVE {_MISSING}, u AS (SELECT user_id, segment_group, 2 AS after, trip_code, f_t AS start_t, z_t AS end_t FROM coded
+  UNION ALL SELECT user_id, segment_group, 1, {_GAP_CODE}, pt, f_t FROM miss WHERE kind IN ('general', 'subway', 'known_location')
+  UNION ALL SELECT m.user_id, next_group, 0, 104, m.f_t, n.f_t FROM miss m JOIN tr n ON n.user_id = m.user_id AND n.segment_group = m.next_group WHERE kind = 'known_location')
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY segment_group, after) AS trip_num, trip_code, start_t, end_t FROM u""",
         "linked_trips": f"WITH RECURSIVE {_LINKED} SELECT user_id, trip_key, count(*) AS n_points, concat_ws(',', CASE WHEN any_value(sub) THEN 'subway' END, CASE WHEN any_value(walk) THEN 'walking' END) AS labels FROM seg JOIN keys USING (user_id, segment_group) GROUP BY 1, 2",
         "trip_points": f"""WITH RECURSIVE {_LINKED} SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY trip_key) AS trip_num, row_number() OVER q AS seq, point_id, round(round(sum(distance_before) OVER q, 3), 1) AS trip_distance
 FROM lseg WINDOW q AS (PARTITION BY user_id, trip_key ORDER BY t, point_id)""",
-        "phone_diary": f"WITH RECURSIVE {_DIARY} SELECT user_id, trip_num, trip_code, seq, point_id, t, lat, lon, round(trip_distance, 1) AS trip_distance FROM dia",
-        "trip_summaries": f"""WITH RECURSIVE {_DIARY}, ts AS (SELECT user_id, trip_num AS trip_id, any_value(trip_code) AS trip_code, arg_min(t, seq) AS s, arg_max(t, seq) AS e, arg_min(lat, seq) AS olat, arg_min(lon, seq) AS olon,
+        "phone_diary": f"WITH RECURSIVE {_DIARY} SELECT user_id, trip_num, trip_code, merge_codes, seq, point_id, t, lat, lon, h_accuracy, period_before, round(trip_distance, 1) AS trip_distance FROM dia",
+        "lone_points": f"WITH RECURSIVE {_trips()}, {_SURVEY}, {_fates('tr')} SELECT user_id, segment_group, fate FROM fates WHERE fate IS NOT NULL",
+        "trip_summaries": f"""WITH RECURSIVE {_DIARY}, ts AS (SELECT user_id, trip_num AS trip_id, any_value(trip_code) AS trip_code, any_value(merge_codes) AS merge_codes, arg_min(t, seq) AS s, arg_max(t, seq) AS e, arg_min(lat, seq) AS olat, arg_min(lon, seq) AS olon,
   arg_max(lat, seq) AS dlat, arg_max(lon, seq) AS dlon, arg_max(trip_distance, seq) AS far FROM dia GROUP BY 1, 2)
-SELECT user_id, trip_id, trip_code, make_timestamp(CAST(s AS BIGINT) * 1000000) AS "start_UTC", {_local("s")} AS start, make_timestamp(CAST(e AS BIGINT) * 1000000) AS "end_UTC", {_local("e")} AS "end", olat, olon, dlat, dlon,
+SELECT user_id, trip_id, trip_code, merge_codes, make_timestamp(CAST(s AS BIGINT) * 1000000) AS "start_UTC", {_local("s")} AS start, make_timestamp(CAST(e AS BIGINT) * 1000000) AS "end_UTC", {_local("e")} AS "end", olat, olon, dlat, dlon,
   round(round({geo.planar(geo.easting("olat", "olon"), geo.northing("olat", "olon"), geo.easting("dlat", "dlon"), geo.northing("dlat", "dlon"))}, 3), 1) AS direct_distance, round(far, 1) AS cumulative_distance FROM ts""",
         "spike_filter": f"WITH RECURSIVE {_good(WIDE)}, {_walk('good', _SPIKE)} SELECT user_id, point_id FROM walk WHERE kept",
         "logger_preprocess": f"WITH RECURSIVE {_pts(WIDE)}, {_walk('pts', _STEP)} SELECT user_id, point_id, coalesce(wt - pt, 0) AS duration_s, round(coalesce({geo.haversine('pla', 'plo', 'wla', 'wlo')}, 0), 3) AS distance_m FROM walk WHERE kept",

@@ -113,20 +113,22 @@ def velocity_links_older(spark, d):
     return _ends(stitch.velocity_links(_trips(spark, d), 2.0, chains=True), "link")
 
 
-def _rules(spark, d) -> list:
-    entrances = adapters.entrances(spark, d)
-    return [("subway", lambda trips: stitch.subway_links(trips, entrances)), ("walking", lambda trips: stitch.velocity_links(trips, 2.0))]
+def _rules() -> list:
+    return [("subway", stitch.subway_condition()), ("walking", stitch.velocity_condition(2.0))]
+
+
+def _keyed(spark, d, segments: DataFrame) -> DataFrame:
+    return stitch.link_keys(stitch.with_gap(stitch.end_places(segment.summaries(segments), adapters.entrances(spark, d), 200.0)), _rules())
 
 
 def linked_trips(spark, d):
-    trips = _trips(spark, d)
-    keys = stitch.link_keys(trips, _rules(spark, d)).join(trips.select("user_id", "segment_group", "n_points"), ["user_id", "segment_group"])
-    return keys.groupBy("user_id", "trip_key").agg(F.sum("n_points").alias("n_points"), F.array_join(F.first("labels"), ",").alias("labels"))
+    trips = stitch.linked_trips(_keyed(spark, d, _segments(spark, d)))
+    return trips.select("user_id", F.col("segment_group").alias("trip_key"), "n_points", F.array_join("labels", ",").alias("labels"))
 
 
 def trip_points(spark, d):
     s = _segments(spark, d)
-    linked = s.join(stitch.link_keys(segment.summaries(s), _rules(spark, d)), ["user_id", "segment_group"])
+    linked = s.join(_keyed(spark, d, s).select("user_id", "segment_group", "trip_key"), ["user_id", "segment_group"])
     return stitch.trip_points(linked).select("user_id", "trip_num", "seq", "point_id", F.round("trip_distance", 1).alias("trip_distance"))
 
 
@@ -152,19 +154,26 @@ def merged_diary(spark, d):
     return stitch.diary(trips, gaps).select("user_id", "trip_num", "trip_code", F.col("first.t").alias("start_t"), F.col("last.t").alias("end_t"))
 
 
+def _known(spark, d) -> DataFrame:
+    return clean.with_utm(activity.unpivot_locations(adapters.surveys(spark, d), ["home", "work", "study"]))
+
+
+def _diary(spark, d) -> DataFrame:
+    cleaned = segment.gap_segments(clean.spike_filter(_good(spark, d), C.spike_kph), C.break_interval_s)
+    return stitch.phone_diary(cleaned, adapters.entrances(spark, d), _rules(), _known(spark, d))
+
+
 def phone_diary(spark, d):
-    p = stitch.phone_diary(_segments(spark, d), adapters.entrances(spark, d), _rules(spark, d))
-    return p.select("user_id", "trip_num", "trip_code", "seq", "point_id", "t", "lat", "lon", F.round("trip_distance", 1).alias("trip_distance"))
+    p = _diary(spark, d)
+    return p.select("user_id", "trip_num", "trip_code", "merge_codes", "seq", "point_id", "t", "lat", "lon", "h_accuracy", "period_before", F.round("trip_distance", 1).alias("trip_distance"))
 
 
 def trip_summaries(spark, d):
-    p = stitch.phone_diary(_segments(spark, d), adapters.entrances(spark, d), _rules(spark, d))
-    return stitch.diary_summaries(p, C.timezone).withColumns({c: F.round(c, 1) for c in ("direct_distance", "cumulative_distance")})
+    return stitch.diary_summaries(_diary(spark, d), C.timezone).withColumns({c: F.round(c, 1) for c in ("direct_distance", "cumulative_distance")})
 
 
 def lone_points(spark, d):
-    places = activity.unpivot_locations(adapters.surveys(spark, d), ["home", "work", "study"])
-    return stitch.lone_points(_trips(spark, d), clean.with_utm(places))
+    return stitch.lone_points(_trips(spark, d), _known(spark, d))
 
 
 def spike_filter(spark, d):

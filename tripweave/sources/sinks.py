@@ -62,7 +62,7 @@ def trip_rows(diary: DataFrame, start: int = 1) -> DataFrame:
 
 def summary_rows(summaries: DataFrame) -> DataFrame:
     """The columns of TRIP_SUMMARIES from stitch.diary_summaries()."""
-    return summaries.withColumnRenamed("user_id", "uuid").withColumn("merge_codes", F.lit(None).cast("string")).select(*TRIP_SUMMARIES)
+    return summaries.withColumnRenamed("user_id", "uuid").select(*TRIP_SUMMARIES)
 
 
 def day_rows(days: DataFrame) -> DataFrame:

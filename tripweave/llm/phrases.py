@@ -26,6 +26,7 @@ gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -35,15 +36,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Bounds of a dictionary that goes to every task; a larger one is joined.
-DICTIONARY, DICTIONARY_BYTES = 1_000_000, 32_000_000
+DICTIONARY, DICTIONARY_BYTES = 600_000, 24_000_000
 #: Texts whose keys give the bounds of the ranges, about, and keys taken of a text at most there.
 RANGE_TEXTS, RANGE_KEYS = 4_000, 64
 #: Keys in a range, about.
-RANGE_SIZE = 2_000_000
+RANGE_SIZE = 1_000_000
 #: Keys that a task gathers before it counts their runs.
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Distinct words that a task counts before it hands them on.
-WORDS_HELD = 300_000
+WORDS_HELD = 200_000
 #: Parts of a language in the first round of ranking.
 RANK_PARTS = 64
 
@@ -199,18 +200,39 @@ def _batch(rows: list):
     )
 
 
-def _by_language(rows: list) -> dict[str, dict[bytes, int]]:
-    out: dict[str, dict[bytes, int]] = {}
-    for language, word, number in rows:
-        out.setdefault(language, {})[word] = number
-    return out
+def _packed(words: DataFrame) -> bytes:
+    """lang, word and id of `words` in Arrow's stream format: what the driver holds and sends is a few bytes a word."""
+    import pyarrow as pa
+
+    found, sink = words.select("lang", "word", "id").toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    return sink.getvalue().to_pybytes()
+
+
+_KNOWN: dict = {}
+
+
+def _known(ids) -> dict[str, dict[bytes, int]]:
+    """The ids by language and word of (name, broadcast of _packed()), built once in each Python worker."""
+    import pyarrow as pa
+
+    name, packed = ids
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        out: dict[str, dict[bytes, int]] = {}
+        for batch in pa.ipc.open_stream(packed.value):
+            for language, word, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.setdefault(language, {})[word] = number
+        _KNOWN[name] = out
+    return _KNOWN[name]
 
 
 def _keys_by_broadcast(texts: DataFrame, ids, bounds) -> DataFrame:
     """The counted keys of all texts, the dictionary being with each task."""
 
     def run(batches):
-        known, held = ids.value, _Held(bounds.value)
+        known, held = _known(ids), _Held(bounds.value)
         for batch in batches:
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 get, tokens = known.get(language, {}).get, _tokens(t.as_py())
@@ -262,7 +284,7 @@ def _bounds(texts: DataFrame, ids, positions: int, rows: int) -> bytes:
         for batch in batches:
             highs, lows = [], []
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                get = ids.value.get(language, {}).get
+                get = _known(ids).get(language, {}).get
                 high, low = pack(np.array([get(w, 0) for w in _tokens(t.as_py()) if w], np.uint32))
                 step = max(1, -(-len(high) // RANGE_KEYS))
                 highs.append(high[step // 2 :: step])
@@ -318,7 +340,7 @@ def mine(docs: DataFrame, least: int = 10, top: int = 2000, share: int = 50, lan
     small = size.n <= dictionary_words and size.bytes <= DICTIONARY_BYTES
     # For the bounds alone the most frequent words do, if there are too many.
     sent = known if small else known.orderBy(F.desc("c"), "id").limit(min(dictionary_words, 100_000))
-    ids = context.broadcast(_by_language(sent.select("lang", "word", "id").collect()))
+    ids = uuid.uuid4().hex, context.broadcast(_packed(sent))
     bounds = context.broadcast(_bounds(texts, ids, size.positions, texts.count()))
     parts = _keys_by_broadcast(texts, ids, bounds) if small else _keys_by_join(texts, known, bounds)
     found = materialize(grams(parts, least), "phrase-grams")

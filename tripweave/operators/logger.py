@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .automaton import two_state
+from .clean import by_time
 from .segment import logger_segments
 
 NEAR_M, REACH_M = 60.0, 200.0
@@ -122,3 +124,27 @@ def diary(points: DataFrame, missing_m: float = 250.0) -> DataFrame:
 def logger_trips(points: DataFrame, locations: DataFrame, gap_s: int = 300) -> DataFrame:
     """The whole of it: points with easting and northing in, diary out."""
     return diary(long_pieces(stop_split(logger_segments(points, gap_s), locations, gap_s)))
+
+
+def attribute_stops(points: DataFrame, speed: str = "speed_ms", rest_ms: float = 0.15, turn: float = 90.0, least_trip_s: int = 60, least_stop_s: int = 120, most_ratio: float = 1.0) -> DataFrame:
+    """Add label, stop or trip, from speed, delta_heading and duration_s: a point's own speed, smoothed by the label of the point before and the speed or turn of the next.
+
+    Between two stops only a trip point of `least_trip_s` or longer stays one,
+    between two trips only a stop point of `least_stop_s`; a trip point between
+    trip and stop that is more than (1 + `most_ratio`) times as fast as the one before is a
+    stop, as speed should fall there. The first point has no label, the last is a
+    stop. A label depends on the label before and on nothing else that went
+    before: an automaton of two states."""
+    window = by_time()
+    own = F.col(speed) <= rest_ms
+    next_stop = (F.lead(speed).over(window) <= rest_ms) | (F.lead("delta_heading").over(window) > turn)
+    df = points.withColumns({"_own": F.coalesce(own, F.lit(False)), "_next": next_stop, "_before": F.lag(speed).over(window), "_number": F.row_number().over(window), "_more": F.lead("t").over(window).isNotNull()})
+    df = df.withColumn("_next", F.when(F.col("_more"), F.coalesce("_next", F.lit(False))))
+    trip_stays, stop_stays = F.col("duration_s") >= least_trip_s, F.col("duration_s") >= least_stop_s
+    jumps = F.when(F.col("_before") == 0, F.col(speed) > 0).otherwise((F.col(speed) - F.col("_before")) / F.col("_before") > most_ratio)
+    free = (F.col("_number") <= 2) | F.col("_next").isNull()  # no label before, or no point after
+    after_stop = F.when(free | ~F.col("_next"), F.col("_own")).otherwise(F.col("_own") | ~trip_stays)
+    after_trip = F.when(free, F.col("_own")).when(F.col("_next"), F.col("_own") | jumps).otherwise(F.col("_own") & stop_stays)
+    df = two_state(df, window, after_trip, after_stop, "_stop")
+    label = F.when(~F.col("_more") | F.col("_stop"), "stop").otherwise("trip")
+    return df.withColumn("label", F.when((F.col("_number") == 1) & F.col("_more"), None).otherwise(label)).drop("_own", "_next", "_before", "_number", "_more", "_stop")

@@ -308,6 +308,15 @@ _HEADING = f"""hv AS (SELECT * FROM pts WHERE value <> 0), hh AS (SELECT *, valu
 hg AS (SELECT *, sum((NOT inn)::INT) {_W} AS run FROM hh), hz AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last FROM hg),
 hs AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY run) AS stop FROM hz WHERE inn AND run < last)"""
 
+#: Clusters in time, the noise counter walked point by point; for use under WITH RECURSIVE.
+_RELABEL = f"""lb AS (SELECT *, CASE WHEN point_id % 5 < 2 THEN -1 ELSE point_id * 13 % 97 // 60 END AS label, row_number() {_W} AS i FROM pts),
+fl AS (SELECT user_id, arg_min(label, i) AS first_label FROM lb WHERE label <> -1 GROUP BY 1),
+rw AS (SELECT user_id, point_id, i, CASE WHEN label = -1 THEN -1 ELSE 0 END AS stop, 0 AS new, CASE WHEN label = -1 THEN 1 ELSE 0 END AS streak, first_label AS last FROM lb JOIN fl USING (user_id) WHERE i = 1
+  UNION ALL SELECT user_id, point_id, i, CASE WHEN label = -1 THEN -1 WHEN label <> last OR streak = 4 THEN new + 1 ELSE new END,
+    CASE WHEN label <> -1 AND (label <> last OR streak = 4) THEN new + 1 ELSE new END,
+    CASE WHEN label = -1 THEN streak + 1 WHEN label = last AND streak = 4 THEN 0 ELSE streak END, CASE WHEN label = -1 THEN last ELSE label END
+  FROM (SELECT n.*, w.new, w.streak, w.last FROM rw w JOIN lb n ON n.user_id = w.user_id AND n.i = w.i + 1))"""
+
 _LAT, _LON = geo.to_latlon("easting", "northing", "18")
 
 
@@ -347,6 +356,23 @@ FROM lseg WINDOW q AS (PARTITION BY user_id, trip_key ORDER BY t, point_id)""",
   arg_max(lat, seq) AS dlat, arg_max(lon, seq) AS dlon, arg_max(trip_distance, seq) AS far FROM dia GROUP BY 1, 2)
 SELECT user_id, trip_id, trip_code, merge_codes, make_timestamp(CAST(s AS BIGINT) * 1000000) AS "start_UTC", {_local("s")} AS start, make_timestamp(CAST(e AS BIGINT) * 1000000) AS "end_UTC", {_local("e")} AS "end", olat, olon, dlat, dlon,
   round(round({geo.planar(geo.easting("olat", "olon"), geo.northing("olat", "olon"), geo.easting("dlat", "dlon"), geo.northing("dlat", "dlon"))}, 3), 1) AS direct_distance, round(far, 1) AS cumulative_distance FROM ts""",
+        "core_distances": f"""WITH {_pts()}, o AS (SELECT a.user_id, a.point_id, {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} AS d, count(*) OVER (PARTITION BY a.user_id, a.point_id) AS n,
+  row_number() OVER (PARTITION BY a.user_id, a.point_id ORDER BY {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")}) AS k FROM pts a JOIN pts b USING (user_id))
+SELECT user_id, point_id, round(d, 2) AS core FROM o WHERE k = least(n, 21)""",
+        "stops_in_time": f"WITH RECURSIVE {_pts()}, {_RELABEL} SELECT user_id, point_id, stop FROM rw",
+        "weighted_centres": f"""WITH RECURSIVE {_pts()}, {_RELABEL}, s0 AS (SELECT user_id, point_id, stop, t, easting, northing, max(stop) OVER (PARTITION BY user_id) AS lost FROM rw JOIN pts USING (user_id, point_id) WHERE stop <> -1),
+s1 AS (SELECT user_id, stop FROM s0 WHERE stop < lost GROUP BY 1, 2 HAVING max(t) - min(t) >= 600), s2 AS (SELECT s0.* FROM s0 JOIN s1 USING (user_id, stop)),
+nn AS (SELECT a.user_id, a.stop, a.point_id, any_value(a.easting) AS easting, any_value(a.northing) AS northing, coalesce(min(CASE WHEN a.easting <> b.easting OR a.northing <> b.northing
+  THEN {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} END), 1e16) AS d FROM s2 a JOIN s2 b ON a.user_id = b.user_id AND a.stop = b.stop GROUP BY 1, 2, 3)
+SELECT user_id, stop, round(sum(easting / d) / sum(1 / d), 4) AS easting, round(sum(northing / d) / sum(1 / d), 4) AS northing, count(*) AS n_points FROM nn GROUP BY 1, 2""",
+        "attribute_stops": f"""WITH RECURSIVE {_pts()}, a0 AS (SELECT user_id, point_id, (point_id * 17 % 40) / 100.0 AS v, (point_id * 29 % 180)::DOUBLE AS h, coalesce(t - lag(t) {_W}, 0) AS dur, row_number() {_W} AS i FROM pts),
+a1 AS (SELECT *, lag(v) q AS pv, lead(v) q AS nv, coalesce(lead(v) q <= 0.15 OR lead(h) q > 90, false) AS ns FROM (SELECT * FROM a0)),
+aw AS (SELECT user_id, point_id, i, NULL::VARCHAR AS label, nv FROM a1 WHERE i = 1
+  UNION ALL SELECT user_id, point_id, i, CASE WHEN i = 2 OR nv IS NULL THEN c WHEN l = 'stop' AND ns THEN CASE WHEN c = 'trip' AND dur >= 60 THEN 'trip' ELSE 'stop' END
+    WHEN l = 'trip' AND NOT ns THEN CASE WHEN c = 'stop' AND dur >= 120 THEN 'stop' ELSE 'trip' END
+    WHEN l = 'trip' AND ns AND c = 'trip' AND CASE WHEN pv = 0 THEN v > 0 ELSE (v - pv) / pv > 1 END THEN 'stop' ELSE c END, nv
+  FROM (SELECT n.*, CASE WHEN n.v <= 0.15 THEN 'stop' ELSE 'trip' END AS c, w.label AS l FROM aw w JOIN a1 n ON n.user_id = w.user_id AND n.i = w.i + 1))
+SELECT user_id, point_id, CASE WHEN nv IS NULL THEN 'stop' ELSE label END AS label FROM aw""".replace(" q ", " OVER (PARTITION BY user_id ORDER BY i) "),
         "spike_filter": f"WITH RECURSIVE {_good(WIDE)}, {_walk('good', _SPIKE)} SELECT user_id, point_id FROM walk WHERE kept",
         "logger_preprocess": f"WITH RECURSIVE {_pts(WIDE)}, {_walk('pts', _STEP)} SELECT user_id, point_id, coalesce(wt - pt, 0) AS duration_s, round(coalesce({geo.haversine('pla', 'plo', 'wla', 'wlo')}, 0), 3) AS distance_m FROM walk WHERE kept",
         "rolling_avg": p + f", n AS (SELECT *, row_number() {_W} AS i, count(*) OVER (PARTITION BY user_id) AS c, sum(value) OVER (PARTITION BY user_id ORDER BY t, point_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS s FROM pts) SELECT user_id, point_id, CASE WHEN i - 2 >= 10 AND c - i >= 10 THEN round(s / 21, 6) END AS rolling_avg FROM n",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import geo
 from ..functions.time import local, split_at_midnight, split_days
-from ..operators import activity, clean, cluster, days, logger, segment, stitch
+from ..operators import activity, clean, cluster, days, density, logger, segment, stitch
 from . import adapters
 
 C = Config()
@@ -331,6 +331,37 @@ def dbscan(spark, d):
     return cluster.dbscan(adapters.points(spark, d), 120.0, 5).select("user_id", "point_id", "cluster")
 
 
+def core_distances(spark, d):
+    p = adapters.points(spark, d)
+    cores = density.core_distances(density.positions(p), 20).select("user_id", "easting", "northing", "core")
+    return p.join(cores, ["user_id", "easting", "northing"]).select("user_id", "point_id", F.round("core", 2).alias("core"))
+
+
+def density_locations(spark, d):
+    places = density.semantic_locations(_good(spark, d), 60)
+    return places.select("user_id", "label", F.round("easting", 1).alias("easting"), F.round("northing", 1).alias("northing"), "n_points")
+
+
+def _stops_in_time(spark, d) -> DataFrame:
+    p = adapters.points(spark, d)
+    return density.relabel_in_time(p.withColumn("cluster", F.when(F.col("point_id") % 5 < 2, -1).otherwise(F.floor(F.col("point_id") * 13 % 97 / 60))))
+
+
+def stops_in_time(spark, d):
+    return _stops_in_time(spark, d).select("user_id", "point_id", "stop")
+
+
+def weighted_centres(spark, d):
+    centres = density.weighted_centres(density.stop_points(_stops_in_time(spark, d), 600))
+    return centres.select("user_id", "stop", F.round("easting", 4).alias("easting"), F.round("northing", 4).alias("northing"), "n_points")
+
+
+def attribute_stops(spark, d):
+    k = adapters.points(spark, d).withColumns({"speed_ms": F.col("point_id") * 17 % 40 / 100, "delta_heading": (F.col("point_id") * 29 % 180).cast("double")})
+    k = k.withColumn("duration_s", F.coalesce(F.col("t") - F.lag("t").over(clean.by_time()), F.lit(0)))
+    return logger.attribute_stops(k).select("user_id", "point_id", "label")
+
+
 def _logger_input(spark, d):
     return segment.logger_segments(clean.logger_preprocess(adapters.points(spark, d)).drop("duration_s", "distance_m", "bearing", "delta_heading"), C.break_interval_s)
 
@@ -365,7 +396,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, phone_diary, trip_summaries, lone_points, spike_filter, logger_preprocess, rolling_avg,
     trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, survey_locations, located_segments, label_points_last, label_points_first, location_overlaps, commutes_dwells,
     activity_daily, activity_daily_pivot, activity_condensed, condensed_trips, midnight_split, day_split, local_dates, kmeans_runs, heading_stops,
-    stop_centroids, condensed_places, activity_locations, dbscan, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
+    stop_centroids, condensed_places, activity_locations, dbscan, core_distances, stops_in_time, weighted_centres, density_locations, attribute_stops, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
 )
 
 

@@ -59,6 +59,67 @@ def test_catalog_replaces_users_only(spark, tmp_path):
         c.require_user("trips", 99)
 
 
+def test_catalog_is_atomic(spark, tmp_path, monkeypatch):
+    """A failure between write and commit changes nothing; a reader keeps its snapshot; writers of unlike buckets both win, of like ones the second fails."""
+    c = catalog.Catalog(spark, str(tmp_path / "cat"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "user_id long, x long")
+    everything = lambda df: sorted(tuple(r) for r in df.collect())
+    c.save("trips", frame(*[(u, u) for u in range(30)]))
+    before, pinned = everything(c.read("trips")), c.read("trips")
+
+    with monkeypatch.context() as m:
+        m.setattr(catalog._Files, "rename_new", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            c.replace_users("trips", frame((3, -1)))
+    assert everything(c.read("trips")) == before and c.snapshots("trips") == [1]
+    assert c.vacuum("trips") == 1 and everything(c.read("trips")) == before
+
+    c.replace_users("trips", frame((3, -1), (3, -2)))
+    after = sorted([r for r in before if r[0] != 3] + [(3, -2), (3, -1)])
+    assert everything(c.read("trips")) == after and everything(pinned) == before and everything(c.read("trips", 1)) == before
+    c.delete_users("trips", frame((4, 0)).select("user_id"))
+    assert everything(c.read("trips")) == [r for r in after if r[0] != 4]
+
+    def between(user, value):
+        """Another writer commits while this one has written and not committed."""
+        commit = catalog.Catalog._commit
+
+        def late(self, *args, **kw):
+            monkeypatch.setattr(catalog.Catalog, "_commit", commit)
+            catalog.Catalog(spark, str(tmp_path / "cat")).replace_users("trips", frame((user, value)))
+            return commit(self, *args, **kw)
+
+        monkeypatch.setattr(catalog.Catalog, "_commit", late)
+
+    bucket = lambda u: spark.range(1).select(catalog.Catalog._bucket(F.lit(u).cast("long"))).first()[0]
+    other = next(u for u in range(5, 30) if bucket(u) != bucket(20) and u != 20)
+    between(other, 77)
+    c.replace_users("trips", frame((20, 88)))
+    got = dict(everything(c.read("trips")[["user_id", "x"]].where("user_id <> 3")))
+    assert got[20] == 88 and got[other] == 77
+    between(20, 99)
+    with pytest.raises(catalog.ConcurrentWriteError):
+        c.replace_users("trips", frame((20, 111)))
+    assert c.user("trips", 20).first().x == 99
+    c.replace_users("trips", frame((5, 1)).withColumn("more", F.lit("m")))
+    assert c.read("trips").where("more is not null").count() == 1 and len(c.snapshots("trips")) == catalog.KEPT_SNAPSHOTS
+    c.clear("trips")
+    assert c.read("trips").count() == 0 and c.exists("trips") and "more" in c.read("trips").columns
+
+
+def test_ids_stay_and_grow_without_gaps(spark, tmp_path):
+    ids = catalog.Ids(spark, str(tmp_path / "ids"))
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    first = {r.key: r.id for r in ids.assign(names(*[f"u{i}" for i in range(50)], "u3", None), "name").collect()}
+    assert sorted(first.values()) == list(range(1, 51))
+    again = {r.key: r.id for r in ids.assign(names(*[f"u{i}" for i in range(60)]), "name").collect()}
+    assert {k: v for k, v in again.items() if k in first} == first and sorted(again.values()) == list(range(1, 61))
+    assert {r.key: r.id for r in ids.assign(names("u1"), "name").collect()} == again
+    rows = catalog.with_row_ids(spark.range(1000).withColumnRenamed("id", "x").repartition(7), ["x"], 5)
+    got = sorted((r.id, r.x) for r in rows.collect())
+    assert [i for i, _ in got] == list(range(5, 1005)) and [x for _, x in got] == list(range(1000))
+
+
 def test_csv_and_geojson_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", True), ("b", False)], "uuid string, has_trips boolean")
     sinks.csv(df, str(tmp_path / "out"), ["uuid", "has_trips", "start_latitude"], one_file=True)
@@ -74,7 +135,39 @@ def test_map_match_answer_and_polyline(spark):
     answer = {"tracepoints": [{"location": [1.0, 2.0], "name": "a", "matchings_index": 0, "waypoint_index": 0}, None, {"location": [3.0, 4.0], "name": "b", "matchings_index": 0, "waypoint_index": 1}], "matchings": [{"confidence": 0.5, "geometry": "", "legs": [{"weight": 7.0}]}]}
     got = sinks.matched_points(spark.createDataFrame([(1, json.dumps(answer))], "trip_num int, json string")).orderBy("seq").collect()
     assert [(r.seq, r.longitude, r.weight) for r in got] == [(0, 1.0, 0.0), (2, 3.0, 7.0)]
-    assert sinks.decode_polyline("_p~iF~ps|U_ulLnnqC") == [[-120.2, 38.5], [-120.95, 40.7]]
+    line = {"matchings": [{"confidence": 0.9, "geometry": "_p~iF~ps|U_ulLnnqC_mqNvxq`@", "legs": [{"weight": 7.0}, {"weight": 2.0}]}]}
+    found = sinks.matched_lines(spark.createDataFrame([(1, json.dumps(line))], "trip_num int, json string")).first()
+    assert found.line == [[-120.2, 38.5], [-120.95, 40.7], [-126.453, 43.252]] and (found.confidence, found.weight) == (0.9, 9.0)
+
+
+def test_polyline_round_trip(spark):
+    import random
+
+    from tripweave.functions import polyline
+
+    rng = random.Random(3)
+    rows = [([(round(rng.uniform(-180, 180), 5), round(rng.uniform(-90, 90), 5)) for _ in range(n)],) for n in (0, 1, 2, 40)] + [([(0.0, 0.0), (0.0, 0.0), (-0.00001, 0.00001)],), (None,)]
+    df = spark.createDataFrame(rows, "p array<struct<lon: double, lat: double>>").withColumn("e", polyline.encode(F.col("p")))
+    got = df.select("p", "e", polyline.decode(F.col("e")).alias("d")).collect()
+    assert all(r.d == r.p for r in got) and got[0].e == "" and got[-1].e is None and got[4].e == "????A@"
+    assert spark.range(1).select(polyline.encode(F.expr("array(named_struct('lon', -120.2D, 'lat', 38.5D), named_struct('lon', -120.95D, 'lat', 40.7D))"))).first()[0] == "_p~iF~ps|U_ulLnnqC"
+    assert spark.range(1).select(polyline.decode(F.lit("_p~iF~ps|U_ulL"))).first()[0] == [(-120.2, 38.5)]
+
+
+def test_transforms_by_name(spark):
+    from tripweave.functions.sql import Transforms
+
+    known = Transforms()
+
+    @known.add("clean", "short")
+    def short(frame, least):
+        return frame.where(F.col("id") >= least)
+
+    assert known.run("clean", "short", spark.range(5), least=3).count() == 2 and known.names("clean") == ["short"]
+    with pytest.raises(LookupError):
+        known.run("clean", "long", spark.range(1))
+    with pytest.raises(ValueError):
+        known.add("clean", "short")(short)
 
 
 def test_session_stream_equals_batch_segments(spark, tmp_path):

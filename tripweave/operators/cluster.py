@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from .clean import by_time
+from .density import components
+from .lineage import cut
 
 
 def two_means(points: DataFrame, value: str, cap: float = 50.0) -> DataFrame:
@@ -62,41 +66,14 @@ def centroids(points: DataFrame, key: str) -> DataFrame:
 
 
 def condense(spots: DataFrame, key: str, radius_m: float = 150.0) -> DataFrame:
-    """user_id, place, easting, northing: centres of the components of spots within `radius_m` of each other.
-
-    Pairs come from cells of the radius. A user's few spots are joined up by
-    repeated minima within the user's group."""
-
-    def grouped(frame):
-        import math
-
-        import pandas as pd
-
-        e, n, k = frame["easting"].tolist(), frame["northing"].tolist(), frame[key].tolist()
-        order = sorted(range(len(k)), key=lambda i: k[i])
-        cells: dict = {}
-        for i in order:
-            cells.setdefault((math.floor(e[i] / radius_m), math.floor(n[i] / radius_m)), []).append(i)
-        parent = list(range(len(k)))
-
-        def top(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (x, y), members in cells.items():
-            for other in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                for i in members:
-                    for j in cells.get(other, ()):
-                        if i != j and math.hypot(e[i] - e[j], n[i] - n[j]) <= radius_m:
-                            parent[top(i)] = top(j)
-        return pd.DataFrame({"user_id": frame["user_id"], "_k": k, "_c": [top(i) for i in range(len(k))], "easting": e, "northing": n})
-
-    found = spots.select("user_id", key, "easting", "northing").groupBy("user_id").applyInPandas(grouped, "user_id long, _k long, _c long, easting double, northing double")
+    """user_id, place, easting, northing: centres of the components of spots within `radius_m` of each other, numbered by their least key.
+
+    These are density clusters in which every spot is core; a distance of exactly
+    the radius counts."""
+    named = spots.select("user_id", F.col(key).cast("long").alias("point_id"), "easting", "northing")
+    found = dbscan(named, math.nextafter(radius_m, math.inf), 1)
     centre = lambda c: (F.round(F.sum(F.round(F.col(c) * 1000).cast("long")) / F.count("*")) / 1000).alias(c)  # noqa: E731  of whole millimetres: the order of a sum changes nothing
-    places = found.groupBy("user_id", "_c").agg(F.min("_k").alias("_k"), centre("easting"), centre("northing"))
-    return places.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("_k")).cast("long").alias("place"), "easting", "northing")
+    return found.groupBy("user_id", F.col("cluster").cast("long").alias("place")).agg(centre("easting"), centre("northing"))
 
 
 def activity_locations(kmeans_stops: DataFrame, heading: DataFrame, key_a: str, key_b: str, radius_m: float = 150.0, match_m: float = 50.0) -> DataFrame:
@@ -121,11 +98,12 @@ def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> Data
     that all points of a cell with `min_points` are core without a look at their
     neighbours, and clusters join cells, not points. Only the fewer points of
     other cells are compared with those around them. Two cells are joined by
-    their boxes where these decide, else by points near the other cell's box."""
+    their boxes where these decide, else by points near the other cell's box.
+    Components of cells are found in rounds; no user is gathered anywhere."""
     side = eps_m / 2**0.5 * (1 - 1e-9)
     key = ["user_id", "ci", "cj"]
     p = points.select("user_id", "point_id", "easting", "northing", F.floor(F.col("easting") / side).cast("long").alias("ci"), F.floor(F.col("northing") / side).cast("long").alias("cj"))
-    held = p.withColumn("k", F.count("*").over(Window.partitionBy(*key)))
+    held = cut(p.withColumn("k", F.count("*").over(Window.partitionBy(*key))), "cells-held")
     # The corners of five by five cells are too far off.
     near = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
 
@@ -142,7 +120,10 @@ def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> Data
     every = held.select(*key, F.col("point_id").alias("q"), F.col("easting").alias("qe"), F.col("northing").alias("qn"))
     few = held.where(F.col("k") < min_points).drop("k")
     counted = close(around(few, near), every).groupBy("user_id", "point_id").agg(F.count("*").alias("k")).where(F.col("k") >= min_points).select("user_id", "point_id")
-    core = held.where(F.col("k") >= min_points).drop("k").unionByName(few.join(counted, ["user_id", "point_id"], "left_semi"))
+    core = held.where(F.col("k") >= min_points).drop("k")
+    if min_points > 1:
+        counted = cut(counted, "cells-counted")
+        core = core.unionByName(few.join(counted, ["user_id", "point_id"], "left_semi"))
 
     box = core.groupBy(*key).agg(
         F.min("point_id").alias("least"), F.min("easting").alias("e0"), F.max("easting").alias("e1"), F.min("northing").alias("n0"), F.max("northing").alias("n1")
@@ -161,27 +142,13 @@ def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> Data
     touching = facing.join(there, key).where(F.expr(geo.planar("easting", "northing", "qe", "qn")) < eps_m).select("user_id", "least", "b_least").distinct()
     links = pairs.where(sure).select("user_id", "least", "b_least").unionByName(touching).unionByName(box.select("user_id", "least", F.col("least").alias("b_least")))
 
-    def joined(frame):
-        import pandas as pd
-
-        parent: dict = {}
-
-        def top(i):
-            parent.setdefault(i, i)
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for a, b in zip(frame["least"].tolist(), frame["b_least"].tolist(), strict=True):
-            x, y = top(a), top(b)
-            parent[max(x, y)] = min(x, y)
-        rank = {c: k for k, c in enumerate(sorted({top(c) for c in list(parent)}), start=1)}
-        return pd.DataFrame({"user_id": frame["user_id"].iloc[0], "least": list(parent), "cluster": [rank[top(c)] for c in list(parent)]})
-
-    # A user's cells, each named by its least core point.
-    of_cell = box.select(*key, "least").join(links.groupBy("user_id").applyInPandas(joined, "user_id long, least long, cluster long"), ["user_id", "least"]).drop("least")
+    # A user's cells, each named by its least core point; clusters are numbered in the order of theirs.
+    roots = components(links, "user_id", "least", "b_least").withColumnRenamed("node", "least")
+    number = F.dense_rank().over(Window.partitionBy("user_id").orderBy("root")).cast("long")
+    of_cell = cut(box.select(*key, "least").join(roots, ["user_id", "least"]).withColumn("cluster", number).drop("least", "root"), "cells-clusters")
     inner = core.join(of_cell, key).select("user_id", "point_id", "cluster")
+    if min_points <= 1:
+        return points.join(inner, ["user_id", "point_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     rest = few.join(counted, ["user_id", "point_id"], "left_anti")
     border = close(around(rest, near), there.join(of_cell, key), "cluster").groupBy("user_id", "point_id").agg(F.min("cluster").alias("cluster"))
     return points.join(inner.unionByName(border), ["user_id", "point_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

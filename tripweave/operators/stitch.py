@@ -353,3 +353,25 @@ def diary_summaries(diary: DataFrame, timezone: str) -> DataFrame:
         "trip_code", "merge_codes", F.col("o.lat").alias("olat"), F.col("o.lon").alias("olon"), F.col("d.lat").alias("dlat"), F.col("d.lon").alias("dlon"),
         F.round(planar, 3).alias("direct_distance"), F.col("d.trip_distance").alias("cumulative_distance"),
     )
+
+
+def older_distances(points: DataFrame, key: str = "trip_num", note: str = "note", short: str = "missing trip - less than 250m", single: str = "single point") -> DataFrame:
+    """Points with distance, trip_distance and avg_speed (m/s) by the older rule, from the anchor: the last point of the trip before it that doesn't carry the note of a short gap.
+
+    A trip begins at its own first point whatever its note. Without a pause
+    before it (break_period not above zero), a point has the speed of the one
+    before. A trip of two points, a short gap and a single point, has none of the
+    three. The anchor is a last-value window, and so is the speed carried on."""
+    order = Window.partitionBy("user_id", key).orderBy("t", "point_id")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("user_id", key)
+    df = points.withColumns({
+        "_i": F.row_number().over(order), "_n": F.count("*").over(whole), "_short": F.max((F.col(note) == short).cast("int")).over(whole), "_single": F.max((F.col(note) == single).cast("int")).over(whole),
+    })
+    none = (F.col("_n") == 2) & (F.coalesce("_short", F.lit(0)) == 1) & (F.coalesce("_single", F.lit(0)) == 1)
+    stands = (F.col("_i") == 1) | ~F.col(note).eqNullSafe(short)
+    df = df.withColumn("_anchor", F.last(F.when(stands, F.struct("easting", "northing")), ignorenulls=True).over(before))
+    far = F.expr(geo.planar("_anchor.easting", "_anchor.northing", "easting", "northing"))
+    df = df.withColumn("distance", F.when((F.col("_i") == 1) | none, 0.0).otherwise(F.round(far, 3)))
+    speed = F.when((F.col("_i") == 1) | none, 0.0).when(F.col("break_period") > 0, F.col("distance") / F.col("break_period"))
+    df = df.withColumns({"trip_distance": F.round(F.sum("distance").over(order), 3), "avg_speed": F.last(speed, ignorenulls=True).over(order)})
+    return df.drop("_i", "_n", "_short", "_single", "_anchor")

@@ -356,6 +356,17 @@ FROM lseg WINDOW q AS (PARTITION BY user_id, trip_key ORDER BY t, point_id)""",
   arg_max(lat, seq) AS dlat, arg_max(lon, seq) AS dlon, arg_max(trip_distance, seq) AS far FROM dia GROUP BY 1, 2)
 SELECT user_id, trip_id, trip_code, merge_codes, make_timestamp(CAST(s AS BIGINT) * 1000000) AS "start_UTC", {_local("s")} AS start, make_timestamp(CAST(e AS BIGINT) * 1000000) AS "end_UTC", {_local("e")} AS "end", olat, olon, dlat, dlon,
   round(round({geo.planar(geo.easting("olat", "olon"), geo.northing("olat", "olon"), geo.easting("dlat", "dlon"), geo.northing("dlat", "dlon"))}, 3), 1) AS direct_distance, round(far, 1) AS cumulative_distance FROM ts""",
+        "older_distances": f"""WITH RECURSIVE {_seg()}, q0 AS (SELECT user_id, point_id, segment_group // 2 AS trip_num, easting, northing, CASE WHEN point_id % 3 = 0 THEN 'short' WHEN point_id % 5 < 2 THEN 'single' END AS note,
+  CASE WHEN point_id % 4 <> 0 THEN period_before ELSE 0 END AS brk, row_number() OVER (PARTITION BY user_id, segment_group // 2 ORDER BY t, point_id) AS i, count(*) OVER (PARTITION BY user_id, segment_group // 2) AS n FROM seg),
+q1 AS (SELECT *, n = 2 AND count(*) FILTER (note = 'short') OVER w > 0 AND count(*) FILTER (note = 'single') OVER w > 0 AS none FROM q0 WINDOW w AS (PARTITION BY user_id, trip_num)),
+qw AS (SELECT user_id, trip_num, point_id, i, easting AS ae, northing AS an, 0.0::DOUBLE AS distance, 0.0::DOUBLE AS total, 0.0::DOUBLE AS speed FROM q1 WHERE i = 1
+  UNION ALL SELECT user_id, trip_num, point_id, i, CASE WHEN note IS DISTINCT FROM 'short' THEN easting ELSE ae END, CASE WHEN note IS DISTINCT FROM 'short' THEN northing ELSE an END,
+    CASE WHEN none THEN 0 ELSE d END, total + CASE WHEN none THEN 0 ELSE d END, CASE WHEN none THEN 0 WHEN brk > 0 THEN d / brk ELSE speed END
+  FROM (SELECT n.*, w.ae, w.an, w.total, w.speed, round({geo.planar("w.ae", "w.an", "n.easting", "n.northing")}, 3) AS d FROM qw w JOIN q1 n ON n.user_id = w.user_id AND n.trip_num = w.trip_num AND n.i = w.i + 1))
+SELECT user_id, point_id, distance, round(round(total, 3), 1) AS trip_distance, round(speed, 6) AS avg_speed FROM qw""",
+        "polylines": f"WITH {_seg(WIDE)} SELECT user_id, segment_group, (row_number() OVER (PARTITION BY user_id, segment_group ORDER BY t, point_id) - 1)::INT AS seq, round(lat * 100000) / 100000 AS lat, round(lon * 100000) / 100000 AS lon FROM seg",
+        "sql_functions": f"""WITH {_pts(WIDE)} SELECT point_id, easting, northing, 18 AS zone, 'T' AS letter, round({geo.haversine(geo.lit(45.5), geo.lit(-73.6), 'lat', 'lon')}, 3) AS far,
+  round({geo.bearing(geo.lit(45.5), geo.lit(-73.6), 'lat', 'lon')}, 4) AS bearing, 0.0::DOUBLE AS dlat FROM pts""",
         "core_distances": f"""WITH {_pts()}, o AS (SELECT a.user_id, a.point_id, {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} AS d, count(*) OVER (PARTITION BY a.user_id, a.point_id) AS n,
   row_number() OVER (PARTITION BY a.user_id, a.point_id ORDER BY {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")}) AS k FROM pts a JOIN pts b USING (user_id))
 SELECT user_id, point_id, round(d, 2) AS core FROM o WHERE k = least(n, 21)""",

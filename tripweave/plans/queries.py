@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import geo
+from ..functions import geo, polyline, sql
 from ..functions.time import local, split_at_midnight, split_days
 from ..operators import activity, clean, cluster, days, density, logger, segment, stitch
 from . import adapters
@@ -362,6 +362,30 @@ def attribute_stops(spark, d):
     return logger.attribute_stops(k).select("user_id", "point_id", "label")
 
 
+def older_distances(spark, d):
+    p = _segments(spark, d)
+    note = F.when(F.col("point_id") % 3 == 0, "missing trip - less than 250m").when(F.col("point_id") % 5 < 2, "single point")
+    p = p.withColumns({"trip_num": F.floor(F.col("segment_group") / 2), "note": note, "break_period": F.when(F.col("point_id") % 4 != 0, F.col("period_before")).otherwise(0)})
+    r = stitch.older_distances(p)
+    return r.select("user_id", "point_id", "distance", F.round("trip_distance", 1).alias("trip_distance"), F.round("avg_speed", 6).alias("avg_speed"))
+
+
+def polylines(spark, d):
+    """Each segment's line encoded, and its points read back from the code."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("t", "point_id", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    coded = _segments(spark, d, WIDE).groupBy("user_id", "segment_group").agg(polyline.encode(line).alias("code"))
+    p = coded.select("user_id", "segment_group", F.posexplode(polyline.decode(F.col("code"))).alias("seq", "p"))
+    return p.select("user_id", "segment_group", "seq", "p.lat", "p.lon")
+
+
+def sql_functions(spark, d):
+    sql.register(spark)
+    name = f"sql_points_{abs(hash(d))}"
+    adapters.points(spark, d, WIDE).createOrReplaceTempView(name)
+    return spark.sql(f"""SELECT point_id, round(utm_easting(lat, lon), 3) AS easting, round(utm_northing(lat, lon), 3) AS northing, utm_zone(lat, lon) AS zone, utm_letter(lat) AS letter,
+        round(survey_distance(45.5, -73.6, lat, lon), 3) AS far, round(initial_bearing(45.5, -73.6, lat, lon), 4) AS bearing, round(utm_lat(easting, northing, 18) - lat, 6) AS dlat FROM {name}""")
+
+
 def _logger_input(spark, d):
     return segment.logger_segments(clean.logger_preprocess(adapters.points(spark, d)).drop("duration_s", "distance_m", "bearing", "delta_heading"), C.break_interval_s)
 
@@ -396,7 +420,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, phone_diary, trip_summaries, lone_points, spike_filter, logger_preprocess, rolling_avg,
     trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, survey_locations, located_segments, label_points_last, label_points_first, location_overlaps, commutes_dwells,
     activity_daily, activity_daily_pivot, activity_condensed, condensed_trips, midnight_split, day_split, local_dates, kmeans_runs, heading_stops,
-    stop_centroids, condensed_places, activity_locations, dbscan, core_distances, stops_in_time, weighted_centres, density_locations, attribute_stops, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
+    stop_centroids, condensed_places, activity_locations, dbscan, core_distances, stops_in_time, weighted_centres, density_locations, attribute_stops, older_distances, polylines, sql_functions, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
 )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .operators import clean, segment
 from .sources import csv
-from .sources.catalog import Catalog
+from .sources.catalog import Catalog, Ids, with_row_ids
 
 
 class Survey:
@@ -18,6 +18,7 @@ class Survey:
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.config, self.tables = spark, config or Config(), Catalog(spark, root)
+        self.ids = Ids(spark, root, "user_ids")
 
     def ingest_phone(self, folder: str, force: bool = False) -> None:
         """Read a phone survey's export; tables that exist stay unless `force`."""
@@ -34,6 +35,7 @@ class Survey:
             points = csv.logger_coordinates(self.spark, os.path.join(folder, "coordinates.csv"))
             self.tables.save("coordinates", points)
             self.tables.save("survey_responses", csv.null_survey(points))
+            self.ids.assign(points, "orig_id")  # names keep their numbers when the survey is read again
             self.tables.save("user_locations", csv.user_locations(self.spark, os.path.join(folder, "locations.csv")))
 
     def check_setup(self) -> None:
@@ -58,5 +60,19 @@ class Survey:
         return segment.gap_segments(clean.accuracy_filter(self.points(), self.config.accuracy_cutoff_m), self.config.break_interval_s)
 
     def save_trips(self, trip_points: DataFrame) -> None:
-        """Replace the trips of the users that `trip_points` has."""
-        self.tables.replace_users("detected_trips", trip_points)
+        """Replace the trips of the users that `trip_points` has, in one step; its rows get ids that follow on those given before."""
+        start = 1
+        if self.tables.exists("detected_trips"):
+            start = (self.tables.read("detected_trips").agg(F.max("id")).first()[0] or 0) + 1
+        self.tables.replace_users("detected_trips", with_row_ids(trip_points, ["user_id", "trip_num", "seq"], start))
+
+    def save_days(self, days: DataFrame) -> None:
+        """Replace the day summaries of the users in `days`; users without any keep theirs."""
+        self.tables.replace_users("trip_day_summaries", days.withColumn("timezone", F.lit(self.config.timezone)))
+
+    def clear_trips(self, users: DataFrame | None = None) -> None:
+        """Drop the trips of the users given, or all."""
+        if users is None:
+            self.tables.clear("detected_trips")
+        else:
+            self.tables.delete_users("detected_trips", users)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import polyline
 from ..functions.time import local
 from ..operators.activity import label_points
 
@@ -148,17 +149,9 @@ def matched_points(answers: DataFrame, json: str = "json") -> DataFrame:
     )
 
 
-def decode_polyline(encoded: str) -> list[list[float]]:
-    """(lon, lat) pairs of an encoded polyline: five-bit groups of zigzag differences, five decimals."""
-    out, values, at, shift, held = [], [0, 0], 0, 0, 0
-    for c in encoded:
-        group = ord(c) - 63
-        held |= (group & 31) << shift
-        shift += 5
-        if group < 32:
-            values[at] += ~(held >> 1) if held & 1 else held >> 1
-            held = shift = 0
-            at ^= 1
-            if not at:
-                out.append([values[1] / 1e5, values[0] / 1e5])
-    return out
+def matched_lines(answers: DataFrame, json: str = "json") -> DataFrame:
+    """A LineString for each matching of an answer: matching, confidence, weight (of all its legs) and line, an array of (lon, lat) arrays."""
+    df = answers.withColumn("_a", F.from_json(json, MATCH)).select("*", F.posexplode("_a.matchings").alias("matching", "_m"))
+    line = F.transform(polyline.decode(F.col("_m.geometry")), lambda p: F.array(p["lon"], p["lat"]))
+    weight = F.aggregate("_m.legs", F.lit(0.0), lambda acc, leg: acc + F.coalesce(leg["weight"], F.lit(0.0)))
+    return df.select(*[c for c in answers.columns if c != json], "matching", F.col("_m.confidence").alias("confidence"), weight.alias("weight"), line.alias("line"))

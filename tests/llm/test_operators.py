@@ -555,3 +555,24 @@ def test_odd_pages_scores_and_shards(spark, odd, docs, empty):
     placed = sharding.shard(odd, 3).collect()
     assert len(placed) == n and all(r.size >= 1 and 0 <= r.shard < 3 for r in placed)
     assert html_text.extract(pages.limit(0)).count() == 0 and toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a ", "<b><i><li>", "<ul><li><b>", "<p><b>", "<b></i>", "<a \"'", "<a '\"<b \"'", "<!--", "<script ", '<b class="' + "x" * 5000 + '">'])
+def test_html_of_two_megabytes_of_broken_markup(unit):
+    """Time in proportion to the page, whatever is left open."""
+    import time
+
+    page, began = unit * (2_000_000 // len(unit)), time.process_time()
+    html_text.tokens(page)
+    html_text.main_text(page, None)
+    assert time.process_time() - began < 40
+
+
+def test_html_template_text_is_left_out_whatever_its_raw_length(spark):
+    """A line that all pages share goes, padded with white space and references or not; without the template it stays."""
+    line = "Call us on weekdays" + " &#32;" * 80 + " from nine to five"
+    page = lambda k: f"<html><body><div class=x><div class=y><p>{'words of the article number ' + str(k) + ' and more of it ' * 20}</p><div class=z>{line}</div></div><div class=q>Other {k} text</div></div></body></html>"
+    df = spark.createDataFrame([(k, "http://h.example/x", page(k)) for k in range(6)], "page_id long, url string, html string")
+    rows = html_text.extract(df).collect()
+    assert all(r.by_template and "article number" in r.text and "weekdays" not in r.text for r in rows)
+    assert "weekdays" in html_text.main_text(page(1), None)[0]

@@ -37,7 +37,9 @@ import html as _html
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,8 @@ LEAST_PAGES = 3
 SHORT_TEXT = 60
 #: Elements of the role of a token, the innermost ones.
 ROLE_DEPTH = 4
+#: Characters of a label up to which it stands in roles itself; a longer one stands there as a digest.
+LABEL = 120
 #: Share of the running text that an element must keep for the search to go down to it.
 DOMINANT = 0.6
 #: Pages that stand more than once up to which their keys go to every task (some dozens of bytes each); more are joined by shuffle.
@@ -57,10 +61,11 @@ BROADCAST_PAGES = 200_000
 #: Hosts up to which the templates go to every task; more are joined by shuffle.
 BROADCAST_HOSTS = 5_000
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup, up to their end tag.
+_RAW = re.compile(r"<(script|style|noscript|template|svg|iframe)\b", re.I)
+_RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "svg", "iframe")}
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_EVENT = re.compile("[>\"']")
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,6 +95,54 @@ IMPLIED = {
 }
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, text of the attributes) of each piece of markup; comments, declarations and raw elements have no name.
+
+    In time proportional to the page, whatever it holds. A tag ends at the next
+    `>` outside of quotes. Where a scan for it fails, the opening quotes that it
+    went through are remembered: a later scan that comes to one of them would go
+    the same way."""
+    last, failed, first_event, searched = page.rfind(">"), set(), -1, 0
+    nothing = len(page)
+
+    def tag_end(p: int) -> int:
+        nonlocal first_event, searched
+        if first_event < p or p < searched:  # else the event found last is the next one still
+            m = _EVENT.search(page, p)
+            first_event, searched = (m.start() if m else nothing), p
+        path, e = [], first_event
+        while e < nothing and page[e] != ">" and e not in failed:
+            path.append(e)
+            closing = page.find(page[e], e + 1)
+            m = _EVENT.search(page, closing + 1) if closing >= 0 else None
+            e = m.start() if m else nothing
+        if e < nothing and page[e] == ">":
+            return e
+        failed.update(path)
+        return -1
+
+    at = page.find("<")
+    while at >= 0:
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = nothing if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif at < last:
+            if page[at + 1] in "!?":
+                end = page.find(">", at + 2) + 1
+                yield at, end, "", False, ""
+            elif m := _RAW.match(page, at):
+                m = _RAW_END[m.group(1).lower()].search(page, page.find(">", m.end()) + 1)
+                end = m.end() if m else nothing
+                yield at, end, "", False, ""
+            elif m := _NAME.match(page, at):
+                end = tag_end(m.end()) + 1 or -1
+                if end > 0:
+                    yield at, end, m.group(2).lower(), m.group(1) != "", page[m.end() : end - 1]
+        at = page.find("<", at + 1 if end < 0 else end)
+
+
 class _Page:
     """The elements of a page in order (element 0 encloses all) and its pieces of text, each with its block and element."""
 
@@ -99,48 +152,51 @@ class _Page:
         self.names, self.roles, self.parents, self.out = [""], [""], [-1], [False]
         self.texts: list[tuple[int, str, int]] = []
         stack, block, at = [0], 0, 0
-        for m in _MARKUP.finditer(page):
-            if m.start() > at:
-                self.texts.append((block, page[at : m.start()], stack[-1]))
-            at = m.end()
-            name = m.group(3)
+        open_: dict[str, list[int]] = {}  # the places in the stack of the open elements of each name
+
+        def cut(k: int) -> None:
+            """End the open elements from place k on."""
+            while len(stack) > k:
+                name = self.names[stack.pop()]
+                open_[name].pop()
+                if not open_[name]:
+                    del open_[name]
+
+        for start, end, name, closes, rest in markup(page):
+            if start > at:
+                self.texts.append((block, page[at:start], stack[-1]))
+            at = end
             if not name:
                 continue  # comment, script, declaration
-            name = name.lower()
             if name == "br":
                 self.texts.append((block, " ", stack[-1]))
                 continue
             block += name in BLOCK
-            if m.group(2):
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.names[stack[k]] == name:
-                        del stack[k:]
-                        break
+            if closes:
+                if name in open_:
+                    cut(open_[name][-1])
                 continue
             if name in IMPLIED:
-                self._end(stack, *IMPLIED[name])
-            rest = m.group(4)
+                ends, until = IMPLIED[name]
+                if any(e in open_ for e in ends):
+                    limit = max((open_[u][-1] for u in (until if len(until) < len(open_) else open_) if u in until and u in open_), default=0)
+                    over = [p[bisect_right(p, limit)] for e in ends if (p := open_.get(e)) and p[-1] > limit]
+                    if over:
+                        cut(min(over))
             label = " ".join(x for g in _LABEL.findall(rest) for x in g if x) if rest else ""
+            marked = label != "" and name not in WHOLE and not MARKS.isdisjoint(w.lower() for w in _PARTS.findall(label))
             parent = stack[-1]
-            role = "/".join([*filter(None, self.roles[parent].split("/")[1 - ROLE_DEPTH :]), f"{name}.{label}" if label else name])
+            role = "/".join([*filter(None, self.roles[parent].split("/")[1 - ROLE_DEPTH :]), f"{name}.{label if len(label) <= LABEL else _digest(label)}" if label else name])
             self.names.append(name)
             self.roles.append(role)
             self.parents.append(parent)
-            self.out.append(name in LEFT_OUT or (label != "" and name not in WHOLE and not MARKS.isdisjoint(w.lower() for w in _PARTS.findall(label))))
+            self.out.append(name in LEFT_OUT or marked)
             if name not in VOID and not rest.endswith("/"):
+                open_.setdefault(name, []).append(len(stack))
                 stack.append(len(self.names) - 1)
         if at < len(page):
             self.texts.append((block, page[at:], stack[-1]))
 
-    def _end(self, stack: list[int], ends: tuple[str, ...], until: frozenset[str]) -> None:
-        """Close the open elements `ends`, looking no further than the nearest of `until`."""
-        for k in range(len(stack) - 1, 0, -1):
-            name = self.names[stack[k]]
-            if name in until:
-                return
-            if name in ends:
-                del stack[k:]
-
 
 def _clean(text: str) -> str:
     return " ".join((_html.unescape(text) if "&" in text else text).split())
@@ -238,7 +294,7 @@ def main_text(page: str | None, template: Template | None) -> tuple[str, bool]:
             if held:
                 blocks.append(" ".join("".join(held).split()))
             current, held = block, []
-        if not inside[e] or out[e] or (len(text) <= 4 * SHORT_TEXT and texts and f"{walk.roles[e]}#{_clean(text)}" in texts):
+        if not inside[e] or out[e] or (texts and len(short := _clean(text)) <= SHORT_TEXT and f"{walk.roles[e]}#{short}" in texts):
             continue
         held.append(_html.unescape(text) if "&" in text else text)
     if held:

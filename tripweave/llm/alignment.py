@@ -30,9 +30,12 @@ play no part.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,9 +46,9 @@ from .common import materialize
 #: Stripes of the matrix; a block has ids / STRIPES rows.
 STRIPES = 64
 #: Documents and code points in a batch, at most (a longer text is a batch of its own).
-BATCH, BATCH_CHARS = 2048, 4_000_000
-#: Chunks that a task keeps, and the longest that it keeps (code points).
-CHUNKS_HELD, CHUNK_KEPT = 200_000, 48
+BATCH, BATCH_CHARS = 2048, 1_500_000
+#: Chunks after which a task lets go of those that it hasn't met meanwhile, and the longest that it keeps (code points).
+CHUNKS_HELD, CHUNK_KEPT = 120_000, 48
 #: Pairs of a stripe that one task scores, about.
 SCORED = 8_000_000
 
@@ -71,6 +74,7 @@ class Aligner:
     """Two tokenizer files, the chunks aligned so far, and the alignment of texts."""
 
     def __init__(self, byte_file: str, piece_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its share of the cores already
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -89,49 +93,110 @@ class Aligner:
             self.bytes_b[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode()
             if MARK in piece.lstrip(MARK):
                 raise ValueError("a piece crosses a word's mark: chunks are not independent")
-        self.held: dict[str, tuple] = {}
-
-    def _ends(self, ids: list[int], table: list[bytes]) -> tuple[bytes, np.ndarray]:
-        parts = [table[i] for i in ids]
-        return b"".join(parts), np.cumsum([len(p) for p in parts], dtype=np.int64)
+        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        # The text of each token as it stands within its group and at its end.
+        self.spelt = [f"{i}{c}" for i in range(self.rows) for c in ",|"] + [f"{i}{c}" for i in range(self.columns) for c in ",;"]
+        self.recent: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def align(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, tokens of B, groups, links, text of the groups, packed pairs, links of each pair) of a chunk; None if a side's bytes differ from it."""
-        raw, (bytes_a, ends_a), (bytes_b, ends_b) = chunk.encode("utf-8", "surrogatepass"), self._ends(a, self.bytes_a), self._ends(b, self.bytes_b)
-        if bytes_a != raw or bytes_b != raw:
+        """(tokens of A, tokens of B, groups, links, text of the groups, packed pairs, links of each pair if they aren't one each) of a chunk; None if a side's bytes differ from it."""
+        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        raw = chunk.encode("utf-8", "surrogatepass")
+        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
             return None
-        if len(a) == 1 or len(b) == 1:
-            at, to = [len(a)], [len(b)]
-        else:
-            at, to = (x.tolist() for x in groups(ends_a, ends_b))
+        at, to = groups(*(np.cumsum([len(x) for x in parts], dtype=np.int64) for parts in (parts_a, parts_b)))
         spelt, pairs, links, i, j = [], Counter(), 0, 0, 0
-        for m, n in zip(at, to, strict=True):
+        for m, n in zip(at.tolist(), to.tolist(), strict=True):
             left, right = a[i:m], b[j:n]
-            spelt.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
+            spelt.append(f"{','.join(map(str, left))}|{','.join(map(str, right))};")
             links += len(left) * len(right)
-            if len(left) * len(right) < 64:
-                pairs.update([x * self.columns + y for x in left for y in right])
-            else:
-                many = Counter(right).items()
-                for x, k in Counter(left).items():
-                    for y, l in many:
-                        pairs[x * self.columns + y] += k * l
+            many = Counter(right).items()
+            for x, k in Counter(left).items():
+                for y, l in many:
+                    pairs[x * self.columns + y] += k * l
             i, j = m, n
         n = len(pairs)
-        return len(a), len(b), len(at), links, ";".join(spelt), np.fromiter(pairs.keys(), np.int64, n).tobytes(), np.fromiter(pairs.values(), np.int64, n).tobytes()
-
-    def __call__(self, found: list[Counter]) -> list[tuple | None]:
-        """The alignments of the chunks of each counter, by chunk; also kept for later calls."""
-        if len(self.held) > CHUNKS_HELD:
-            self.held.clear()
-        new = list(set().union(*found).difference(self.held)) if found else []
-        a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in new], num_threads=1) if new else []
-        got = {c: self.align(c, x, y) for c, x, y in zip(new, a, b, strict=True)}
-        self.held.update({c: v for c, v in got.items() if len(c) <= CHUNK_KEPT})
-        return got
-
-
+        return len(a), len(b), len(at), links, "".join(spelt), np.fromiter(pairs.keys(), np.int64, n).tobytes(), np.fromiter(pairs.values(), np.int64, n).tobytes()
+
+    def align_all(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """align() of many chunks at once: they are laid end to end, as both sides end where a chunk does."""
+        if not new:
+            return []
+        count_a, count_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, count_a), (b, count_b)))
+        size_a, size_b = self.size_a[ids_a], self.size_b[ids_b]
+        raw = [c.encode("utf-8", "surrogatepass") for c in new]
+        whole = np.fromiter(map(len, raw), np.int64, len(raw))
+        sums = [np.diff(np.concatenate(([0], np.cumsum(s)))[np.concatenate(([0], np.cumsum(n)))]) for s, n in ((size_a, count_a), (size_b, count_b))]
+        plain = bool((sums[0] == whole).all() and (sums[1] == whole).all() and size_a.all() and size_b.all())
+        joined = b"".join(raw) if plain else b""
+        plain = plain and all(b"".join(map(t.__getitem__, i.tolist())) == joined for t, i in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+        if not plain:  # some chunk isn't given back: look at halves
+            if len(new) == 1:
+                return [self.align(new[0], a[0], b[0])]
+            half = len(new) // 2
+            return self.align_all(new[:half], a[:half], b[:half]) + self.align_all(new[half:], a[half:], b[half:])
+
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        to = np.searchsorted(ends_b, ends_a)
+        both = ends_b[to] == ends_a
+        at, to = np.flatnonzero(both) + 1, to[both] + 1  # tokens up to the end of each group
+        n_a, n_b = np.diff(at, prepend=0), np.diff(to, prepend=0)
+        last_a, last_b = np.cumsum(count_a), np.cumsum(count_b)
+        last_group = np.searchsorted(at, last_a) + 1
+        links = np.diff(np.concatenate(([0], np.cumsum(n_a * n_b)))[last_group], prepend=0)
+        heavy = links > 16 * (count_a + count_b) + 256  # their pairs are counted, not listed
+        spread = np.where(np.repeat(heavy, np.diff(last_group, prepend=0)), 0, n_b)
+
+        group_a, group_b = np.repeat(np.arange(len(at)), n_a), np.repeat(np.arange(len(at)), n_b)
+        times = spread[group_a]
+        total = np.cumsum(times)
+        step = np.arange(total[-1] if len(total) else 0) - np.repeat(total - times, times)
+        pairs = np.repeat(ids_a, times) * self.columns + ids_b[np.repeat((to - n_b)[group_a], times) + step]
+        last_pair = np.concatenate(([0], total))[last_a]
+
+        flat = np.empty(len(ids_a) + len(ids_b), np.int64)
+        end_a, end_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        end_a[at - 1] = end_b[to - 1] = 1
+        flat[np.arange(len(ids_a)) + (to - n_b)[group_a]] = 2 * ids_a + end_a
+        flat[np.arange(len(ids_b)) + at[group_b]] = 2 * (self.rows + ids_b) + end_b
+        spelt = list(map(self.spelt.__getitem__, flat.tolist()))
+        packed, out, low, pair = pairs.tobytes(), [], 0, 0
+        rows = zip(count_a.tolist(), count_b.tolist(), np.diff(last_group, prepend=0).tolist(), links.tolist(), (last_a + last_b).tolist(), last_pair.tolist(), heavy.tolist(), strict=True)
+        for k, (x, y, g, l, high, to_pair, many) in enumerate(rows):
+            out.append(self.align(new[k], a[k], b[k]) if many else (x, y, g, l, "".join(spelt[low:high]), packed[8 * pair : 8 * to_pair], b""))
+            low, pair = high, to_pair
+        return out
+
+    def __call__(self, wanted: list[str]) -> list[tuple | None]:
+        """The alignments of distinct chunks.
+
+        Chunks of the last CHUNKS_HELD that were new, and of as many before them, are kept for later calls."""
+        recent, older, new, got = self.recent, self.older, [], []
+        for chunk in wanted:
+            row = recent.get(chunk, _NONE)
+            if row is _NONE:
+                row = older.get(chunk, _NONE)
+                if row is _NONE:
+                    new.append(chunk)
+                else:
+                    recent[chunk] = row
+            got.append(row)
+        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        made = []
+        for k in range(0, len(new), 16_384):
+            part = new[k : k + 16_384]
+            a = [e.ids for e in encode(part, add_special_tokens=False)]
+            made += self.align_all(part, a, self.b.encode([c[1:] for c in part], num_threads=1))
+        recent.update((c, r) for c, r in zip(new, made, strict=True) if len(c) <= CHUNK_KEPT)
+        if len(recent) > CHUNKS_HELD:
+            self.older, self.recent = recent, {}
+        rest = iter(made)
+        return [next(rest) if row is _NONE else row for row in got]
+
+
+_NONE = object()
 _LOADED: dict[tuple[str, str], Aligner] = {}
 
 
@@ -139,6 +204,7 @@ def loaded(byte_file: str, piece_file: str) -> Aligner:
     """The two files and their known chunks, once in each Python worker."""
     key = (byte_file, piece_file)
     if key not in _LOADED:
+        gc.disable()  # many small rows and no cycles
         _LOADED[key] = Aligner(*key)
     return _LOADED[key]
 
@@ -151,43 +217,46 @@ _LINKS = (
 )
 
 
+_BLANK = (0, 0, 0, 0, "", b"", b"")
+
+
 def _rows_of(aligner: Aligner, batch: str, ids: list, texts: list[str | None]):
     """The documents' own row (stripe -1) and a row for each stripe that their links have."""
-    cut = [chunks(t) if t else [] for t in texts]
-    counted = [Counter(c) for c in cut]
-    fresh, held = aligner(counted), aligner.held
-    n_a, n_b, n_groups, n_links, shas = ([] for _ in range(5))
-    codes, links, sizes = [], [], []
-    for order, found in zip(cut, counted, strict=True):
-        own = {c: held.get(c) or fresh.get(c) for c in found}
-        if not order or None in own.values():
-            for out in (n_a, n_b, n_groups, n_links):
-                out.append(0)
-            shas.append("")
-            sizes.append(0)
-            continue
-        rows = [own[c] for c in found]
-        many = list(found.values())
-        for k, out in enumerate((n_a, n_b, n_groups, n_links)):
-            out.append(sum(m * r[k] for m, r in zip(many, rows, strict=True)))
-        shas.append(hashlib.sha256(";".join([own[c][4] for c in order]).encode()).hexdigest())
-        code = np.frombuffer(b"".join([r[5] for r in rows]), np.int64)
-        link = np.frombuffer(b"".join([r[6] for r in rows]), np.int64) * np.repeat(np.array(many, np.int64), [len(r[5]) // 8 for r in rows])
-        at = np.argsort(code, kind="stable")
-        code, link = code[at], link[at]
-        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else at
-        codes.append(code[starts])
-        links.append(np.add.reduceat(link, starts) if len(starts) else link)
-        sizes.append(len(starts))
-    yield batch, -1, len(ids), None, None, None, None, [i or 0 for i in ids], [i is None for i in ids], n_a, n_b, n_groups, n_links, shas
-    if not codes:
+    index: dict[str, int] = {}
+    put = index.setdefault
+    orders = [[put(c, len(index)) for c in chunks(t)] if t else [] for t in texts]
+    rows = aligner(list(index))
+    bad = np.array([r is None for r in rows], bool)
+    x, y, g, l, spelt, code, link = zip(*[r or _BLANK for r in rows], strict=True) if rows else ((),) * 7
+    n, k = len(ids), max(1, len(rows))
+    sizes = np.fromiter(map(len, orders), np.int64, n)
+    flat, doc = np.fromiter(chain.from_iterable(orders), np.int64, int(sizes.sum())), np.repeat(np.arange(n), sizes)
+    lost = (sizes == 0) | (np.bincount(doc, weights=bad[flat], minlength=n) > 0)
+    held, many = np.unique((doc * k + flat)[~lost[doc]], return_counts=True)  # the chunks of each document
+    doc, chunk = np.divmod(held, k)
+    total = lambda c: np.bincount(doc, weights=many * np.array(c, np.int64)[chunk], minlength=n).astype(np.int64).tolist() if rows else [0] * n
+    shas = ["" if gone else hashlib.sha256("".join(map(spelt.__getitem__, order))[:-1].encode()).hexdigest() for gone, order in zip(lost.tolist(), orders, strict=True)]
+    yield batch, -1, n, None, None, None, None, [i or 0 for i in ids], [i is None for i in ids], total(x), total(y), total(g), total(l), shas
+
+    n_pairs = np.fromiter(map(len, code), np.int64, len(code)) // 8
+    every, first = np.frombuffer(b"".join(code), np.int64), np.cumsum(n_pairs) - n_pairs
+    times = n_pairs[chunk] if len(chunk) else chunk
+    if not times.sum():
         return
-    code, link, doc = np.concatenate(codes), np.concatenate(links), np.repeat(np.arange(len(ids)), sizes)
-    a, b = np.divmod(code, aligner.columns)
-    stripe = a % STRIPES
-    within = (a // STRIPES) * aligner.columns + b  # place in the stripe's block
-    order = np.lexsort((doc, within, stripe))
-    stripe, within, doc, link = stripe[order], within[order], doc[order], link[order]
+    last = np.cumsum(times)
+    take = np.repeat(first[chunk] - (last - times), times) + np.arange(last[-1])
+    pairs, weight, doc = every[take], np.repeat(many, times), np.repeat(doc, times)
+    if any(link):
+        weight = weight * np.concatenate([np.frombuffer(w, np.int64) if w else np.ones(m, np.int64) for w, m in zip(link, n_pairs.tolist(), strict=True)])[take]
+    a, b = np.divmod(pairs, aligner.columns)
+    block = -(-aligner.rows // STRIPES) * aligner.columns
+    place = ((a % STRIPES) * block + (a // STRIPES) * aligner.columns + b) * BATCH + doc  # stripe, place in its block, document
+    order = np.argsort(place)
+    place = place[order]
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    link, place = np.add.reduceat(weight[order], starts), place[starts]
+    place, doc = np.divmod(place, BATCH)
+    stripe, within = np.divmod(place, block)
     ends = np.searchsorted(stripe, np.arange(STRIPES + 1))
     for s in np.flatnonzero(np.diff(ends)).tolist():
         lo, hi = ends[s], ends[s + 1]

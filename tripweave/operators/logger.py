@@ -1,7 +1,7 @@
 """Logger trips: segments split where a stop location is stayed at, short ones dropped, gaps between them as trips.
 
-Runs of points inside and outside of locations are windows. Only the points of a
-stay that ends a segment's piece are looked at one by one, grouped by stay."""
+All rules are windows: runs of points inside and outside of locations, and which
+points of a stay lead towards its location."""
 
 from __future__ import annotations
 
@@ -48,48 +48,26 @@ def stop_split(segments: DataFrame, locations: DataFrame, period_s: int = 300) -
     earlier = F.sum(F.col("_first").cast("long")).over(seg)
     p = p.withColumn("_first", first).withColumn("piece", earlier - F.col("_splits").cast("long"))
 
-    trimmed = p.where("_splits or _ends").select("user_id", "segment_group", "stay", "point_id", "t", "easting", "northing", "stop", "_before", "_after", "_splits")
-
-    def trim(frame):
-        import math
-
-        import pandas as pd
-
-        frame = frame.sort_values(["t", "point_id"])
-        rows = frame.to_dict("records")
-        labels = [r["stop"]["label"] for r in rows]
-        label = max(dict.fromkeys(labels), key=labels.count)  # ties: the first seen
-        spot = next(r["stop"] for r in rows if r["stop"]["label"] == label)
-
-        def leading(points):
-            anchor, least = None, math.inf
-            for i, r in enumerate(points):
-                here = (r["easting"], r["northing"])
-                if anchor is None:
-                    if math.dist(here, (spot["e"], spot["n"])) <= REACH_M:
-                        anchor = here
-                    continue
-                d = math.dist(anchor, here)
-                if d >= least:
-                    return points[:i]
-                least = d
-            return points
-
-        half = round(len(rows) / 2)
-        before, after = rows[0]["_before"], rows[-1]["_after"]
-        out = []
-        if before == before and before is not None:
-            out += [(r["point_id"], 0) for r in leading(rows[:half]) if r["t"] - before <= period_s]
-        if rows[0]["_splits"]:
-            out += [(r["point_id"], 1) for r in leading(rows[half:][::-1]) if after - r["t"] <= period_s]
-        kept = pd.DataFrame(out, columns=["point_id", "_side"])
-        kept.insert(0, "user_id", rows[0]["user_id"])
-        return kept.astype({"point_id": "int64", "_side": "int64"})
-
-    sides = trimmed.groupBy("user_id", "segment_group", "stay").applyInPandas(trim, "user_id long, point_id long, _side long")
-    p = p.join(sides, ["user_id", "point_id"], "left").where("not (_splits or _ends) or _side is not null")
-    p = p.withColumn("piece", F.col("piece") + F.coalesce("_side", F.lit(0)))
-    return p.drop("inside", "stay", "_before", "_after", "_lasts", "_final", "_end", "_splits", "_ends", "_first", "_side")
+    # The location of a stay is that of most of its points, of the first seen among equals.
+    same = Window.partitionBy("user_id", "segment_group", "stay", "stop.label")
+    p = p.withColumns({"_i": F.row_number().over(stay.orderBy("t", "point_id")), "_n": F.count("*").over(stay)})
+    p = p.withColumns({"_of": F.count("*").over(same), "_seen": F.min("_i").over(same)})
+    p = p.withColumn("_spot", F.min(F.struct(-F.col("_of"), "_seen", "_i", "stop.e", "stop.n")).over(stay))
+    p = p.withColumns({"_came": F.max(F.when(F.col("_i") == 1, F.col("_before"))).over(stay), "_left": F.max(F.when(F.col("_i") == F.col("_n"), F.col("_after"))).over(stay)})
+    # Each half leads towards the location as long as it comes nearer to its own first point within reach; the second is read backwards.
+    p = p.withColumn("_side", (F.col("_i") > F.bround(F.col("_n") / 2)).cast("int"))
+    p = p.withColumn("_o", F.when(F.col("_side") == 0, F.col("_i")).otherwise(-F.col("_i")))
+    half = Window.partitionBy("user_id", "segment_group", "stay", "_side")
+    within = F.expr(geo.planar("_spot.e", "_spot.n", "easting", "northing")) <= REACH_M
+    p = p.withColumn("_anchor", F.min(F.when(within, F.struct("_o", "easting", "northing"))).over(half))
+    p = p.withColumn("_d", F.when(F.col("_o") > F.col("_anchor._o"), F.expr(geo.planar("_anchor.easting", "_anchor.northing", "easting", "northing"))))
+    p = p.withColumn("_turns", F.col("_d") >= F.lag("_d").over(half.orderBy("_o")))
+    p = p.withColumn("_turn", F.min(F.when(F.col("_turns"), F.col("_o"))).over(half))
+    leads = F.col("_turn").isNull() | (F.col("_o") < F.col("_turn"))
+    near = F.when(F.col("_side") == 0, F.col("t") - F.col("_came") <= period_s).otherwise(F.col("_splits") & (F.col("_left") - F.col("t") <= period_s))
+    trimmed = F.col("_splits") | F.col("_ends")
+    p = p.where(~trimmed | F.coalesce(leads & near, F.lit(False))).withColumn("piece", F.col("piece") + F.when(trimmed, F.col("_side")).otherwise(0))
+    return p.drop("inside", "stay", *[c for c in p.columns if c.startswith("_")])
 
 
 def long_pieces(points: DataFrame, min_m: float = 250.0) -> DataFrame:

@@ -317,6 +317,31 @@ rw AS (SELECT user_id, point_id, i, CASE WHEN label = -1 THEN -1 ELSE 0 END AS s
     CASE WHEN label = -1 THEN streak + 1 WHEN label = last AND streak = 4 THEN 0 ELSE streak END, CASE WHEN label = -1 THEN last ELSE label END
   FROM (SELECT n.*, w.new, w.streak, w.last FROM rw w JOIN lb n ON n.user_id = w.user_id AND n.i = w.i + 1))"""
 
+#: Logger segments split at stop locations: points `sp` with piece; for use under WITH RECURSIVE.
+_SPLIT = (
+    _seg().replace(", good AS (SELECT * FROM pts WHERE h_accuracy <= 50)", f", {_walk('pts', _STEP)}, good AS (SELECT pts.* FROM pts JOIN walk USING (user_id, point_id) WHERE kept)")
+    + f""", {_SURVEY}, pu AS (SELECT user_id, place_order, label, {_UTM} FROM places),
+sg AS (SELECT * FROM (SELECT *, row_number() {_W} AS rn FROM seg) WHERE rn > 1),
+nr AS (SELECT s.user_id, point_id, arg_min(label, place_order) AS label, arg_min(p.easting, place_order) AS e, arg_min(p.northing, place_order) AS n FROM sg s JOIN pu p ON p.user_id = s.user_id AND {geo.planar("p.easting", "p.northing", "s.easting", "s.northing")} <= 60 GROUP BY 1, 2),
+t0 AS (SELECT sg.*, label, e, n, label IS NOT NULL AS inside FROM sg LEFT JOIN nr USING (user_id, point_id)),
+s1 AS (SELECT *, CASE WHEN lag(inside) OVER q <> inside THEN 1 ELSE 0 END AS new, lag(t) OVER q AS bt, lead(t) OVER q AS at_ FROM t0 WINDOW q AS (PARTITION BY user_id, segment_group ORDER BY t, point_id)),
+s2 AS (SELECT *, sum(new) OVER (PARTITION BY user_id, segment_group ORDER BY t, point_id) AS stay FROM s1),
+s3 AS (SELECT *, row_number() OVER w AS i, count(*) OVER v AS k, max(t) OVER v - min(t) OVER v AS lasts, max(stay) OVER (PARTITION BY user_id, segment_group) AS last_stay, max(segment_group) OVER (PARTITION BY user_id) AS last_group
+  FROM s2 WINDOW v AS (PARTITION BY user_id, segment_group, stay), w AS (PARTITION BY user_id, segment_group, stay ORDER BY t, point_id)),
+s4 AS (SELECT *, inside AND stay <> last_stay AND lasts >= 120 AS splits, inside AND stay = last_stay AND segment_group = last_group AS ends, count(*) OVER (PARTITION BY user_id, segment_group, stay, label) AS own FROM s3),
+s5 AS (SELECT *, sum((splits AND i = 1)::INT) OVER (PARTITION BY user_id, segment_group ORDER BY t, point_id) - splits::INT AS piece FROM s4),
+mo AS (SELECT user_id, segment_group, stay, arg_min(e, ROW(-own, i)) AS se, arg_min(n, ROW(-own, i)) AS sn, arg_min(bt, i) FILTER (i = 1) AS came, arg_max(at_, i) FILTER (i = k) AS gone FROM s5 WHERE splits OR ends GROUP BY 1, 2, 3),
+h0 AS (SELECT s5.*, se, sn, came, gone, CASE WHEN i <= round_even(k / 2, 0) THEN 0 ELSE 1 END AS side FROM s5 JOIN mo USING (user_id, segment_group, stay)),
+h1 AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment_group, stay, side ORDER BY CASE side WHEN 0 THEN i ELSE -i END) AS o FROM h0),
+hw AS (SELECT user_id, segment_group, stay, side, o, {geo.planar("se", "sn", "easting", "northing")} <= 200 AS seen, easting AS ae, northing AS an, NULL::DOUBLE AS least, true AS leads FROM h1 WHERE o = 1
+  UNION ALL SELECT user_id, segment_group, stay, side, o, seen OR near, CASE WHEN seen THEN ae ELSE easting END, CASE WHEN seen THEN an ELSE northing END, CASE WHEN seen THEN d END, leads AND (NOT seen OR least IS NULL OR d < least)
+  FROM (SELECT n.*, w.seen, w.ae, w.an, w.least, w.leads, {geo.planar("w.ae", "w.an", "n.easting", "n.northing")} AS d, {geo.planar("n.se", "n.sn", "n.easting", "n.northing")} <= 200 AS near
+    FROM hw w JOIN h1 n ON n.user_id = w.user_id AND n.segment_group = w.segment_group AND n.stay = w.stay AND n.side = w.side AND n.o = w.o + 1)),
+sp AS (SELECT user_id, segment_group, piece, point_id, t, lat, lon, easting, northing, distance_before FROM s5 WHERE NOT splits AND NOT ends
+  UNION ALL SELECT user_id, segment_group, piece + side, point_id, t, lat, lon, easting, northing, distance_before FROM h1 JOIN hw USING (user_id, segment_group, stay, side, o)
+  WHERE leads AND CASE side WHEN 0 THEN t - came <= 120 ELSE splits AND gone - t <= 120 END)"""
+)
+
 _LAT, _LON = geo.to_latlon("easting", "northing", "18")
 
 
@@ -367,6 +392,16 @@ SELECT user_id, point_id, distance, round(round(total, 3), 1) AS trip_distance,
         "polylines": f"WITH {_seg(WIDE)} SELECT user_id, segment_group, (row_number() OVER (PARTITION BY user_id, segment_group ORDER BY t, point_id) - 1)::INT AS seq, round(lat * 100000) / 100000 AS lat, round(lon * 100000) / 100000 AS lon FROM seg",
         "sql_functions": f"""WITH {_pts(WIDE)} SELECT point_id, easting, northing, 18 AS zone, 'T' AS letter, round({geo.haversine(geo.lit(45.5), geo.lit(-73.6), 'lat', 'lon')}, 3) AS far,
   round({geo.bearing(geo.lit(45.5), geo.lit(-73.6), 'lat', 'lon')}, 4) AS bearing, 0.0::DOUBLE AS dlat FROM pts""",
+        "stop_split": f"WITH RECURSIVE {_SPLIT} SELECT user_id, segment_group, piece, point_id FROM sp",
+        "logger_trips": f"""WITH RECURSIVE {_SPLIT}, c AS (SELECT user_id, segment_group, piece, avg(easting) AS ce, avg(northing) AS cn FROM sp GROUP BY 1, 2, 3),
+far AS (SELECT user_id, segment_group, piece FROM sp JOIN c USING (user_id, segment_group, piece) GROUP BY 1, 2, 3 HAVING max({geo.planar('ce', 'cn', 'easting', 'northing')}) > 250),
+kp AS (SELECT sp.*, dense_rank() OVER (PARTITION BY user_id ORDER BY segment_group, piece) AS key FROM sp JOIN far USING (user_id, segment_group, piece)),
+en AS (SELECT user_id, key, {", ".join(f"arg_{f}({c}, ROW(t, point_id)) AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in ("t", "lat", "lon", "easting", "northing"))} FROM kp GROUP BY 1, 2),
+ga AS (SELECT n.*, p.z_t AS pt, p.z_lat AS plat, p.z_lon AS plon, round({geo.planar("p.z_easting", "p.z_northing", "n.f_easting", "n.f_northing")}, 3) AS m FROM en n JOIN en p ON p.user_id = n.user_id AND p.key = n.key - 1),
+un AS (SELECT user_id, key, 1 AS after, 1 AS trip_code, row_number() OVER w AS seq, point_id, t, lat, lon, round(coalesce(sum(distance_before) OVER (PARTITION BY user_id, key ORDER BY t, point_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS trip_distance
+    FROM kp WINDOW w AS (PARTITION BY user_id, key ORDER BY t, point_id)
+  UNION ALL SELECT user_id, key, 0, 101, 1, NULL, pt, plat, plon, 0.0 FROM ga WHERE m > 250 UNION ALL SELECT user_id, key, 0, 101, 2, NULL, f_t, f_lat, f_lon, m FROM ga WHERE m > 250)
+SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY key, after) AS trip_num, trip_code, seq, point_id, t, lat, lon, round(trip_distance, 1) AS trip_distance FROM un""",
         "core_distances": f"""WITH {_pts()}, o AS (SELECT a.user_id, a.point_id, {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} AS d, count(*) OVER (PARTITION BY a.user_id, a.point_id) AS n,
   row_number() OVER (PARTITION BY a.user_id, a.point_id ORDER BY {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")}) AS k FROM pts a JOIN pts b USING (user_id))
 SELECT user_id, point_id, round(d, 2) AS core FROM o WHERE k = least(n, 21)""",

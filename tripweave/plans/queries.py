@@ -395,7 +395,8 @@ def stop_split(spark, d):
 
 
 def logger_trips(spark, d):
-    return logger.diary(logger.long_pieces(logger.stop_split(_logger_input(spark, d), clean.with_utm(_places(spark, d)), 120)))
+    trips = logger.diary(logger.long_pieces(logger.stop_split(_logger_input(spark, d), clean.with_utm(_places(spark, d)), 120)))
+    return trips.withColumn("trip_distance", F.round("trip_distance", 1))
 
 
 def dedupe_stations(spark, d):

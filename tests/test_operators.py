@@ -279,6 +279,15 @@ def test_condense_is_transitive(spark):
     assert got == [(1, 140.0), (2, 1000.0)]
 
 
+def test_locations_take_the_first_match(spark):
+    """Two two-means centres match one heading centre: it stands twice; the first in order of two matches is taken; no user is gathered in a group."""
+    spots = lambda *xy: spark.createDataFrame([(1, i, float(x), 0.0) for i, x in enumerate(xy)], "user_id long, k long, easting double, northing double")
+    got = cluster.activity_locations(spots(1000, 300, 330, 5000), spots(1040, 315, 960), "k", "k", radius_m=10.0)
+    assert [(r.label, r.easting) for r in got.orderBy("label").collect()] == [("location_1", 1040.0), ("location_2", 315.0), ("location_3", 315.0)]
+    plan = cluster.condense(spots(1, 2), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_dbscan_against_sequential(spark):
     rng = random.Random(5)
     pts = [(u, i, i, rng.gauss(0, 60) + 300 * rng.randint(0, 2), rng.gauss(0, 60)) for u in range(3) for i in range(120)]

@@ -77,12 +77,18 @@ def condense(spots: DataFrame, key: str, radius_m: float = 150.0) -> DataFrame:
 
 
 def activity_locations(kmeans_stops: DataFrame, heading: DataFrame, key_a: str, key_b: str, radius_m: float = 150.0, match_m: float = 50.0) -> DataFrame:
-    """user_id, label location_n, easting, northing: heading centres that a two-means centre confirms."""
+    """user_id, label location_n, easting, northing: for each two-means centre in order the first heading centre within `match_m`; the more precise one gives the position.
+
+    A heading centre that several two-means centres match stands once for each. Centres meet by cells of the distance."""
     a, b = condense(kmeans_stops, key_a, radius_m), condense(heading, key_b, radius_m)
-    near = a.select("user_id", F.col("easting").alias("ae"), F.col("northing").alias("an")).join(b, "user_id").where(F.expr(geo.planar("ae", "an", "easting", "northing")) <= match_m)
-    kept = near.select("user_id", "place", "easting", "northing").distinct()
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
-    return kept.withColumn("label", F.concat(F.lit("location_"), n)).drop("place")
+    cell = lambda c: F.floor(F.col(c) / match_m).cast("long")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = a.select("user_id", F.col("place").alias("at"), F.col("easting").alias("ae"), F.col("northing").alias("an"), steps.alias("_o"))
+    a = a.withColumns({"ci": cell("ae") + F.col("_o.i"), "cj": cell("an") + F.col("_o.j")}).drop("_o")
+    near = a.join(b.withColumns({"ci": cell("easting"), "cj": cell("northing")}), ["user_id", "ci", "cj"]).where(F.expr(geo.planar("ae", "an", "easting", "northing")) <= match_m)
+    first = near.groupBy("user_id", "at").agg(F.min(F.struct("place", "easting", "northing")).alias("x"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("at"))
+    return first.select("user_id", F.concat(F.lit("location_"), n).alias("label"), "x.easting", "x.northing")
 
 
 def with_latlon(places: DataFrame, zone: str = "18") -> DataFrame:

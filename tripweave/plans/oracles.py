@@ -455,8 +455,9 @@ SELECT point_id, d::DATE AS date, epoch(least(e, d + INTERVAL 1 DAY)) - epoch(gr
         "condensed_places": f"WITH RECURSIVE {_seg()}, {_centres('seg', 'segment_group', 'sc')}, {_condensed('sc', 'segment_group', 'pl')} SELECT user_id, place, round(easting, 1) AS easting, round(northing, 1) AS northing FROM pl",
         "activity_locations": f"""WITH RECURSIVE {_pts()}, {_KMEANS}, {_HEADING}, ks AS (SELECT pts.*, run FROM g JOIN pts USING (user_id, point_id) WHERE kmeans = 'stop'), {_centres("ks", "run", "ka")}, {_centres("hs", "stop", "ha")},
 {_condensed("ka", "run", "pa")}, {_condensed("ha", "stop", "pb")},
-ok AS (SELECT DISTINCT pb.* FROM pb JOIN pa ON pa.user_id = pb.user_id AND {geo.planar("pa.easting", "pa.northing", "pb.easting", "pb.northing")} <= 50)
-SELECT user_id, round(easting, 1) AS easting, round(northing, 1) AS northing, 'location_' || row_number() OVER (PARTITION BY user_id ORDER BY place) AS label FROM ok""",
+ok AS (SELECT pa.user_id, pa.place AS at_, arg_min(pb.easting, pb.place) AS easting, arg_min(pb.northing, pb.place) AS northing FROM pb JOIN pa ON pa.user_id = pb.user_id
+  AND {geo.planar("pa.easting", "pa.northing", "pb.easting", "pb.northing")} <= 50 GROUP BY 1, 2)
+SELECT user_id, round(easting, 1) AS easting, round(northing, 1) AS northing, 'location_' || row_number() OVER (PARTITION BY user_id ORDER BY at_) AS label FROM ok""",
         "dbscan": f"""WITH RECURSIVE {_pts()}, nb AS (SELECT a.user_id, a.point_id AS p, b.point_id AS q FROM pts a JOIN pts b ON a.user_id = b.user_id AND {geo.planar("a.easting", "a.northing", "b.easting", "b.northing")} < 120),
 core AS (SELECT user_id, p FROM nb GROUP BY 1, 2 HAVING count(*) >= 5), cl AS (SELECT nb.* FROM nb JOIN core a USING (user_id, p) JOIN core b ON b.user_id = nb.user_id AND b.p = nb.q),
 reach AS (SELECT user_id, p AS root, p FROM core UNION SELECT r.user_id, r.root, cl.q FROM reach r JOIN cl ON cl.user_id = r.user_id AND cl.p = r.p),

@@ -41,7 +41,7 @@ def test_pii_patterns():
 
 
 def test_pii_disclosure(spark, empty):
-    rows = [(i, f"the rare{i % 3} surname writes to ann{i % 3}@example.org from town{i % 3} today", "en", "s", 1) for i in range(6)]
+    rows = [(i, f"the rare{i % 3} surname writes to ann{i % 3}@example.org from town{i % 3} today and row{i}", "en", "s", 1) for i in range(6)]
     rows += [(10 + i, f"the surname of today {i} is common", "en", "s", 1) for i in range(60)]
     rows += [(90, None, "en", "s", None), (91, "", "en", "s", 0)]
     df = spark.createDataFrame(rows, empty.schema)
@@ -57,7 +57,7 @@ def test_pii_disclosure(spark, empty):
 def test_pii_terms_at_any_distance(spark, empty):
     """A disclosing term goes wherever it stands: near the entity, far off, and in texts without the entity."""
     far = " ".join(f"of the filler{k}" for k in range(40))
-    texts = [f"mail ann@example.org now {far} quixley said" for _ in range(4)] + ["quixley without an address"]
+    texts = [f"mail ann@example.org now {far} quixley said on day{i}" for i in range(4)] + ["quixley without an address"]
     texts += [f"common words {far} number {i}" for i in range(80)]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
     clean = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
@@ -68,10 +68,10 @@ def test_pii_terms_at_any_distance(spark, empty):
 
 def test_pii_long_digits_and_letters(spark, empty):
     assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and pii.base_spans("1" + "0" * 5000 + ".1.1.1") == []
-    texts = ["İpek ΟΔΟΣ writes to ann@example.org"] * 3 + [f"plain words number {i}" for i in range(60)]
+    texts = [f"İpek ΟΔΟΣ writes to ann@example.org row{i}" for i in range(3)] + [f"plain words number {i}" for i in range(60)]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema)
     got = {r.doc_id: r for r in pii.spans(df).collect()}
-    assert {"İpek", "ΟΔΟΣ", "writes"} == {texts[0][t["start"] : t["end"]] for t in got[0].terms} and got[5].terms is None
+    assert {"İpek", "ΟΔΟΣ", "writes", "to"} == {texts[0][t["start"] : t["end"]] for t in got[0].terms} and got[5].terms is None
     assert not any(w in r.text for r in pii.sanitize(df).where("doc_id < 3").collect() for w in ("İpek", "ΟΔΟΣ"))
 
 
@@ -81,20 +81,24 @@ def test_pii_terms_against_brute_force(spark, docs, corpus, monkeypatch, bound):
     if bound is not None:
         monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
     rows = [(i, None if t is None else f"{t} mail a{i % 9}@b.org" if i % 3 == 0 else t) for i, t in corpus]
+    rows += [(1000 + i, t) for i, t in rows[:20]]  # copies count once
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
-    held, n_term, n_entity, n_pair = {}, Counter(), Counter(), Counter()
+    held, n_term, n_entity, n_pair, seen = {}, Counter(), Counter(), Counter(), set()
     for i, t in rows:
         base = plain_spans(t or "")
         entities = {f"{k}:{t[a:b].lower()}" if k in ("email", "ip") else f"{k}:{re.sub('[^0-9]', '', t[a:b])}" for k, a, b in base}
-        held[i] = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]{3,}", t or "") if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        held[i] = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+", t or "") if not any(a < m.end() and m.start() < b for _, a, b in base)]
         words = {w for w, _, _ in held[i]}
+        if (t or "") in seen:
+            continue
+        seen.add(t or "")
         n_term.update(words)
         n_entity.update(entities)
         n_pair.update((e, w) for e in entities for w in words)
     told = defaultdict(float)
     for (e, w), n in n_pair.items():
-        if n >= pii.SUPPORT and n_term[w] <= n * 2**pii.MOST_BITS and n_entity[e] < len(rows):
-            told[w] = max(told[w], np.log(len(rows) * n / (n_entity[e] * n_term[w])) / np.log(len(rows) / n_entity[e]))
+        if n >= pii.SUPPORT and n_term[w] <= n * 2**pii.MOST_BITS and n_entity[e] < len(seen):
+            told[w] = max(told[w], np.log(len(seen) * n / (n_entity[e] * n_term[w])) / np.log(len(seen) / n_entity[e]))
     want = {i: [(a, b, bool(told[w] >= pii.REMOVE)) for w, a, b in held[i] if told.get(w, 0) >= pii.GENERALISE] for i, _ in rows}
     got = {r.doc_id: [(t["start"], t["end"], t["remove"]) for t in r.terms or []] for r in pii.spans(df).collect()}
     assert got == want and any(want.values())
@@ -103,6 +107,24 @@ def test_pii_terms_against_brute_force(spark, docs, corpus, monkeypatch, bound):
         assert clean[i] == pii.masked(t, [{"start": a, "end": b, "remove": r} for a, b, r in want[i]])
 
 
+def test_pii_copies_disclose_nothing(spark, empty):
+    """Two copies of a text aren't two documents that agree; two unlike texts are. Short names count like long ones."""
+    plain = [(100 + i, f"plain words number {i} of many", "en", "s", 1) for i in range(60)]
+    copies = [(i, "Li Bo writes ann@example.org tonight", "en", "s", 1) for i in range(4)]
+    assert pii.disclosing(spark.createDataFrame(copies + plain, empty.schema)).count() == 0
+    unlike = [(i, f"Li Bo writes ann@example.org tonight{i}", "en", "s", 1) for i in range(4)]
+    got = pii.disclosing(spark.createDataFrame(unlike + copies + plain, empty.schema)).collect()
+    assert {r.term for r in got} == {"li", "bo", "writes"} and {r.entity for r in got} == {"email:ann@example.org"}
+
+
+def test_pii_of_many_entities_and_words(spark, empty):
+    """3,000 addresses and 6,000 words that stand together twice are one pair of classes, not 18 million pairs."""
+    text = " ".join(f"a{i}@example.org" for i in range(3000)) + " " + " ".join(f"word{i}" for i in range(6000))
+    df = spark.createDataFrame([(0, text, "en", "s", 1), (1, text + " end", "en", "s", 1)] + [(i, f"plain {i}", "en", "s", 1) for i in range(2, 80)], empty.schema)
+    got = {r.doc_id: len(r.terms or []) for r in pii.spans(df).collect()}
+    assert got[0] == got[1] == 6000 and not any(got[i] for i in range(2, 80))
+
+
 def test_suffix_dedup_of_one_anchor(spark, empty):
     """600 unlike contexts of one passage, just below and above the length of a repeated string."""
     rng = random.Random(13)

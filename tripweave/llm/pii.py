@@ -10,7 +10,8 @@ that hold term t and n(e, t) that hold both, at any distance,
 and pmi / ic is the share of what is to be known about e that t reveals; what
 stays unknown is -log2 P(e | t) bits, with P(e | t) = n(e, t) / df(t). A share
 alone grows lax with the corpus (0.7 of the 17 bits of an entity in 2 of 250,000
-documents leaves 5 bits: 34 candidates), so that both are asked for. Each
+documents leaves 5 bits: 34 candidates), so that both are asked for. Equal texts
+are one document in all counts: copies alone disclose nothing. Each
 occurrence of t in any document, with or without e, is removed from a share of
 REMOVE for some entity on and generalised (to the shape of the term) from
 GENERALISE on, if at most MOST_BITS stay unknown. All counts cover the whole
@@ -19,7 +20,10 @@ entities of SUPPORT documents or more are paired.
 
 Entities, terms and counts come from one tokenizer. Counts are pre-aggregated in
 each task before they are shuffled, so that an entity or a term in a third of all
-rows is no hot group; a pair that a third of the rows hold is aggregated likewise.
+rows is no hot group. Entities that stand in the same documents are one class,
+and so are terms that do (an order-free digest of the documents tells), so that a
+document of many entities and words that also stand together elsewhere makes one
+pair of classes, not all pairs of their members.
 
 Defined results: null text is the empty text, without spans; repeated rows are
 documents of their own, with equal spans; an empty table gives an empty result;
@@ -46,7 +50,6 @@ GENERALISE, REMOVE = 0.7, 0.9
 MOST_BITS = 1.0
 #: Disclosing terms and entities up to this number (some MB) go to every task; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
-LEAST_LETTERS = 3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -117,7 +120,7 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
         while k < len(taken) and taken[k][0] < b:
             until = max(until, taken[k][1])
             k += 1
-        if b - a >= LEAST_LETTERS and until <= a:
+        if until <= a:
             out.append((m[0].lower(), a, b))
     return out
 
@@ -126,7 +129,7 @@ def _distinct_terms(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
     """The terms of _terms(), once each."""
     if spans:
         return {w for w, _, _ in _terms(text, spans)}
-    return {w.lower() for w in set(_TERM.findall(text)) if len(w) >= LEAST_LETTERS}
+    return {w.lower() for w in set(_TERM.findall(text))}
 
 
 def _spread(small: DataFrame, bound: int) -> DataFrame:
@@ -138,8 +141,17 @@ def _listed(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """p_id, entities and, where there are some, the words (distinct terms); a row for each document."""
+def _unlike(docs: DataFrame, text: str) -> DataFrame:
+    """`text` of the documents, equal ones once; only texts that stand more than once are moved."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias(text)).select(text, F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+    again = materialize(rows.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("h1", "h2"), "pii-again")
+    again = _spread(again, BROADCAST_TERMS)
+    once = rows.join(again, ["h1", "h2"], "left_anti")
+    return once.unionByName(rows.join(again, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]))
+
+
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc (a hash of the text), entities and, where there are some, the words (distinct terms); a row for each of `docs`."""
 
     def work(ids, texts):
         entities, terms = [], []
@@ -149,8 +161,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
             terms.append(sorted(_distinct_terms(t, spans)) if spans else [])
         return ids, entities, terms
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col), F.col(text)), work, f"p_id {kind}, entities array<string>, words array<string>")
+    return map_rows(docs.select(F.xxhash64(text), F.col(text)), work, "doc long, entities array<string>, words array<string>")
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -167,20 +178,36 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term, share: the pairs whose share of disclosure is GENERALISE or more, with at most MOST_BITS unknown."""
+def _classed(rows: DataFrame, member: str, keep: list[str]) -> DataFrame:
+    """`member`, `keep` and class: equal for members that stand in the same documents (and have equal `keep`)."""
+    digest = (F.count("*").alias("c"), F.bit_xor("doc").alias("x"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    held = rows.groupBy(member, *keep).agg(*digest)
+    return held.select(member, *keep, F.xxhash64("c", "x", "s", *keep).alias("class"))
+
+
+def disclosing(docs: DataFrame, text: str = "text") -> DataFrame:
+    """entity, term, share: the pairs whose share of disclosure is GENERALISE or more, with at most MOST_BITS unknown, counted over unlike texts."""
+    unlike = _unlike(docs, text)
+    found = materialize(find(unlike, text), "pii-found")
     total = found.count()
     held = found.where(F.size("entities") > 0)
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     entities = materialize(entities.where((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") < total)), "pii-entities")
-    held = held.select(F.explode("entities").alias("entity"), "words").join(_spread(entities.select("entity"), BROADCAST_TERMS), "entity", "left_semi")
-    pairs = held.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
-    pairs = materialize(pairs.where(F.col("n_pair") >= SUPPORT).join(entities, "entity"), "pii-pairs")
-    most = pairs.groupBy("term").agg(F.max("n_pair").alias("n_most"))
-    rare = term_counts(docs, text).join(most, "term").where(F.col("n_term") <= F.col("n_most") * 2**MOST_BITS).select("term", "n_term")
-    share = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    told = (F.col("share") >= GENERALISE) & (F.col("n_term") <= F.col("n_pair") * 2**MOST_BITS)
-    return pairs.join(rare, "term").withColumn("share", share).where(told).select("entity", "term", "share")
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    # n(e, t) is at most df(e), so that a term in more than 2^MOST_BITS times the documents of any entity can't pass.
+    rare = materialize(term_counts(unlike, text).where(F.col("n_term").between(SUPPORT, most * 2**MOST_BITS)), "pii-rare")
+    named = materialize(held.select("doc", F.explode("entities").alias("entity")).join(_spread(entities, BROADCAST_TERMS), "entity"), "pii-named")
+    held = held.join(_spread(named.select("doc").distinct(), BROADCAST_TERMS), "doc", "left_semi")
+    worded = materialize(held.select("doc", F.explode("words").alias("term")).join(_spread(rare, BROADCAST_TERMS), "term"), "pii-worded")
+    entity_class, term_class = materialize(_classed(named, "entity", ["n_entity"]), "pii-entity-class"), materialize(_classed(worded, "term", ["n_term"]), "pii-term-class")
+
+    left = named.join(entity_class, ["entity", "n_entity"]).select("doc", F.col("class").alias("e"), "n_entity").distinct()
+    right = worded.join(term_class, ["term", "n_term"]).select("doc", F.col("class").alias("t"), "n_term").distinct()
+    pairs = left.join(right, "doc").where(F.col("n_term") <= F.col("n_entity") * 2**MOST_BITS).groupBy("e", "t", "n_entity", "n_term").agg(F.count("*").alias("n_pair"))
+    share = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
+    told = (F.col("n_pair") >= SUPPORT) & (F.col("n_term") <= F.col("n_pair") * 2**MOST_BITS)
+    pairs = materialize(pairs.where(told).withColumn("share", share).where(F.col("share") >= GENERALISE).select("e", "t", "share"), "pii-pairs")
+    return pairs.join(entity_class.select(F.col("class").alias("e"), "entity"), "e").join(term_class.select(F.col("class").alias("t"), "term"), "t").select("entity", "term", "share")
 
 
 def _known(docs: DataFrame, pairs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, dict[str, bool] | None]:
@@ -210,8 +237,7 @@ def term_spans(text: str, spans: list[tuple[str, int, int]], known: dict[str, bo
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`id_col`, the base counts, base_spans and terms (of the disclosing terms; null if there are none), a row for each document."""
-    found = materialize(find(docs, id_col, text), "pii-found")
-    rows, known = _known(docs, disclosing(found, docs, text), id_col, text)
+    rows, known = _known(docs, disclosing(docs, text), id_col, text)
 
     def work(ids, texts, own):
         out = []
@@ -247,8 +273,7 @@ def masked(text: str | None, terms: list[dict] | None) -> str | None:
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns as they were but for the sanitised text."""
-    found = materialize(find(docs, id_col, text), "pii-found")
-    rows, known = _known(docs, disclosing(found, docs, text), id_col, text)
+    rows, known = _known(docs, disclosing(docs, text), id_col, text)
 
     @F.arrow_udf("string")
     def mask(texts, own):

@@ -36,7 +36,12 @@ def test_query_matches_sql(spark, duck, name):
     assert got == sorted(repr([plain(r[order.index(c)]) for c in names]) for r in want.fetchall())
 
 
-def test_others_run(spark):
-    rest = set(queries()) - set(oracle_sql())
-    for name in rest:
-        assert queries()[name](spark, DATA).limit(5).collect() is not None
+def test_density_locations_are_numbered_stops(spark):
+    """The one query without SQL: labels of a user are cluster0 on, its stops have points, and two runs give the same."""
+    assert set(queries()) - set(oracle_sql()) == {"density_locations"}
+    rows = queries()["density_locations"](spark, DATA).collect()
+    again = queries()["density_locations"](spark, DATA).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    for user in {r.user_id for r in rows}:
+        own = [r for r in rows if r.user_id == user]
+        assert sorted(r.label for r in own) == sorted(f"cluster{i}" for i in range(len(own))) and all(r.n_points > 0 for r in own)

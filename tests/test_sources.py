@@ -120,6 +120,35 @@ def test_ids_stay_and_grow_without_gaps(spark, tmp_path):
     assert [i for i, _ in got] == list(range(5, 1005)) and [x for _, x in got] == list(range(1000))
 
 
+def test_survey_keeps_ids_and_replaces_trips(spark, tmp_path):
+    """A logger survey read twice keeps its users' numbers; saved trips have ids that go on, other users keep theirs."""
+    from tripweave.session import Survey
+
+    head = ",".join(csv.LOGGER)
+    (tmp_path / "in").mkdir()
+    line = lambda n, name: f"{n},24/1/2,3:04:0{n},,,45.{n},N,73.6,W,10,1.5 km/h,{name}"
+    write(tmp_path / "in", "coordinates.csv", "\n".join([head, line(1, "ann"), line(2, "bob"), line(3, "ann")]) + "\n")
+    write(tmp_path / "in", "locations.csv", "user,label,latitude,longitude\nann,home,45.1,-73.6\n")
+    survey = Survey(spark, str(tmp_path / "out"))
+    survey.ingest_logger(str(tmp_path / "in"))
+    first = {r.key: r.id for r in survey.ids.tables.read("user_ids").collect()}
+    write(tmp_path / "in", "coordinates.csv", "\n".join([head, line(1, "zoe"), line(2, "bob"), line(3, "abe")]) + "\n")
+    survey.ingest_logger(str(tmp_path / "in"), force=True)
+    assert survey.points().count() == 3 and survey.users().count() == 3
+    again = {r.key: r.id for r in survey.ids.tables.read("user_ids").collect()}
+    assert {k: again[k] for k in first} == first and sorted(again.values()) == [1, 2, 3, 4]
+
+    trips = lambda *rows: spark.createDataFrame(list(rows), "user_id string, trip_num int, seq int")
+    survey.save_trips(trips(("a", 1, 1), ("a", 1, 2), ("b", 1, 1)))
+    survey.save_trips(trips(("a", 1, 1)))
+    rows = sorted(tuple(r) for r in survey.tables.read("detected_trips").select("user_id", "id").collect())
+    assert rows == [("a", 4), ("b", 3)]
+    survey.clear_trips(trips(("a", 0, 0)).select("user_id"))
+    assert [r.user_id for r in survey.tables.read("detected_trips").collect()] == ["b"]
+    survey.clear_trips()
+    assert survey.tables.read("detected_trips").count() == 0
+
+
 def test_csv_and_geojson_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", True), ("b", False)], "uuid string, has_trips boolean")
     sinks.csv(df, str(tmp_path / "out"), ["uuid", "has_trips", "start_latitude"], one_file=True)

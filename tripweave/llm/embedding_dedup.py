@@ -51,14 +51,13 @@ STRIP = 512
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows divided by their norms, in double precision; scaled first, so that no square overflows."""
     v = vectors.astype(np.float64)
-    v /= np.abs(v).max(axis=1, keepdims=True)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
 def cosine(a, b) -> float:
-    """Cosine of two vectors with exactly rounded sums."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    """Cosine of two vectors with exactly rounded sums; scaled by powers of two, so that no square overflows or changes."""
+    a, b = (np.ldexp(v.astype(np.float64), -int(np.frexp(np.abs(v.astype(np.float64)).max())[1])) for v in (a, b))
     return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
 
 

@@ -22,8 +22,10 @@ keys that still do, the hubs aside (a passage that many texts share fills whole
 parted to the end, one element a segment: two sets that share x elements share
 one of the n - x + 1 rarest of either, so that what a passage has in common is
 left out, and sets of unlike components that share a rare one are compared. So
-a group of many like texts makes comparisons in proportion to its size, and no
-pair is left out but those whose ends are already connected. Pairs pass a filter
+a group of many like texts makes comparisons in proportion to its size. Unlike
+texts put together from the same passages share rare elements and don't connect:
+their comparisons can grow with the square of their number (no pair is left out
+but those whose ends are already connected). Pairs pass a filter
 of counts by part of the hash range, then the exact comparison.
 
 A set is kept as the 64-bit hashes of its shingles, and n_shingles counts those:

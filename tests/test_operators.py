@@ -210,6 +210,34 @@ def test_known_place_has_two_gaps(spark):
     assert got == [(1, False, 104, 3000.0), (2, False, 103, 200.0), (2, True, 104, 0.0)]
 
 
+def test_older_diary_by_hand(spark):
+    """Each gap kind once, a lone point to the nearer trip, the short gap as a row of the trip, whole days dropped from a pause."""
+    from tripweave.operators import older
+
+    day, rows = 86400, []
+
+    def walk(t, *xs):
+        rows.extend((1, len(rows) + k, t + 60 * k, 45.0 + x / 1e5, -73.0, float(x), 0.0, 5.0) for k, x in enumerate(xs))
+
+    walk(0, 0, 200, 400)  # trip 1
+    walk(1000, 500, 800, 1100)  # after a short gap of 100 m
+    walk(2 * day, 1700, 2100)  # cold start: 600 m, a pause of two days less some time
+    walk(3 * day, 9000)  # a lone point, nearer to the trip after it
+    walk(3 * day + 2000, 9100, 9700)
+    walk(5 * day, 30000, 30400)  # from station to station
+    df = spark.createDataFrame(rows, "user_id long, point_id long, t long, lat double, lon double, easting double, northing double, h_accuracy double")
+    stations = spark.createDataFrame([(1, 9800.0, 0.0), (2, 30100.0, 0.0)], "place_id long, easting double, northing double")
+    got = older.summaries(older.diary_rows(segment.gap_segments(df, 300), stations)).orderBy("trip_id").collect()
+    assert [(r.trip_id, r.trip_code, r.cumulative_distance, r.merge_codes) for r in got] == [
+        (1, 1, 400.0, ""), (2, 1, 700.0, "missing trip - less than 250m"), (3, 1, 1000.0, "cold start"), (4, 101, 6900.0, "missing trip, single point - before"),
+        (5, 1, 700.0, "single point - before"), (6, 102, 20300.0, "missing trip - metro"), (7, 1, 400.0, ""),
+    ]
+    lone = older.diary_rows(segment.gap_segments(df, 300), stations).where("trip = 5").orderBy("place").collect()
+    assert [(r.easting, r.t) for r in lone] == [(9000.0, 3 * day + 2000), (9100.0, 3 * day + 2000), (9700.0, 3 * day + 2060)]
+    cold = older.diary_rows(segment.gap_segments(df, 300), stations).where("trip = 3 and place = 1").first()
+    assert cold.point_id is None and cold.break_period == (2 * day - 1120) % day and cold.t == 2 * day
+
+
 def test_within_first_and_last(spark):
     pts = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1000.0, 0.0)], "user_id long, point_id long, easting double, northing double")
     places = spark.createDataFrame([(3, 10.0, 0.0), (5, 150.0, 0.0), (7, 201.0, 0.0)], "place_id long, easting double, northing double")

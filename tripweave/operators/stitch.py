@@ -355,14 +355,14 @@ def diary_summaries(diary: DataFrame, timezone: str) -> DataFrame:
     )
 
 
-def older_distances(points: DataFrame, key: str = "trip_num", note: str = "note", short: str = "missing trip - less than 250m", single: str = "single point") -> DataFrame:
+def older_distances(points: DataFrame, key: str = "trip_num", note: str = "note", short: str = "missing trip - less than 250m", single: str = "single point", order: tuple[str, ...] = ("t", "point_id")) -> DataFrame:
     """Points with distance, trip_distance and avg_speed (m/s) by the older rule, from the anchor: the last point of the trip before it that doesn't carry the note of a short gap.
 
     A trip begins at its own first point whatever its note. Without a pause
     before it (break_period not above zero), a point has the speed of the one
     before. A trip of two points, a short gap and a single point, has none of the
     three. The anchor is a last-value window, and so is the speed carried on."""
-    order = Window.partitionBy("user_id", key).orderBy("t", "point_id")
+    order = Window.partitionBy("user_id", key).orderBy(*order)
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("user_id", key)
     df = points.withColumns({
         "_i": F.row_number().over(order), "_n": F.count("*").over(whole), "_short": F.max((F.col(note) == short).cast("int")).over(whole), "_single": F.max((F.col(note) == single).cast("int")).over(whole),

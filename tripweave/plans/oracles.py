@@ -317,6 +317,59 @@ rw AS (SELECT user_id, point_id, i, CASE WHEN label = -1 THEN -1 ELSE 0 END AS s
     CASE WHEN label = -1 THEN streak + 1 WHEN label = last AND streak = 4 THEN 0 ELSE streak END, CASE WHEN label = -1 THEN last ELSE label END
   FROM (SELECT n.*, w.new, w.streak, w.last FROM rw w JOIN lb n ON n.user_id = w.user_id AND n.i = w.i + 1))"""
 
+_ENDS = ("t", "lat", "lon", "easting", "northing", "point_id")
+_MOST = lambda order: ", ".join(f"arg_{f}({n}_{c}, {order}) AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in _ENDS)
+#: The older diary: rows `ro` of trips; for use under WITH RECURSIVE.
+_OLDER = (
+    _gaps()
+    + ", "
+    + _entrances()
+    + f""", o1 AS (SELECT *, {_at("f_easting", "f_northing")} AS fp, {_at("z_easting", "z_northing")} AS zp FROM gp),
+o2 AS (SELECT *, lag(zp) {_T} AS pz FROM o1),
+o3 AS (SELECT *, coalesce(pz <> fp AND gap_s < 4800 AND gap_m / nullif(gap_s, 0) > 0.1, false) AS cond FROM o2),
+o4 AS (SELECT *, cond AND NOT coalesce(lag(cond) {_T}, false) AS ride FROM o3),
+o5 AS (SELECT *, sum((NOT ride)::INT) {_T} AS num, NOT ride AND coalesce(gap_m / nullif(gap_s, 0) * 3.6 > 2.0, false) AS fast FROM o4),
+o6 AS (SELECT *, last_value(CASE WHEN NOT ride AND NOT fast THEN num END IGNORE NULLS) {_T} AS key, coalesce(lead(cond) {_T}, false) AS cond_next, coalesce(lead(fast) {_T}, false) AS fast_next FROM o5),
+ot AS (SELECT user_id, key AS segment_group, sum(n_points) AS n_points, {_MOST("segment_group")} FROM o6 GROUP BY 1, 2),
+ol AS (SELECT *, row_number() {_T} AS i, lag(z_t) {_T} AS pt, lead(f_t) {_T} AS nt, lead(segment_group) {_T} AS nk, n_points = 1 AND coalesce(lag(segment_group) {_T} = segment_group - 1 AND lead(segment_group) {_T} = segment_group + 1, false) AS lone,
+  lag(z_easting) {_T} AS pe, lag(z_northing) {_T} AS pn, lead(f_easting) {_T} AS ne, lead(f_northing) {_T} AS nn FROM ot),
+ow AS (SELECT user_id, segment_group, i, false AS tested, false AS gives FROM ol WHERE i = 1
+  UNION ALL SELECT n.user_id, n.segment_group, n.i, n.lone AND NOT w.gives, n.lone AND NOT w.gives AND {geo.planar("n.pe", "n.pn", "n.f_easting", "n.f_northing")} > {geo.planar("n.f_easting", "n.f_northing", "n.ne", "n.nn")}
+  FROM ow w JOIN ol n ON n.user_id = w.user_id AND n.i = w.i + 1),
+ofa AS (SELECT ol.*, tested, CASE WHEN gives THEN 'next' WHEN tested THEN 'previous' END AS fate, CASE WHEN gives THEN nt WHEN tested THEN pt END AS set_t,
+  CASE WHEN gives THEN nk ELSE last_value(CASE WHEN NOT tested THEN segment_group END IGNORE NULLS) {_T} END AS host, segment_group - sum(tested::INT) {_T} AS rk FROM ol JOIN ow USING (user_id, segment_group, i)),
+oh AS (SELECT user_id, host AS segment_group, sum(n_points) AS n_points, max(rk) FILTER (host = segment_group) AS rk, bool_or(fate = 'next') AS before, bool_or(fate = 'previous') AS behind,
+  arg_min(f_point_id, i) FILTER (host = segment_group) AS own_first, arg_min(z_point_id, i) FILTER (host = segment_group) AS own_last, arg_min(coalesce(set_t, f_t), i) AS f_t, arg_max(coalesce(set_t, z_t), i) AS z_t,
+  {", ".join(f"arg_{f}({n}_{c}, i) AS {n}_{c}" for n, f in (("f", "min"), ("z", "max")) for c in _ENDS if c != "t")} FROM ofa x GROUP BY user_id, host),
+oz AS (SELECT *, {_at("f_easting", "f_northing", 300.0)} AS fp, {_at("z_easting", "z_northing", 300.0)} AS zp FROM oh),
+og AS (SELECT *, lag(zp) {_T} AS pz, lag(z_t) {_T} AS pt, lag(z_lat) {_T} AS plat, lag(z_lon) {_T} AS plon, lag(z_easting) {_T} AS pe, lag(z_northing) {_T} AS pn FROM oz),
+om AS (SELECT *, round({geo.planar("pe", "pn", "f_easting", "f_northing")}, 3) AS m, ((f_t - pt) % 86400 + 86400) % 86400 AS s FROM og),
+on_ AS (SELECT *, CASE WHEN m IS NULL THEN NULL WHEN m < 250 THEN 'missing trip - less than 250m' WHEN pz <> fp THEN 'missing trip - metro' WHEN m <= 750 THEN 'cold start' ELSE 'missing trip' END AS gn FROM om),
+oq AS (SELECT *, rk + sum((coalesce(gn IN ('missing trip', 'missing trip - metro'), false))::INT) {_T} AS trip, CASE WHEN n_points = 1 AND gn IS DISTINCT FROM 'cold start' THEN 'single point'
+  WHEN coalesce(CASE WHEN gn = 'cold start' THEN pz ELSE fp END <> zp, false) THEN 'complete trip - metro' ELSE 'complete trip' END AS note FROM on_),
+pe_ AS (SELECT *, row_number() OVER (PARTITION BY user_id, segment_group ORDER BY t, point_id) = 1 AS fi, row_number() OVER (PARTITION BY user_id, segment_group ORDER BY t DESC, point_id DESC) = 1 AS la FROM seg),
+ro0 AS (SELECT q.user_id, q.trip, q.segment_group AS host, 1 AS place, p.t AS o, p.point_id, coalesce(set_t, p.t) AS t, p.lat, p.lon, p.easting, p.northing, p.period_before AS brk, q.note,
+    list_filter([CASE WHEN fi AND cond OR la AND cond_next THEN 'metro' END, CASE WHEN fi AND fast OR la AND fast_next THEN 'velocity' END,
+      CASE WHEN fate = 'next' OR (before AND fate IS NULL AND p.point_id = own_first) THEN 'single point - before' END,
+      CASE WHEN fate = 'previous' OR (behind AND fate IS NULL AND p.point_id = own_last) THEN 'single point - after' END], lambda x: x IS NOT NULL) AS codes
+  FROM pe_ p JOIN o6 ON o6.user_id = p.user_id AND o6.segment_group = p.segment_group JOIN ofa ON ofa.user_id = p.user_id AND ofa.segment_group = o6.key JOIN oq q ON q.user_id = p.user_id AND q.segment_group = ofa.host),
+fc AS (SELECT user_id, host, arg_min(codes, ROW(o, point_id)) AS codes FROM ro0 GROUP BY 1, 2),
+ro1 AS (SELECT user_id, trip, place, o, point_id, t, lat, lon, easting, northing, brk, note, codes FROM ro0
+  UNION ALL SELECT user_id, trip, 0, NULL, NULL, f_t, plat, plon, pe, pn, s, CASE WHEN gn = 'cold start' THEN note ELSE gn END, [gn] FROM oq WHERE gn IN ('cold start', 'missing trip - less than 250m')
+  UNION ALL SELECT user_id, trip - 1, 0, NULL, NULL, pt, plat, plon, pe, pn, s, gn, [gn] FROM oq WHERE gn IN ('missing trip', 'missing trip - metro')
+  UNION ALL SELECT oq.user_id, trip - 1, 2, NULL, NULL, f_t, f_lat, f_lon, f_easting, f_northing, s, gn, codes FROM oq JOIN fc ON fc.user_id = oq.user_id AND fc.host = oq.segment_group WHERE gn IN ('missing trip', 'missing trip - metro')),
+ro AS (SELECT *, row_number() OVER (PARTITION BY user_id, trip ORDER BY place, o, point_id) AS i, count(*) OVER (PARTITION BY user_id, trip) AS n,
+  bool_or(note = 'missing trip - less than 250m') OVER (PARTITION BY user_id, trip) AS has_short, bool_or(note = 'single point') OVER (PARTITION BY user_id, trip) AS has_single FROM ro1),
+rd AS (SELECT user_id, trip, i, easting AS ae, northing AS an, 0.0::DOUBLE AS far FROM ro WHERE i = 1
+  UNION ALL SELECT user_id, trip, i, CASE WHEN note <> 'missing trip - less than 250m' THEN easting ELSE ae END, CASE WHEN note <> 'missing trip - less than 250m' THEN northing ELSE an END,
+    far + CASE WHEN n = 2 AND has_short AND has_single THEN 0 ELSE d END
+  FROM (SELECT x.*, w.ae, w.an, w.far, round({geo.planar("w.ae", "w.an", "x.easting", "x.northing")}, 3) AS d FROM rd w JOIN ro x ON x.user_id = w.user_id AND x.trip = w.trip AND x.i = w.i + 1)),
+os AS (SELECT user_id, trip, arg_min(t, i) AS s_t, arg_max(t, i) AS e_t, arg_min(lat, i) AS olat, arg_min(lon, i) AS olon, arg_max(lat, i) AS dlat, arg_max(lon, i) AS dlon, arg_min(easting, i) AS oe, arg_min(northing, i) AS on2,
+  arg_max(easting, i) AS de, arg_max(northing, i) AS dn, round(arg_max(far, i), 3) AS far, list_sort(list_distinct(flatten(list(codes)))) AS codes,
+  CASE WHEN bool_or(note = 'complete trip - metro') THEN 2 WHEN bool_or(note = 'complete trip') THEN 1 WHEN bool_or(note = 'single point') THEN 201 WHEN bool_or(note = 'missing trip') THEN 101 ELSE 102 END AS own
+  FROM ro JOIN rd USING (user_id, trip, i) GROUP BY 1, 2)"""
+)
+
 #: Logger segments split at stop locations: points `sp` with piece; for use under WITH RECURSIVE.
 _SPLIT = (
     _seg().replace(", good AS (SELECT * FROM pts WHERE h_accuracy <= 50)", f", {_walk('pts', _STEP)}, good AS (SELECT pts.* FROM pts JOIN walk USING (user_id, point_id) WHERE kept)")
@@ -389,6 +442,8 @@ qw AS (SELECT user_id, trip_num, point_id, i, easting AS ae, northing AS an, 0.0
     CASE WHEN none THEN 0 ELSE d END, total + CASE WHEN none THEN 0 ELSE d END, CASE WHEN none THEN 0 WHEN brk > 0 THEN d / brk ELSE speed END
   FROM (SELECT n.*, w.ae, w.an, w.total, w.speed, round({geo.planar("w.ae", "w.an", "n.easting", "n.northing")}, 3) AS d FROM qw w JOIN q1 n ON n.user_id = w.user_id AND n.trip_num = w.trip_num AND n.i = w.i + 1))
 SELECT user_id, point_id, distance, round(round(total, 3), 1) AS trip_distance, round(speed, 6) AS avg_speed FROM qw""",
+        "older_diary": f"""WITH RECURSIVE {_OLDER} SELECT user_id, trip AS trip_id, CASE WHEN far = 0 THEN 201 WHEN far < 250 THEN 202 ELSE own END AS trip_code, s_t AS start_t, e_t AS end_t, olat, olon, dlat, dlon,
+  array_to_string(codes, ', ') AS merge_codes, round(round({geo.planar("oe", "on2", "de", "dn")}, 3), 1) AS direct_distance, round(far, 1) AS cumulative_distance FROM os""",
         "polylines": f"WITH {_seg(WIDE)} SELECT user_id, segment_group, (row_number() OVER (PARTITION BY user_id, segment_group ORDER BY t, point_id) - 1)::INT AS seq, round(lat * 100000) / 100000 AS lat, round(lon * 100000) / 100000 AS lon FROM seg",
         "sql_functions": f"""WITH {_pts(WIDE)} SELECT point_id, easting, northing, 18 AS zone, 'T' AS letter, round({geo.haversine(geo.lit(45.5), geo.lit(-73.6), 'lat', 'lon')}, 3) AS far,
   round({geo.bearing(geo.lit(45.5), geo.lit(-73.6), 'lat', 'lon')}, 4) AS bearing, 0.0::DOUBLE AS dlat FROM pts""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import geo, polyline, sql
 from ..functions.time import local, split_at_midnight, split_days
-from ..operators import activity, clean, cluster, days, density, logger, segment, stitch
+from ..operators import activity, clean, cluster, days, density, logger, older, segment, stitch
 from . import adapters
 
 C = Config()
@@ -370,6 +370,12 @@ def older_distances(spark, d):
     return r.select("user_id", "point_id", "distance", F.round("trip_distance", 1).alias("trip_distance"), F.round("avg_speed", 6).alias("avg_speed"))
 
 
+def older_diary(spark, d):
+    r = older.diary_rows(_segments(spark, d), adapters.entrances(spark, d), least_kph=2.0)
+    s = older.summaries(r)
+    return s.withColumns({c: F.round(c, 1) for c in ("direct_distance", "cumulative_distance")})
+
+
 def polylines(spark, d):
     """Each segment's line encoded, and its points read back from the code."""
     line = F.transform(F.array_sort(F.collect_list(F.struct("t", "point_id", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
@@ -421,7 +427,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     velocity_links_older, linked_trips, trip_points, missing_trips, trip_codes, merged_diary, phone_diary, trip_summaries, lone_points, spike_filter, logger_preprocess, rolling_avg,
     trailing_avg, complete_days, inactivity, explained_days, explained_days_geodesic, unpivot_locations, survey_locations, located_segments, label_points_last, label_points_first, location_overlaps, commutes_dwells,
     activity_daily, activity_daily_pivot, activity_condensed, condensed_trips, midnight_split, day_split, local_dates, kmeans_runs, heading_stops,
-    stop_centroids, condensed_places, activity_locations, dbscan, core_distances, stops_in_time, weighted_centres, density_locations, attribute_stops, older_distances, polylines, sql_functions, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
+    stop_centroids, condensed_places, activity_locations, dbscan, core_distances, stops_in_time, weighted_centres, density_locations, attribute_stops, older_distances, older_diary, polylines, sql_functions, stop_split, logger_trips, dedupe_stations, count_users, trip_diff,
 )
 
 

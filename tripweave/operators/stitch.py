@@ -16,43 +16,34 @@ def by_key() -> WindowSpec:
     return Window.partitionBy("user_id").orderBy("segment_group")
 
 
-def _near(rows: DataFrame, key: list[str], places: DataFrame, radius_m: float, pick) -> DataFrame:
-    """`key` and place: what `pick` (F.min or F.max) takes of the place_ids within `radius_m`; rows without any are absent.
-
-    Places are copied into the nine cells around their own, so that the range
-    join is an equality of cells and an exact test: no nested loop, whatever the
-    number of places."""
-    cell = lambda c: F.floor(F.col(c) / radius_m).cast("long")
+def _around(places: DataFrame, radius_m: float) -> DataFrame:
+    """place_id, pe, pn, ci, cj: places copied into the nine cells around their own, so that the range join is an equality of cells and an exact test."""
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     spots = places.select("place_id", F.col("easting").alias("pe"), F.col("northing").alias("pn"), near.alias("o"))
-    spots = spots.select("place_id", "pe", "pn", (F.floor(F.col("pe") / radius_m) + F.col("o.i")).alias("ci"), (F.floor(F.col("pn") / radius_m) + F.col("o.j")).alias("cj"))
-    keyed = rows.select(*key, "easting", "northing", cell("easting").alias("ci"), cell("northing").alias("cj"))
-    hit = keyed.join(spots, ["ci", "cj"]).where(F.expr(geo.planar("easting", "northing", "pe", "pn")) <= radius_m)
-    return hit.groupBy(*key).agg(pick("place_id").alias("place"))
+    return spots.select("place_id", "pe", "pn", (F.floor(F.col("pe") / radius_m) + F.col("o.i")).alias("ci"), (F.floor(F.col("pn") / radius_m) + F.col("o.j")).alias("cj"))
 
 
 def within(points: DataFrame, places: DataFrame, radius_m: float, last: bool = False, out: str = "place") -> DataFrame:
     """Add `out`: the first (or last) place in the order of place_id within `radius_m` of each point; null if none."""
-    key = ["user_id", "point_id"]
-    return points.join(_near(points, key, places, radius_m, F.max if last else F.min).withColumnRenamed("place", out), key, "left")
+    key, cell = ["user_id", "point_id"], lambda c: F.floor(F.col(c) / radius_m).cast("long")
+    keyed = points.select(*key, "easting", "northing", cell("easting").alias("ci"), cell("northing").alias("cj"))
+    hit = keyed.join(_around(places, radius_m), ["ci", "cj"]).where(F.expr(geo.planar("easting", "northing", "pe", "pn")) <= radius_m)
+    return points.join(hit.groupBy(*key).agg((F.max if last else F.min)("place_id").alias(out)), key, "left")
 
 
 def end_places(trips: DataFrame, places: DataFrame, radius_m: float, **ends: str) -> DataFrame:
-    """Add a column for each of `ends` (name=point; first_place and last_place of the ends, if none is given): the place there.
+    """Add a column for each of `ends` (name=point; first_place and last_place of the ends, if none is given): the first place there.
 
-    Both ends go through one range join, and their trip's columns with them, so
-    that one aggregation brings them together again."""
+    The places around a cell are one row, which an end meets by its cell: trips
+    are neither multiplied nor grouped."""
     ends = ends or {"first_place": "first", "last_place": "last"}
-    key, rest = ["user_id", "segment_group"], [c for c in trips.columns if c not in ends and c not in ("user_id", "segment_group")]
-    cell = lambda c: F.floor(F.col(c) / radius_m).cast("long")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spots = places.select("place_id", F.col("easting").alias("pe"), F.col("northing").alias("pn"), near.alias("o"))
-    spots = spots.select("place_id", "pe", "pn", (F.floor(F.col("pe") / radius_m) + F.col("o.i")).alias("ci"), (F.floor(F.col("pn") / radius_m) + F.col("o.j")).alias("cj"))
-    two = F.explode(F.array(*[F.struct(F.lit(out).alias("out"), F.col(f"{at}.easting").alias("easting"), F.col(f"{at}.northing").alias("northing")) for out, at in ends.items()]))
-    rows = trips.select(*key, F.struct(*rest).alias("_own"), two.alias("x")).select(*key, "_own", "x.out", "x.easting", "x.northing", cell("x.easting").alias("ci"), cell("x.northing").alias("cj"))
-    hit = rows.join(spots, ["ci", "cj"], "left").withColumn("near", F.expr(geo.planar("easting", "northing", "pe", "pn")) <= radius_m)
-    found = hit.groupBy(*key).agg(F.first("_own").alias("_own"), *[F.min(F.when((F.col("out") == out) & F.col("near"), F.col("place_id"))).alias(out) for out in ends])
-    return found.select(*key, "_own.*", *ends)
+    spots = _around(places, radius_m).groupBy(F.col("ci").alias("_ci"), F.col("cj").alias("_cj")).agg(F.collect_list(F.struct("place_id", "pe", "pn")).alias("_spots"))
+    df = trips.drop(*ends)
+    for out, at in ends.items():
+        df = df.withColumns({"_ci": F.floor(F.col(f"{at}.easting") / radius_m).cast("long"), "_cj": F.floor(F.col(f"{at}.northing") / radius_m).cast("long")}).join(spots, ["_ci", "_cj"], "left")
+        near = F.filter("_spots", lambda p: F.sqrt(F.pow(p["pe"] - F.col(f"{at}.easting"), 2) + F.pow(p["pn"] - F.col(f"{at}.northing"), 2)) <= radius_m)  # noqa: B023
+        df = df.withColumn(out, F.array_min(F.transform(near, lambda p: p["place_id"]))).drop("_ci", "_cj", "_spots")
+    return df
 
 
 def with_gap(trips: DataFrame) -> DataFrame:

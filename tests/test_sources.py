@@ -143,10 +143,23 @@ def test_survey_keeps_ids_and_replaces_trips(spark, tmp_path):
     survey.save_trips(trips(("a", 1, 1)))
     rows = sorted(tuple(r) for r in survey.tables.read("detected_trips").select("user_id", "id").collect())
     assert rows == [("a", 4), ("b", 3)]
+    assert [r.id for r in survey.load_trips("b").collect()] == [3]
+    days = spark.createDataFrame([("b", dt.date(2024, 1, 2), 77, 78), ("b", dt.date(2024, 1, 1), 77, None)], "user_id string, date date, start_point_id long, end_point_id long")
+    survey.tables.replace_users("detected_trips", survey.tables.read("detected_trips").withColumn("point_id", F.when(F.col("user_id") == "b", 77)))
+    survey.save_days(days)
+    assert [(r.date.day, r.start_point_id, r.end_point_id, r.timezone) for r in survey.load_days("b").collect()] == [(1, 3, None, "America/Montreal"), (2, 3, None, "America/Montreal")]
+    survey.save_entrances(spark.createDataFrame([(45.5, -73.6), (45.5, -73.6), (45.4, -73.5)], "latitude double, longitude double"))
+    stored = survey.load_entrances().orderBy("place_id").collect()
+    assert [(r.place_id, r.lat) for r in stored] == [(1, 45.4), (2, 45.5)] and round(stored[1].northing) == 5039450
+    assert survey.load_locations().first().label == "home" and survey.load_locations().columns[-2:] == ["easting", "northing"]
     survey.clear_trips(trips(("a", 0, 0)).select("user_id"))
     assert [r.user_id for r in survey.tables.read("detected_trips").collect()] == ["b"]
     survey.clear_trips()
     assert survey.tables.read("detected_trips").count() == 0
+    survey.drop()
+    assert not survey.tables.exists("coordinates") and survey.tables.exists("user_locations")
+    with pytest.raises(RuntimeError):
+        survey.users()
 
 
 def test_csv_and_geojson_round_trip(spark, tmp_path):

@@ -25,6 +25,12 @@ def utm_range(points: DataFrame) -> DataFrame:
     return points.where(F.col("lat").between(-80, 84) & F.col("lon").between(-180, 180))
 
 
+def enough_points(points: DataFrame, least: int = 2) -> DataFrame:
+    """Points of users that have `least` or more; a trip needs two."""
+    counted = points.withColumn("_many", F.count("*").over(Window.partitionBy("user_id")))
+    return counted.where(F.col("_many") >= least).drop("_many")
+
+
 def accuracy_filter(points: DataFrame, cutoff_m: float) -> DataFrame:
     """Points as accurate as the cutoff or better; points without an accuracy go."""
     return points.where(F.col("h_accuracy") <= cutoff_m)

@@ -254,7 +254,7 @@ _HOSTED = ", ".join(
 #: The phone diary: spikes dropped, segments linked, lone points attached, gaps inferred, all coded and numbered.
 _DIARY = (
     _missing(
-        _LINKED.replace(", good AS (SELECT * FROM pts WHERE h_accuracy <= 50)", f", g00 AS (SELECT * FROM pts WHERE h_accuracy <= 50), {_walk('g00', _SPIKE)}, good AS (SELECT g00.* FROM g00 JOIN walk USING (user_id, point_id) WHERE kept)")
+        _LINKED.replace(", good AS (SELECT * FROM pts WHERE h_accuracy <= 50)", f", g00 AS (SELECT * FROM pts WHERE h_accuracy <= 50 AND user_id IN (SELECT user_id FROM pts GROUP BY 1 HAVING count(*) >= 2)), {_walk('g00', _SPIKE)}, good AS (SELECT g00.* FROM g00 JOIN walk USING (user_id, point_id) WHERE kept)")
         + f""", {_SURVEY}, {_fates("tr2")},
 tr3 AS (SELECT user_id, host AS segment_group, sum(n_points) AS n_points, sum(ds) AS ds, {_HOSTED} FROM tr2 JOIN fates USING (user_id, segment_group) WHERE host IS NOT NULL GROUP BY 1, 2)""",
         "tr3",

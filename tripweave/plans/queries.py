@@ -159,7 +159,8 @@ def _known(spark, d) -> DataFrame:
 
 
 def _diary(spark, d) -> DataFrame:
-    cleaned = segment.gap_segments(clean.spike_filter(_good(spark, d), C.spike_kph), C.break_interval_s)
+    good = clean.accuracy_filter(clean.enough_points(adapters.points(spark, d)), C.accuracy_cutoff_m)
+    cleaned = segment.gap_segments(clean.spike_filter(good, C.spike_kph), C.break_interval_s)
     return stitch.phone_diary(cleaned, adapters.entrances(spark, d), _rules(), _known(spark, d))
 
 

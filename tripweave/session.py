@@ -38,6 +38,11 @@ class Survey:
             self.ids.assign(points, "orig_id")  # names keep their numbers when the survey is read again
             self.tables.save("user_locations", csv.user_locations(self.spark, os.path.join(folder, "locations.csv")))
 
+    def drop(self, keep_locations: bool = True) -> None:
+        """Delete the survey's tables; stored locations stay unless told otherwise, as in the tools at hand."""
+        for name in ("survey_responses", "coordinates", "prompt_responses", "cancelled_prompts", "detected_trips", "trip_day_summaries", "subway_entrances", *(() if keep_locations else ("user_locations",))):
+            self.tables.drop(name)
+
     def check_setup(self) -> None:
         if not self.tables.exists("survey_responses"):
             raise RuntimeError("no survey has been read into this folder yet")
@@ -59,6 +64,30 @@ class Survey:
         """Accuracy-filtered points, segmented on time gaps."""
         return segment.gap_segments(clean.accuracy_filter(self.points(), self.config.accuracy_cutoff_m), self.config.break_interval_s)
 
+    def load_trips(self, user_id=None, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Stored trip points of a user, or of all, within a time range, in the order of trips and points."""
+        rows = self.tables.read("detected_trips") if user_id is None else self.tables.user("detected_trips", user_id)
+        return clean.in_time_range(rows, start, end).orderBy("user_id", "trip_num", "seq")
+
+    def load_days(self, user_id=None) -> DataFrame:
+        """Stored day summaries of a user, or of all, by date."""
+        rows = self.tables.read("trip_day_summaries") if user_id is None else self.tables.user("trip_day_summaries", user_id)
+        return rows.orderBy("user_id", "date")
+
+    def save_entrances(self, stations: DataFrame) -> None:
+        """Store subway entrances (latitude, longitude), equal positions once, numbered in their order."""
+        rows = stations.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
+        Catalog(self.spark, self.tables.root, key="place_id").save("subway_entrances", with_row_ids(rows, ["lat", "lon"], out="place_id"))
+
+    def load_entrances(self) -> DataFrame:
+        """place_id, lat, lon, easting and northing of the stored entrances."""
+        return clean.with_utm(self.tables.read("subway_entrances"))
+
+    def load_locations(self, user_id=None) -> DataFrame:
+        """Stored activity locations of a user, or of all: label, lat, lon, easting, northing."""
+        rows = self.tables.read("user_locations") if user_id is None else self.tables.user("user_locations", user_id)
+        return clean.with_utm(rows.withColumnsRenamed({"latitude": "lat", "longitude": "lon"}))
+
     def save_trips(self, trip_points: DataFrame) -> None:
         """Replace the trips of the users that `trip_points` has, in one step; its rows get ids that follow on those given before."""
         start = 1
@@ -67,8 +96,16 @@ class Survey:
         self.tables.replace_users("detected_trips", with_row_ids(trip_points, ["user_id", "trip_num", "seq"], start))
 
     def save_days(self, days: DataFrame) -> None:
-        """Replace the day summaries of the users in `days`; users without any keep theirs."""
-        self.tables.replace_users("trip_day_summaries", days.withColumn("timezone", F.lit(self.config.timezone)))
+        """Replace the day summaries of the users in `days`; users without any keep theirs.
+
+        Where days name the points they start and end with (start_point_id and
+        end_point_id, points of stored trips), these become the stored rows' ids."""
+        rows = days.withColumn("timezone", F.lit(self.config.timezone))
+        if {"start_point_id", "end_point_id"} <= set(days.columns):
+            ids = self.tables.read("detected_trips").where("point_id is not null").select("user_id", "point_id", "id")
+            for c in ("start_point_id", "end_point_id"):
+                rows = rows.join(ids.toDF("user_id", c, "_id"), ["user_id", c], "left").drop(c).withColumnRenamed("_id", c)
+        self.tables.replace_users("trip_day_summaries", rows)
 
     def clear_trips(self, users: DataFrame | None = None) -> None:
         """Drop the trips of the users given, or all."""

@@ -216,6 +216,11 @@ class Catalog:
         number, manifest = self._manifest(name)
         return self._commit(name, (number, manifest), StructType.fromJson(manifest["schema"]), set(manifest["buckets"]), {})
 
+    def drop(self, name: str) -> None:
+        """Delete a table, its snapshots first, so that no reader begins on half of it."""
+        self.files.delete(f"{self.path(name)}/snapshots")
+        self.files.delete(self.path(name))
+
     def _replace(self, name: str, df: DataFrame | None, users: DataFrame) -> int:
         base = self._manifest(name)
         if not base[0]:

@@ -238,6 +238,24 @@ def test_older_diary_by_hand(spark):
     assert cold.point_id is None and cold.break_period == (2 * day - 1120) % day and cold.t == 2 * day
 
 
+def test_places_of_a_crowd_are_compared_with_few(spark):
+    """3,000 places at 400 positions around 300 points: first and last as by brute force, and no cell keeps more than a few places to compare."""
+    import random
+
+    rng = random.Random(8)
+    spots = [(round(rng.uniform(0, 900), 3), round(rng.uniform(0, 900), 3)) for _ in range(400)] + [(200.0, 0.0), (-200.0, 0.0)]
+    places = [(i, *rng.choice(spots)) for i in range(3000)]
+    rows = [(1, i, round(rng.uniform(-400, 1300), 3), round(rng.uniform(-400, 1300), 3)) for i in range(300)] + [(1, 300, 0.0, 0.0), (1, 301, None, 5.0)]
+    near = spark.createDataFrame([*places, (3000, None, 1.0), (3001, float("nan"), 1.0)], "place_id long, easting double, northing double")
+    pts = spark.createDataFrame(rows, "user_id long, point_id long, easting double, northing double")
+    for last, pick in ((False, min), (True, max)):
+        got = {r.point_id: r.place for r in stitch.within(pts, near, 200.0, last=last).collect()}
+        for _, i, e, n in rows:
+            ids = [] if e is None else [p for p, x, y in places if ((x - e) ** 2 + (y - n) ** 2) ** 0.5 <= 200.0]
+            assert got[i] == (pick(ids) if ids else None)
+        assert max(len(r["_open"] or []) for r in stitch._nearby(near, 200.0, last).collect()) < 60
+
+
 def test_within_first_and_last(spark):
     pts = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1000.0, 0.0)], "user_id long, point_id long, easting double, northing double")
     places = spark.createDataFrame([(3, 10.0, 0.0), (5, 150.0, 0.0), (7, 201.0, 0.0)], "place_id long, easting double, northing double")

@@ -197,3 +197,34 @@ def test_attribute_stops_by_hand(spark):
     assert labels((9, 1, 0), (2.0, 1, 0), (4.0, 1, 0), (0.1, 1, 0), (1.0, 1, 0)) == [None, "trip", "trip", "trip", "stop"]
     assert labels((9, 1, 0), (2.0, 1, 0), (4.01, 1, 0), (1.0, 1, 91), (1.0, 1, 0)) == [None, "trip", "stop", "trip", "stop"]
     assert labels((9, 1, 0)) == ["stop"]
+
+
+def test_dbscan_of_small_users_needs_no_rounds(spark, monkeypatch):
+    """Users of few positions have the clusters that cells give, and no rounds of components; borders and repeated positions included."""
+    from tripweave.operators import cluster
+
+    rng = random.Random(5)
+    rows = [(u, i, i, float(rng.randrange(0, 300, 5)), float(rng.randrange(0, 300, 5))) for u in range(4) for i in range(30 + 40 * u)] + [(9, 1, 1, 0.0, 0.0), (9, 2, 2, None, 1.0)]
+    df = spark.createDataFrame(rows, POINT)
+    found = lambda **more: sorted((r.user_id, r.point_id, r.cluster) for eps, k in ((30.0, 4), (25.0, 1)) for r in cluster.dbscan(df, eps, k, **more).collect())
+    want = found(most=0)
+    assert any(c < 0 for *_, c in want) and any(c > 1 for *_, c in want)
+    monkeypatch.setattr(cluster, "components", None)
+    assert found() == want
+
+
+def test_nearest_other_of_few_spots_needs_no_rings(spark):
+    rng = random.Random(7)
+    spots = spark.createDataFrame([(1, s, round(rng.gauss(0, 50), 2), round(rng.gauss(0, 50), 2), 1) for s in range(5) for _ in range(20 * s + 1)], "user_id long, stop long, easting double, northing double, m long")
+    found = lambda **more: density.nearest_other(spots, ["user_id", "stop"], **more)
+    rows = lambda df: sorted((r.stop, r.easting, r.northing, r.m, -1 if r.nearest is None else round(r.nearest, 9)) for r in df.collect())
+    assert rows(found()) == rows(found(few=1)) == rows(found(few=1000))
+    assert "Join" not in found(few=1000)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_core_distances_in_one_matrix_and_in_tiles(spark):
+    """Users of one block need no lists of neighbours; repeated positions count."""
+    rng = random.Random(9)
+    points = spark.createDataFrame([(u, i, i, float(rng.randrange(60)), float(rng.randrange(9))) for u in range(2) for i in range(15 + 200 * u)], POINT)
+    cores = [sorted((r.user_id, r.easting, r.northing, r.core) for r in density.core_distances(density.positions(points, b), 20).collect()) for b in (1024, 30)]
+    assert cores[0] == cores[1]

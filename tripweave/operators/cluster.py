@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from .clean import by_time
 from .density import components
 from .lineage import cut
 
+#: Users of more distinct positions than this have their density clusters found over cells.
+SPOTS = 1024
+
 
 def two_means(points: DataFrame, value: str, cap: float = 50.0) -> DataFrame:
     """Add kmeans: 'trip' above the split of a user's values that minimises the squared error, else 'stop'.
@@ -97,9 +101,52 @@ def with_latlon(places: DataFrame, zone: str = "18") -> DataFrame:
     return places.withColumns({"lat": F.expr(lat), "lon": F.expr(lon)})
 
 
-def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> DataFrame:
+def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10, most: int = SPOTS) -> DataFrame:
     """Add cluster (-1 noise): density clusters of each user's points, numbered by their least core point; a border point goes to its lowest cluster.
 
+    Points at one position share their cluster. A user of up to `most` positions
+    is a small group, compared in one matrix; the others go through cells."""
+    spots = points.groupBy("user_id", "easting", "northing").agg(F.count("*").alias("m"), F.min("point_id").alias("least"))
+    spots = cut(spots.withColumn("_many", F.count("*").over(Window.partitionBy("user_id"))), "cluster-spots")
+    placed = points.join(_few_spots(spots.where(F.col("_many") <= most), eps_m, min_points), ["user_id", "easting", "northing"], "left").select(*points.columns, "cluster")
+    large = spots.where(F.col("_many") > most).select("user_id").distinct()
+    if not large.isEmpty():
+        cells = _dbscan_cells(points.join(large, "user_id", "left_semi"), eps_m, min_points).withColumnRenamed("cluster", "_cluster")
+        placed = placed.join(cells, ["user_id", "point_id"], "left").select(*points.columns, F.coalesce("cluster", "_cluster").alias("cluster"))
+    return placed.withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+
+
+def _few_spots(spots: DataFrame, eps_m: float, min_points: int) -> DataFrame:
+    """user_id, easting, northing, cluster of the positions (m: points at each, least: the first of them) in clusters, for users whose positions fit a matrix."""
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by("least")
+        e, n, m = (table.column(c).to_numpy() for c in ("easting", "northing", "m"))
+        near = np.sqrt((e[:, None] - e) ** 2 + (n[:, None] - n) ** 2) < eps_m
+        core = near @ m >= min_points
+        cluster, number = np.zeros(len(m), np.int64), 0
+        for at in np.flatnonzero(core):
+            if cluster[at]:
+                continue
+            number += 1
+            front = np.array([at])
+            while len(front):
+                cluster[front] = number
+                front = np.flatnonzero(near[front].any(axis=0) & core & (cluster == 0))
+        for at in np.flatnonzero(~core):
+            cluster[at] = cluster[near[at] & core].min(initial=number + 1)
+        named = table.select(["user_id", "easting", "northing"]).append_column("cluster", pa.array(cluster))
+        return named.filter(pa.array((cluster > 0) & (cluster <= number)))
+
+    user = spots.schema["user_id"].dataType.simpleString()
+    return spots.where("easting is not null and northing is not null").groupBy("user_id").applyInArrow(run, f"user_id {user}, easting double, northing double, cluster long")
+
+
+def _dbscan_cells(points: DataFrame, eps_m: float, min_points: int) -> DataFrame:
+    """user_id, point_id, cluster of the clustered points, for users of any size.
+
     Points of one cell (a square of eps / sqrt 2) are neighbours of each other, so
     that all points of a cell with `min_points` are core without a look at their
     neighbours, and clusters join cells, not points. Only the fewer points of
@@ -154,7 +201,7 @@ def dbscan(points: DataFrame, eps_m: float = 20.0, min_points: int = 10) -> Data
     of_cell = cut(box.select(*key, "least").join(roots, ["user_id", "least"]).withColumn("cluster", number).drop("least", "root"), "cells-clusters")
     inner = core.join(of_cell, key).select("user_id", "point_id", "cluster")
     if min_points <= 1:
-        return points.join(inner, ["user_id", "point_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+        return inner
     rest = few.join(counted, ["user_id", "point_id"], "left_anti")
     border = close(around(rest, near), there.join(of_cell, key), "cluster").groupBy("user_id", "point_id").agg(F.min("cluster").alias("cluster"))
-    return points.join(inner.unionByName(border), ["user_id", "point_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    return inner.unionByName(border)

@@ -44,6 +44,22 @@ def _ordered(frame):
 def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
     """The positions with core: the distance to a point's `min_samples`-th neighbour (to its farthest, if a user has fewer), points at the same position counted."""
 
+    def whole(table):
+        """A user of one block: everything in one matrix."""
+        import pyarrow as pa
+
+        e, n, m = (table.column(c).to_numpy() for c in ("easting", "northing", "m"))
+        need, out = min(min_samples + 1, int(m.sum())), []
+        for at in range(0, len(m), 256):
+            d = np.sqrt((e[at : at + 256, None] - e) ** 2 + (n[at : at + 256, None] - n) ** 2)
+            k = min(need, len(m))
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            far = np.take_along_axis(d, near, axis=1)
+            order = np.argsort(far, axis=1)
+            counts = np.cumsum(np.take_along_axis(m[near], order, axis=1), axis=1)
+            out.append(np.take_along_axis(np.take_along_axis(far, order, axis=1), (counts >= need).argmax(axis=1)[:, None], axis=1)[:, 0])
+        return table.append_column("core", pa.array(np.concatenate(out)))
+
     def run(frame):
         import pandas as pd
 
@@ -63,7 +79,12 @@ def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
                 out.append(sorted(zip(row[ok].tolist(), m[cols[ok]].tolist(), strict=True)))
         return pd.DataFrame({"user_id": frame["user_id"], "pos": frame["pos"], "near": [[{"d": d, "m": k} for d, k in r] for r in out]})
 
-    found = tiles(spots).groupBy("user_id", "i", "j").applyInPandas(run, f"user_id {spots.schema['user_id'].dataType.simpleString()}, pos long, near array<struct<d:double,m:long>>")
+    user, last = spots.schema["user_id"].dataType.simpleString(), F.max("block").over(Window.partitionBy("user_id"))
+    names = ["user_id", "easting", "northing", "m", "pos", "block"]
+    every = spots.select(*names).withColumn("_last", last)
+    one = every.where("_last = 0").drop("_last").groupBy("user_id").applyInArrow(whole, f"user_id {user}, easting double, northing double, m long, pos long, block long, core double")
+    spots = every.where("_last > 0").drop("_last")
+    found = tiles(spots).groupBy("user_id", "i", "j").applyInPandas(run, f"user_id {user}, pos long, near array<struct<d:double,m:long>>")
     lists = found.groupBy("user_id", "pos").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     points = F.sum("m").over(Window.partitionBy("user_id"))
     df = spots.withColumn("_need", F.least(F.lit(min_samples + 1).cast("long"), points)).join(lists, ["user_id", "pos"])
@@ -71,7 +92,7 @@ def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
         "near", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d")),
         lambda acc, x: F.struct((acc["n"] + x["m"]).alias("n"), F.when(acc["n"] < F.col("_need"), x["d"]).otherwise(acc["d"]).alias("d")),
     )
-    return df.withColumn("core", reached["d"]).drop("near", "_need")
+    return one.unionByName(df.withColumn("core", reached["d"]).select(*names, "core"))
 
 
 def spanning_tree(spots: DataFrame) -> DataFrame:
@@ -309,24 +330,30 @@ def stop_points(points: DataFrame, min_s: int, key: str = "stop", compat: bool =
     return df.where(F.col("_lasts") >= min_s).drop("_lasts")
 
 
-def nearest_other(spots: DataFrame, key: list[str], start_m: float = 4.0, growth: float = 8.0) -> DataFrame:
+def nearest_other(spots: DataFrame, key: list[str], start_m: float = 4.0, growth: float = 8.0, few: int = 64) -> DataFrame:
     """`spots` (key, easting, northing, distinct) with nearest: the distance to the nearest other one of the same key; null if there is none.
 
-    Grid rings: what is found within a cell's side is final, the rest looks again
-    in cells `growth` times as wide."""
+    Up to `few` spots of a key are compared as one row. Larger keys go through grid
+    rings: what is found within a cell's side is final, the rest looks again in
+    cells `growth` times as wide. The rings' tables are never sent to the driver."""
     left = cut(spots.withColumn("_many", F.count("*").over(Window.partitionBy(*key))), "rings-left")
-    found, side = left.where("_many = 1").drop("_many").withColumn("nearest", F.lit(None).cast("double")), start_m
-    every, left = left.where("_many > 1").drop("_many"), left.where("_many > 1").drop("_many")
+    own = [c for c in spots.columns if c not in key]
+    groups = left.where(F.col("_many") <= few).groupBy(*key).agg(F.collect_list(F.struct(*own)).alias("_all"))
+    groups = groups.select(*key, "_all", F.explode("_all").alias("_x"))
+    others = F.filter("_all", lambda o: (o["easting"] != F.col("_x.easting")) | (o["northing"] != F.col("_x.northing")))
+    apart = F.transform(others, lambda o: F.sqrt(F.pow(o["easting"] - F.col("_x.easting"), 2) + F.pow(o["northing"] - F.col("_x.northing"), 2)))
+    found, side = groups.select(*key, *[F.col(f"_x.{c}").alias(c) for c in own], F.array_min(apart).alias("nearest")), start_m
+    every = left = left.where(F.col("_many") > few).drop("_many")
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     while not left.isEmpty():
         cell = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")  # noqa: B023, E731
         others = every.select(*key, F.col("easting").alias("oe"), F.col("northing").alias("on"), cell("easting").alias("ci"), cell("northing").alias("cj"))
         around = left.withColumn("_o", steps).withColumns({"ci": cell("easting") + F.col("_o.i"), "cj": cell("northing") + F.col("_o.j")}).drop("_o")
         far = F.expr(geo.planar("easting", "northing", "oe", "on"))
-        near = around.join(others, [*key, "ci", "cj"]).where((F.col("oe") != F.col("easting")) | (F.col("on") != F.col("northing"))).groupBy(*key, "easting", "northing").agg(F.min(far).alias("nearest"))
+        near = around.join(others.hint("merge"), [*key, "ci", "cj"]).where((F.col("oe") != F.col("easting")) | (F.col("on") != F.col("northing"))).groupBy(*key, "easting", "northing").agg(F.min(far).alias("nearest"))
         near = cut(near.where(F.col("nearest") <= side), "rings-found")
-        found = found.unionByName(left.join(near, [*key, "easting", "northing"]).select(*found.columns))
-        left = cut(left.join(near, [*key, "easting", "northing"], "left_anti"), "rings-left")
+        found = found.unionByName(left.join(near.hint("merge"), [*key, "easting", "northing"]).select(*found.columns))
+        left = cut(left.join(near.hint("merge"), [*key, "easting", "northing"], "left_anti"), "rings-left")
         side *= growth
     return found
 

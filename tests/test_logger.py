@@ -83,3 +83,14 @@ def test_diary_numbers_gaps_and_trips(spark):
     df = spark.createDataFrame(rows, "user_id long, key long, point_id long, t long, lat double, lon double, easting double, northing double, distance_before double")
     got = [(r.trip_num, r.trip_code, r.seq, r.trip_distance) for r in logger.diary(df).orderBy("trip_num", "seq").collect()]
     assert got[:4] == [(1, 1, k + 1, 200.0 * k) for k in range(4)] and got[4:6] == [(2, 101, 1, 0.0), (2, 101, 2, 2400.0)] and len(got) == 10
+
+
+def test_located_points_are_computed_once(spark):
+    """The first location in place_order within reach, by one join; users without locations keep their points."""
+    from tripweave.operators import logger
+
+    pts = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 500.0, 0.0), (2, 3, 0.0, 0.0)], "user_id long, point_id long, easting double, northing double")
+    spots = spark.createDataFrame([(1, 1, "work", 10.0, 0.0), (1, 0, "home", 60.0, 0.0), (1, 2, "study", 439.0, 0.0)], "user_id long, place_order int, label string, easting double, northing double")
+    df = logger._located(pts, spots)
+    assert {r.point_id: r.stop and r.stop.label for r in df.collect()} == {1: "home", 2: None, 3: None}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -17,11 +17,12 @@ NEAR_M, REACH_M = 60.0, 200.0
 
 
 def _located(points: DataFrame, locations: DataFrame) -> DataFrame:
-    """Add stop: the first of the user's locations within NEAR_M (place_order, label, position), else null."""
-    spots = locations.select("user_id", F.struct("place_order", "label", F.col("easting").alias("e"), F.col("northing").alias("n")).alias("x"))
-    near = points.select("user_id", "point_id", "easting", "northing").join(spots, "user_id")
-    near = near.where(F.expr(geo.planar("x.e", "x.n", "easting", "northing")) <= NEAR_M)
-    return points.join(near.groupBy("user_id", "point_id").agg(F.min("x").alias("stop")), ["user_id", "point_id"], "left")
+    """Add stop: the first of the user's locations within NEAR_M (place_order, label, position), else null.
+
+    A user's locations are one row, so that the points before are computed once, not once for either side of a join."""
+    spots = locations.groupBy("user_id").agg(F.collect_list(F.struct("place_order", "label", F.col("easting").alias("e"), F.col("northing").alias("n"))).alias("_spots"))
+    near = F.filter("_spots", lambda q: F.sqrt(F.pow(F.col("easting") - q["e"], 2) + F.pow(F.col("northing") - q["n"], 2)) <= NEAR_M)
+    return points.join(spots, "user_id", "left").withColumn("stop", F.array_min(near)).drop("_spots")
 
 
 def stop_split(segments: DataFrame, locations: DataFrame, period_s: int = 300) -> DataFrame:

@@ -228,3 +228,18 @@ def test_core_distances_in_one_matrix_and_in_tiles(spark):
     points = spark.createDataFrame([(u, i, i, float(rng.randrange(60)), float(rng.randrange(9))) for u in range(2) for i in range(15 + 200 * u)], POINT)
     cores = [sorted((r.user_id, r.easting, r.northing, r.core) for r in density.core_distances(density.positions(points, b), 20).collect()) for b in (1024, 30)]
     assert cores[0] == cores[1]
+
+
+def test_clusters_of_small_users_in_one_row_each(spark, monkeypatch):
+    """Users of one block go through distances, tree and hierarchy at once, beside larger ones, with no tables between; repeated positions, users of few points and of one."""
+    rng = random.Random(3)
+    spot = lambda: (float(rng.randrange(40)), float(rng.randrange(40)))
+    rows = [(u, i, i, *spot()) for u, many in enumerate((1, 2, 10, 11, 60, 200)) for i in range(many)] + [(8, i, i, 5.0, 5.0) for i in range(30)]
+    df = spark.createDataFrame(rows, POINT)
+    found = lambda block: sorted((r.user_id, r.point_id, r.cluster, r.probability) for r in density.hierarchical(df, 5, 3, block=block).collect())
+    want = found(50)
+    assert len(want) == len(rows) and len({(u, c) for u, _, c, _ in want if c >= 0}) > 3
+    names, cut = [], density.cut
+    monkeypatch.setattr(density, "cut", lambda df, name: names.append(name) or cut(df, name))
+    assert found(1024) == want
+    assert names == ["density-positions"]

@@ -41,24 +41,72 @@ def _ordered(frame):
     return frame.sort_values("pos", kind="stable").reset_index(drop=True)
 
 
-def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
-    """The positions with core: the distance to a point's `min_samples`-th neighbour (to its farthest, if a user has fewer), points at the same position counted."""
+def _cores(e, n, m, min_samples: int):
+    """The core distance of each position of a user, in one matrix."""
+    need, out = min(min_samples + 1, int(m.sum())), []
+    k = min(need, len(m))
+    for at in range(0, len(m), 256):
+        d = np.sqrt((e[at : at + 256, None] - e) ** 2 + (n[at : at + 256, None] - n) ** 2)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        far = np.take_along_axis(d, near, axis=1)
+        order = np.argsort(far, axis=1)
+        counts = np.cumsum(np.take_along_axis(m[near], order, axis=1), axis=1)
+        out.append(np.take_along_axis(np.take_along_axis(far, order, axis=1), (counts >= need).argmax(axis=1)[:, None], axis=1)[:, 0])
+    return np.concatenate(out)
+
+
+def _tree(e, n, core) -> list[tuple[int, int, float]]:
+    """A minimum spanning tree of positions by mutual reachability, after Prim: (places of two positions, the lesser first, and weight)."""
+    w = np.maximum(np.sqrt((e[:, None] - e) ** 2 + (n[:, None] - n) ** 2), np.maximum(core[:, None], core))
+    w[np.isnan(w)] = np.inf
+    least, near, out = np.full(len(e), np.inf), np.zeros(len(e), np.int64), []
+    at = 0
+    for _ in range(len(e) - 1):
+        w[:, at] = least[at] = np.inf  # is in the tree
+        row = w[at]
+        near[row < least] = at
+        np.minimum(row, least, out=least)
+        at = int(least.argmin())
+        a = int(near[at])
+        out.append((min(a, at), max(a, at), float(least[at])))
+    return out
+
+
+def _by_user(spots: DataFrame, run, names: list[str], out: str) -> DataFrame:
+    """user_id, easting, northing, m, pos and the columns `out` that `run` gives for the arrays easting, northing and m of each user: for users of one block.
+
+    A user is a row of arrays and Spark deals out batches of rows, so that the
+    many small users cost no group, and no stream of their own, each."""
+    user = spots.schema["user_id"].dataType.simpleString()
+    own = ["easting", "northing", "m"]
+    rows = spots.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", *own))).alias("x")).select("user_id", "x.pos", *[f"x.{c}" for c in own])
 
-    def whole(table):
-        """A user of one block: everything in one matrix."""
+    def each(batches):
         import pyarrow as pa
 
-        e, n, m = (table.column(c).to_numpy() for c in ("easting", "northing", "m"))
-        need, out = min(min_samples + 1, int(m.sum())), []
-        for at in range(0, len(m), 256):
-            d = np.sqrt((e[at : at + 256, None] - e) ** 2 + (n[at : at + 256, None] - n) ** 2)
-            k = min(need, len(m))
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            far = np.take_along_axis(d, near, axis=1)
-            order = np.argsort(far, axis=1)
-            counts = np.cumsum(np.take_along_axis(m[near], order, axis=1), axis=1)
-            out.append(np.take_along_axis(np.take_along_axis(far, order, axis=1), (counts >= need).argmax(axis=1)[:, None], axis=1)[:, 0])
-        return table.append_column("core", pa.array(np.concatenate(out)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = {c: batch.column(c).flatten() for c in ("pos", *own)}
+            e, n, m = (flat[c].to_numpy(zero_copy_only=False) for c in own)
+            at = batch.column("pos").offsets.to_numpy()
+            at = at - at[0]
+            found = [run(e[i:j], n[i:j], m[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            users = batch.column("user_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at))))
+            more = [pa.array(np.concatenate([f[k] for f in found])) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([users, *[flat[c] for c in own], flat["pos"], *more], ["user_id", *own, "pos", *names])
+
+    return rows.mapInArrow(each, f"user_id {user}, easting double, northing double, m long, pos long, {out}")
+
+
+def _parted(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The positions of users of one block and of larger users."""
+    every = spots.withColumn("_last", F.max("block").over(Window.partitionBy("user_id")))
+    return every.where("_last = 0").drop("_last"), every.where("_last > 0").drop("_last")
+
+
+def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
+    """The positions with core: the distance to a point's `min_samples`-th neighbour (to its farthest, if a user has fewer), points at the same position counted."""
 
     def run(frame):
         import pandas as pd
@@ -79,11 +127,10 @@ def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
                 out.append(sorted(zip(row[ok].tolist(), m[cols[ok]].tolist(), strict=True)))
         return pd.DataFrame({"user_id": frame["user_id"], "pos": frame["pos"], "near": [[{"d": d, "m": k} for d, k in r] for r in out]})
 
-    user, last = spots.schema["user_id"].dataType.simpleString(), F.max("block").over(Window.partitionBy("user_id"))
+    user = spots.schema["user_id"].dataType.simpleString()
     names = ["user_id", "easting", "northing", "m", "pos", "block"]
-    every = spots.select(*names).withColumn("_last", last)
-    one = every.where("_last = 0").drop("_last").groupBy("user_id").applyInArrow(whole, f"user_id {user}, easting double, northing double, m long, pos long, block long, core double")
-    spots = every.where("_last > 0").drop("_last")
+    one, spots = _parted(spots.select(*names))
+    one = _by_user(one, lambda e, n, m: (_cores(e, n, m, min_samples),), ["core"], "core double").withColumn("block", F.lit(0).cast("long"))
     found = tiles(spots).groupBy("user_id", "i", "j").applyInPandas(run, f"user_id {user}, pos long, near array<struct<d:double,m:long>>")
     lists = found.groupBy("user_id", "pos").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     points = F.sum("m").over(Window.partitionBy("user_id"))
@@ -92,7 +139,7 @@ def core_distances(spots: DataFrame, min_samples: int = 20) -> DataFrame:
         "near", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d")),
         lambda acc, x: F.struct((acc["n"] + x["m"]).alias("n"), F.when(acc["n"] < F.col("_need"), x["d"]).otherwise(acc["d"]).alias("d")),
     )
-    return one.unionByName(df.withColumn("core", reached["d"]).select(*names, "core"))
+    return one.select(*names, "core").unionByName(df.withColumn("core", reached["d"]).select(*names, "core"))
 
 
 def spanning_tree(spots: DataFrame) -> DataFrame:
@@ -107,18 +154,8 @@ def spanning_tree(spots: DataFrame) -> DataFrame:
         import pandas as pd
 
         frame = _ordered(frame)
-        xy, core, pos = frame[["easting", "northing"]].to_numpy(), frame["core"].to_numpy(), frame["pos"].to_numpy(np.int64)
-        n = len(pos)
-        least, near, out = np.full(n, np.inf), np.zeros(n, np.int64), []
-        left = np.ones(n, bool)
-        at = 0
-        for _ in range(n - 1):  # Prim
-            left[at] = False
-            d = np.maximum(np.sqrt(((xy - xy[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
-            closer = left & (d < least)
-            least[closer], near[closer] = d[closer], at
-            at = int(np.where(left, least, np.inf).argmin())
-            out.append((pos[near[at]], pos[at], least[at]))
+        e, n, core, pos = (frame[c].to_numpy() for c in ("easting", "northing", "core", "pos"))
+        out = [(pos[a], pos[b], w) for a, b, w in _tree(e, n, core)]
         rows = {"user_id": [frame["user_id"].iloc[0]] * len(out), "a": [min(x[:2]) for x in out], "b": [max(x[:2]) for x in out], "w": [x[2] for x in out]}
         return pd.DataFrame(rows | {"last": frame["last"].iloc[0]})
 
@@ -223,7 +260,8 @@ class Hierarchy:
                     self.most.append(0.0)
                     self.stability[c] += (level - self.birth[c]) * self.size[k]
                     todo.append((k, len(self.birth) - 1))
-            small = [k for k in self.children[node] if k not in set(big)] if self.children[node] else [node]
+            chosen = set(big)
+            small = [k for k in self.children[node] if k not in chosen] if self.children[node] else [node]
             while small:
                 k = small.pop()
                 if k < self.n:
@@ -259,14 +297,41 @@ class Hierarchy:
         return out
 
 
+def _clusters(m: list[int], core: list[float], edges: list[tuple[int, int, float]], least: int, more_than: int) -> tuple[list[int], list[float]]:
+    """The cluster (-1: noise, else numbered by the least position) and probability of each of a user's positions."""
+    found = [(-1, 0.0)] * len(m) if sum(m) <= more_than else Hierarchy(m, core, edges, least).labels()
+    names: dict[int, int] = {}
+    return [c if c < 0 else names.setdefault(c, len(names)) for c, _ in found], [p for _, p in found]
+
+
 def hierarchical(points: DataFrame, min_cluster_size: int = 15, min_samples: int = 20, more_than: int = 10, block: int = BLOCK) -> DataFrame:
     """Points with cluster (-1: noise, else numbered by the least position) and probability: hierarchical density clusters of each user's points.
 
-    Core distances and spanning trees are computed in tiles of positions; what is
-    left for a user is a tree with an edge for each position, which one small
-    pass condenses. Users of `more_than` points or fewer are noise."""
+    Users of one block go through distances, tree and hierarchy at once. For
+    larger ones, core distances and spanning trees are computed in tiles of
+    positions; what is left for a user is a tree with an edge for each position,
+    which one small pass condenses. Users of `more_than` points or fewer are noise."""
     user = points.schema["user_id"].dataType.simpleString()
     spots = cut(positions(points, block), "density-positions")
+    one, _ = _parted(spots)
+
+    def whole(e, n, m):
+        if m.sum() <= more_than:
+            return np.full(len(m), -1), np.zeros(len(m))
+        core = _cores(e, n, m, min_samples)
+        cluster, probability = _clusters(m.tolist(), core.tolist(), _tree(e, n, core), min_cluster_size, more_than)
+        return np.array(cluster, np.int64), np.array(probability, np.float64)
+
+    names = ["user_id", "easting", "northing", "cluster", "probability"]
+    placed = _by_user(one, whole, names[3:], "cluster long, probability double").select(*names)
+    if not spots.where("block > 0").isEmpty():
+        large = spots.join(spots.where("block > 0").select("user_id").distinct(), "user_id", "left_semi")
+        placed = placed.unionByName(_large(large, user, min_cluster_size, min_samples, more_than).select(*names))
+    return points.join(placed, ["user_id", "easting", "northing"], "left")
+
+
+def _large(spots: DataFrame, user: str, min_cluster_size: int, min_samples: int, more_than: int) -> DataFrame:
+    """Positions of users of more than one block, with cluster and probability."""
     cores = cut(core_distances(spots, min_samples), "density-cores")
     tree = spanning_tree(cores)
     none = F.lit(None)
@@ -278,19 +343,12 @@ def hierarchical(points: DataFrame, min_cluster_size: int = 15, min_samples: int
 
         own = frame[frame["b"].isna()].sort_values("pos")
         links = frame[frame["b"].notna()]
-        m = own["m"].astype("int64").tolist()
-        if sum(m) <= more_than:
-            found = [(-1, 0.0)] * len(m)
-        else:
-            edges = list(zip(links["pos"].tolist(), links["b"].astype("int64").tolist(), links["w"].tolist(), strict=True))
-            found = Hierarchy(m, own["core"].tolist(), edges, min_cluster_size).labels()
-        names: dict[int, int] = {}
-        cluster = [c if c < 0 else names.setdefault(c, len(names)) for c, _ in found]
-        return pd.DataFrame({"user_id": own["user_id"].tolist(), "pos": own["pos"].tolist(), "cluster": cluster, "probability": [p for _, p in found]})
+        edges = list(zip(links["pos"].tolist(), links["b"].astype("int64").tolist(), links["w"].tolist(), strict=True))
+        cluster, probability = _clusters(own["m"].astype("int64").tolist(), own["core"].tolist(), edges, min_cluster_size, more_than)
+        return pd.DataFrame({"user_id": own["user_id"].tolist(), "pos": own["pos"].tolist(), "cluster": cluster, "probability": probability})
 
     labels = both.groupBy("user_id").applyInPandas(run, f"user_id {user}, pos long, cluster long, probability double")
-    placed = spots.select("user_id", "pos", "easting", "northing").join(labels, ["user_id", "pos"]).drop("pos")
-    return points.join(placed, ["user_id", "easting", "northing"], "left")
+    return spots.select("user_id", "pos", "easting", "northing").join(labels, ["user_id", "pos"])
 
 
 def certain(points: DataFrame) -> DataFrame:

@@ -157,6 +157,38 @@ def test_suffix_dedup(spark, docs, corpus):
             assert got[i].n_spans == len(re.findall(b"\1+", bytes(gone)))
 
 
+def test_suffix_dedup_of_one_common_string(spark, empty, monkeypatch):
+    """A word repeated through 40 texts is one context with most of the rows: no task has them all, and the results stay."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = letters(500)
+    texts = [letters(200) + "Anan " * rng.randint(150, 250) + letters(200) for _ in range(40)] + [letters(100) + passage + letters(100) for _ in range(30)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], empty.schema).repartition(4, "doc_id")
+    shares, write = [], substring_dedup.materialize
+
+    def watched(table, name):
+        if name == "dedup-shared":
+            shares.append([r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()])
+        return write(table, name)
+
+    monkeypatch.setattr(substring_dedup, "materialize", watched)
+    monkeypatch.setattr(substring_dedup, "HOT", 20, raising=False)
+    monkeypatch.setattr(substring_dedup, "GROUP", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of size are joined
+    try:
+        got = {r.doc_id: r for r in substring_dedup.dedup(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counts = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    for i, t in enumerate(texts):
+        gone = {q for p in range(len(t) - 399) if counts[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        assert got[i].n_removed == len(gone)
+        assert got[i].kept_sha256 == hashlib.sha256("".join(c for q, c in enumerate(t) if q not in gone).encode()).hexdigest()
+    assert max(shares[0]) < 0.6 * sum(shares[0])
+
+
 def test_suffix_sort_is_a_sort():
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 40))) for _ in range(40)]
